@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from revlens.functions import columns as C
 from revlens.functions import constants as K
 from revlens.functions.stats import with_stats
-from revlens.operators.products import to_timestamp_lenient
+from revlens.operators.products import timestamp_of
 
 # ---- review filters -----------------------------------------------------------
 
@@ -29,21 +29,21 @@ def filter_products(df: DataFrame, products: list[str] | None) -> DataFrame:
     return df.filter(F.col("product").isin(list(products))) if products else df
 
 
-def _day_bounds(start, end):
-    s = start if isinstance(start, datetime) else datetime.combine(
-        start if isinstance(start, date) else date.fromisoformat(str(start)), datetime.min.time())
-    e = end if isinstance(end, datetime) else datetime.combine(
-        end if isinstance(end, date) else date.fromisoformat(str(end)),
-        datetime.max.time())
-    return s, e
+def _bound(v, end: bool) -> F.Column:
+    """A zone-less timestamp literal: a day widens to 00:00 / 23:59:59.999999."""
+    if isinstance(v, datetime):
+        text = v.strftime("%Y-%m-%d %H:%M:%S.%f")
+    else:
+        d = v if isinstance(v, date) else date.fromisoformat(str(v)[:10])
+        text = d.isoformat() + (" 23:59:59.999999" if end else " 00:00:00")
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def filter_dates(df: DataFrame, start, end) -> DataFrame:
     """Coerced review_date between start 00:00 and end 23:59:59.999999 (dates
     given as days are widened to whole days; datetimes are used as given)."""
-    s, e = _day_bounds(start, end)
-    d = to_timestamp_lenient("review_date").cast("timestamp_ntz")
-    return df.filter((d >= F.lit(s).cast("timestamp_ntz")) & (d <= F.lit(e).cast("timestamp_ntz")))
+    d = timestamp_of(df, "review_date")
+    return df.filter((d >= _bound(start, False)) & (d <= _bound(end, True)))
 
 
 def filter_severity(df: DataFrame, threshold: float) -> DataFrame:
@@ -80,7 +80,9 @@ def hidden_risks(products: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def drop_blank_products(df: DataFrame) -> DataFrame:
-    return df.filter(C.strip_ws(F.col("product")) != "")
+    """Drop rows whose product is blank after trimming (missing names are kept,
+    as a NaN compares unequal to '')."""
+    return df.filter(F.coalesce(C.strip_ws(F.col("product")) != "", F.lit(True)))
 
 
 def search_products(records: DataFrame, query: str, name_col: str = "name") -> DataFrame:
@@ -283,7 +285,7 @@ def distinct_products(reviews: DataFrame) -> DataFrame:
 
 def date_bounds(reviews: DataFrame, col: str = "review_date") -> DataFrame:
     """Min / max date; both fall back to now-30d .. now when no date parses."""
-    d = to_timestamp_lenient(col).cast("timestamp_ntz")
+    d = timestamp_of(reviews, col)
     one = reviews.agg(F.min(d).alias("__mn"), F.max(d).alias("__mx"))
     now = F.localtimestamp()
     missing = F.col("__mn").isNull() | F.col("__mx").isNull()

@@ -163,11 +163,15 @@ def to_timestamp_lenient(c) -> F.Column:
                       C.col_(c).try_cast("timestamp"))
 
 
-def _ts(df: DataFrame, name: str = "review_date") -> F.Column:
+def timestamp_of(df: DataFrame, name: str = "review_date") -> F.Column:
+    """The column as a (zone-less) timestamp; text is parsed leniently."""
     dt = df.schema[name].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.col(name)
-    return to_timestamp_lenient(name)
+        return F.col(name).cast("timestamp_ntz")
+    return to_timestamp_lenient(name).cast("timestamp_ntz")
+
+
+_ts = timestamp_of
 
 
 def spike_stats(reviews: DataFrame) -> DataFrame:

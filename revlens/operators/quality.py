@@ -86,7 +86,7 @@ def schema_report(df: DataFrame, strict: bool = False) -> DataFrame:
     for c in K.ROBUST_SCHEMA:
         if c not in df.columns:
             rows.append(("missing_column" if strict else "filled_column", c,
-                         "critical" if strict else "info", None,
+                         "critical" if strict else "info", 0,
                          f"{'Missing required' if strict else 'Created missing'} column: {c}"))
     static = spark.createDataFrame(rows, REPORT_SCHEMA)
     present = [c for c in K.ROBUST_SCHEMA if c in df.columns]
@@ -174,7 +174,7 @@ def sanity_checks(df: DataFrame) -> DataFrame:
     static = []
     missing = [c for c in K.ROBUST_SCHEMA if c not in df.columns]
     for c in missing:
-        static.append(("missing_column", c, "critical", None, f"Missing column: {c}"))
+        static.append(("missing_column", c, "critical", 0, f"Missing column: {c}"))
     for c, kind in K.ROBUST_SCHEMA.items():
         if c not in types:
             continue
@@ -184,11 +184,11 @@ def sanity_checks(df: DataFrame) -> DataFrame:
               "str": isinstance(dt, T.StringType)}[kind]
         if not ok:
             label = {"float": "numeric", "int": "integer", "str": "string"}[kind]
-            static.append(("dtype", c, "warning", None, f"Column '{c}' is not {label}"))
+            static.append(("dtype", c, "warning", 0, f"Column '{c}' is not {label}"))
     present = [c for c in K.ROBUST_SCHEMA if c in types]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     aggs += [F.count_if(_null_or_nan(c, types[c])).alias(f"nan_{c}") for c in present]
-    ranged = [c for c in K.ROBUST_RANGES if c in types]
+    ranged = [c for c in K.ROBUST_RANGES if c in types and isinstance(types[c], NUMERIC_TYPES)]
     for c in ranged:
         lo, hi = K.ROBUST_RANGES[c]
         aggs.append(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"rng_{c}"))
@@ -203,15 +203,17 @@ def sanity_checks(df: DataFrame) -> DataFrame:
         nn = nn.crossJoin(F.broadcast(one.select("__rows")))
         parts.append(nn.filter(F.col("n") > 0).select(
             F.lit("critical_nan").alias("check"), "column", F.lit("critical").alias("severity"),
-            "n", F.format_string("Critical column '%s' has %d NaN values (%.1f%%)",
-                                 F.col("column"), F.col("n"),
-                                 F.col("n") / F.col("__rows") * 100.0).alias("message")))
+            "n", F.concat(F.lit("Critical column '"), F.col("column"), F.lit("' has "),
+                          F.col("n").cast("string"), F.lit(" NaN values ("),
+                          F.format_number(F.col("n") / F.col("__rows") * 100.0, 1),
+                          F.lit("%)")).alias("message")))
     if ranged:
         rg = _stack(one, [(c, f"rng_{c}") for c in ranged], "column", "n")
         parts.append(rg.filter(F.col("n") > 0).select(
             F.lit("range_clip").alias("check"), "column", F.lit("warning").alias("severity"), "n",
-            F.format_string("Clipped %d out-of-range values in '%s'", F.col("n"),
-                            F.col("column")).alias("message")))
+            F.concat(F.lit("Clipped "), F.col("n").cast("string"),
+                     F.lit(" out-of-range values in '"), F.col("column"), F.lit("'"))
+            .alias("message")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -361,14 +361,23 @@ register("issue_category", ["scored"], "select review_text, issue_category from
 register("issue_category_documents", [], f"select doc_id, {category('text')} as issue_category from documents")
 
 # classic path ------------------------------------------------------------------------------
-cte("cl_prep0", ["reviews"], f"""select * exclude (customer_ltv, order_value, helpful_votes, days_since_purchase),
+_w = K.CIS_WEIGHTS
+_cis = (f"({_w['ltv_norm']} * ltv_norm + {_w['order_norm']} * order_norm + {_w['repeat']} * repeat + "
+        f"{_w['verified']} * verified + {_w['helpful_norm']} * helpful_norm + {_w['recency_score']} * recency)")
+_sev = "(0.6 * severity_rating + 0.4 * (1.0 - sentiment_score))"
+
+
+def classic_chain(p: str, src: str) -> None:
+    """classic preprocess -> features -> scores -> product metrics, prefix ``p``."""
+    cte(f"{p}_prep0", [src], f"""select * exclude (customer_ltv, order_value, helpful_votes, days_since_purchase),
  coalesce({to_double('customer_ltv')}, 0.0) customer_ltv, coalesce({to_double('order_value')}, 0.0) order_value,
  coalesce({to_double('helpful_votes')}, 0.0) helpful_votes,
- coalesce({to_double('days_since_purchase')}, 30.0) days_since_purchase from reviews""")
-cte("cl_prep1", ["cl_prep0"], f"select *, {log1p('customer_ltv')} ltv_log, {log1p('order_value')} order_value_log from cl_prep0")
-cte("cl_st", ["cl_prep1"], """select min(ltv_log) mn_l, max(ltv_log) mx_l, min(order_value_log) mn_o,
- max(order_value_log) mx_o, min(helpful_votes) mn_h, max(helpful_votes) mx_h from cl_prep1""")
-cte("cl_prep", ["cl_prep1", "cl_st"], f"""select
+ coalesce({to_double('days_since_purchase')}, 30.0) days_since_purchase from {src}""")
+    cte(f"{p}_prep1", [f"{p}_prep0"], f"select *, {log1p('customer_ltv')} ltv_log, "
+        f"{log1p('order_value')} order_value_log from {p}_prep0")
+    cte(f"{p}_st", [f"{p}_prep1"], f"""select min(ltv_log) mn_l, max(ltv_log) mx_l, min(order_value_log) mn_o,
+ max(order_value_log) mx_o, min(helpful_votes) mn_h, max(helpful_votes) mx_h from {p}_prep1""")
+    cte(f"{p}_prep", [f"{p}_prep1", f"{p}_st"], f"""select
  coalesce(p.rating, 0) rating, coalesce(p.customer_ltv, 0) customer_ltv, coalesce(p.order_value, 0) order_value,
  coalesce(p.helpful_votes, 0) helpful_votes, coalesce(p.days_since_purchase, 0) days_since_purchase,
  coalesce(p.ltv_log, 0) ltv_log, coalesce(p.order_value_log, 0) order_value_log,
@@ -378,19 +387,47 @@ cte("cl_prep", ["cl_prep1", "cl_st"], f"""select
  {flag('p.is_repeat_customer')} repeat, {flag('p.verified_purchase')} verified,
  coalesce(p.product, '0') product, coalesce(p.review_text, '0') review_text,
  coalesce(p.sentiment, '0') sentiment, p.is_repeat_customer, p.verified_purchase, p.review_date
-from cl_prep1 p cross join cl_st""")
-cte("cl_feat", ["cl_prep"], f"""select *,
+from {p}_prep1 p cross join {p}_st""")
+    cte(f"{p}_feat", [f"{p}_prep"], f"""select *,
  coalesce({clip01('(5.0 - rating) / 4.0')}, 0.0) severity_rating,
  coalesce({clip01('exp(-days_since_purchase / 30.0)')}, 0.0) recency,
  coalesce({clip01(sentiment_map('sentiment', K.SENTIMENT_SCORE))}, 0.0) sentiment_score,
- coalesce(cast(rating <= 2 as integer), 0) is_negative from cl_prep""")
-_w = K.CIS_WEIGHTS
-_cis = (f"({_w['ltv_norm']} * ltv_norm + {_w['order_norm']} * order_norm + {_w['repeat']} * repeat + "
-        f"{_w['verified']} * verified + {_w['helpful_norm']} * helpful_norm + {_w['recency_score']} * recency)")
-_sev = "(0.6 * severity_rating + 0.4 * (1.0 - sentiment_score))"
-cte("cl_scored", ["cl_feat"], f"""select *, coalesce({clip01(_cis)}, 0.0) "CIS",
+ coalesce(cast(rating <= 2 as integer), 0) is_negative from {p}_prep""")
+    cte(f"{p}_scored", [f"{p}_feat"], f"""select *, coalesce({clip01(_cis)}, 0.0) "CIS",
  coalesce({clip01(_sev)}, 0.0) severity, coalesce({clip01(_cis + ' * ' + _sev)}, 0.0) impact_score
- from cl_feat""")
+ from {p}_feat""")
+    cte(f"{p}_pm0", [f"{p}_scored"], f"""select product, count(*) total_reviews, sum(impact_score) total_impact,
+ avg(severity) avg_severity, avg(is_negative) negative_ratio, avg(customer_ltv) avg_customer_ltv,
+ avg(order_value) avg_order_value, avg(repeat) repeat_rate, avg(rating) avg_rating,
+ sum(customer_ltv * is_negative) total_revenue_at_risk,
+ count_if(review_date >= mx - interval 14 days) recent, max(mx) mx
+from {p}_scored cross join (select max(review_date) mx from {p}_scored where product is not null) m
+where product is not null group by product""")
+    cte(f"{p}_pm1", [f"{p}_pm0"], f"""select *, cast(total_reviews as double) order_freq,
+ 5.0 - avg_rating rating_drop from {p}_pm0""")
+    cte(f"{p}_pmst", [f"{p}_pm1"], f"""select min(order_freq) a1, max(order_freq) b1, min(avg_order_value) a2,
+ max(avg_order_value) b2, min(repeat_rate) a3, max(repeat_rate) b3, min(rating_drop) a4, max(rating_drop) b4,
+ min(negative_ratio) a5, max(negative_ratio) b5 from {p}_pm1""")
+    pw = K.PPS_WEIGHTS
+    pps = clip01(" + ".join(f"{pw[k]} * {clip01(f'({c} - {a}) / ({b} - {a} + 1e-9)')}" for k, c, a, b in [
+        ("freq", "order_freq", "a1", "b1"), ("order", "avg_order_value", "a2", "b2"),
+        ("repeat", "repeat_rate", "a3", "b3"), ("rating_drop", "rating_drop", "a4", "b4"),
+        ("negative", "negative_ratio", "a5", "b5")]))
+    cte(f"{p}_pm2", [f"{p}_pm1", f"{p}_pmst"], f"""select *, {pps} "PPS" from {p}_pm1 cross join {p}_pmst""")
+    spike = ("(case when mx is null then null else (recent - cast(total_reviews as double) / 2.14) / "
+             "(cast(total_reviews as double) / 4.3 + 1e-9) end)")
+    cte(f"{p}_pm3", [f"{p}_pm2"], f"""select *, case when total_impact = 0 then 0.0
+ else {log1p('total_impact')} * (1 + "PPS") end as fs0, {spike} as spike_score from {p}_pm2""")
+    cte(f"{p}_pm", [f"{p}_pm3"], f"""select product, coalesce(total_reviews, 0) total_reviews,
+ coalesce(avg_order_value, 0) avg_order_value, coalesce(avg_rating, 0) avg_rating,
+ coalesce(negative_ratio, 0) negative_ratio, coalesce(repeat_rate, 0) repeat_rate,
+ coalesce(total_impact, 0) total_impact, coalesce("PPS", 0) "PPS",
+ coalesce(total_revenue_at_risk, 0) total_revenue_at_risk,
+ coalesce(case when coalesce(spike_score, 0) > 2 then fs0 * 1.5 else fs0 end, 0) final_score
+from {p}_pm3""")
+
+
+classic_chain("cl", "reviews")
 register("classic_features", ["cl_feat"], select_round(
     "cl_feat", ["rating", "days_since_purchase", "sentiment", "severity_rating", "recency",
                 "sentiment_score", "is_negative"],
@@ -445,3 +482,293 @@ register("format_ranking", ["products_quad"], """select product, total_reviews,
  round_even(final_score, 3) final_score,
  concat('₹', cast(cast(round_even(round(total_revenue_at_risk, 6), 0) as bigint) as varchar)) total_revenue_at_risk,
  quadrant from products_quad""")
+
+
+# ---- §2.2 schema, cleaning, quality ------------------------------------------------------
+def cnt_if(cond: str) -> str:
+    return f"cast(count_if({cond}) as bigint)"
+
+
+RAW_COLS = ["product_name", "rating", "review_text", "sentiment", "ltv", "order_value",
+            "days_since_purchase", "helpful_votes", "is_repeat_customer", "verified_purchase",
+            "review_date"]
+_dbl = lambda c, d: f"coalesce({to_double(c)}, {d}::double)"
+_pstrip = strip("coalesce(cast(product_name as varchar), 'Unknown')")
+register("normalize_reviews", ["raw"], f"""select product_name, round({_dbl('rating', 0.0)}, 6) rating,
+ cast(review_text as varchar) review_text, sentiment, round(ltv, 6) ltv,
+ round({_dbl('order_value', 0.0)}, 6) order_value, round({_dbl('days_since_purchase', 0.0)}, 6) days_since_purchase,
+ round({_dbl('helpful_votes', 0.0)}, 6) helpful_votes, {flag('is_repeat_customer')} is_repeat_customer,
+ {flag('verified_purchase')} verified_purchase, review_date, 0.0::double sentiment_score,
+ round({_dbl('ltv', 0.0)}, 6) customer_ltv, {_pstrip} product
+from raw where {_pstrip} <> ''""")
+register("normalize_reviews_service", ["raw"], f"""select coalesce(cast(product_name as varchar), 'Unknown Product') product,
+ round({_dbl('rating', 3.0)}, 6) rating, coalesce(cast(review_text as varchar), '') review_text, sentiment,
+ round(ltv, 6) ltv, round({_dbl('order_value', 0.0)}, 6) order_value,
+ round({_dbl('days_since_purchase', 30.0)}, 6) days_since_purchase,
+ round({_dbl('helpful_votes', 0.0)}, 6) helpful_votes,
+ coalesce(cast(is_repeat_customer as boolean), false) is_repeat_customer,
+ coalesce(cast(verified_purchase as boolean), true) verified_purchase, review_date,
+ 1000.0::double customer_ltv from raw""")
+_fstrip = strip("coalesce(cast(product_name as varchar), 'General')")
+register("fetch_column_repair", ["raw"], f"""select {_fstrip} product, rating, review_text, sentiment,
+ round({_dbl('ltv', 0.0)}, 6) customer_ltv, round(order_value, 6) order_value,
+ round(days_since_purchase, 6) days_since_purchase, round(helpful_votes, 6) helpful_votes,
+ is_repeat_customer, verified_purchase, review_date from raw where {_fstrip} <> ''""")
+_enf = f"""product_name, {_dbl('rating', 3.0)} rating, review_text, sentiment, ltv,
+ {_dbl('order_value', 0.0)} order_value,
+ cast(trunc({_dbl('days_since_purchase', 30.0)}) as integer) days_since_purchase,
+ cast(trunc({_dbl('helpful_votes', 0.0)}) as integer) helpful_votes,
+ is_repeat_customer, verified_purchase, review_date, 0.5::double sentiment_score,
+ 0.0::double customer_ltv, 0 "repeat", 0 verified, 'unknown' detected_issues"""
+cte("enf", ["raw"], f"select {_enf} from raw")
+ENF_COLS = ["product_name", "rating", "review_text", "sentiment", "ltv", "order_value",
+            "days_since_purchase", "helpful_votes", "is_repeat_customer", "verified_purchase",
+            "review_date", "sentiment_score", "customer_ltv", "repeat", "verified",
+            "detected_issues"]
+register("enforce_schema", ["enf"], select_round(
+    "enf", ENF_COLS, {"rating", "ltv", "order_value", "sentiment_score", "customer_ltv"}))
+cte("rawn", ["raw"], f"select * exclude (rating), {to_double('rating')} rating from raw")
+register("fill_missing", ["rawn"], """select product_name, round(coalesce(rating, 3.0), 6) rating, review_text,
+ sentiment, round(ltv, 6) ltv, round(coalesce(order_value, 0.0), 6) order_value,
+ round(coalesce(days_since_purchase, 30.0), 6) days_since_purchase,
+ round(coalesce(helpful_votes, 0.0), 6) helpful_votes, is_repeat_customer, verified_purchase,
+ review_date from rawn""")
+register("final_null_sweep", ["rawn"], """select coalesce(product_name, '0') product_name,
+ round(coalesce(rating, 3.0), 6) rating, coalesce(review_text, '0') review_text,
+ coalesce(sentiment, '0') sentiment, round(coalesce(ltv, 0.0), 6) ltv,
+ round(coalesce(order_value, 0.0), 6) order_value,
+ round(coalesce(days_since_purchase, 30.0), 6) days_since_purchase,
+ round(coalesce(helpful_votes, 0.0), 6) helpful_votes, is_repeat_customer, verified_purchase,
+ review_date from rawn""")
+register("numeric_null_to_zero", ["rawn"], """select product_name, round(coalesce(rating, 0.0), 6) rating,
+ review_text, sentiment, round(coalesce(ltv, 0.0), 6) ltv, round(coalesce(order_value, 0.0), 6) order_value,
+ round(coalesce(days_since_purchase, 0.0), 6) days_since_purchase,
+ round(coalesce(helpful_votes, 0.0), 6) helpful_votes, is_repeat_customer, verified_purchase,
+ review_date from rawn""")
+register("clip_ranges", ["rawn"], f"""select round({clip('rating * 1.25 - 0.5', 1.0, 5.0)}, 6) rating,
+ round({clip('days_since_purchase / 100.0', 0.0, 1.0)}, 6) sentiment_score from rawn""")
+
+_np_parts = " union all ".join(
+    f"select '{c}' as \"column\", n_{i} null_count, n_{i} / r * 100.0 null_pct, "
+    f"{'true' if c in K.ROBUST_SCHEMA else 'false'} critical from np_c"
+    for i, c in enumerate(RAW_COLS))
+_np_aggs = ", ".join(
+    cnt_if(f"{c} is null" + (f" or isnan({c})" if c in ("ltv", "order_value", "days_since_purchase",
+                                                         "helpful_votes") else "")) + f" n_{i}"
+    for i, c in enumerate(RAW_COLS))
+cte("np_c", ["raw"], f"select count(*) r, {_np_aggs} from raw")
+register("null_profile", ["np_c"], f"select * from ({_np_parts}) t where null_count > 0")
+
+_sc_static = [("missing_column", c, "critical", f"Missing column: {c}")
+              for c in ["sentiment_score", "customer_ltv", "repeat", "verified", "detected_issues"]]
+_sc_static += [("dtype", "rating", "warning", "Column 'rating' is not numeric"),
+               ("dtype", "helpful_votes", "warning", "Column 'helpful_votes' is not integer"),
+               ("dtype", "days_since_purchase", "warning",
+                "Column 'days_since_purchase' is not integer")]
+_sc_vals = ", ".join(f"('{a}', '{b}', '{c}', cast(0 as bigint), '{d.replace(chr(39), chr(39) * 2)}')"
+                     for a, b, c, d in _sc_static)
+_sc_nan = " union all ".join(
+    f"""select 'critical_nan', '{c}', 'critical', n, 'Critical column ''{c}'' has ' || cast(n as varchar)
+ || ' NaN values (' || format('{{:.1f}}', n / r * 100.0) || '%)' from
+ (select {cnt_if(f'{c} is null' + ('' if c == 'rating' else f' or isnan({c})'))} n, count(*) r from raw) where n > 0"""
+    for c in ["rating", "order_value", "helpful_votes", "days_since_purchase"])
+register("sanity_checks", ["raw"], f"""select * from (values {_sc_vals}) t("check", "column", severity, n, message)
+ union all {_sc_nan}""")
+
+
+def safe_mm(x: str, a: str, b: str) -> str:
+    return f"(case when abs({a} - {b}) <= (1e-8 + 1e-5 * abs({b})) then 0.5::double else ({x} - {a}) / ({b} - {a}) end)"
+
+
+cte("rp_l", ["enf"], f"select *, {log1p('customer_ltv')} ltv_log, {log1p('order_value')} order_value_log from enf")
+cte("rp_st", ["rp_l"], """select min(ltv_log) a1, max(ltv_log) b1, min(order_value_log) a2, max(order_value_log) b2,
+ min(cast(helpful_votes as double)) a3, max(cast(helpful_votes as double)) b3 from rp_l""")
+cte("rp", ["rp_l", "rp_st"], f"""select coalesce(product_name, '0') product_name, {clip('rating', 1.0, 5.0)} rating,
+ coalesce(review_text, '0') review_text, coalesce(sentiment, '0') sentiment, coalesce(ltv, 0) ltv,
+ order_value, days_since_purchase, helpful_votes, is_repeat_customer, verified_purchase, review_date,
+ {clip('sentiment_score', 0.0, 1.0)} sentiment_score, customer_ltv, detected_issues,
+ coalesce(ltv_log, 0) ltv_log, coalesce(order_value_log, 0) order_value_log,
+ coalesce({safe_mm('ltv_log', 'a1', 'b1')}, 0) ltv_norm, coalesce({safe_mm('order_value_log', 'a2', 'b2')}, 0) order_norm,
+ coalesce({safe_mm('cast(helpful_votes as double)', 'a3', 'b3')}, 0) helpful_norm,
+ {flag('is_repeat_customer')} "repeat", {flag('verified_purchase')} verified
+from rp_l cross join rp_st""")
+RP_COLS = ENF_COLS + ["ltv_log", "order_value_log", "ltv_norm", "order_norm", "helpful_norm"]
+RP_DBL = {"rating", "ltv", "order_value", "sentiment_score", "customer_ltv", "ltv_log",
+          "order_value_log", "ltv_norm", "order_norm", "helpful_norm"}
+register("robust_preprocess", ["rp"], select_round("rp", RP_COLS, RP_DBL))
+register("robust_pipeline", ["rp"], select_round("rp", RP_COLS, RP_DBL))
+PREP_COLS = ["product", "sentiment", "sentiment_score", "review_date", "customer_ltv", "order_value",
+             "helpful_votes", "days_since_purchase", "review_text", "is_repeat_customer",
+             "verified_purchase", "ltv_log", "order_value_log", "rating", "ltv_norm", "order_norm",
+             "helpful_norm", "repeat", "verified"]
+register("prepare_reviews", ["scored_s1"], select_round(
+    "scored_s1", PREP_COLS, {"sentiment_score", "customer_ltv", "order_value", "helpful_votes",
+                             "days_since_purchase", "ltv_log", "order_value_log", "rating",
+                             "ltv_norm", "order_norm", "helpful_norm"}))
+CLP_COLS = ["rating", "customer_ltv", "order_value", "helpful_votes", "days_since_purchase", "ltv_log",
+            "order_value_log", "ltv_norm", "order_norm", "helpful_norm", "repeat", "verified", "product",
+            "review_text", "sentiment", "is_repeat_customer", "verified_purchase", "review_date"]
+register("classic_preprocess", ["cl_prep"], select_round("cl_prep", CLP_COLS, set(CLP_COLS[:10])))
+register("ingest_summary", ["norm"], """select count(*) total_reviews, count(distinct product) unique_products,
+ round(min(customer_ltv), 6) ltv_min, round(max(customer_ltv), 6) ltv_max, round(sum(customer_ltv), 6) ltv_sum,
+ 0 failed_pages from norm""")
+register("quality_overview", ["scored"], """select count(*) total_reviews, count(distinct product) unique_products,
+ round(coalesce(sum(customer_ltv), 0.0), 6) total_ltv from scored""")
+
+# ---- §2.4 filters -----------------------------------------------------------------------
+_pick = "('red plate Brand#8', 'hot rod Brand#16', 'blue widget Brand#15')"
+register("filter_products", ["scored"], f"""select product, round(rating, 6) rating,
+ round(impact_score, 6) impact_score from scored where product in {_pick}""")
+register("filter_dates", ["scored"], """select product, review_date, round(rating, 6) rating from scored
+ where review_date >= timestamp '1996-01-01 00:00:00' and review_date <= timestamp '1996-12-31 23:59:59.999999'""")
+register("filter_severity", ["scored"], """select product, round(issue_severity, 6) issue_severity
+ from scored where issue_severity >= 0.5""")
+register("apply_filters", ["scored"], """select product, review_date, round(issue_severity, 6) issue_severity,
+ round(impact_score, 6) impact_score from scored
+ where review_date >= timestamp '1995-06-01 00:00:00' and review_date <= timestamp '1997-06-30 23:59:59.999999'
+ and issue_severity >= 0.45""")
+register("filter_records", ["records"], select_round(
+    "records", REC_COLS, REC_DOUBLES,
+    'date >= \'2024-01-01\' and date <= \'2024-12-31\' and "riskProbability" >= 0.5'))
+register("search_products", ["records"], """select name, round("finalScore", 6) "finalScore" from records
+ where contains(lower(name), 'brand#1')""")
+register("product_lookup", ["products_quad"], "select * from (" + select_round(
+    "products_quad", QUAD_COLS, PRODUCT_DOUBLES,
+    "lower(product) = 'red plate brand#8'") + ") order by product limit 1")
+register("risky_reviews", ["scored"], """select product, round(rating, 6) rating,
+ round(customer_ltv, 6) customer_ltv from scored where rating <= 2.5""")
+register("complaint_reviews", ["scored"], """select product, round(rating, 6) rating, issue_category
+ from scored where rating <= 3""")
+register("drop_blank_products", ["raw"], f"""select product_name product, rating from raw
+ where coalesce({strip('product_name')} <> '', true)""")
+
+# ---- §2.5 joins / §2.7 windows ------------------------------------------------------------
+register("reviews_of_products", ["scored", "products_quad"], """select product, round(rating, 6) rating,
+ round(impact_score, 6) impact_score from scored
+ where product in (select product from products_quad where quadrant = 'The Fire-Fight')""")
+register("review_count_window", ["scored"], """select product, round(impact_score, 6) impact_score,
+ count(impact_score) over (partition by product) review_count from scored""")
+register("top3_flag", ["products_quad"], """select product, round(total_revenue_at_risk, 6) total_revenue_at_risk,
+ product in (select product from products_quad order by total_revenue_at_risk desc, product limit 3) is_top3
+ from products_quad""")
+
+# ---- §2.6 aggregations ------------------------------------------------------------------
+register("revenue_at_risk", ["scored"], f"""select
+ round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_rev_risk,
+ {cnt_if('rating <= 2.5')} num_risky_reviews,
+ round(coalesce(avg(case when rating <= 2.5 then customer_ltv end), 0.0), 6) avg_ltv_per_risk from scored""")
+register("summary_stats", ["scored", "products_quad"], f"""select * from (select count(*) total_reviews,
+ round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_revenue_at_risk,
+ {cnt_if('rating <= 2.5')} risky_reviews,
+ round(coalesce(avg(case when rating <= 2.5 then customer_ltv end), 0.0), 6) avg_ltv_per_risky_review,
+ round(avg(rating), 6) avg_rating,
+ round(coalesce(cast(sum("repeat") as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) repeat_customer_pct,
+ round(coalesce(cast(sum(verified) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) verified_purchase_pct
+ from scored) a cross join (select count(*) total_products, round(avg(final_score), 6) avg_final_score,
+ round(max(final_score), 6) max_final_score, {cnt_if("quadrant = 'The Fire-Fight'")} critical_products,
+ {cnt_if("quadrant = 'The VIP Nudge'")} vip_products from products_quad) b""")
+register("kpis", ["scored", "products_quad"], """select
+ round((select coalesce(sum(total_revenue_at_risk), 0.0) from products_quad), 6) total_revenue_at_risk,
+ count(*) total_reviews,
+ round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
+ coalesce((select product from products_quad order by final_score desc, product limit 1), 'N/A') top_product,
+ cast(0 as bigint) high_risk_count from scored""")
+register("kpis_weighted", ["records"], f"""select cast(coalesce(sum("revenueAtRisk"), 0) as bigint) total_revenue,
+ cast(coalesce(sum("totalReviews"), 0) as bigint) total_reviews,
+ round(case when sum("totalReviews") > 0 then sum("negativePct" / 100.0 * "totalReviews") / sum("totalReviews") else 0.0 end * 100.0, 6) negative_pct,
+ round(coalesce(avg("riskProbability"), 0.0), 6) avg_probability, {cnt_if("severity = 'High'")} high_risk_count,
+ count(*) products_in_view,
+ case when (case when sum("totalReviews") > 0 then sum("negativePct" / 100.0 * "totalReviews") / sum("totalReviews") else 0.0 end) > 0.22
+  then 'Above baseline' else 'Within baseline' end negative_note from records""")
+_ib = ", ".join(f"{cnt_if(chr(39).join(['issue_category = ', c, '']))} \"{c}\"" for c in K.ISSUE_CATEGORIES)
+_ib_tot = " + ".join(cnt_if(f"issue_category = '{c}'") for c in K.ISSUE_CATEGORIES)
+register("issue_breakdown", ["scored"], f"""select product, {_ib}, {_ib_tot} total from scored
+ where rating <= 3 group by product""")
+register("risk_distribution", ["records"], f"""select band, products, round(products / sum(products) over (), 6) share
+ from (select {band_sql('"riskProbability"', 0.4, 0.7)} band, count(*) products from records
+       where "riskProbability" is not null group by 1)""")
+register("severity_distribution", ["records"], """select severity, products,
+ round(products / sum(products) over (), 6) share from (select severity, count(*) products from records group by 1)""")
+_dp = strip("coalesce(cast(product_name as varchar), 'Unknown')")
+register("distinct_products", ["raw"], f"""select distinct {_dp} product from raw
+ where {_dp} <> '' and {_dp} <> 'Unknown'""")
+register("date_bounds", ["scored"], "select min(review_date) min_date, max(review_date) max_date from scored")
+register("date_bounds_events", [], "select min(ts) min_date, max(ts) max_date from events")
+register("quantile_thresholds", ["products_quad"], """select round(quantile_cont(total_revenue_at_risk, 0.75), 6) p75_revenue,
+ round(quantile_cont(total_impact, 0.75), 6) p75_impact, round(quantile_cont(negative_ratio, 0.75), 6) p75_negative,
+ round(quantile_cont(final_score, 0.75), 6) p75_score, round(quantile_cont(avg_rating, 0.25), 6) p25_rating
+ from products_quad""")
+register("issue_totals", ["records"], " union all ".join(
+    f"select '{k}' issue, cast(sum(issue_{k}) as bigint) total from records" for k, _ in K.ISSUE_SPLIT))
+cte("spike_reviews", [], __import__("revlens.sources.tables", fromlist=["x"]).SPIKE_REVIEWS_SQL)
+register("spike_stats", ["spike_reviews"], """select product, recent_14, total_reviews_30,
+ round((recent_14 - total_reviews_30 / 2.14) / (total_reviews_30 / 4.3 + 1e-9), 6) spike_score from (
+ select product, cast(count_if(review_date >= mx - interval 14 days) as bigint) recent_14,
+  count(*) total_reviews_30 from spike_reviews cross join (select max(review_date) mx from spike_reviews)
+ group by product)""")
+register("score_validation", ["cl_scored"], """select round(high_ltv_avg_impact, 6) high_ltv_avg_impact,
+ round(low_ltv_avg_impact, 6) low_ltv_avg_impact, cis_out_of_range, severity_out_of_range, impact_out_of_range,
+ null_scores, round(ratio, 6) high_ltv_vs_low_ltv,
+ coalesce(ratio > 1.0, true) and cis_out_of_range = 0 and severity_out_of_range = 0 and impact_out_of_range = 0
+  and null_scores = 0 passed from (
+ select *, case when low_ltv_avg_impact > 0 then high_ltv_avg_impact / low_ltv_avg_impact end ratio from (
+ select avg(case when rating <= 2 and customer_ltv >= med then impact_score end) high_ltv_avg_impact,
+  avg(case when rating <= 2 and customer_ltv < med then impact_score end) low_ltv_avg_impact,
+  cast(count_if(not ("CIS" between 0 and 1)) as bigint) cis_out_of_range,
+  cast(count_if(not (severity between 0 and 1)) as bigint) severity_out_of_range,
+  cast(count_if(not (impact_score between 0 and 1)) as bigint) impact_out_of_range,
+  cast(count_if("CIS" is null) + count_if(severity is null) + count_if(impact_score is null) as bigint) null_scores
+ from cl_scored cross join (select quantile_cont(customer_ltv, 0.5) med from cl_scored)))""")
+
+# ---- §2.8 sorts / top-k -------------------------------------------------------------------
+register("rank_products", ["products_quad"], "select product, round(final_score, 6) final_score from products_quad")
+register("top_revenue", ["products_quad"], """select product, round(total_revenue_at_risk, 6) total_revenue_at_risk
+ from products_quad order by total_revenue_at_risk desc, product limit 5""")
+register("top_for_insight", ["products_quad"], """select product, round(final_score, 6) final_score
+ from products_quad order by final_score desc, product limit 5""")
+register("top_risk_cards", ["records"], """select name, round("riskProbability", 6) "riskProbability",
+ "revenueAtRisk", frequency from records order by "riskProbability" desc, name limit 5""")
+register("top_product", ["products_quad"], """select coalesce((select product from products_quad
+ order by final_score desc, product limit 1), 'N/A') top_product""")
+register("sort_records", ["records"], """select name, "revenueAtRisk", round("finalScore", 6) "finalScore" from records""")
+register("revenue_ranking", ["products_quad"], """select product, round(total_revenue_at_risk, 6) total_revenue_at_risk
+ from products_quad""")
+register("top_issue", ["records"], """select name, case greatest(issue_delivery, issue_quality, issue_packaging, issue_support)
+ when issue_delivery then 'delivery' when issue_quality then 'quality' when issue_packaging then 'packaging'
+ else 'support' end top_issue from records""")
+register("top_two_issues", ["records"], " select * from (" + " union all ".join(
+    f"select '{k}' issue, cast(sum(issue_{k}) as bigint) total from records" for k, _ in K.ISSUE_SPLIT)
+    + ") order by total desc, issue limit 2")
+register("preview", ["scored"], """select product, round(rating, 6) rating, review_text,
+ round(issue_severity, 6) issue_severity, is_negative, round(impact_score, 6) impact_score from scored
+ order by impact_score desc, product asc nulls first, rating asc nulls first, review_text asc nulls first,
+ issue_severity asc nulls first, is_negative asc nulls first limit 20""")
+
+# ---- §2.9 product-level decisions --------------------------------------------------------
+register("product_priority", ["products_pps"], 'select product, round("PPS", 6) "PPS" from products_pps')
+register("final_score", ["products"], """select product, round(total_impact, 6) total_impact,
+ round("PPS", 6) "PPS", round(final_score, 6) final_score from products""")
+CPM_COLS = ["product", "total_reviews", "avg_order_value", "avg_rating", "negative_ratio", "repeat_rate",
+            "total_impact", "PPS", "total_revenue_at_risk", "final_score"]
+CPM_DBL = set(CPM_COLS) - {"product", "total_reviews"}
+register("classic_product_metrics", ["cl_pm"], select_round("cl_pm", CPM_COLS, CPM_DBL))
+register("zero_impact_gate", ["cl_pm"], select_round(
+    "cl_pm", ["product", "total_impact", "final_score"], CPM_DBL, "total_impact = 0"))
+classic_chain("cs", "spike_reviews")
+register("spike_boost", ["cs_pm"], select_round(
+    "cs_pm", ["product", "total_reviews", "total_impact", "PPS", "final_score"], CPM_DBL))
+register("quadrant_priority", ["products_quad"], "select product, quadrant, priority from products_quad")
+cte("md_t", ["cl_pm"], """select quantile_cont(total_revenue_at_risk, 0.75) t_rev, quantile_cont(total_impact, 0.75) t_imp,
+ quantile_cont(negative_ratio, 0.75) t_neg, quantile_cont(avg_rating, 0.25) t_rating,
+ quantile_cont(final_score, 0.75) t_score from cl_pm""")
+cte("md", ["cl_pm", "md_t"], """select p.*, case
+ when total_revenue_at_risk >= t_rev and negative_ratio >= t_neg then 'Immediate Fix Required'
+ when total_impact >= t_imp then 'Investigate Root Cause' when avg_rating <= t_rating then 'Improve Product Experience'
+ when negative_ratio > 0.3 then 'Respond to Customers' else 'Monitor' end action,
+ case when final_score >= t_score then 'High' when final_score >= t_score * 0.5 then 'Medium' else 'Low' end priority
+ from cl_pm p cross join md_t""")
+register("make_decisions", ["md"], select_round("md", CPM_COLS + ["action", "priority"], CPM_DBL))
+register("quadrant_chart_data", ["products_quad"], """select product, round(negative_ratio, 6) negative_ratio,
+ round(total_revenue_at_risk, 6) total_revenue_at_risk, round(final_score, 6) final_score, quadrant,
+ round(quantile_cont(negative_ratio, 0.75) over (), 6) x_threshold,
+ round(quantile_cont(total_revenue_at_risk, 0.75) over (), 6) y_threshold from products_quad""")

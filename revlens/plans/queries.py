@@ -279,3 +279,401 @@ def q_nested_get(spark, sf):
 @register("format_ranking")
 def q_format_ranking(spark, sf):
     return D.format_ranking(quad(spark, sf))
+
+
+# ---- §2.2 schema normalisation, cleaning, data quality ------------------------------
+from revlens.operators import quality as Q  # noqa: E402
+from revlens.sources.tables import read_table, spike_review_view  # noqa: E402
+
+
+def raw_named(spark, sf):
+    """Raw source with the canonical product / LTV names (for operators that
+    expect them)."""
+    return raw(spark, sf).withColumnRenamed("product_name", "product") \
+        .withColumnRenamed("ltv", "customer_ltv")
+
+
+def raw_numeric(spark, sf):
+    """Raw source with the rating coerced (unparsable -> null)."""
+    return raw(spark, sf).withColumn("rating", C.to_double("rating"))
+
+
+@register("normalize_reviews")
+def q_normalize_reviews(spark, sf):
+    return round6(R.normalize_reviews(raw(spark, sf)))
+
+
+@register("normalize_reviews_service")
+def q_normalize_reviews_service(spark, sf):
+    return round6(R.normalize_reviews_service(raw(spark, sf)))
+
+
+@register("fetch_column_repair")
+def q_fetch_column_repair(spark, sf):
+    return round6(R.fetch_column_repair(raw_named(spark, sf)))
+
+
+@register("enforce_schema")
+def q_enforce_schema(spark, sf):
+    return round6(Q.enforce_schema(raw(spark, sf)))
+
+
+@register("fill_missing")
+def q_fill_missing(spark, sf):
+    return round6(Q.fill_missing(raw_numeric(spark, sf)))
+
+
+@register("final_null_sweep")
+def q_final_null_sweep(spark, sf):
+    return round6(Q.final_null_sweep(raw_numeric(spark, sf)))
+
+
+@register("numeric_null_to_zero")
+def q_numeric_null_to_zero(spark, sf):
+    return round6(R.numeric_null_to_zero(raw_numeric(spark, sf)))
+
+
+@register("clip_ranges")
+def q_clip_ranges(spark, sf):
+    df = raw_numeric(spark, sf).select(
+        (F.col("rating") * 1.25 - 0.5).alias("rating"),
+        (F.col("days_since_purchase") / 100.0).alias("sentiment_score"))
+    return round6(Q.clip_ranges(df))
+
+
+@register("null_profile")
+def q_null_profile(spark, sf):
+    return round6(Q.null_profile(raw(spark, sf)))
+
+
+@register("sanity_checks")
+def q_sanity_checks(spark, sf):
+    return Q.sanity_checks(raw(spark, sf))
+
+
+@register("robust_preprocess")
+def q_robust_preprocess(spark, sf):
+    return round6(Q.robust_preprocess(raw(spark, sf)))
+
+
+@register("robust_pipeline")
+def q_robust_pipeline(spark, sf):
+    return round6(Q.robust_pipeline(raw(spark, sf)))
+
+
+@register("prepare_reviews")
+def q_prepare_reviews(spark, sf):
+    return round6(R.prepare_reviews(norm(spark, sf)))
+
+
+@register("classic_preprocess")
+def q_classic_preprocess(spark, sf):
+    return round6(CL.classic_preprocess(reviews(spark, sf)))
+
+
+@register("ingest_summary")
+def q_ingest_summary(spark, sf):
+    return round6(Q.ingest_summary(norm(spark, sf)))
+
+
+@register("quality_overview")
+def q_quality_overview(spark, sf):
+    return round6(Q.quality_overview(scored(spark, sf)))
+
+
+@register("check_required_columns")
+def q_check_required_columns(spark, sf):
+    df = raw(spark, sf)
+    ok, msg = R.check_required_columns(df)
+    if not ok:
+        raise ValueError(msg)
+    return df.select("product_name", "rating")
+
+
+@register("assert_columns")
+def q_assert_columns(spark, sf):
+    return Q.assert_columns(reviews(spark, sf), ["product", "rating"], "reviews") \
+        .select("product", "rating")
+
+
+@register("assert_not_empty")
+def q_assert_not_empty(spark, sf):
+    return Q.assert_not_empty(reviews(spark, sf), "reviews").select("product", "rating")
+
+
+@register("robustness_report")
+def q_robustness_report(spark, sf):
+    return Q.robustness_report(raw(spark, sf))
+
+
+@register("validate_output")
+def q_validate_output(spark, sf):
+    return Q.validate_output(scored(spark, sf))
+
+
+# ---- §2.4 filters ---------------------------------------------------------------------
+PRODUCT_PICK = ["red plate Brand#8", "hot rod Brand#16", "blue widget Brand#15"]
+
+
+@register("filter_products")
+def q_filter_products(spark, sf):
+    return round6(D.filter_products(scored(spark, sf), PRODUCT_PICK)
+                  .select("product", "rating", "impact_score"))
+
+
+@register("filter_dates")
+def q_filter_dates(spark, sf):
+    return round6(D.filter_dates(scored(spark, sf), "1996-01-01", "1996-12-31")
+                  .select("product", "review_date", "rating"))
+
+
+@register("filter_severity")
+def q_filter_severity(spark, sf):
+    return round6(D.filter_severity(scored(spark, sf), 0.5).select("product", "issue_severity"))
+
+
+@register("apply_filters")
+def q_apply_filters(spark, sf):
+    df = D.apply_filters(scored(spark, sf), None, ("1995-06-01", "1997-06-30"), 0.45)
+    return round6(df.select("product", "review_date", "issue_severity", "impact_score"))
+
+
+@register("filter_records")
+def q_filter_records(spark, sf):
+    df = D.filter_records(records(spark, sf), None, "2024-01-01", "2024-12-31", "All", 0.5)
+    return round6(flat_records(df))
+
+
+@register("search_products")
+def q_search_products(spark, sf):
+    return round6(D.search_products(records(spark, sf), "brand#1").select("name", "finalScore"))
+
+
+@register("product_lookup")
+def q_product_lookup(spark, sf):
+    return round6(D.product_lookup(quad(spark, sf), "RED PLATE BRAND#8"))
+
+
+@register("risky_reviews")
+def q_risky_reviews(spark, sf):
+    return round6(D.risky_reviews(scored(spark, sf)).select("product", "rating", "customer_ltv"))
+
+
+@register("complaint_reviews")
+def q_complaint_reviews(spark, sf):
+    return round6(D.complaint_reviews(scored(spark, sf))
+                  .select("product", "rating", "issue_category"))
+
+
+@register("drop_blank_products")
+def q_drop_blank_products(spark, sf):
+    return D.drop_blank_products(raw_named(spark, sf)).select("product", "rating")
+
+
+# ---- §2.5 joins / §2.7 windows ------------------------------------------------------------
+@register("reviews_of_products")
+def q_reviews_of_products(spark, sf):
+    fire = quad(spark, sf).filter(F.col("quadrant") == "The Fire-Fight")
+    return round6(D.reviews_of_products(scored(spark, sf), fire)
+                  .select("product", "rating", "impact_score"))
+
+
+@register("review_count_window")
+def q_review_count_window(spark, sf):
+    return round6(D.review_count_window(scored(spark, sf))
+                  .select("product", "impact_score", "review_count"))
+
+
+@register("top3_flag")
+def q_top3_flag(spark, sf):
+    return round6(D.top3_flag(quad(spark, sf)).select("product", "total_revenue_at_risk",
+                                                      "is_top3"))
+
+
+# ---- §2.6 aggregations ------------------------------------------------------------------
+@register("revenue_at_risk")
+def q_revenue_at_risk(spark, sf):
+    return round6(D.revenue_at_risk(scored(spark, sf)))
+
+
+@register("summary_stats")
+def q_summary_stats(spark, sf):
+    return round6(D.summary_stats(scored(spark, sf), quad(spark, sf)))
+
+
+@register("kpis")
+def q_kpis(spark, sf):
+    return round6(D.kpis(scored(spark, sf), quad(spark, sf)))
+
+
+@register("kpis_weighted")
+def q_kpis_weighted(spark, sf):
+    return round6(D.kpis_weighted(records(spark, sf)))
+
+
+@register("issue_breakdown")
+def q_issue_breakdown(spark, sf):
+    return D.issue_breakdown(scored(spark, sf))
+
+
+@register("risk_distribution")
+def q_risk_distribution(spark, sf):
+    return round6(D.risk_distribution(records(spark, sf), "riskProbability"))
+
+
+@register("severity_distribution")
+def q_severity_distribution(spark, sf):
+    return round6(D.severity_distribution(records(spark, sf)))
+
+
+@register("distinct_products")
+def q_distinct_products(spark, sf):
+    return D.distinct_products(raw_named(spark, sf))
+
+
+@register("date_bounds")
+def q_date_bounds(spark, sf):
+    return D.date_bounds(scored(spark, sf))
+
+
+@register("date_bounds_events")
+def q_date_bounds_events(spark, sf):
+    ev = read_table(spark, sf, "events", ["ts"]).withColumnRenamed("ts", "review_date")
+    return D.date_bounds(ev)
+
+
+@register("quantile_thresholds")
+def q_quantile_thresholds(spark, sf):
+    from revlens.functions.stats import quantiles
+
+    return round6(quantiles(quad(spark, sf), [
+        ("p75_revenue", "total_revenue_at_risk", 0.75), ("p75_impact", "total_impact", 0.75),
+        ("p75_negative", "negative_ratio", 0.75), ("p75_score", "final_score", 0.75),
+        ("p25_rating", "avg_rating", 0.25)]))
+
+
+@register("issue_totals")
+def q_issue_totals(spark, sf):
+    return D.issue_totals(records(spark, sf))
+
+
+def spike_scored(spark, sf):
+    return R.score_reviews(R.normalize_reviews(spike_review_view(spark, sf)))
+
+
+@register("spike_stats")
+def q_spike_stats(spark, sf):
+    return round6(P.spike_stats(spike_scored(spark, sf)))
+
+
+@register("score_validation")
+def q_score_validation(spark, sf):
+    return round6(CL.score_validation(classic_reviews(spark, sf)))
+
+
+# ---- §2.8 sorts, limits, top-k ---------------------------------------------------------
+@register("rank_products")
+def q_rank_products(spark, sf):
+    return round6(P.rank_products(quad(spark, sf)).select("product", "final_score"))
+
+
+@register("top_revenue")
+def q_top_revenue(spark, sf):
+    return round6(D.top_n(quad(spark, sf), "total_revenue_at_risk", 5)
+                  .select("product", "total_revenue_at_risk"))
+
+
+@register("top_for_insight")
+def q_top_for_insight(spark, sf):
+    from revlens.operators.insights import top_for_insight
+
+    return round6(top_for_insight(quad(spark, sf), 5).select("product", "final_score"))
+
+
+@register("top_risk_cards")
+def q_top_risk_cards(spark, sf):
+    return round6(D.top_n(records(spark, sf), "riskProbability", 5, "name")
+                  .select("name", "riskProbability", "revenueAtRisk", "frequency"))
+
+
+@register("top_product")
+def q_top_product(spark, sf):
+    return D.top_product(quad(spark, sf))
+
+
+@register("sort_records")
+def q_sort_records(spark, sf):
+    return round6(D.sort_records(records(spark, sf), "revenue", "desc")
+                  .select("name", "revenueAtRisk", "finalScore"))
+
+
+@register("revenue_ranking")
+def q_revenue_ranking(spark, sf):
+    return round6(D.revenue_ranking(quad(spark, sf)))
+
+
+@register("top_issue")
+def q_top_issue(spark, sf):
+    return D.top_issue(records(spark, sf))
+
+
+@register("top_two_issues")
+def q_top_two_issues(spark, sf):
+    return D.top_two_issues(records(spark, sf))
+
+
+@register("preview")
+def q_preview(spark, sf):
+    return round6(D.preview(scored(spark, sf), 20, ["impact_score", "product", "rating",
+                                                     "review_text", "issue_severity",
+                                                     "is_negative"]))
+
+
+# ---- §2.9 product-level scoring and decisions -------------------------------------------
+def classic_products(spark, sf, spike: bool = False):
+    src = spike_review_view(spark, sf) if spike else reviews(spark, sf)
+    rev = CL.classic_scores(CL.classic_features(CL.classic_preprocess(src)))
+    return P.classic_product_metrics(rev)
+
+
+@register("product_priority")
+def q_product_priority(spark, sf):
+    return round6(P.product_priority(P.product_metrics(scored(spark, sf)))
+                  .select("product", "PPS"))
+
+
+@register("final_score")
+def q_final_score(spark, sf):
+    return round6(products(spark, sf).select("product", "total_impact", "PPS", "final_score"))
+
+
+@register("classic_product_metrics")
+def q_classic_product_metrics(spark, sf):
+    return round6(classic_products(spark, sf))
+
+
+@register("zero_impact_gate")
+def q_zero_impact_gate(spark, sf):
+    return round6(classic_products(spark, sf).filter(F.col("total_impact") == 0)
+                  .select("product", "total_impact", "final_score"))
+
+
+@register("spike_boost")
+def q_spike_boost(spark, sf):
+    return round6(classic_products(spark, sf, spike=True)
+                  .select("product", "total_reviews", "total_impact", "PPS", "final_score"))
+
+
+@register("quadrant_priority")
+def q_quadrant_priority(spark, sf):
+    return quad(spark, sf).select("product", "quadrant", "priority")
+
+
+@register("make_decisions")
+def q_make_decisions(spark, sf):
+    return round6(P.make_decisions(classic_products(spark, sf)))
+
+
+@register("quadrant_chart_data")
+def q_quadrant_chart_data(spark, sf):
+    return round6(P.quadrant_chart_data(quad(spark, sf)))

@@ -158,3 +158,23 @@ RAW_REVIEWS_SQL = f"""select
  cast((ok*13 + ln*5) % 120 as double) as days_since_purchase, q as helpful_votes,
  ck % 3 <> 0 as is_repeat_customer, rf <> 'N' as verified_purchase, sd as review_date
 from ({BASE_SQL}) base"""
+
+
+# ---- dates for spike detection ------------------------------------------------------------
+SPIKE_DAY = "2024-06-30"
+
+
+def spike_review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose date is a fixed day minus ``ok % 10`` days for every tenth
+    part and ``ok % 200`` days for the rest, so some products spike."""
+    cols = _review_columns()
+    back = F.when(F.col("pk") % 10 == 0, F.col("ok") % 10).otherwise(F.col("ok") % 200)
+    cols["review_date"] = F.date_sub(F.lit(SPIKE_DAY).cast("date"), back.cast("int")) \
+        .cast("timestamp_ntz")
+    return _base(spark, sf_dir).select(*[c.alias(n) for n, c in cols.items()])
+
+
+SPIKE_REVIEWS_SQL = REVIEWS_SQL.replace(
+    "sd as review_date",
+    f"cast(date '{SPIKE_DAY}' - cast(case when pk % 10 = 0 then ok % 10 else ok % 200 end "
+    "as integer) as timestamp) as review_date")
