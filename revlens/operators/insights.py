@@ -113,7 +113,7 @@ def parse_insight_reply(replies: DataFrame, col: str = "reply") -> DataFrame:
         "llm_summary": F.trim(F.coalesce(r.summary, F.lit(""))),
         "llm_driver": F.trim(F.coalesce(r.driver, F.lit(""))),
         "llm_recommendation": F.trim(F.coalesce(r.recommendation, F.lit(""))),
-        "__usable": r.isNotNull(),
+        "__usable": F.get_json_object(F.col(col), "$").isNotNull(),
     })
 
 

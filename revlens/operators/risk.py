@@ -15,8 +15,11 @@ Training is Spark's distributed L-BFGS (gradient via tree aggregation); only the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,6 +32,9 @@ from revlens.functions.stats import quantiles, with_stats
 from revlens.operators.dashboard import join_predictions
 
 
+ROWS_PER_TRAIN_PARTITION = 1_000_000
+
+
 def ml_features(products: DataFrame) -> tuple[DataFrame, list[str]]:
     """Derived product features and the feature list (missing ones skipped);
     raises when a critical input column is missing; null/inf -> 0."""
@@ -92,7 +98,7 @@ def _standardise(df: DataFrame, feats: list[str], means, scales) -> DataFrame:
 
 
 def train_risk_model(df: DataFrame, features: list[str], quantile: float = K.QUADRANT_QUANTILE,
-                     max_iter: int = 1000, tol: float = 1e-8) -> RiskModel:
+                     max_iter: int = 1000, tol: float = 1e-6) -> RiskModel:
     """Label, standardise (population std) and fit an L2 logistic regression."""
     lab = risk_labels(df, quantile)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("high_risk").alias("pos"),
@@ -107,11 +113,19 @@ def train_risk_model(df: DataFrame, features: list[str], quantile: float = K.QUA
              "quantile_used": quantile, "num_features": len(features), "samples_trained": n}
     if n == 0 or pos == 0 or pos == n:
         return RiskModel(features, means, scales, None, st["thr"], stats)
-    train = _standardise(lab, features, means, scales)
+    # Each L-BFGS iteration is one distributed pass; size the partitions by rows
+    # (about a million 11-feature rows each) so small tables do not pay per-task
+    # overhead on every iteration and large ones keep full parallelism.
+    parts = max(1, math.ceil(n / ROWS_PER_TRAIN_PARTITION))
+    train = _standardise(lab, features, means, scales).select("__features", "high_risk")
+    train = train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     lr = LogisticRegression(featuresCol="__features", labelCol="high_risk", regParam=1.0 / n,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                             tol=tol, fitIntercept=True, family="binomial")
-    model = lr.fit(train)
+    try:
+        model = lr.fit(train)
+    finally:
+        train.unpersist()
     return RiskModel(features, means, scales, model, st["thr"], stats)
 
 

@@ -772,3 +772,89 @@ register("quadrant_chart_data", ["products_quad"], """select product, round(nega
  round(total_revenue_at_risk, 6) total_revenue_at_risk, round(final_score, 6) final_score, quadrant,
  round(quantile_cont(negative_ratio, 0.75) over (), 6) x_threshold,
  round(quantile_cont(total_revenue_at_risk, 0.75) over (), 6) y_threshold from products_quad""")
+
+
+# ---- §2.10 ML features / labels ------------------------------------------------------------
+cte("mlf", ["products_quad"], f"""select product,
+ case when total_reviews > 0 then cast(round_even(negative_ratio * total_reviews, 0) as integer) else 0 end negative_reviews,
+ {clip01('negative_ratio')} avg_severity, negative_ratio, total_impact, cast(total_reviews as double) total_reviews,
+ repeat_rate, avg_order_value, {clip('5.0 - avg_rating', 0.0, 5.0)} rating_drop, 0.0::double recency_score,
+ case when total_reviews > 0 then total_impact / total_reviews else 0.0 end impact_per_review,
+ final_score from products_quad""")
+cte("mlf2", ["mlf"], """select *, avg_severity * impact_per_review severity_impact,
+ total_reviews * (1 + recency_score) review_velocity from mlf""")
+ML_COLS = ["product", "negative_reviews"] + list(K.ML_FEATURES)
+register("ml_features", ["mlf2"], select_round("mlf2", ML_COLS, set(K.ML_FEATURES)))
+register("risk_labels", ["mlf2"], """select product, round(final_score, 6) final_score,
+ round(quantile_cont(final_score, 0.75) over (), 6) risk_threshold,
+ cast(final_score > quantile_cont(final_score, 0.75) over () as integer) high_risk from mlf2""")
+
+# ---- §2.11 insights ----------------------------------------------------------------------------
+_summary = ("product || ' is in ' || quadrant || ' with priority ' || priority || ' and final score ' || "
+            "format('{:.3f}', round_even(final_score, 4)) || '.'")
+_driver = ("'Revenue at risk is INR ' || format('{:,.0f}', round_even(total_revenue_at_risk, 2)) || "
+           "', negative ratio is ' || format('{:.1f}', round_even(negative_ratio, 4) * 100.0) || "
+           "'%, and ML risk probability is ' || format('{:.1f}', 0.0::double) || '%.'")
+_rec = "'Recommended action remains: ' || action || '.'"
+cte("rule", ["products_quad"], f"""select *, {_summary} llm_summary, {_driver} llm_driver,
+ {_rec} llm_recommendation, 'rule_based' llm_source from products_quad""")
+register("rule_insight", ["rule"], "select product, llm_summary, llm_driver, llm_recommendation, llm_source from rule")
+cte("top5", ["rule"], "select * from rule order by final_score desc, product limit 5")
+cte("enrich", ["products_quad", "top5"], """select p.product, p.final_score, coalesce(t.llm_summary, '') llm_summary,
+ coalesce(t.llm_driver, '') llm_driver, coalesce(t.llm_recommendation, '') llm_recommendation,
+ coalesce(t.llm_source, '') llm_source from products_quad p left join top5 t on p.product = t.product""")
+register("enrich_products", ["enrich"], "select product, llm_summary, llm_driver, llm_recommendation, llm_source from enrich")
+register("parse_insight_reply", ["products_quad"], """select product,
+ case when total_reviews % 2 = 0 then 'Watch ' || product else '' end llm_summary,
+ case when total_reviews % 2 = 0 then quadrant else '' end llm_driver,
+ case when total_reviews % 2 = 0 then action else '' end llm_recommendation from products_quad""")
+register("merge_insights", ["top5"], """select product,
+ case when total_reviews % 2 = 0 then 'Watch ' || product else llm_summary end llm_summary,
+ case when total_reviews % 2 = 0 then quadrant else llm_driver end llm_driver,
+ case when total_reviews % 2 = 0 then action else llm_recommendation end llm_recommendation,
+ case when total_reviews % 2 = 0 then 'model' else llm_source end llm_source from top5""")
+register("insight_view", ["enrich"], """select product, llm_source, llm_summary, llm_driver, llm_recommendation
+ from enrich where llm_summary <> '' order by final_score desc, product limit 5""")
+cte("cards", ["records"], """select name, severity, frequency, case greatest(issue_delivery, issue_quality, issue_packaging, issue_support)
+ when issue_delivery then 'delivery' when issue_quality then 'quality' when issue_packaging then 'packaging'
+ else 'support' end top_issue from records""")
+register("product_card_text", ["cards"], """select name, severity, frequency, top_issue, case
+ when severity = 'High' then 'High priority: ' || cast(frequency as varchar) || ' issues detected. Top concern: ' || top_issue || '. Immediate action recommended to prevent revenue loss.'
+ when severity = 'Medium' then 'Medium risk detected with ' || cast(frequency as varchar) || ' reported issues. Primary issue: ' || top_issue || '. Monitor closely for escalation.'
+ else 'Low risk profile with ' || cast(frequency as varchar) || ' issues. Routine follow-up recommended to maintain stability.' end card_text
+ from cards""")
+_it = " union all ".join(f"select '{k}' issue, sum(issue_{k}) total from records" for k, _ in K.ISSUE_SPLIT)
+cte("its", ["records"], f"select issue, total, row_number() over (order by total desc, issue) rk from ({_it})")
+cte("pf", ["records", "its"], """select
+ (select name from records order by "revenueAtRisk" desc, name limit 1) top_revenue_product,
+ (select max("revenueAtRisk") from records) top_revenue,
+ (select "riskProbability" from records order by "revenueAtRisk" desc, name limit 1) top_revenue_risk,
+ (select name from records order by impact desc, name limit 1) top_impact_product,
+ (select issue from its where rk = 1) top_issue, (select issue from its where rk = 2) secondary_issue""")
+register("portfolio_summary", ["pf"], """select top_revenue_product, top_impact_product, top_issue, secondary_issue,
+ top_revenue_product || ' carries the largest revenue exposure at $' || format('{:,.0f}', cast(top_revenue as double))
+ || ', driven by elevated ' || top_issue || ' complaints and a risk probability of ' || format('{:.2f}', top_revenue_risk)
+ || '. ' || top_impact_product || ' remains the highest impact item in the current view, indicating a need for '
+ || 'direct product and support coordination. Across the filtered set, ' || upper(substr(top_issue, 1, 1))
+ || lower(substr(top_issue, 2)) || ' and ' || secondary_issue || ' account for most issue volume, while lower-risk '
+ || 'products remain commercially contained. Prioritize immediate remediation on Fire Fight items first, then '
+ || 'address VIP Nudge products where issue frequency is lower but business impact remains material.' summary
+ from pf""")
+
+# ---- §2.12 pipelines -------------------------------------------------------------------------
+cte("svc", ["raw"], f"""select coalesce(cast(product_name as varchar), 'Unknown Product') product,
+ {_dbl('rating', 3.0)} rating, coalesce(cast(review_text as varchar), '') review_text, sentiment, ltv,
+ {_dbl('order_value', 0.0)} order_value, {_dbl('days_since_purchase', 30.0)} days_since_purchase,
+ {_dbl('helpful_votes', 0.0)} helpful_votes, coalesce(cast(is_repeat_customer as boolean), false) is_repeat_customer,
+ coalesce(cast(verified_purchase as boolean), true) verified_purchase, review_date, 1000.0::double customer_ltv
+ from raw""")
+scored_chain("svc_scored", "svc", ["product", "sentiment", "ltv", "review_date"])
+scored_final("svc_scored", ["ltv"], ["product", "sentiment", "review_date", "is_repeat_customer",
+                                     "verified_purchase"])
+product_chain("svc_products", "svc_scored")
+register("run_service", ["svc_products_quad"], select_round("svc_products_quad", QUAD_COLS[:-1], PRODUCT_DOUBLES))
+register("run_classic", ["md"], select_round("md", CPM_COLS + ["action", "priority"], CPM_DBL))
+
+# ---- §2.1 sources ------------------------------------------------------------------------------
+register("page_gap_report", ["base"], """select cast(range as integer) page
+ from range(1, (select max(ok) + 2 from base)) where range not in (select distinct ok + 1 from base)""")

@@ -50,3 +50,46 @@ def flagship(raw: DataFrame) -> DataFrame:
     """"Which products cost us most?": ranked products with quadrant and priority."""
     _, products = run_pipeline(raw)
     return P.rank_products(products)
+
+
+def run_classic(raw: DataFrame, quantile_method: str = "bracket") -> DataFrame:
+    """Older path: preprocess -> features -> scores -> product metrics -> decisions."""
+    from revlens.operators import classic as CL
+
+    rev = CL.classic_scores(CL.classic_features(CL.classic_preprocess(raw)))
+    return P.make_decisions(P.classic_product_metrics(rev), method=quantile_method)
+
+
+def filtered_dashboard(raw: DataFrame, products=None, date_range=None,
+                       severity_threshold: float = 0.0, risk_threshold: float = 0.0,
+                       persist: bool = False, insight_top_n: int = 5):
+    """Dashboard steps after loading: score everything (the scorer's statistics
+    come from the whole set), fit the risk model on all products, then filter
+    reviews, re-aggregate and re-classify the survivors, restore the earlier
+    predictions, apply the risk threshold, keep the reviews of the surviving
+    products (semi join), attach insights, and compute the KPI row.
+
+    Returns the KPI row; ``filtered_dashboard_frames`` returns every table."""
+    return filtered_dashboard_frames(raw, products, date_range, severity_threshold,
+                                     risk_threshold, persist, insight_top_n)["kpis"]
+
+
+def filtered_dashboard_frames(raw: DataFrame, products=None, date_range=None,
+                              severity_threshold: float = 0.0, risk_threshold: float = 0.0,
+                              persist: bool = False, insight_top_n: int = 5) -> dict:
+    from revlens.operators import dashboard as D
+    from revlens.operators import insights as I
+    from revlens.operators import risk as RK
+
+    scored, prods = run_pipeline(raw, persist=persist)
+    ml, _model = RK.apply_ml_predictions(prods)
+    preds = ml.select("product", "risk_probability", "risk_category", "high_risk_predicted")
+    reviews = D.apply_filters(scored, products, date_range, severity_threshold)
+    agg = P.quadrant_priority(P.classify_quadrants(P.product_scores(reviews)))
+    agg = D.join_predictions(agg, preds)
+    agg = D.filter_risk(agg, risk_threshold)
+    if risk_threshold > 0:
+        reviews = D.reviews_of_products(reviews, agg)
+    agg = I.enrich_products(agg, insight_top_n)
+    return {"reviews": reviews, "products": agg,
+            "kpis": D.kpis_enhanced(reviews, agg)}

@@ -677,3 +677,261 @@ def q_make_decisions(spark, sf):
 @register("quadrant_chart_data")
 def q_quadrant_chart_data(spark, sf):
     return round6(P.quadrant_chart_data(quad(spark, sf)))
+
+
+# ---- §2.10 machine learning ---------------------------------------------------------------
+from revlens.operators import insights as I  # noqa: E402
+from revlens.operators import risk as RK  # noqa: E402
+
+
+@register("ml_features")
+def q_ml_features(spark, sf):
+    df, feats = RK.ml_features(quad(spark, sf))
+    return round6(df.select("product", "negative_reviews", *feats))
+
+
+@register("risk_labels")
+def q_risk_labels(spark, sf):
+    df, _ = RK.ml_features(quad(spark, sf))
+    return round6(RK.risk_labels(df).select("product", "final_score", "risk_threshold",
+                                            "high_risk"))
+
+
+def _fitted(spark, sf):
+    df, feats = RK.ml_features(quad(spark, sf))
+    return df, RK.train_risk_model(df, feats)
+
+
+@register("train_risk_model")
+def q_train_risk_model(spark, sf):
+    _, model = _fitted(spark, sf)
+    return RK.feature_importance(model, spark)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, model = _fitted(spark, sf)
+    return RK.feature_importance(model, spark)
+
+
+@register("training_stats")
+def q_training_stats(spark, sf):
+    df, model = _fitted(spark, sf)
+    return RK.training_stats(model, df)
+
+
+@register("predict_risk")
+def q_predict_risk(spark, sf):
+    df, model = _fitted(spark, sf)
+    return round6(RK.predict_risk(model, df).select("product", "risk_probability",
+                                                     "high_risk_predicted", "risk_category"))
+
+
+def ml_products(spark, sf):
+    out, _ = RK.apply_ml_predictions(quad(spark, sf))
+    return out
+
+
+@register("apply_ml_predictions")
+def q_apply_ml_predictions(spark, sf):
+    return round6(ml_products(spark, sf))
+
+
+@register("join_predictions")
+def q_join_predictions(spark, sf):
+    df, model = _fitted(spark, sf)
+    pred = RK.predict_risk(model, df).select("product", "risk_probability", "risk_category",
+                                             "high_risk_predicted")
+    return round6(D.join_predictions(quad(spark, sf), pred))
+
+
+@register("restore_predictions")
+def q_restore_predictions(spark, sf):
+    """Re-aggregated filtered products LEFT JOIN the earlier predictions."""
+    ml = ml_products(spark, sf)
+    filt = D.apply_filters(scored(spark, sf), None, ("1995-06-01", "1998-12-31"), 0.0)
+    again = P.classify_quadrants(P.product_scores(filt))
+    pred = ml.select("product", "risk_probability", "risk_category", "high_risk_predicted")
+    return round6(D.join_predictions(again, pred))
+
+
+@register("risk_summary")
+def q_risk_summary(spark, sf):
+    return round6(D.risk_summary(ml_products(spark, sf)))
+
+
+@register("kpis_enhanced")
+def q_kpis_enhanced(spark, sf):
+    return round6(D.kpis_enhanced(scored(spark, sf), ml_products(spark, sf)))
+
+
+@register("ml_insight_kpis")
+def q_ml_insight_kpis(spark, sf):
+    return round6(D.ml_insight_kpis(ml_products(spark, sf)))
+
+
+@register("hidden_risks")
+def q_hidden_risks(spark, sf):
+    return round6(D.hidden_risks(ml_products(spark, sf)).select(
+        "product", "quadrant", "risk_probability"))
+
+
+@register("filter_risk")
+def q_filter_risk(spark, sf):
+    return round6(D.filter_risk(ml_products(spark, sf), 0.5).select("product",
+                                                                      "risk_probability"))
+
+
+@register("rating_vs_risk_data")
+def q_rating_vs_risk_data(spark, sf):
+    return round6(D.rating_vs_risk_data(ml_products(spark, sf)))
+
+
+# ---- §2.11 insight columns -----------------------------------------------------------------
+def replies(df: DataFrame) -> DataFrame:
+    """Model replies derived from the products (stand-in for the remote reply
+    table): a usable JSON answer for products with an even review count, an
+    unparsable one otherwise."""
+    good = F.to_json(F.struct(F.concat(F.lit("  Watch "), F.col("product"), F.lit("  "))
+                              .alias("summary"), F.col("quadrant").alias("driver"),
+                              F.col("action").alias("recommendation")))
+    reply = F.when(F.col("total_reviews") % 2 == 0, good).otherwise(F.lit("not json"))
+    return df.select("product", reply.alias("reply"),
+                     (F.col("llm_payload") if "llm_payload" in df.columns
+                      else F.lit(None).cast("string")).alias("payload"))
+
+
+INSIGHT_OUT = ["product", "llm_summary", "llm_driver", "llm_recommendation", "llm_source"]
+
+
+@register("insight_payload")
+def q_insight_payload(spark, sf):
+    return I.insight_payload(quad(spark, sf)).select("product", "llm_payload")
+
+
+@register("rule_insight")
+def q_rule_insight(spark, sf):
+    return I.rule_insight(quad(spark, sf)).select(*INSIGHT_OUT)
+
+
+@register("enrich_products")
+def q_enrich_products(spark, sf):
+    return I.enrich_products(quad(spark, sf), 5).select(*INSIGHT_OUT)
+
+
+@register("parse_insight_reply")
+def q_parse_insight_reply(spark, sf):
+    return I.parse_insight_reply(replies(quad(spark, sf))).select(
+        "product", "llm_summary", "llm_driver", "llm_recommendation")
+
+
+@register("merge_insights")
+def q_merge_insights(spark, sf):
+    top = I.rule_insight(I.top_for_insight(quad(spark, sf), 5))
+    return I.merge_insights(top, replies(top)).select(*INSIGHT_OUT)
+
+
+@register("insight_view")
+def q_insight_view(spark, sf):
+    return I.insight_view(I.enrich_products(quad(spark, sf), 5), 5)
+
+
+@register("product_card_text")
+def q_product_card_text(spark, sf):
+    return I.product_card_text(records(spark, sf))
+
+
+@register("portfolio_summary")
+def q_portfolio_summary(spark, sf):
+    return I.portfolio_summary(records(spark, sf))
+
+
+@register("portfolio_prompt")
+def q_portfolio_prompt(spark, sf):
+    return I.portfolio_prompt(records(spark, sf), 50)
+
+
+# ---- §2.12 pipelines -------------------------------------------------------------------------
+from revlens.plans import pipeline as PL  # noqa: E402
+
+
+@register("run_service")
+def q_run_service(spark, sf):
+    _, prods = PL.run_service(raw(spark, sf))
+    return round6(prods)
+
+
+@register("run_classic")
+def q_run_classic(spark, sf):
+    return round6(PL.run_classic(reviews(spark, sf)))
+
+
+@register("filtered_dashboard")
+def q_filtered_dashboard(spark, sf):
+    return round6(PL.filtered_dashboard(reviews(spark, sf), date_range=("1995-06-01", "1998-12-31"),
+                                        severity_threshold=0.4, risk_threshold=0.3))
+
+
+# ---- §2.1 sources and sinks (round trips through the shared scratch folder) -------------
+from revlens.session import scratch_path  # noqa: E402
+from revlens.sources import files as SF  # noqa: E402
+
+
+def _landed_pages(spark, sf) -> str:
+    """Reviews landed as paged envelopes: one page per order (``ok + 1``); an order
+    without line items leaves its page missing."""
+    from revlens.sources.tables import _base, _review_columns
+
+    cols = _review_columns()
+    rows = _base(spark, sf).select((F.col("ok") + 1).cast("int").alias("page"),
+                                   *[c.alias(n) for n, c in cols.items()])
+    path = scratch_path(spark, "pages")
+    SF.write_review_pages(rows.withColumn("review_date", F.col("review_date").cast("string")),
+                          path)
+    return path
+
+
+@register("read_reviews_csv")
+def q_read_reviews_csv(spark, sf):
+    path = scratch_path(spark, "csv")
+    SF.write_reviews_csv(reviews(spark, sf), path)
+    return round6(R.normalize_reviews(SF.read_reviews_csv(spark, path)))
+
+
+@register("read_reviews_json")
+def q_read_reviews_json(spark, sf):
+    from revlens.sources.tables import _base, _review_columns
+
+    cols = _review_columns()
+    rows = _base(spark, sf).select(F.col("ok").alias("__doc"),
+                                   *[c.alias(n) for n, c in cols.items()])
+    docs = rows.groupBy("__doc").agg(F.collect_list(F.struct(*cols.keys())).alias("records"))
+    path = scratch_path(spark, "json")
+    docs.select("records").write.mode("overwrite").json(path)
+    return round6(R.normalize_reviews(SF.read_reviews_json(spark, path, multi_line=False)))
+
+
+@register("read_review_pages")
+def q_read_review_pages(spark, sf):
+    path = _landed_pages(spark, sf)
+    return round6(R.fetch_column_repair(SF.read_review_pages(spark, path, max_pages=None)))
+
+
+@register("page_gap_report")
+def q_page_gap_report(spark, sf):
+    path = _landed_pages(spark, sf)
+    return SF.page_gap_report(spark, SF.page_envelopes(spark, path))
+
+
+@register("load_reviews")
+def q_load_reviews(spark, sf):
+    path = _landed_pages(spark, sf)
+    return round6(SF.load_reviews(spark, "pages", path, max_pages=None))
+
+
+@register("write_dashboard_json")
+def q_write_dashboard_json(spark, sf):
+    recs = records(spark, sf)
+    path = scratch_path(spark, "dashboard")
+    SF.write_dashboard_json(recs, path)
+    return spark.read.json(path).select("name", "revenueAtRisk", "severity")

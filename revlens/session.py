@@ -16,11 +16,13 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "revlens") -> SparkSession:
+                app: str = "revlens", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and skew handling switched on."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
@@ -59,4 +61,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def local_test_session(cores: int | None = None) -> SparkSession:
     """Session for tests / bench: local mode, few shuffle partitions."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
-    return get_session(master=f"local[{n}]", shuffle_partitions=n)
+    return get_session(master=f"local[{n}]", shuffle_partitions=n,
+                       driver_memory=os.environ.get("REVLENS_DRIVER_MEMORY", "16g"))

@@ -68,9 +68,11 @@ def _is_row_array(df: DataFrame, name: str) -> bool:
     return isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType)
 
 
-def read_reviews_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON document(s) in any of the four shapes -> reviews."""
-    r = spark.read.option("multiLine", True)
+def read_reviews_json(spark: SparkSession, path: str, schema=None, multi_line: bool = True
+                      ) -> DataFrame:
+    """JSON document(s) in any of the four shapes -> reviews. ``multi_line=False``
+    reads one document per line (splittable), each in any of the shapes."""
+    r = spark.read.option("multiLine", multi_line)
     df = (r.schema(schema) if schema is not None else r).json(path)
     if "_corrupt_record" in df.columns and len(df.columns) == 1:
         raise SourceError(f"Invalid JSON file: {path}")
@@ -133,6 +135,28 @@ def page_gap_report(spark: SparkSession, pages: DataFrame, requested: int | None
     return want.join(have, "page", "left_anti")
 
 
+def load_reviews(spark: SparkSession, mode: str, path: str, max_pages: int | None = K.MAX_PAGES,
+                 **opts) -> DataFrame:
+    """One entry for every source kind ('csv', 'json', 'jsonl', 'pages'): read,
+    reject empty input, normalise with the dashboard profile."""
+    from revlens.operators.reviews import fetch_column_repair, normalize_reviews
+
+    if mode == "csv":
+        df = read_reviews_csv(spark, path, opts.get("schema"))
+    elif mode == "json":
+        df = read_reviews_json(spark, path, opts.get("schema"), opts.get("multi_line", True))
+    elif mode == "jsonl":
+        df = read_reviews_jsonl(spark, path, opts.get("schema"))
+    elif mode == "pages":
+        df = fetch_column_repair(read_review_pages(spark, path, max_pages,
+                                                   opts.get("multi_line", False)))
+    else:
+        raise ValueError(f"Invalid input mode: {mode}")
+    if df.isEmpty():
+        raise SourceError("No valid data loaded from source")
+    return normalize_reviews(df)
+
+
 def assert_pages(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise SourceError("No reviews fetched from pages")
