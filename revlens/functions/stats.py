@@ -107,7 +107,7 @@ def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
                 F.col(f"a{i}"), F.col(f"b{i}")]
         lo = _value_at(k_lo, *args)
         hi = _value_at(k_hi, *args)
-        val = F.when(n == 0, F.lit(None).cast("double")).when(
+        val = F.when(n.isNull() | (n == 0), F.lit(None).cast("double")).when(
             k_lo == k_hi, lo).otherwise(lo + (hi - lo) * (r - k_lo))
         out.append(val.alias(name))
     return stage2.select(*out)

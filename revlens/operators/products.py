@@ -71,7 +71,8 @@ def product_priority(products: DataFrame) -> DataFrame:
     for k, v in parts.items():
         term = w[k] * C.minmax_eps_const0(F.col(v).cast("double"), f"__min_{k}", f"__max_{k}")
         pps = term if pps is None else pps + term
-    return j.select(*[F.col(c) for c in products.columns], C.clip01(pps).alias("PPS"))
+    return j.select(*[F.col(c) for c in products.columns if c != "PPS"],
+                    C.clip01(pps).alias("PPS"))
 
 
 def final_score(products: DataFrame) -> DataFrame:
@@ -114,9 +115,9 @@ def classify_quadrants(products: DataFrame, method: str = "bracket") -> DataFram
     for qn in (K.VIP_NUDGE, K.SLOW_BURN):
         action = action.when(quad == qn, K.QUADRANT_ACTIONS[qn])
     action = action.otherwise(K.QUADRANT_ACTIONS[K.NOISE])
+    keep = [F.col(c) for c in products.columns if c not in ("quadrant", "action")]
     j = with_stats(products, th)
-    return j.select(*[F.col(c) for c in products.columns], quad.alias("quadrant"),
-                    action.alias("action"))
+    return j.select(*keep, quad.alias("quadrant"), action.alias("action"))
 
 
 def quadrant_priority(products: DataFrame) -> DataFrame:
@@ -152,9 +153,9 @@ def make_decisions(products: DataFrame, method: str = "bracket") -> DataFrame:
               .otherwise(K.DECISION_MONITOR))
     priority = (F.when(r("final_score") >= r("t_score"), "High")
                 .when(r("final_score") >= r("t_score") * 0.5, "Medium").otherwise("Low"))
+    keep = [F.col(c) for c in products.columns if c not in ("action", "priority")]
     j = with_stats(products, th)
-    return j.select(*[F.col(c) for c in products.columns], action.alias("action"),
-                    priority.alias("priority"))
+    return j.select(*keep, action.alias("action"), priority.alias("priority"))
 
 
 def to_timestamp_lenient(c) -> F.Column:

@@ -174,11 +174,19 @@ def feature_importance(model: RiskModel, spark) -> DataFrame:
     return df.orderBy(F.col("abs_coefficient").desc(), "feature")
 
 
-def apply_ml_predictions(products: DataFrame) -> tuple[DataFrame, RiskModel | None]:
+def apply_ml_predictions(products: DataFrame, checkpoint: bool = True
+                         ) -> tuple[DataFrame, RiskModel | None]:
     """features -> labels -> fit -> predict -> left join back with defaults.
-    Any failure degrades to 0 / Low for every product, as the reference does."""
+    Any failure degrades to 0 / Low for every product, as the reference does.
+
+    Fitting makes several passes over the product table (labels, scaling stats,
+    one per L-BFGS iteration); ``checkpoint`` writes the product features once to
+    the shared checkpoint folder so those passes do not recompute the review
+    pipeline, and lost executors cannot force a recomputation either."""
     try:
         feats_df, feats = ml_features(products)
+        if checkpoint:
+            feats_df = feats_df.checkpoint(eager=True)
         model = train_risk_model(feats_df, feats)
         pred = predict_risk(model, feats_df).select("product", "risk_probability",
                                                     "risk_category", "high_risk_predicted")
