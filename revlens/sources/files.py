@@ -101,8 +101,9 @@ def read_review_pages(spark: SparkSession, path: str, max_pages: int | None = K.
     env = env.select("*", _page_number(env).alias("page"))
     if max_pages is not None:
         env = env.filter(F.col("page") <= min(int(max_pages), K.MAX_PAGES))
-    if "data" not in env.columns:
-        return env.select("page").limit(0)
+    if not _is_row_array(env, "data"):
+        # no page carries a row (inference could not find a row schema)
+        return env.select("page", F.lit(0).alias("page_pos")).limit(0)
     rows = env.select("page", F.posexplode(F.col("data")).alias("page_pos", "__r"))
     return rows.select("page", "page_pos", "__r.*")
 
