@@ -34,10 +34,29 @@ def clean_products(df: DataFrame, missing: str = "General") -> DataFrame:
     return df.filter(F.col("product") != "")
 
 
-def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING) -> DataFrame:
+def materialize(df: DataFrame, how: str) -> DataFrame:
+    """Level boundary: ``checkpoint`` writes to the shared checkpoint folder
+    (lineage cut; survives executor loss), ``persist`` keeps blocks on the
+    executors (MEMORY_AND_DISK; lost blocks are recomputed), ``none`` stays lazy."""
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        from pyspark import StorageLevel
+
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING,
+                    materialize_as: str = "checkpoint") -> DataFrame:
     """Per product: total impact, mean rating, repeat rate, mean and total LTV,
     mean order value, review count, negative count/ratio and revenue at risk
-    (rating <= 2.5), all in one aggregate."""
+    (rating <= 2.5), all in one aggregate.
+
+    The product table is read several times downstream (priority min/max, two
+    quantile passes, the final projection), each of which would otherwise re-run
+    the whole review pipeline; by default it is checkpointed once (it is about
+    reviews / products times smaller than the review data)."""
     df = clean_products(scored)
     risky = F.col("rating") <= risky_max
     agg = df.groupBy("product").agg(
@@ -52,10 +71,11 @@ def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING) ->
         F.coalesce(F.sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("total_revenue_at_risk"),
     )
-    return agg.withColumns({
+    out = agg.withColumns({
         "negative_ratio": F.col("negative_count") / F.col("total_reviews"),
         "revenue_at_risk": F.col("total_revenue_at_risk"),
     })
+    return materialize(out, materialize_as)
 
 
 def product_priority(products: DataFrame) -> DataFrame:

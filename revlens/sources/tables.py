@@ -3,10 +3,11 @@
 The tables carry no reviews, so reviews are derived by integer arithmetic on
 keys (one review per lineitem). Join order is chosen for scale: orders is
 joined to customer first (an orders-sized shuffle), so the lineitem-sized
-stream is shuffled only twice (on order key, then part key). Which side is
-broadcast is left to Spark: a side is broadcast only when its estimated size
-is under ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans from real
-shuffle sizes; skewed part keys are split by AQE's skew-join handling.
+stream is shuffled only twice (on order key, then part key). The line item /
+order join is pinned to a sort-merge join; for the dimension joins Spark
+decides: a side is broadcast only when its size is under
+``spark.sql.autoBroadcastJoinThreshold`` (AQE re-plans from real shuffle
+sizes), and skewed part keys are split by AQE's skew-join handling.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     oc = od.join(cu, od.o_custkey == cu.c_custkey).select(
         F.col("o_orderkey"), F.col("o_custkey").alias("ck"), F.col("o_totalprice").alias("tp"),
         F.col("c_acctbal").alias("ab"))
-    lo = li.join(oc, li.l_orderkey == oc.o_orderkey)
+    # Fact-to-fact join: always a sort-merge join on the order key. Without the
+    # hint, adaptive execution may broadcast the (post-shuffle) line item side
+    # when it looks small and stream the orders file in a single task.
+    lo = li.hint("merge").join(oc, li.l_orderkey == oc.o_orderkey)
     return lo.join(pa, lo.l_partkey == pa.p_partkey).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"), F.col("l_quantity").alias("q"),
