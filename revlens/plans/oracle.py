@@ -858,3 +858,14 @@ register("run_classic", ["md"], select_round("md", CPM_COLS + ["action", "priori
 # ---- §2.1 sources ------------------------------------------------------------------------------
 register("page_gap_report", ["base"], """select cast(range as integer) page
  from range(1, (select max(ok) + 2 from base)) where range not in (select distinct ok + 1 from base)""")
+
+
+# ---- streaming ---------------------------------------------------------------------------------
+register("stream_revenue_at_risk", ["reviews"], """select product, count(*) total_reviews,
+ cast(count_if(rating <= 2.5) as bigint) negative_count,
+ round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_revenue_at_risk
+ from reviews group by product""")
+from revlens.sources.tables import PRODUCT_SQL, RATING_SQL  # noqa: E402
+
+register("stream_land_pages", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
+ round({RATING_SQL}, 6) rating, round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv from base""")

@@ -935,3 +935,25 @@ def q_write_dashboard_json(spark, sf):
     path = scratch_path(spark, "dashboard")
     SF.write_dashboard_json(recs, path)
     return spark.read.json(path).select("name", "revenueAtRisk", "severity")
+
+
+# ---- streaming: incremental page ingestion ------------------------------------------------
+@register("stream_revenue_at_risk")
+def q_stream_revenue_at_risk(spark, sf):
+    """Landed pages -> streaming per-product running totals -> table -> batch read."""
+    from revlens.streaming import pages as ST
+
+    path = _landed_pages(spark, sf)
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    ST.run_available(ST.running_revenue_at_risk(ST.page_stream(spark, path)), sink, ckpt)
+    return round6(spark.read.parquet(sink))
+
+
+@register("stream_land_pages")
+def q_stream_land_pages(spark, sf):
+    from revlens.streaming import pages as ST
+
+    path = _landed_pages(spark, sf)
+    table, ckpt = scratch_path(spark, "landed"), scratch_path(spark, "landed-ckpt")
+    ST.land_pages(spark, path, table, ckpt)
+    return round6(spark.read.parquet(table).select("page", "product", "rating", "customer_ltv"))
