@@ -869,3 +869,21 @@ from revlens.sources.tables import PRODUCT_SQL, RATING_SQL  # noqa: E402
 
 register("stream_land_pages", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
  round({RATING_SQL}, 6) rating, round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv from base""")
+
+
+# ---- round trips through files, guards -------------------------------------------------------
+_norm_stable = ("product, round(rating, 6) rating, review_text, sentiment, round(customer_ltv, 6) customer_ltv, "
+                "round(order_value, 6) order_value, round(days_since_purchase, 6) days_since_purchase, "
+                "round(helpful_votes, 6) helpful_votes, is_repeat_customer, verified_purchase, "
+                "round(sentiment_score, 6) sentiment_score")
+register("read_reviews_csv", ["norm"], f"select {_norm_stable} from norm")
+register("read_reviews_json", ["norm"], f"select {_norm_stable} from norm")
+register("load_reviews", ["norm"], f"select {_norm_stable} from norm")
+register("read_review_pages", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
+ round({RATING_SQL}, 6) rating, {__import__('revlens.sources.tables', fromlist=['x'])._text_sql()} review_text,
+ round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv, round(tp, 6) order_value,
+ round(q, 6) helpful_votes from base""")
+register("assert_columns", ["reviews"], "select product, round(rating, 6) rating from reviews")
+register("assert_not_empty", ["reviews"], "select product, round(rating, 6) rating from reviews")
+register("check_required_columns", ["raw"], "select product_name, rating from raw")
+register("write_dashboard_json", ["records"], 'select name, "revenueAtRisk", severity from records')

@@ -891,11 +891,16 @@ def _landed_pages(spark, sf) -> str:
     return path
 
 
+NORM_STABLE = ["product", "rating", "review_text", "sentiment", "customer_ltv", "order_value",
+               "days_since_purchase", "helpful_votes", "is_repeat_customer", "verified_purchase",
+               "sentiment_score"]
+
+
 @register("read_reviews_csv")
 def q_read_reviews_csv(spark, sf):
     path = scratch_path(spark, "csv")
     SF.write_reviews_csv(reviews(spark, sf), path)
-    return round6(R.normalize_reviews(SF.read_reviews_csv(spark, path)))
+    return round6(R.normalize_reviews(SF.read_reviews_csv(spark, path)).select(*NORM_STABLE))
 
 
 @register("read_reviews_json")
@@ -908,13 +913,16 @@ def q_read_reviews_json(spark, sf):
     docs = rows.groupBy("__doc").agg(F.collect_list(F.struct(*cols.keys())).alias("records"))
     path = scratch_path(spark, "json")
     docs.select("records").write.mode("overwrite").json(path)
-    return round6(R.normalize_reviews(SF.read_reviews_json(spark, path, multi_line=False)))
+    return round6(R.normalize_reviews(SF.read_reviews_json(spark, path, multi_line=False))
+                  .select(*NORM_STABLE))
 
 
 @register("read_review_pages")
 def q_read_review_pages(spark, sf):
     path = _landed_pages(spark, sf)
-    return round6(R.fetch_column_repair(SF.read_review_pages(spark, path, max_pages=None)))
+    df = R.fetch_column_repair(SF.read_review_pages(spark, path, max_pages=None))
+    return round6(df.select("page", "product", "rating", "review_text", "customer_ltv",
+                            "order_value", "helpful_votes"))
 
 
 @register("page_gap_report")
@@ -926,7 +934,7 @@ def q_page_gap_report(spark, sf):
 @register("load_reviews")
 def q_load_reviews(spark, sf):
     path = _landed_pages(spark, sf)
-    return round6(SF.load_reviews(spark, "pages", path, max_pages=None))
+    return round6(SF.load_reviews(spark, "pages", path, max_pages=None).select(*NORM_STABLE))
 
 
 @register("write_dashboard_json")

@@ -2,22 +2,10 @@
 
 from pyspark.sql import types as T
 
-# ---- fixed values: built-in 5-row sample (A) ----------------------------------
-SAMPLE_A = [
-    ("Atlas Desk", 2.8, 10000, 5000, "Quality issues", 5, 15, True, True),
-    ("Pulse Earbuds", 3.1, 8000, 3000, "Sound great", 3, 20, False, True),
-    ("North Mug", 3.6, 5000, 1000, "Perfect", 1, 30, True, True),
-    ("Harbor Lamp", 3.4, 7000, 4000, "Broken", 8, 10, False, True),
-    ("Summit Bottle", 3.9, 6000, 2000, "Excellent", 2, 45, True, True),
-]
-SCHEMA_A = T.StructType([
-    T.StructField("product", T.StringType()), T.StructField("rating", T.DoubleType()),
-    T.StructField("customer_ltv", T.LongType()), T.StructField("order_value", T.LongType()),
-    T.StructField("review_text", T.StringType()), T.StructField("helpful_votes", T.LongType()),
-    T.StructField("days_since_purchase", T.LongType()),
-    T.StructField("is_repeat_customer", T.BooleanType()),
-    T.StructField("verified_purchase", T.BooleanType()),
-])
+from revlens.sources.samples import SAMPLE_ROWS as SAMPLE_A  # noqa: E402
+from revlens.sources.samples import SAMPLE_SCHEMA  # noqa: E402
+
+SCHEMA_A = T.StructType(SAMPLE_SCHEMA.fields[:-1])
 
 # ---- fixed values: the 10-row upload file (B / C) -----------------------------
 UPLOAD_CSV = """product_name,rating,review_text,ltv

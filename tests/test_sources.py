@@ -79,3 +79,14 @@ def test_dashboard_json_round_trip(spark, tmpdir_path):
     back = spark.read.json(tmpdir_path + "/dash")
     assert back.count() == 5
     assert back.filter(F.col("name") == "Atlas Desk").first().issues.quality == 0
+
+
+def test_sample_reviews_scores_like_golden_a(spark):
+    from revlens.plans import pipeline as PL
+    from revlens.sources.samples import sample_reviews
+
+    df = sample_reviews(spark, "2024-01-01T00:00:00")
+    assert df.count() == 5 and {r.review_date for r in df.collect()} == {"2024-01-01T00:00:00"}
+    _, prods = PL.run_service(df)
+    fs = {r.product: r.final_score for r in prods.collect()}
+    assert abs(fs["Atlas Desk"] - 0.643489) < 1e-5
