@@ -209,7 +209,7 @@ def spike_stats(reviews: DataFrame) -> DataFrame:
                           / (n / K.SPIKE_SPREAD_DIVISOR + 1e-9))
 
 
-def classic_product_metrics(reviews: DataFrame) -> DataFrame:
+def classic_product_metrics(reviews: DataFrame, materialize_as: str = "checkpoint") -> DataFrame:
     """Classic aggregation: severity mean, negative ratio = mean(is_negative),
     revenue at risk = sum(LTV * is_negative), PPS with clipped epsilon min-max,
     zero-impact gate, spike boost; ten output columns, nulls -> 0."""
@@ -258,4 +258,4 @@ def classic_product_metrics(reviews: DataFrame) -> DataFrame:
     p = p.withColumn("final_score", score)
     out = ["product", "total_reviews", "avg_order_value", "avg_rating", "negative_ratio",
            "repeat_rate", "total_impact", "PPS", "total_revenue_at_risk", "final_score"]
-    return p.select(*out).na.fill(0)
+    return materialize(p.select(*out).na.fill(0), materialize_as)

@@ -184,20 +184,24 @@ def numeric_null_to_zero(df: DataFrame) -> DataFrame:
 
 def score_reviews(df: DataFrame, use_sentiment: bool = False) -> DataFrame:
     """prepare -> is_negative -> recency -> severity -> CIS -> impact -> category
-    -> numeric null sweep. Severity uses a neutral sentiment unless asked."""
+    -> numeric null sweep. Severity uses a neutral sentiment unless asked.
+    Two projections: the features, then CIS-dependent columns."""
     df = prepare_reviews(df)
     sev = (C.issue_severity("rating", "sentiment") if use_sentiment and _has(df, "sentiment")
            else C.issue_severity("rating"))
-    df = df.withColumns({"is_negative": C.is_negative("rating"),
-                         "recency_score": C.recency_plateau("days_since_purchase"),
-                         "issue_severity": sev})
-    df = df.withColumn("CIS", C.customer_importance())
-    df = df.withColumns({
-        "impact_score": C.impact_score(),
-        "issue_category": (C.issue_category("review_text") if _has(df, "review_text")
-                           else F.lit(K.ISSUE_OTHER)),
-    })
-    return numeric_null_to_zero(df)
+    df = df.select("*", C.is_negative("rating").alias("is_negative"),
+                   C.recency_plateau("days_since_purchase").alias("recency_score"),
+                   sev.alias("issue_severity"))
+    df = df.select("*", C.customer_importance().alias("CIS"))
+    cat = (C.issue_category("review_text") if _has(df, "review_text")
+           else F.lit(K.ISSUE_OTHER))
+    nums = set(numeric_columns(df))
+    out = [F.coalesce(F.nanvl(F.col(f"`{c}`"), F.lit(None)) if
+                      isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+                      else F.col(f"`{c}`"), F.lit(0)).cast(df.schema[c].dataType).alias(c)
+           if c in nums else F.col(f"`{c}`") for c in df.columns]
+    impact = F.coalesce(C.impact_score(), F.lit(0.0))
+    return df.select(*out, impact.alias("impact_score"), cat.alias("issue_category"))
 
 
 def minmax_column(df: DataFrame, col: str, out: str, variant: str = "const0",

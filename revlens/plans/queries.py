@@ -38,20 +38,32 @@ def round6(df: DataFrame) -> DataFrame:
 
 
 # ---- shared inputs ---------------------------------------------------------------------
+# Registered queries over the same tables share the parsed (lazy) views within a
+# session: only planning is shared, every query still computes its own result.
+_VIEWS: dict = {}
+
+
+def _view(kind, build, spark, sf):
+    key = (kind, id(spark._jsparkSession), sf)
+    if key not in _VIEWS:
+        _VIEWS[key] = build(spark, sf)
+    return _VIEWS[key]
+
+
 def reviews(spark, sf):
-    return review_view(spark, sf)
+    return _view("reviews", review_view, spark, sf)
 
 
 def raw(spark, sf):
-    return raw_review_view(spark, sf)
+    return _view("raw", raw_review_view, spark, sf)
 
 
 def norm(spark, sf):
-    return R.normalize_reviews(reviews(spark, sf))
+    return _view("norm", lambda s, d: R.normalize_reviews(reviews(s, d)), spark, sf)
 
 
 def scored(spark, sf):
-    return R.score_reviews(norm(spark, sf))
+    return _view("scored", lambda s, d: R.score_reviews(norm(s, d)), spark, sf)
 
 
 def products(spark, sf):
