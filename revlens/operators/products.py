@@ -39,7 +39,9 @@ def materialize(df: DataFrame, how: str) -> DataFrame:
     (lineage cut; survives executor loss), ``persist`` keeps blocks on the
     executors (MEMORY_AND_DISK; lost blocks are recomputed), ``none`` stays lazy."""
     if how == "checkpoint":
-        return df.checkpoint(eager=True)
+        from revlens.session import checkpoint
+
+        return checkpoint(df)
     if how == "persist":
         from pyspark import StorageLevel
 

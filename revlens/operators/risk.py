@@ -186,7 +186,9 @@ def apply_ml_predictions(products: DataFrame, checkpoint: bool = True
     try:
         feats_df, feats = ml_features(products)
         if checkpoint:
-            feats_df = feats_df.checkpoint(eager=True)
+            from revlens.session import checkpoint as _ckpt
+
+            feats_df = _ckpt(feats_df)
         model = train_risk_model(feats_df, feats)
         pred = predict_risk(model, feats_df).select("product", "risk_probability",
                                                     "risk_category", "high_risk_predicted")

@@ -18,7 +18,9 @@ from revlens.operators import reviews as R
 
 def _keep(df: DataFrame, persist: bool, checkpoint: bool) -> DataFrame:
     if checkpoint:
-        return df.checkpoint(eager=True)
+        from revlens.session import checkpoint as _ckpt
+
+        return _ckpt(df)
     if persist:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df

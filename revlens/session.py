@@ -40,6 +40,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_CONFIGURED: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
@@ -47,10 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    app = spark.sparkContext.applicationId
+    if _CONFIGURED.get(app) != path:
+        spark.sparkContext.setCheckpointDir(path)
+        _CONFIGURED[app] = path
     return path
 
 
+def checkpoint(df):
+    """Reliable checkpoint into the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
