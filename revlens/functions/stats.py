@@ -98,16 +98,19 @@ def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
                F.sort_array(F.collect_list(F.when((x > a) & (x < b), x))).alias(f"mid{i}")]
     stage2 = with_stats(df, bracket).agg(*p2)
 
-    out = []
-    for i, (name, _c, q) in enumerate(specs):
+    looked = []
+    for i, (_name, _c, q) in enumerate(specs):
         n = F.col(f"n{i}")
         r = (n - 1).cast("double") * F.lit(float(q))
-        k_lo, k_hi = F.floor(r), F.ceil(r)
         args = [F.col(f"below{i}"), F.col(f"eqa{i}"), F.col(f"mid{i}"), F.col(f"eqb{i}"),
                 F.col(f"a{i}"), F.col(f"b{i}")]
-        lo = _value_at(k_lo, *args)
-        hi = _value_at(k_hi, *args)
-        val = F.when(n.isNull() | (n == 0), F.lit(None).cast("double")).when(
-            k_lo == k_hi, lo).otherwise(lo + (hi - lo) * (r - k_lo))
-        out.append(val.alias(name))
-    return stage2.select(*out)
+        empty = n.isNull() | (n == 0)
+        looked += [F.when(empty, F.lit(None).cast("double"))
+                   .otherwise(_value_at(F.floor(r), *args)).alias(f"lo{i}"),
+                   F.when(empty, F.lit(None).cast("double"))
+                   .otherwise(_value_at(F.ceil(r), *args)).alias(f"hi{i}"),
+                   (r - F.floor(r)).alias(f"fr{i}")]
+    # two small projections: each rank lookup once, then the interpolation
+    step = stage2.select(*looked)
+    return step.select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"fr{i}"))
+                         .alias(name) for i, (name, _c, _q) in enumerate(specs)])
