@@ -43,14 +43,15 @@ def minmax_stats(df: DataFrame, cols: dict[str, Column | str], prefix: str = "__
     return df.agg(*aggs)
 
 
-def _value_at(k: Column, below: Column, eq_a: Column, mid: Column, eq_b: Column,
-              a: Column, b: Column) -> Column:
-    n_mid = F.size(mid).cast("long")
-    return (F.when(k < below, F.raise_error(F.lit("quantile bracket missed (low)")))
-            .when(k < below + eq_a, a)
-            .when(k < below + eq_a + n_mid, F.element_at(mid, (k - below - eq_a + 1).cast("int")))
-            .when(k < below + eq_a + n_mid + eq_b, b)
-            .otherwise(F.raise_error(F.lit("quantile bracket missed (high)"))))
+def _value_at_sql(k: str, i: int) -> str:
+    """SQL for the value at 0-based rank ``k`` from the bracket counts of spec ``i``."""
+    below, eqa, mid, eqb = f"below{i}", f"eqa{i}", f"mid{i}", f"eqb{i}"
+    nmid = f"cast(size({mid}) as bigint)"
+    return (f"case when {k} < {below} then raise_error('quantile bracket missed (low)') "
+            f"when {k} < {below} + {eqa} then a{i} "
+            f"when {k} < {below} + {eqa} + {nmid} then element_at({mid}, cast({k} - {below} - {eqa} + 1 as int)) "
+            f"when {k} < {below} + {eqa} + {nmid} + {eqb} then b{i} "
+            f"else raise_error('quantile bracket missed (high)') end")
 
 
 def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
@@ -60,57 +61,51 @@ def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
     ``method='bracket'`` is the bounded exact selection described above;
     ``method='exact'`` uses Spark's ``percentile`` (all distinct values in one
     buffer: only for tables known to be small); ``method='approx'`` returns
-    ``percentile_approx`` directly.
+    ``percentile_approx`` directly. The statements are passed as SQL text: one
+    parse per expression instead of hundreds of driver round trips.
     """
+    base = df.select(*[col_(c).cast("double").alias(f"__q{i}")
+                       for i, (_n, c, _q) in enumerate(specs)])
     if method == "exact":
-        return df.agg(*[F.percentile(col_(c), F.lit(q)).alias(name) for name, c, q in specs])
+        return base.agg(*[F.expr(f"percentile(__q{i}, {float(q)!r})").alias(name)
+                          for i, (name, _c, q) in enumerate(specs)])
     if method == "approx":
-        return df.agg(*[F.percentile_approx(col_(c), F.lit(q), accuracy).alias(name)
-                        for name, c, q in specs])
+        return base.agg(*[F.expr(f"percentile_approx(__q{i}, {float(q)!r}, {accuracy})")
+                          .alias(name) for i, (name, _c, q) in enumerate(specs)])
     if method != "bracket":
         raise ValueError(f"unknown quantile method {method!r}")
 
     margin = 3.0 / accuracy
     p1 = []
-    for i, (_, c, q) in enumerate(specs):
-        c = col_(c).cast("double")
-        probes = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-        p1 += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"),
-               F.percentile_approx(c, probes, accuracy).alias(f"pa{i}")]
-    stage1 = df.agg(*p1)
+    for i, (_n, _c, q) in enumerate(specs):
+        lo, hi = max(0.0, q - margin), min(1.0, q + margin)
+        p1 += [f"count(__q{i}) as n{i}", f"min(__q{i}) as mn{i}", f"max(__q{i}) as mx{i}",
+               f"percentile_approx(__q{i}, array({lo!r}, {hi!r}), {accuracy}) as pa{i}"]
+    stage1 = base.agg(*[F.expr(e) for e in p1])
     br = []
     for i in range(len(specs)):
-        small = F.col(f"n{i}") <= accuracy
-        br += [F.col(f"n{i}"),
-               F.when(small, F.col(f"mn{i}")).otherwise(F.col(f"pa{i}")[0]).alias(f"a{i}"),
-               F.when(small, F.col(f"mx{i}")).otherwise(F.col(f"pa{i}")[1]).alias(f"b{i}")]
-    bracket = stage1.select(*br)
+        small = f"n{i} <= {accuracy}"
+        br += [f"n{i}", f"case when {small} then mn{i} else pa{i}[0] end as a{i}",
+               f"case when {small} then mx{i} else pa{i}[1] end as b{i}"]
+    bracket = stage1.selectExpr(*br)
 
     p2 = []
-    for i, (_, c, _q) in enumerate(specs):
-        x = col_(c).cast("double")
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        p2 += [F.max(F.col(f"n{i}")).alias(f"n{i}"), F.max(a).alias(f"a{i}"),
-               F.max(b).alias(f"b{i}"),
-               F.count_if(x < a).alias(f"below{i}"),
-               F.count_if(x == a).alias(f"eqa{i}"),
-               F.count_if((x == b) & (b != a)).alias(f"eqb{i}"),
-               F.sort_array(F.collect_list(F.when((x > a) & (x < b), x))).alias(f"mid{i}")]
-    stage2 = with_stats(df, bracket).agg(*p2)
+    for i in range(len(specs)):
+        x, a, b = f"__q{i}", f"a{i}", f"b{i}"
+        p2 += [f"max(n{i}) as n{i}", f"max({a}) as {a}", f"max({b}) as {b}",
+               f"count_if({x} < {a}) as below{i}", f"count_if({x} = {a}) as eqa{i}",
+               f"count_if({x} = {b} and {b} != {a}) as eqb{i}",
+               f"sort_array(collect_list(case when {x} > {a} and {x} < {b} then {x} end)) as mid{i}"]
+    stage2 = with_stats(base, bracket).agg(*[F.expr(e) for e in p2])
 
     looked = []
     for i, (_name, _c, q) in enumerate(specs):
-        n = F.col(f"n{i}")
-        r = (n - 1).cast("double") * F.lit(float(q))
-        args = [F.col(f"below{i}"), F.col(f"eqa{i}"), F.col(f"mid{i}"), F.col(f"eqb{i}"),
-                F.col(f"a{i}"), F.col(f"b{i}")]
-        empty = n.isNull() | (n == 0)
-        looked += [F.when(empty, F.lit(None).cast("double"))
-                   .otherwise(_value_at(F.floor(r), *args)).alias(f"lo{i}"),
-                   F.when(empty, F.lit(None).cast("double"))
-                   .otherwise(_value_at(F.ceil(r), *args)).alias(f"hi{i}"),
-                   (r - F.floor(r)).alias(f"fr{i}")]
+        r = f"(cast(n{i} - 1 as double) * {float(q)!r})"
+        empty = f"(n{i} is null or n{i} = 0)"
+        looked += [f"case when {empty} then cast(null as double) else {_value_at_sql(f'floor({r})', i)} end as lo{i}",
+                   f"case when {empty} then cast(null as double) else {_value_at_sql(f'ceil({r})', i)} end as hi{i}",
+                   f"{r} - floor({r}) as fr{i}"]
     # two small projections: each rank lookup once, then the interpolation
-    step = stage2.select(*looked)
-    return step.select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"fr{i}"))
-                         .alias(name) for i, (name, _c, _q) in enumerate(specs)])
+    step = stage2.selectExpr(*looked)
+    return step.selectExpr(*[f"lo{i} + (hi{i} - lo{i}) * fr{i} as `{name}`"
+                             for i, (name, _c, _q) in enumerate(specs)])
