@@ -119,7 +119,8 @@ def flat_records(df: DataFrame) -> DataFrame:
 
 
 def classic_reviews(spark, sf):
-    return CL.classic_scores(CL.classic_features(CL.classic_preprocess(reviews(spark, sf))))
+    return _view("classic", lambda s, d: CL.classic_scores(CL.classic_features(
+        CL.classic_preprocess(reviews(s, d)))), spark, sf)
 
 
 @register("log_scale")
@@ -643,8 +644,11 @@ def q_preview(spark, sf):
 
 # ---- §2.9 product-level scoring and decisions -------------------------------------------
 def classic_products(spark, sf, spike: bool = False):
-    src = spike_review_view(spark, sf) if spike else reviews(spark, sf)
-    rev = CL.classic_scores(CL.classic_features(CL.classic_preprocess(src)))
+    if spike:
+        src = spike_review_view(spark, sf)
+        rev = CL.classic_scores(CL.classic_features(CL.classic_preprocess(src)))
+    else:
+        rev = classic_reviews(spark, sf)
     return P.classic_product_metrics(rev)
 
 
