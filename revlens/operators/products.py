@@ -80,21 +80,28 @@ def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING,
     return materialize(out, materialize_as)
 
 
+def _clip01_sql(x: str) -> str:
+    return f"(CASE WHEN ({x}) < 0 THEN 0.0D WHEN ({x}) > 1 THEN 1.0D ELSE ({x}) END)"
+
+
 def product_priority(products: DataFrame) -> DataFrame:
     """PPS: weighted min-max'd frequency, order value, repeat rate, rating drop and
-    negative ratio (constant column -> 0), clipped to [0, 1]."""
+    negative ratio (constant column -> 0), clipped to [0, 1]. Expressions are
+    passed as SQL text (one parse each)."""
     w = K.PPS_WEIGHTS
-    p = products.withColumn("__rating_drop", F.lit(5.0) - F.col("avg_rating"))
-    parts = {"freq": "total_reviews", "order": "avg_order_value", "repeat": "repeat_rate",
-             "rating_drop": "__rating_drop", "negative": "negative_ratio"}
-    stats = minmax_stats(p, {k: F.col(v).cast("double") for k, v in parts.items()})
-    j = with_stats(p, stats)
-    pps = None
-    for k, v in parts.items():
-        term = w[k] * C.minmax_eps_const0(F.col(v).cast("double"), f"__min_{k}", f"__max_{k}")
-        pps = term if pps is None else pps + term
-    return j.select(*[F.col(c) for c in products.columns if c != "PPS"],
-                    C.clip01(pps).alias("PPS"))
+    parts = {"freq": "cast(total_reviews as double)", "order": "cast(avg_order_value as double)",
+             "repeat": "cast(repeat_rate as double)", "rating_drop": "(5.0D - avg_rating)",
+             "negative": "cast(negative_ratio as double)"}
+    stats = products.agg(*[F.expr(f"{fn}({e}) AS __{fn}_{k}") for k, e in parts.items()
+                           for fn in ("min", "max")])
+    j = with_stats(products, stats)
+    terms = []
+    for k, e in parts.items():
+        mn, mx = f"__min_{k}", f"__max_{k}"
+        norm = _clip01_sql(f"({e} - {mn}) / ({mx} - {mn} + {K.MINMAX_EPS!r})")
+        terms.append(f"{w[k]!r} * (CASE WHEN {mx} = {mn} THEN 0.0D ELSE {norm} END)")
+    keep = [f"`{c}`" for c in products.columns if c != "PPS"]
+    return j.selectExpr(*keep, f"{_clip01_sql(' + '.join(terms))} AS PPS")
 
 
 def final_score(products: DataFrame) -> DataFrame:
@@ -127,19 +134,16 @@ def classify_quadrants(products: DataFrame, method: str = "bracket") -> DataFram
                else F.lit(0.0))
         products = products.withColumn("total_revenue_at_risk", src)
     th = quadrant_thresholds(products, method=method)
-    rev, neg, imp = F.col("total_revenue_at_risk"), F.col("negative_ratio"), F.col("total_impact")
-    pr, pn, pi = F.col("p75_revenue"), F.col("p75_negative"), F.col("p75_impact")
-    quad = (F.when((rev > pr) & (neg > pn), K.FIRE_FIGHT)
-            .when((imp > pi) & (neg < pn), K.VIP_NUDGE)
-            .when((rev < pr) & (neg > pn), K.SLOW_BURN)
-            .otherwise(K.NOISE))
-    action = F.when(quad == K.FIRE_FIGHT, K.QUADRANT_ACTIONS[K.FIRE_FIGHT])
-    for qn in (K.VIP_NUDGE, K.SLOW_BURN):
-        action = action.when(quad == qn, K.QUADRANT_ACTIONS[qn])
-    action = action.otherwise(K.QUADRANT_ACTIONS[K.NOISE])
-    keep = [F.col(c) for c in products.columns if c not in ("quadrant", "action")]
-    j = with_stats(products, th)
-    return j.select(*keep, quad.alias("quadrant"), action.alias("action"))
+    quad = ("CASE WHEN total_revenue_at_risk > p75_revenue AND negative_ratio > p75_negative "
+            f"THEN '{K.FIRE_FIGHT}' "
+            "WHEN total_impact > p75_impact AND negative_ratio < p75_negative "
+            f"THEN '{K.VIP_NUDGE}' "
+            "WHEN total_revenue_at_risk < p75_revenue AND negative_ratio > p75_negative "
+            f"THEN '{K.SLOW_BURN}' ELSE '{K.NOISE}' END")
+    acts = " ".join(f"WHEN '{q}' THEN '{a}'" for q, a in K.QUADRANT_ACTIONS.items())
+    keep = [f"`{c}`" for c in products.columns if c not in ("quadrant", "action")]
+    j = with_stats(products, th).selectExpr(*keep, f"{quad} AS quadrant")
+    return j.selectExpr(*keep, "quadrant", f"CASE quadrant {acts} END AS action")
 
 
 def quadrant_priority(products: DataFrame) -> DataFrame:
