@@ -216,18 +216,20 @@ def round_even(c, d: int) -> Column:
 
 
 def stable_round6(c) -> Column:
-    """Round to 6 places identically across engines.
+    """Round identically across engines: 6 places below 1e5, then 4, 2 and 0
+    places for larger magnitudes (about 10-11 significant digits).
 
-    Money averages often sit exactly on a 7th-decimal tie, and float summation
-    order can tip such a value either way. Step 1 snaps to 9 significant
-    decimals (absorbs summation noise; yields the same double in any engine),
-    step 2 rounds half up with plain IEEE arithmetic.
+    Money averages often sit exactly on a decimal tie, and float summation order
+    can tip such a value either way. Step 1 snaps two places finer than the
+    output (absorbs summation noise; yields the same double in any engine), step
+    2 rounds half up with plain IEEE arithmetic.
     """
     c = col_(c)
     a = F.abs(c)
-    y = (F.when(a < 1e5, F.round(c, 9)).when(a < 1e7, F.round(c, 7))
-         .when(a < 1e9, F.round(c, 5)).otherwise(F.round(c, 3)))
-    return F.when(a < 1e9, F.floor(y * 1e6 + 0.5) / 1e6).otherwise(y)
+    return (F.when(a < 1e5, F.floor(F.round(c, 9) * 1e6 + 0.5) / 1e6)
+            .when(a < 1e7, F.floor(F.round(c, 5) * 1e4 + 0.5) / 1e4)
+            .when(a < 1e9, F.floor(F.round(c, 3) * 1e2 + 0.5) / 1e2)
+            .otherwise(F.floor(F.round(c, 1) + 0.5).cast("double")))
 
 
 def trunc_money(c) -> Column:

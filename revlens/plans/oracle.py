@@ -67,9 +67,10 @@ def flag(x: str) -> str:
 
 def r6(x: str) -> str:
     """Same two-step rounding as ``columns.stable_round6``."""
-    return (f"(case when abs({x}) < 1e9 then floor((case when abs({x}) < 1e5 then round({x}, 9) "
-            f"when abs({x}) < 1e7 then round({x}, 7) else round({x}, 5) end) * 1e6 + 0.5) / 1e6 "
-            f"else round({x}, 3) end)")
+    return (f"(case when abs({x}) < 1e5 then floor(round({x}, 9) * 1e6 + 0.5) / 1e6 "
+            f"when abs({x}) < 1e7 then floor(round({x}, 5) * 1e4 + 0.5) / 1e4 "
+            f"when abs({x}) < 1e9 then floor(round({x}, 3) * 1e2 + 0.5) / 1e2 "
+            f"else cast(floor(round({x}, 1) + 0.5) as double) end)")
 
 
 def trunc_money(x: str) -> str:

@@ -30,9 +30,10 @@ def register(name: str):
 def _r6_sql(c: str) -> str:
     """SQL form of ``columns.stable_round6`` (one parse instead of many calls)."""
     x = f"`{c}`"
-    return (f"CASE WHEN abs({x}) < 1e9 THEN floor((CASE WHEN abs({x}) < 1e5 THEN round({x}, 9) "
-            f"WHEN abs({x}) < 1e7 THEN round({x}, 7) ELSE round({x}, 5) END) * 1e6 + 0.5D) / 1e6 "
-            f"ELSE round({x}, 3) END AS `{c}`")
+    return (f"CASE WHEN abs({x}) < 1e5 THEN floor(round({x}, 9) * 1e6 + 0.5D) / 1e6 "
+            f"WHEN abs({x}) < 1e7 THEN floor(round({x}, 5) * 1e4 + 0.5D) / 1e4 "
+            f"WHEN abs({x}) < 1e9 THEN floor(round({x}, 3) * 1e2 + 0.5D) / 1e2 "
+            f"ELSE CAST(floor(round({x}, 1) + 0.5D) AS DOUBLE) END AS `{c}`")
 
 
 def round6(df: DataFrame) -> DataFrame:
