@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, token_files
+from revlens.llm import bpe, langid, token_files, toxicity
 from revlens.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,12 +16,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_table(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op4_langid": op4_langid,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
