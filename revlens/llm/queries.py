@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, langid, token_files, toxicity
+from revlens.llm import bpe, digest, langid, token_files, toxicity
 from revlens.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -33,6 +37,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_langid": op4_langid,
+    "op6_digest": op6_digest,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
