@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, digest, langid, token_files, toxicity
+from revlens.llm import bpe, digest, langid, ngram_join, token_files, toxicity
 from revlens.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_table(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
@@ -35,6 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op4_langid": op4_langid,
     "op6_digest": op6_digest,
