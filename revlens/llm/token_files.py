@@ -22,65 +22,137 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm.common import open_fs, shared_folder
 
-MEMO_RUNS = 500_000       # text runs remembered per Python worker
+MEMO_RUNS = 300_000       # text runs, and words, asked for lately, remembered per Python worker
 STEP_CHARS = 1_000_000
 NULL_ID = np.iinfo(np.int64).min
 LOOSE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+RARE_SPACE = re.compile(r"[\x0b-\x1f\x85\xa0]")
+# fixed values: the byte-level pre-tokenizer's settings and its pattern
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PRETOKEN = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LATIN = "\u024f"
+
+
+class Memo:
+    """Text to ids as bytes; of entries that aren't asked for again the oldest go."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys not held; room is made first, so that held ones stay for now."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        out = []
+        now, old = self.now, self.old
+        for k in keys:
+            if k not in now:
+                if k in old:
+                    now[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 class RunEncoder:
-    """The tokenizers library behind a memo of text runs.
+    """The tokenizers library behind memos of text runs and of words.
 
     A byte-level pre-tokenizer always cuts before a single space between two characters that
     are no white space, so a text may be cut there, each run (with its leading space) encoded
-    by the library once, and the ids put together.
+    once, and the ids put together. Runs of Latin text are cut further by the pre-tokenizer's
+    own pattern, and each word is given to the library's model once; other runs, and those
+    that may hold a special token, go through the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.memo: dict[str, bytes] = {}
-
-    def runs(self, text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return LOOSE_SPACE.split(text)
-        return text.split(" ")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = self._plain(Tokenizer.from_file(path))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = None
+        if spec["normalizer"] is None and spec["pre_tokenizer"] == BYTE_LEVEL:
+            self.words = self._plain(Tokenizer.from_file(path))
+            self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.run_memo, self.word_memo = Memo(MEMO_RUNS), Memo(MEMO_RUNS)
+
+    @staticmethod
+    def _plain(tokenizer):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
+        code = self.code
+        ids = [array(code, e.ids) for e in
+               tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
+
+    def learn(self, runs: set[str]) -> None:
+        whole, cut, odd = [], [], []
+        for run in self.run_memo.missing(runs):
+            if not run or run[0].isspace() or run[-1].isspace():
+                odd.append(run)
+            elif self.words is None or "<|" in run or max(run) > LATIN or RARE_SPACE.search(run):
+                whole.append(run)
+            else:
+                cut.append((run, PRETOKEN.findall(" " + run)))
+        held = self.run_memo.now
+        held.update(dict.fromkeys(odd))  # not cut there: see `texts`
+        if whole:
+            held.update(zip(whole, self._encode(self.tokenizer, [" " + r for r in whole]), strict=True))
+        new = self.word_memo.missing({w for _, words in cut for w in words})
+        word = self.word_memo.now
+        if new:
+            word.update(zip(new, self._encode(self.words, new), strict=True))
+        for run, words in cut:
+            held[run] = b"".join([word[w] for w in words])
 
     def texts(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes."""
-        if len(self.memo) > MEMO_RUNS:
-            self.memo = {}
-        split = [self.runs(t) for t in texts]
-        memo = self.memo
-        new = [r for r in set().union(*(s[1:] for s in split)) if r not in memo]
-        encoded = self.tokenizer.encode_batch_fast([" " + r for r in new],
-                                                   add_special_tokens=False)
-        kind = self.kind
-        for run, e in zip(new, encoded, strict=True):
-            memo[run] = np.array(e.ids, kind).tobytes()
-        heads = self.tokenizer.encode_batch_fast([s[0] for s in split], add_special_tokens=False)
-        end = np.array([end_id], kind).tobytes()
-        return [b"".join([np.array(h.ids, kind).tobytes(), *map(memo.__getitem__, s[1:]), end])
-                for h, s in zip(heads, split, strict=True)]
+        split = [t.split(" ") for t in texts]
+        self.learn(set().union(*(s[1:] for s in split)))
+        held = self.run_memo.now
+        odd = [k for k, s in enumerate(split) if s[0] != s[0].strip() or not s[0] and len(s) > 1
+               or None in map(held.__getitem__, s[1:])]
+        if odd:  # space next to other white space
+            for k in odd:
+                split[k] = LOOSE_SPACE.split(texts[k])
+            self.learn(set().union(*(s[1:] for s in split)))
+            held = self.run_memo.now
+        heads = self._encode(self.tokenizer, [s[0] for s in split])
+        end = np.array([end_id], self.kind).tobytes()
+        get = held.__getitem__
+        out = []
+        for h, s in zip(heads, split, strict=True):
+            ids = [*map(get, s[1:])]
+            if None in ids:  # a text's last run may end with white space
+                ids = [i if i is not None else self._encode(self.tokenizer, [" " + r])[0]
+                       for i, r in zip(ids, s[1:], strict=True)]
+            out.append(b"".join([h, *ids, end]))
+        return out
 
 
 _ENCODERS: dict[str, RunEncoder] = {}
