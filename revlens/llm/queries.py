@@ -5,7 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, digest, langid, ngram_join, token_files, toxicity
+from revlens.llm import (
+    bpe,
+    digest,
+    langid,
+    mixing,
+    ngram_join,
+    token_files,
+    toxicity,
+    url_templates,
+)
 from revlens.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +39,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages")).drop("purity")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("rate")
+
+
 def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +59,8 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op4_langid": op4_langid,
+    "op5_url_templates": op5_url_templates,
+    "op7_mixing": op7_mixing,
     "op6_digest": op6_digest,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
