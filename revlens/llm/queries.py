@@ -11,6 +11,7 @@ from revlens.llm import (
     langid,
     mixing,
     ngram_join,
+    pivot_index,
     token_files,
     toxicity,
     url_templates,
@@ -51,6 +52,11 @@ def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return pivot_index.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -62,7 +68,25 @@ QUERIES = {
     "op5_url_templates": op5_url_templates,
     "op7_mixing": op7_mixing,
     "op6_digest": op6_digest,
+    "op8_pivot_index": op8_pivot_index,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, vec_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op8_pivot_index": OP8_SQL}
