@@ -38,7 +38,8 @@ EVIDENCE_WORDS = 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
 MIN_SCORE = 0.5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
+STEP_CHARS = 1_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,21 +52,23 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """scores[k]: gram -> logarithms per language; k = 0 holds words, k the n-grams of size k."""
+    """rows[k]: gram -> row of ``scores`` (logarithms per language); k = 0 holds words."""
 
     languages: list[str]
-    scores: list[dict[str, np.ndarray]]
+    rows: list[dict[str, int]]
+    scores: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.scores[0].get(word)
+    def word_rows(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score: its own, or those of its longest seen n-grams."""
+        known = self.rows[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.scores[n]
+            table = self.rows[n]
             seen = [table[g] for g in grams(word, n) if g in table]
             if seen:
-                return np.mean(seen, axis=0)
-        return np.zeros(len(self.languages))
+                return seen
+        return []
 
 
 def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
@@ -76,7 +79,7 @@ def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count()
              .orderBy(F.desc("count"), "lang").limit(1_000).collect()}
     if not sizes:
-        return Model([], [{} for _ in range(LONGEST_GRAM + 1)])
+        return Model([], [{} for _ in range(LONGEST_GRAM + 1)], np.zeros((0, 0)))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
     limit = F.lit(0.0)
     for lang, n in sizes.items():
@@ -110,13 +113,15 @@ def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
     for lang, kind, gram, n, all_ in top.toPandas().itertuples(index=False):
         seen[kind].setdefault(gram, np.zeros(len(languages)))[at[lang]] = n
         totals[kind, at[lang]] = all_
-    scores = [{g: np.log((c + SMOOTHING) / (totals[k] + SMOOTHING * (len(t) + 1)))
-               for g, c in t.items()} for k, t in enumerate(seen)]
-    return Model(languages, scores)
+    rows, scores = [], []
+    for k, t in enumerate(seen):
+        rows.append({g: len(scores) + i for i, g in enumerate(t)})
+        scores += [np.log((c + SMOOTHING) / (totals[k] + SMOOTHING * (len(t) + 1))) for c in t.values()]
+    return Model(languages, rows, np.array(scores).reshape(-1, len(languages)))
 
 
 class Predictor:
-    """Languages of texts under one model; words' scores are remembered."""
+    """Languages of texts under one model; the scores of runs of text are remembered."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -124,45 +129,68 @@ class Predictor:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.size = 0
-        self.table = np.zeros((1024, len(self.model.languages) + 1))
+        self.table = np.zeros((0, len(self.model.languages) + 1))
 
     def learn(self, chunks: set[str]) -> None:
         """Rows of the table: the scores of a run of text's words, and how many they are."""
-        for chunk in chunks:
-            if chunk in self.at:
-                continue
-            if self.size == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        at = self.at
+        new = [c for c in chunks if c not in at]
+        index: list[int] = []
+        weight: list[float] = []
+        start: list[int] = []
+        count: list[int] = []
+        for chunk in new:
             words = LETTERS.findall(chunk)
-            if words and self.model.languages:
-                self.table[self.size, :-1] = sum(self.model.word(w) for w in words)
-            else:
-                self.table[self.size, :-1] = 0.0
-            self.table[self.size, -1] = len(words)
-            self.at[chunk] = self.size
-            self.size += 1
+            start.append(len(index))
+            count.append(len(words))
+            for w in words:
+                rows = self.model.word_rows(w)
+                index += rows
+                weight += [1.0 / len(rows)] * len(rows)
+            at[chunk] = len(at)
+        held = np.zeros((len(new), self.table.shape[1]))
+        held[:, -1] = count
+        some = np.diff([*start, len(index)]) > 0
+        if some.any():
+            each = self.model.scores[index] * np.array(weight)[:, None]
+            held[some, :-1] = np.add.reduceat(each, np.array(start)[some])
+        self.table = np.concatenate([self.table, held])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            if len(self.at) > MEMO_WORDS:
-                self.forget()
-            chunks = (text or "").lower().split()
-            at = self.at
-            rows = [*map(at.get, chunks)]
-            if None in rows:
-                self.learn(set(chunks))
-                rows = [*map(at.__getitem__, chunks)]
-            total = self.table[rows].sum(axis=0) if rows else np.zeros(self.table.shape[1])
-            if total[-1] == 0 or not self.model.languages:
-                names.append(UNKNOWN)
-                continue
-            z = total[:-1] * (min(total[-1], EVIDENCE_WORDS) / total[-1])
-            best = int(z.argmax())
-            names.append(self.model.languages[best])
-            scores[i] = 1.0 / np.exp(z - z[best]).sum()
-        return names, scores
+        names: list[str] = []
+        scores: list[float] = []
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and held < STEP_CHARS:
+                held += len(texts[hi] or "")
+                hi += 1
+            for total in self._totals([(t or "").lower().split() for t in texts[lo:hi]]):
+                if total[-1] == 0 or not self.model.languages:
+                    names.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                z = total[:-1] * (min(total[-1], EVIDENCE_WORDS) / total[-1])
+                best = int(z.argmax())
+                names.append(self.model.languages[best])
+                scores.append(1.0 / float(np.exp(z - z[best]).sum()))
+            lo = hi
+        return names, np.array(scores)
+
+    def _totals(self, split: list[list[str]]) -> np.ndarray:
+        """Of each text its words' summed scores, and how many words it has."""
+        if len(self.at) > MEMO_WORDS:
+            self.forget()
+        self.learn(set().union(*split))
+        out = np.zeros((len(split), self.table.shape[1]))
+        sizes = np.array([len(s) for s in split])
+        some = sizes > 0
+        if some.any():
+            at = self.at.__getitem__
+            rows = np.fromiter((r for s in split for r in map(at, s)), np.int64, int(sizes.sum()))
+            start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            out[some] = np.add.reduceat(self.table[rows], start[some])
+        return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
