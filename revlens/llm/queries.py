@@ -9,6 +9,7 @@ from revlens.llm import (
     bpe,
     digest,
     langid,
+    licenses,
     mixing,
     ngram_join,
     pivot_index,
@@ -30,6 +31,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_table(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -64,6 +69,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
+    "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
     "op5_url_templates": op5_url_templates,
     "op7_mixing": op7_mixing,
