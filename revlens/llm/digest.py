@@ -64,7 +64,8 @@ _TABLES: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n at least; kept per Python worker."""
     if not _TABLES or len(_TABLES[0]) < n:
-        _TABLES[:] = [_powers(BASE, 2 * n), _powers(pow(BASE, -1, 1 << 64), 2 * n)]
+        size = 1 << max(16, n.bit_length())
+        _TABLES[:] = [_powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)]
     return _TABLES[0], _TABLES[1]
 
 

@@ -12,7 +12,7 @@ Plan, each step over all documents:
    delta-coded runs (not a row per n-gram). The bucket counts the classes of each hash; only
    hashes of two classes or more go back. A hash that many documents of one run share is sent
    once with its count (pre-aggregation), so a passage in a third of all documents is one entry
-   a run. Buckets are as many as keep ``BUCKET_ENTRIES`` each; a run holds ``RUN_WORDS`` words.
+   a run. Buckets are as many as keep ``BUCKET_ENTRIES`` each; a run holds ``RUN_ENTRIES``.
 3. *Prefixes.* A set of n n-grams, ordered rarest first, can only reach the threshold with a
    partner through its first n - ceil(0.8 n) + 1 n-grams. Hashes of one class come first and
    have no partner, so a class whose prefix has no other hash is done here: most are.
@@ -46,8 +46,9 @@ from revlens.llm.digest import powers
 
 SHINGLE = 5
 PERCENT = 80
-RUN_WORDS = 1_000_000        # words of the texts that a task handles at a time
-BUCKET_ENTRIES = 2_000_000   # hashes a bucket, about
+PIECE_CHARS = 1_000_000      # texts are hashed in pieces of about this many characters
+RUN_ENTRIES = 2_000_000      # hashes of the texts that are sent as one run, about
+BUCKET_ENTRIES = 1_500_000   # hashes a bucket, about
 SHARED_LEAST = 8             # documents of a run that share a hash, to be sent as a count
 SHARED_PART = 64             # and at least this part of the run's documents
 RANGES = 32                  # of the suffix filter
@@ -126,8 +127,8 @@ def distinct_sorted(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[keep], owner[keep]
 
 
-class Run:
-    """The sets of a run of texts: hash and owner ordered by hash; n and signatures by text."""
+class Piece:
+    """The sets of some texts: hash and owner ordered by hash; n and signatures by text."""
 
     def __init__(self, texts: list[bytes]):
         h, owner = shingle_hashes(texts)
@@ -143,24 +144,24 @@ class Run:
                 self.sig[i, some] = np.add.reduceat(mixed(self.h[by] * odd), start[some])
 
 
-def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Run]]:
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Piece]]:
     for batch in batches:
-        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-                 for t in batch["t"]]
+        texts = batch["t"].tolist()
         lo = 0
         while lo < len(texts):
             hi, held = lo, 0
-            while hi < len(texts) and held < 6 * RUN_WORDS:
-                held += len(texts[hi])
+            while hi < len(texts) and held < PIECE_CHARS:
+                held += len(texts[hi] or "")
                 hi += 1
-            yield batch.iloc[lo:hi], Run(texts[lo:hi])
+            yield batch.iloc[lo:hi], Piece([t.encode("utf-8", "surrogatepass") if t else b""
+                                            for t in texts[lo:hi]])
             lo = hi
 
 
 def class_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch, run in runs(batches):
-        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": run.n,
-                            "s1": run.sig[0].view(np.int64), "s2": run.sig[1].view(np.int64)})
+    for batch, piece in pieces(batches):
+        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": piece.n,
+                            "s1": piece.sig[0].view(np.int64), "s2": piece.sig[1].view(np.int64)})
 
 
 # ---- packed runs of hashes --------------------------------------------------------------------
@@ -182,24 +183,47 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
 
 
+def fresh_runs(batches: Iterator[pd.DataFrame]
+               ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of the task's classes, each once: hashes and owners by hash, signatures, sizes."""
+    seen: set[bytes] = set()
+    hs, owners, sigs, ns = [], [], [], []
+    docs = held = 0
+
+    def run():
+        h, owner = np.concatenate(hs), np.concatenate(owners)
+        order = np.argsort(h, kind="stable")
+        return h[order], owner[order], np.concatenate(sigs, axis=1), np.concatenate(ns)
+
+    for _, piece in pieces(batches):
+        fresh = np.zeros(len(piece.n), bool)
+        for i, key in enumerate(map(bytes, piece.sig.T.copy())):
+            if piece.n[i] and key not in seen:
+                seen.add(key)
+                fresh[i] = True
+        keep = fresh[piece.owner]
+        hs.append(piece.h[keep])
+        owners.append((np.cumsum(fresh) - 1 + docs)[piece.owner[keep]])
+        sigs.append(piece.sig[:, fresh])
+        ns.append(piece.n[fresh])
+        docs += int(fresh.sum())
+        held += len(hs[-1])
+        if held >= RUN_ENTRIES:
+            yield run()
+            hs, owners, sigs, ns = [], [], [], []
+            docs = held = 0
+    if docs:
+        yield run()
+
+
 def postings(buckets: int):
-    """Each run's hashes to their buckets; the run's texts ride along with one of them."""
+    """Each run's hashes to their buckets; the run's classes ride along with one of them."""
 
     def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        part, number = TaskContext.get().partitionId(), 0
-        for _, run in runs(batches):
-            fresh = np.zeros(len(run.n), bool)
-            for i, key in enumerate(map(bytes, run.sig.T.copy())):
-                if run.n[i] and key not in seen:
-                    seen.add(key)
-                    fresh[i] = True
-            local = np.cumsum(fresh) - 1
-            keep = fresh[run.owner]
-            h, ref = run.h[keep], local[run.owner[keep]]
-            docs = int(fresh.sum())
-            if not docs:
-                continue
+        part = TaskContext.get().partitionId()
+        edges = np.array([-(-(b << 32) // buckets) for b in range(1, buckets)], np.uint64)
+        for number, (h, ref, sig, n) in enumerate(fresh_runs(batches)):
+            docs = len(n)
             # hashes that many of the run's documents share: one entry with its count
             lead = np.concatenate([[True], h[1:] != h[:-1]])
             place = np.cumsum(lead) - 1
@@ -215,10 +239,7 @@ def postings(buckets: int):
                 once = ~inside | lead
                 h, ref = h[once], ref[once]
             run_id = part * 100_000 + number
-            number += 1
-            sig = run.sig[:, fresh]
-            cut = np.searchsorted(h >> np.uint64(32), np.array(
-                [-(-(b << 32) // buckets) for b in range(1, buckets)], np.uint64))
+            cut = np.searchsorted(h >> np.uint64(32), edges)
             blobs, names = [], []
             for b, (x, y) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)):
                 if x < y:
@@ -226,7 +247,7 @@ def postings(buckets: int):
                     names.append(b)
             yield pd.DataFrame({"bucket": [*names, run_id % buckets], "run": run_id,
                                 "kind": [0] * len(names) + [1],
-                                "body": [*blobs, pickle.dumps((sig, run.n[fresh], held))]})
+                                "body": [*blobs, pickle.dumps((sig, n, held))]})
 
     return run_all
 
