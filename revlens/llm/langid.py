@@ -146,7 +146,7 @@ class Predictor:
             for w in words:
                 rows = self.model.word_rows(w)
                 index += rows
-                weight += [1.0 / len(rows)] * len(rows)
+                weight += [1.0 / max(1, len(rows))] * len(rows)
             at[chunk] = len(at)
         held = np.zeros((len(new), self.table.shape[1]))
         held[:, -1] = count
