@@ -37,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +48,13 @@ from revlens.llm.digest import powers
 
 SHINGLE = 5
 PERCENT = 80
-PIECE_CHARS = 1_000_000      # texts are hashed in pieces of about this many characters
-RUN_ENTRIES = 2_000_000      # hashes of the texts that are sent as one run, about
-BUCKET_ENTRIES = 1_500_000   # hashes a bucket, about
+PIECE_BYTES = 1_000_000      # texts are hashed in pieces of about this size
+RUN_ENTRIES = 1_000_000      # hashes of the texts that are sent as one run, about
+BUCKET_ENTRIES = 1_000_000   # hashes a bucket, about
 SHARED_LEAST = 8             # documents of a run that share a hash, to be sent as a count
 SHARED_PART = 64             # and at least this part of the run's documents
 RANGES = 32                  # of the suffix filter
+HASH_BITS = 56               # sent of each hash; the sets' sizes and signatures use all 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -144,46 +147,46 @@ class Piece:
                 self.sig[i, some] = np.add.reduceat(mixed(self.h[by] * odd), start[some])
 
 
-def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Piece]]:
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Piece]]:
+    """Column ``t`` holds the texts as bytes."""
     for batch in batches:
-        texts = batch["t"].tolist()
-        lo = 0
-        while lo < len(texts):
-            hi, held = lo, 0
-            while hi < len(texts) and held < PIECE_CHARS:
-                held += len(texts[hi] or "")
-                hi += 1
-            yield batch.iloc[lo:hi], Piece([t.encode("utf-8", "surrogatepass") if t else b""
-                                            for t in texts[lo:hi]])
-            lo = hi
-
-
-def class_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy()
+        ends = np.searchsorted(np.cumsum(sizes), np.arange(1, sizes.sum() // PIECE_BYTES + 1) * PIECE_BYTES)
+        cuts = np.unique(np.concatenate([[0], ends + 1, [batch.num_rows]]).clip(0, batch.num_rows))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = batch.slice(lo, hi - lo)
+            yield part, Piece([t or b"" for t in part.column("t").to_pylist()])
+
+
+def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, piece in pieces(batches):
-        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": piece.n,
-                            "s1": piece.sig[0].view(np.int64), "s2": piece.sig[1].view(np.int64)})
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(piece.n.astype(np.int32)),
+             pa.array(piece.sig[0].view(np.int64)), pa.array(piece.sig[1].view(np.int64))],
+            ["doc_id", "n", "s1", "s2"])
 
 
 # ---- packed runs of hashes --------------------------------------------------------------------
-def packed(h: np.ndarray) -> tuple[int, bytes]:
-    """Ascending hashes as differences, in as many bytes as the largest needs."""
-    gap = np.diff(h, prepend=np.uint64(0))
+def packed(h: np.ndarray) -> tuple[int, int, bytes]:
+    """Ascending hashes as the first and the differences, in as many bytes as the largest needs."""
+    first = int(h[0]) if len(h) else 0
+    gap = np.diff(h, prepend=np.uint64(first))
     k = max(1, (int(gap.max()).bit_length() + 7) // 8) if len(gap) else 1
-    return k, np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :k]).tobytes()
+    return first, k, np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :k]).tobytes()
 
 
-def unpacked(k: int, body: bytes) -> np.ndarray:
+def unpacked(first: int, k: int, body: bytes) -> np.ndarray:
     raw = np.frombuffer(body, np.uint8).reshape(-1, k)
     gap = np.zeros((len(raw), 8), np.uint8)
     gap[:, :k] = raw
-    return np.cumsum(gap.reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(gap.reshape(-1).view(np.uint64), dtype=np.uint64) + np.uint64(first)
 
 
 def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
 
 
-def fresh_runs(batches: Iterator[pd.DataFrame]
+def fresh_runs(batches: Iterator[pa.RecordBatch]
                ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of the task's classes, each once: hashes and owners by hash, signatures, sizes."""
     seen: set[bytes] = set()
@@ -202,7 +205,7 @@ def fresh_runs(batches: Iterator[pd.DataFrame]
                 seen.add(key)
                 fresh[i] = True
         keep = fresh[piece.owner]
-        hs.append(piece.h[keep])
+        hs.append(piece.h[keep] >> np.uint64(64 - HASH_BITS))
         owners.append((np.cumsum(fresh) - 1 + docs)[piece.owner[keep]])
         sigs.append(piece.sig[:, fresh])
         ns.append(piece.n[fresh])
@@ -219,7 +222,7 @@ def fresh_runs(batches: Iterator[pd.DataFrame]
 def postings(buckets: int):
     """Each run's hashes to their buckets; the run's classes ride along with one of them."""
 
-    def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         edges = np.array([-(-(b << 32) // buckets) for b in range(1, buckets)], np.uint64)
         for number, (h, ref, sig, n) in enumerate(fresh_runs(batches)):
@@ -239,15 +242,18 @@ def postings(buckets: int):
                 once = ~inside | lead
                 h, ref = h[once], ref[once]
             run_id = part * 100_000 + number
-            cut = np.searchsorted(h >> np.uint64(32), edges)
+            cut = np.searchsorted(h >> np.uint64(HASH_BITS - 32), edges)
             blobs, names = [], []
             for b, (x, y) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)):
                 if x < y:
                     blobs.append(pickle.dumps((packed(h[x:y]), small(ref[x:y]), sig[0], weight)))
                     names.append(b)
-            yield pd.DataFrame({"bucket": [*names, run_id % buckets], "run": run_id,
-                                "kind": [0] * len(names) + [1],
-                                "body": [*blobs, pickle.dumps((sig, n, held))]})
+            blobs.append(pickle.dumps((sig, n, held)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names, run_id % buckets], pa.int32()),
+                 pa.array([run_id] * len(blobs), pa.int64()),
+                 pa.array([0] * len(names) + [1], pa.int32()), pa.array(blobs, pa.binary())],
+                ["bucket", "run", "kind", "body"])
 
     return run_all
 
@@ -258,9 +264,9 @@ def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     told = [rows[rows["kind"] == 1][["run", "kind", "body"]]]
     hs, refs, runs_, classes, weights = [], [], [], [], []
     for k, body in enumerate(own["body"]):
-        (size, raw), ref, sig, weight = pickle.loads(body)
+        body, ref, sig, weight = pickle.loads(body)
         ref = ref.astype(np.int64)
-        hs.append(unpacked(size, raw))
+        hs.append(unpacked(*body))
         refs.append(ref)
         runs_.append(np.full(len(ref), k, np.int32))
         docs = len(sig)
@@ -307,8 +313,8 @@ def prefixes(rows: pd.DataFrame) -> pd.DataFrame:
     docs = len(n)
     hs, ds, fs = [], [], []
     for body in rest:
-        (size, raw), ref, df = pickle.loads(body)
-        h, ref, df = unpacked(size, raw), ref.astype(np.int64), df.astype(np.int64)
+        body, ref, df = pickle.loads(body)
+        h, ref, df = unpacked(*body), ref.astype(np.int64), df.astype(np.int64)
         alone = ref < docs
         hs.append(h[alone])
         ds.append(ref[alone])
@@ -345,7 +351,7 @@ def prefix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b = batch.iloc[lo:lo + 500]
             sets = [np.frombuffer(x, np.uint64) for x in b["shared"]]
             sizes = b["prefix"].to_numpy()
-            counts = [np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES),
+            counts = [np.minimum(np.bincount((s >> np.uint64(HASH_BITS - 5)).astype(np.int64), minlength=RANGES),
                                  65535).astype("<u2").tobytes() for s in sets]
             yield pd.DataFrame({
                 "gram": np.concatenate([s[:k] for s, k in zip(sets, sizes, strict=True)]).view(np.int64),
@@ -460,14 +466,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, class_id (smallest id with an equal set)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
-    members = checkpointed(read.mapInPandas(class_rows, "doc_id long, n int, s1 long, s2 long"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").cast("binary").alias("t"))
+    members = checkpointed(read.mapInArrow(class_rows, "doc_id long, n int, s1 long, s2 long"))
     reps = (members.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
             .agg(F.min("doc_id").alias("c")))
     entries = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
     counted = (read.where(F.col("doc_id").isNotNull()).select("t")
-               .mapInPandas(postings(buckets), "bucket int, run long, kind int, body binary")
+               .mapInArrow(postings(buckets), "bucket int, run long, kind int, body binary")
                .groupBy("bucket").applyInPandas(count_bucket, "run long, kind int, body binary"))
     alive = counted.groupBy("run").applyInPandas(
         prefixes, "s1 long, s2 long, n int, own int, prefix int, shared binary")
