@@ -19,6 +19,7 @@ kept side by side; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -41,12 +42,11 @@ MEMO_RUNS = 300_000       # text runs, and words, asked for lately, remembered p
 STEP_CHARS = 1_000_000
 NULL_ID = np.iinfo(np.int64).min
 LOOSE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-RARE_SPACE = re.compile(r"[\x0b-\x1f\x85\xa0]")
+PLAIN = re.compile("[\n!-~\xa1-\xac\xae-\u024f]+")  # Latin, with no white space but line ends
 # fixed values: the byte-level pre-tokenizer's settings and its pattern
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LATIN = "\u024f"
 
 
 class Memo:
@@ -59,15 +59,10 @@ class Memo:
         """The keys not held; room is made first, so that held ones stay for now."""
         if len(self.now) > self.size:
             self.now, self.old = {}, self.now
-        out = []
-        now, old = self.now, self.old
-        for k in keys:
-            if k not in now:
-                if k in old:
-                    now[k] = old[k]
-                else:
-                    out.append(k)
-        return out
+        new = keys.difference(self.now)
+        held = new.intersection(self.old)
+        self.now.update((k, self.old[k]) for k in held)
+        return list(new - held)
 
 
 class RunEncoder:
@@ -112,13 +107,14 @@ class RunEncoder:
 
     def learn(self, runs: set[str]) -> None:
         whole, cut, odd = [], [], []
+        plain, find = PLAIN.fullmatch, PRETOKEN.findall
         for run in self.run_memo.missing(runs):
-            if not run or run[0].isspace() or run[-1].isspace():
+            if self.words is not None and plain(run) and "<|" not in run:
+                cut.append((run, find(" " + run)))
+            elif not run or run[0].isspace() or run[-1].isspace():
                 odd.append(run)
-            elif self.words is None or "<|" in run or max(run) > LATIN or RARE_SPACE.search(run):
-                whole.append(run)
             else:
-                cut.append((run, PRETOKEN.findall(" " + run)))
+                whole.append(run)
         held = self.run_memo.now
         held.update(dict.fromkeys(odd))  # not cut there: see `texts`
         if whole:
@@ -132,28 +128,34 @@ class RunEncoder:
 
     def texts(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes."""
+        gc.disable()  # many small objects and no cycles
+        try:
+            return self._texts(texts, end_id)
+        finally:
+            gc.enable()
+
+    def _texts(self, texts: list[str], end_id: int) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         self.learn(set().union(*(s[1:] for s in split)))
         held = self.run_memo.now
-        odd = [k for k, s in enumerate(split) if s[0] != s[0].strip() or not s[0] and len(s) > 1
-               or None in map(held.__getitem__, s[1:])]
-        if odd:  # space next to other white space
-            for k in odd:
-                split[k] = LOOSE_SPACE.split(texts[k])
-            self.learn(set().union(*(s[1:] for s in split)))
-            held = self.run_memo.now
         heads = self._encode(self.tokenizer, [s[0] for s in split])
         end = np.array([end_id], self.kind).tobytes()
         get = held.__getitem__
         out = []
-        for h, s in zip(heads, split, strict=True):
-            ids = [*map(get, s[1:])]
-            if None in ids:  # a text's last run may end with white space
-                ids = [i if i is not None else self._encode(self.tokenizer, [" " + r])[0]
-                       for i, r in zip(ids, s[1:], strict=True)]
-            out.append(b"".join([h, *ids, end]))
+        for text, head, s in zip(texts, heads, split, strict=True):
+            try:
+                if s[0] != s[0].strip() or not s[0] and len(s) > 1:
+                    raise TypeError
+                out.append(b"".join([head, *map(get, s[1:]), end]))
+            except TypeError:  # a run that isn't cut there: space next to other white space
+                out.append(b"".join([*self._oddly(text), end]))
         return out
 
+    def _oddly(self, text: str) -> list[bytes]:
+        """Cut at single spaces between other characters only; no memo."""
+        first, *rest = LOOSE_SPACE.split(text)
+        return self._encode(self.tokenizer, [first, *(" " + r for r in rest)])
+
 
 _ENCODERS: dict[str, RunEncoder] = {}
 
