@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import held_out
+from revlens.llm.common import checkpointed, held_out
 
 SAMPLE_DOCUMENTS = 3_000   # of each language, about
-TABLE_WORDS = 20_000       # words, and n-grams of each size, kept per language
+TABLE_WORDS = 10_000       # words, and n-grams of each size, kept per language
 LONGEST_GRAM = 5
 EVIDENCE_WORDS = 20
 SMOOTHING = 0.5
@@ -103,21 +103,26 @@ def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
     counts = (sample.mapInPandas(count, "lang string, kind int, gram string, n long")
               .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
     by = Window.partitionBy("lang", "kind")  # of the bounded sample
-    top = (counts.withColumn("all", F.sum("n").over(by))
+    top = checkpointed(counts.withColumn("all", F.sum("n").over(by))
            .withColumn("r", F.row_number().over(by.orderBy(F.desc("n"), "gram")))
            .where(F.col("r") <= TABLE_WORDS).select("lang", "kind", "gram", "n", "all"))
     languages = sorted(sizes)
-    at = {lang: i for i, lang in enumerate(languages)}
-    seen: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    totals = np.ones((LONGEST_GRAM + 1, len(languages)))
-    for lang, kind, gram, n, all_ in top.toPandas().itertuples(index=False):
-        seen[kind].setdefault(gram, np.zeros(len(languages)))[at[lang]] = n
-        totals[kind, at[lang]] = all_
-    rows, scores = [], []
-    for k, t in enumerate(seen):
-        rows.append({g: len(scores) + i for i, g in enumerate(t)})
-        scores += [np.log((c + SMOOTHING) / (totals[k] + SMOOTHING * (len(t) + 1))) for c in t.values()]
-    return Model(languages, rows, np.array(scores).reshape(-1, len(languages)))
+    # a row for each gram, a column for each language; as Arrow, without a Python object a row
+    wide = top.groupBy("kind", "gram").agg(*[
+        F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}")
+        for i, lang in enumerate(languages)]).toArrow()
+    whole = {(r["kind"], r["lang"]): r["all"] for r in
+             top.groupBy("kind", "lang").agg(F.max("all").alias("all")).collect()}
+    kinds = wide.column("kind").to_numpy()
+    seen = np.stack([wide.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1)
+    rows, scores, held = [], [], 0
+    for k in range(LONGEST_GRAM + 1):
+        at = np.flatnonzero(kinds == k)
+        totals = np.array([whole.get((k, lang), 1) for lang in languages], float)
+        rows.append(dict(zip(wide.column("gram").take(at).to_pylist(), range(held, held + len(at)), strict=True)))
+        scores.append(np.log((seen[at] + SMOOTHING) / (totals + SMOOTHING * (len(at) + 1))))
+        held += len(at)
+    return Model(languages, rows, np.concatenate(scores))
 
 
 class Predictor:

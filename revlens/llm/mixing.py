@@ -88,10 +88,11 @@ def tilted(counts: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("lam", F.when((ratio > 0) & (ratio < 1 - 1e-9), F.ln(ratio / (1 - ratio))))
         .withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)))
     work = counts.where("size > 0")
+    few = state.count() <= SENT_SOURCES
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("lam"), x)
-        at = _with_source(work, state.where("lam IS NOT NULL").select("s", "mean", "lam"))
+        at = _with_source(work, state.where("lam IS NOT NULL").select("s", "mean", "lam"), few)
         sums = at.groupBy("s").agg(
             F.sum(F.col("c") * F.col("size") * rate).alias("words"),
             F.sum(F.col("c") * F.col("size") * x * rate * (1 - rate / MOST)).alias("slope"))
@@ -115,8 +116,8 @@ def tilted(counts: DataFrame, targets: DataFrame) -> DataFrame:
 SENT_SOURCES = 20_000  # one small row each; more are joined by a shuffle
 
 
-def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    if sources.count() <= SENT_SOURCES:
+def _with_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    if few:
         sources = F.broadcast(sources)
     return rows.join(sources, rows["s"].eqNullSafe(sources["s"])).drop(sources["s"])
 
@@ -132,7 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
             .when(F.col("lam").isNull(), F.lit(MOST))
             .otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"))))
     groups = F.greatest(F.lit(1), F.ceil(F.coalesce("docs", F.lit(0)) / F.lit(GROUP)))
-    dealt = (_with_source(sized, sources).withColumn("rate", rate)
+    dealt = (_with_source(sized, sources, sources.count() <= SENT_SOURCES).withColumn("rate", rate)
              .withColumn("g", F.pmod(F.xxhash64("doc_id", "size"), groups)))
     key = ["s", "g", "source_size", "target"]
     listed = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate")),
