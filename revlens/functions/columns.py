@@ -125,9 +125,17 @@ def issue_severity(rating, sentiment=None, literal: str = "neutral") -> Column:
 
 
 def flag_to_int(c) -> Column:
-    """booleans / 0-1 numbers -> 0/1 int, null -> 0."""
-    c = col_(c)
-    return F.coalesce(c.cast("boolean").cast("int"), F.lit(0))
+    """Booleans (also as text) -> 0/1 int, numbers (also as text) -> their integer part;
+    null and anything else -> 0 (a dirty value must not end the job; ``bad_flag`` marks them)."""
+    text = col_(c).cast("string")
+    return F.coalesce(text.try_cast("double").try_cast("int"),
+                      text.try_cast("boolean").cast("int"), F.lit(0))
+
+
+def bad_flag(c) -> Column:
+    """A value that is neither a boolean nor a number."""
+    text = col_(c).cast("string")
+    return text.isNotNull() & text.try_cast("double").isNull() & text.try_cast("boolean").isNull()
 
 
 def is_negative(rating, max_rating: float = K.NEGATIVE_FLAG_MAX_RATING) -> Column:

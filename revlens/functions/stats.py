@@ -4,24 +4,24 @@ A one-row frame has a proven size bound, so broadcasting it is always safe:
 the plan is partial aggregate -> single-row exchange -> BroadcastNestedLoopJoin.
 
 Exact quantiles (pandas ``quantile``, linear interpolation; equal to SQL
-``quantile_cont``) are computed without ever holding all values in one task:
-
-1. one aggregate gives ``n`` and a rank bracket ``[a, b]`` around the target
-   ranks from ``percentile_approx`` (relative rank error ``1/accuracy``; the
-   probes sit ``3/accuracy`` below / above ``q``). For ``n <= accuracy`` the
-   bracket is simply ``[min, max]``.
-2. a second aggregate counts values below ``a``, equal to ``a`` / ``b`` and
-   collects only the values strictly inside the bracket. That set holds at
-   most ``max(accuracy, 8 n / accuracy)`` values.
-3. the values at ranks ``floor(r)`` and ``ceil(r)``, ``r = q (n - 1)``, are
-   read off those counts and interpolated.
-
-Everything stays lazy; the result is a one-row frame to broadcast.
+``quantile_cont``) take the same path at every size, without an array of values:
+
+1. one aggregate gives the count and, from ``percentile_approx`` (relative rank
+   error ``1/accuracy``), two values ``3/accuracy`` below and above ``q``;
+2. a second one steps to the next smaller and the next larger value, so that the
+   bracket holds the two target ranks also where ranks are few;
+3. the values inside the bracket are counted by ``groupBy`` (ties are one row, and
+   partial sums absorb them), and the values below it by the same pass;
+4. running counts give the values at ranks ``floor(r)`` and ``ceil(r)``,
+   ``r = q (n - 1)``, and the interpolation.
+
+Step 4 orders the distinct values of one bracket: a share of about ``8/accuracy``.
+Everything stays lazy; the result is a one-row frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import col_
@@ -34,6 +34,12 @@ def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
+def scalar(stats: DataFrame, name: str) -> Column:
+    """One value of a one-row statistics frame as a scalar subquery: Spark computes the frame
+    once for all its values, and not at all where no value is used."""
+    return stats.select(name).scalar()
+
+
 def minmax_stats(df: DataFrame, cols: dict[str, Column | str], prefix: str = "__") -> DataFrame:
     """One aggregate: ``{prefix}min_{name}``, ``{prefix}max_{name}`` for each column."""
     aggs = []
@@ -43,27 +49,15 @@ def minmax_stats(df: DataFrame, cols: dict[str, Column | str], prefix: str = "__
     return df.agg(*aggs)
 
 
-def _value_at_sql(k: str, i: int) -> str:
-    """SQL for the value at 0-based rank ``k`` from the bracket counts of spec ``i``."""
-    below, eqa, mid, eqb = f"below{i}", f"eqa{i}", f"mid{i}", f"eqb{i}"
-    nmid = f"cast(size({mid}) as bigint)"
-    return (f"case when {k} < {below} then raise_error('quantile bracket missed (low)') "
-            f"when {k} < {below} + {eqa} then a{i} "
-            f"when {k} < {below} + {eqa} + {nmid} then element_at({mid}, cast({k} - {below} - {eqa} + 1 as int)) "
-            f"when {k} < {below} + {eqa} + {nmid} + {eqb} then b{i} "
-            f"else raise_error('quantile bracket missed (high)') end")
-
-
 def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
               method: str = "bracket", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One-row frame with one column per ``(name, column, q)`` spec.
 
-    ``method='bracket'`` is the bounded exact selection described above;
-    ``method='exact'`` uses Spark's ``percentile`` (all distinct values in one
-    buffer: only for tables known to be small); ``method='approx'`` returns
-    ``percentile_approx`` directly. The statements are passed as SQL text: one
-    parse per expression instead of hundreds of driver round trips.
+    ``method='bracket'`` is the exact selection described above; ``method='exact'``
+    uses Spark's ``percentile`` (all distinct values in one buffer: only for tables
+    known to be small); ``method='approx'`` returns ``percentile_approx``.
     """
+    k = len(specs)
     base = df.select(*[col_(c).cast("double").alias(f"__q{i}")
                        for i, (_n, c, _q) in enumerate(specs)])
     if method == "exact":
@@ -76,36 +70,26 @@ def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
         raise ValueError(f"unknown quantile method {method!r}")
 
     margin = 3.0 / accuracy
-    p1 = []
-    for i, (_n, _c, q) in enumerate(specs):
-        lo, hi = max(0.0, q - margin), min(1.0, q + margin)
-        p1 += [f"count(__q{i}) as n{i}", f"min(__q{i}) as mn{i}", f"max(__q{i}) as mx{i}",
-               f"percentile_approx(__q{i}, array({lo!r}, {hi!r}), {accuracy}) as pa{i}"]
-    stage1 = base.agg(*[F.expr(e) for e in p1])
-    br = []
-    for i in range(len(specs)):
-        small = f"n{i} <= {accuracy}"
-        br += [f"n{i}", f"case when {small} then mn{i} else pa{i}[0] end as a{i}",
-               f"case when {small} then mx{i} else pa{i}[1] end as b{i}"]
-    bracket = stage1.selectExpr(*br)
-
-    p2 = []
-    for i in range(len(specs)):
-        x, a, b = f"__q{i}", f"a{i}", f"b{i}"
-        p2 += [f"max(n{i}) as n{i}", f"max({a}) as {a}", f"max({b}) as {b}",
-               f"count_if({x} < {a}) as below{i}", f"count_if({x} = {a}) as eqa{i}",
-               f"count_if({x} = {b} and {b} != {a}) as eqb{i}",
-               f"sort_array(collect_list(case when {x} > {a} and {x} < {b} then {x} end)) as mid{i}"]
-    stage2 = with_stats(base, bracket).agg(*[F.expr(e) for e in p2])
-
-    looked = []
-    for i, (_name, _c, q) in enumerate(specs):
-        r = f"(cast(n{i} - 1 as double) * {float(q)!r})"
-        empty = f"(n{i} is null or n{i} = 0)"
-        looked += [f"case when {empty} then cast(null as double) else {_value_at_sql(f'floor({r})', i)} end as lo{i}",
-                   f"case when {empty} then cast(null as double) else {_value_at_sql(f'ceil({r})', i)} end as hi{i}",
-                   f"{r} - floor({r}) as fr{i}"]
-    # two small projections: each rank lookup once, then the interpolation
-    step = stage2.selectExpr(*looked)
-    return step.selectExpr(*[f"lo{i} + (hi{i} - lo{i}) * fr{i} as `{name}`"
-                             for i, (name, _c, _q) in enumerate(specs)])
+    probes = base.agg(*[F.expr(e) for i, (_n, _c, q) in enumerate(specs) for e in (
+        f"count(__q{i}) as n{i}",
+        f"percentile_approx(__q{i}, array({max(0.0, q - margin)!r}, {min(1.0, q + margin)!r}), "
+        f"{accuracy}) as p{i}")])
+    bracket = with_stats(base, probes).agg(*[F.expr(e) for i in range(k) for e in (
+        f"max(n{i}) as n{i}",
+        f"coalesce(max(case when __q{i} < p{i}[0] then __q{i} end), min(__q{i})) as a{i}",
+        f"coalesce(min(case when __q{i} > p{i}[1] then __q{i} end), max(__q{i})) as b{i}")])
+    # a row for each spec whose bracket (or what lies below it: x is null) holds the value
+    marked = with_stats(base, bracket).selectExpr("inline(filter(array(" + ", ".join(
+        f"struct({i} as i, case when __q{i} >= a{i} then __q{i} end as x, "
+        f"__q{i} <= b{i} as held, n{i} as n)" for i in range(k)) + "), s -> s.held))")
+    counted = marked.groupBy("i", "x").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    upto = Window.partitionBy("i").orderBy(F.col("x").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("c").over(upto)).where("x is not null")
+    out = []
+    for i, (name, _c, q) in enumerate(specs):
+        r = f"(cast(n - 1 as double) * {float(q)!r})"
+        out += [F.expr(f"min(case when i = {i} and upto > floor({r}) then x end)").alias(f"lo{i}"),
+                F.expr(f"min(case when i = {i} and upto > ceil({r}) then x end)").alias(f"hi{i}"),
+                F.expr(f"max(case when i = {i} then {r} - floor({r}) end)").alias(f"fr{i}")]
+    return ranked.agg(*out).selectExpr(*[f"lo{i} + (hi{i} - lo{i}) * fr{i} as `{name}`"
+                                         for i, (name, _c, _q) in enumerate(specs)])

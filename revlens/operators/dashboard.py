@@ -34,8 +34,12 @@ def _bound(v, end: bool) -> F.Column:
     if isinstance(v, datetime):
         text = v.strftime("%Y-%m-%d %H:%M:%S.%f")
     else:
-        d = v if isinstance(v, date) else date.fromisoformat(str(v)[:10])
-        text = d.isoformat() + (" 23:59:59.999999" if end else " 00:00:00")
+        if not isinstance(v, date):  # a text is read whole: a day or a point in time
+            text = str(v).strip()
+            if len(text) > 10:
+                return _bound(datetime.fromisoformat(text), end)
+            v = date.fromisoformat(text)
+        text = v.isoformat() + (" 23:59:59.999999" if end else " 00:00:00")
     return F.lit(text).cast("timestamp_ntz")
 
 
@@ -90,9 +94,10 @@ def search_products(records: DataFrame, query: str, name_col: str = "name") -> D
 
 
 def product_lookup(products: DataFrame, name: str) -> DataFrame:
-    """Case-insensitive exact name; the first match in name order."""
+    """Case-insensitive exact name; the first match in score order (then by name)."""
     hit = products.filter(F.lower(F.col("product")) == name.lower())
-    return hit.orderBy("product").limit(1)
+    order = ([F.col("final_score").desc()] if "final_score" in products.columns else []) + [F.col("product")]
+    return hit.orderBy(*order).limit(1)
 
 
 def filter_records(records: DataFrame, products=None, start: str | None = None,
@@ -255,7 +260,7 @@ def issue_breakdown(reviews: DataFrame) -> DataFrame:
     total = None
     for c in K.ISSUE_CATEGORIES:
         total = F.col(c) if total is None else total + F.col(c)
-    return p.withColumn("total", total)
+    return p.withColumn("total", total).orderBy(F.col("total").desc(), "product")
 
 
 def risk_distribution(products: DataFrame, col: str = "risk_probability",
@@ -321,8 +326,14 @@ def top_issue(records: DataFrame) -> DataFrame:
 # ---- rankings -----------------------------------------------------------------------
 
 
+def tie_break(df: DataFrame, name_col: str) -> list[F.Column]:
+    """Records arrive in score order and the client's sort is stable: equal keys keep
+    that order. ``score`` is the records' unrounded final score; equal scores go by name."""
+    return ([F.col("score").desc()] if "score" in df.columns else []) + [F.col(name_col).asc()]
+
+
 def top_n(df: DataFrame, key: str, n: int, name_col: str = "product") -> DataFrame:
-    return df.orderBy(F.col(key).desc(), F.col(name_col)).limit(n)
+    return df.orderBy(F.col(key).desc(), *tie_break(df, name_col)).limit(n)
 
 
 def top3_flag(products: DataFrame) -> DataFrame:
@@ -346,7 +357,7 @@ SORT_KEYS = {"name": "name", "score": "finalScore", "revenue": "revenueAtRisk",
 
 def sort_records(records: DataFrame, key: str = "score", direction: str = "desc") -> DataFrame:
     c = F.col(SORT_KEYS[key])
-    return records.orderBy(c.asc() if direction == "asc" else c.desc(), F.col("name"))
+    return records.orderBy(c.asc() if direction == "asc" else c.desc(), *tie_break(records, "name"))
 
 
 def preview(reviews: DataFrame, n: int = 20, order_by: list[str] | None = None) -> DataFrame:
@@ -361,7 +372,7 @@ def preview(reviews: DataFrame, n: int = 20, order_by: list[str] | None = None)
 
 
 def dashboard_records(products: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Client product records: final score min-max'd over products (range 1
+    """Client product records, with the unrounded ``score`` for ties: final score min-max'd over products (range 1
     when constant, clamped), revenue truncated to int, negative %, quadrant,
     frequency, impact %, rating, severity band, estimated issue split."""
     mm = products.agg(F.min("final_score").alias("__mn"), F.max("final_score").alias("__mx"))
@@ -384,7 +395,8 @@ def dashboard_records(products: DataFrame, as_of: str | None = None) -> DataFram
         F.lit("Stable").alias("trend"),
         C.severity_band(norm).alias("severity"),
         F.col("total_reviews").cast("long").alias("totalReviews"),
-        C.issue_split("total_reviews").alias("issues"))
+        C.issue_split("total_reviews").alias("issues"),
+        F.col("final_score").cast("double").alias("score"))
 
 
 def format_ranking(products: DataFrame) -> DataFrame:
@@ -415,6 +427,8 @@ def format_ranking(products: DataFrame) -> DataFrame:
             rc = F.col("risk_category")
             cols.append(F.when(rc == "Low", "Low").when(rc == "Medium", "Medium")
                         .otherwise("High").alias("risk_status"))
+    if "final_score" in products.columns:
+        products = products.orderBy(F.col("final_score").desc(), "product")
     return products.select(*cols)
 
 

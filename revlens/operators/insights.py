@@ -165,14 +165,13 @@ def portfolio_summary(records: DataFrame) -> DataFrame:
     impact, and the two largest issue totals, as the summary sentence."""
     from revlens.operators.dashboard import issue_totals
 
-    def by_max(v, k):
-        return F.min_by(F.col(v), F.struct((-F.col(k)).alias("k"), F.col(v).alias("v")))
+    def by_max(v, k):  # ties as in ``dashboard.tie_break``
+        return F.min_by(F.col(v), F.struct((-F.col(k)).alias("k"), (-F.col("score")).alias("s"),
+                                           F.col("name").alias("n")))
 
     tops = records.agg(by_max("name", "revenueAtRisk").alias("top_revenue_product"),
                        F.max("revenueAtRisk").alias("top_revenue"),
-                       F.min_by(F.col("riskProbability"),
-                                F.struct((-F.col("revenueAtRisk")).alias("k"),
-                                         F.col("name").alias("v"))).alias("top_revenue_risk"),
+                       by_max("riskProbability", "revenueAtRisk").alias("top_revenue_risk"),
                        by_max("name", "impact").alias("top_impact_product"))
     it = issue_totals(records).agg(
         F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("k"),
@@ -199,18 +198,14 @@ def portfolio_summary(records: DataFrame) -> DataFrame:
                     summary.alias("summary"))
 
 
-def portfolio_prompt(records: DataFrame, n: int = 50) -> DataFrame:
-    """Prompt JSON: the top ``n`` records by revenue at risk (a prompt has a size
-    budget, so the cap is the feature) plus the issue totals of all records."""
+def portfolio_prompt(records: DataFrame) -> DataFrame:
+    """The prompt as rows of JSON: one for each record given (``kind`` product) and one with
+    the issue totals of all of them (``kind`` issueTotals). No row holds more than a record."""
     from revlens.operators.dashboard import issue_totals
 
-    top = records.orderBy(F.col("revenueAtRisk").desc(), "name").limit(n)
-    items = top.agg(F.collect_list(F.struct(
-        F.col("revenueAtRisk").alias("__o"), F.col("name"), F.col("revenueAtRisk"),
-        F.col("riskProbability"), F.col("quadrant"), F.col("severity"))).alias("__items"))
-    items = items.select(F.transform(F.reverse(F.array_sort("__items")),
-                                     lambda s: s.dropFields("__o")).alias("products"))
-    tot = issue_totals(records).agg(F.map_from_entries(F.collect_list(
-        F.struct("issue", "total"))).alias("issueTotals"))
-    return items.crossJoin(tot).select(F.to_json(F.struct("products", "issueTotals"))
-                                       .alias("prompt"))
+    items = records.select(F.lit("product").alias("kind"), "name", F.to_json(F.struct(
+        "name", "revenueAtRisk", "riskProbability", "quadrant", "severity")).alias("prompt"))
+    totals = issue_totals(records).groupBy().pivot("issue", [k for k, _ in K.ISSUE_SPLIT]).agg(F.sum("total"))
+    return items.union(totals.select(
+        F.lit("issueTotals"), F.lit(None).cast("string"),
+        F.to_json(F.struct(*[k for k, _ in K.ISSUE_SPLIT]))))

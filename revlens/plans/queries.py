@@ -50,7 +50,7 @@ _VIEWS: dict = {}
 
 
 def _view(kind, build, spark, sf):
-    key = (kind, id(spark._jsparkSession), sf)
+    key = (kind, spark.sparkContext.applicationId, sf)
     if key not in _VIEWS:
         _VIEWS[key] = build(spark, sf)
     return _VIEWS[key]
@@ -400,24 +400,62 @@ def q_quality_overview(spark, sf):
     return round6(Q.quality_overview(scored(spark, sf)))
 
 
+def _check_rows(spark, name, outcomes) -> DataFrame:
+    """One row per input: which check, which input, passed, message, rows of the input."""
+    out = None
+    for label, df, ok, message in outcomes:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("check"), F.lit(label).alias("input"), F.lit(ok).alias("ok"),
+            F.lit(message).alias("message"), "n")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _outcome(check, *args):
+    try:
+        check(*args)
+    except Q.DataError as e:
+        return False, str(e)
+    return True, ""
+
+
 @register("check_required_columns")
 def q_check_required_columns(spark, sf):
-    df = raw(spark, sf)
-    ok, msg = R.check_required_columns(df)
-    if not ok:
-        raise ValueError(msg)
-    return df.select("product_name", "rating")
+    good = raw(spark, sf)
+    bad = good.drop("rating")
+    return _check_rows(spark, "required_columns", [
+        (label, df, *R.check_required_columns(df)) for label, df in (("raw", good), ("no rating", bad))])
 
 
 @register("assert_columns")
 def q_assert_columns(spark, sf):
-    return Q.assert_columns(reviews(spark, sf), ["product", "rating"], "reviews") \
-        .select("product", "rating")
+    df = reviews(spark, sf)
+    return _check_rows(spark, "columns", [
+        (label, df, *_outcome(Q.assert_columns, df, need, "reviews"))
+        for label, need in (("present", ["product", "rating"]), ("absent", ["product", "no_such"]))])
 
 
 @register("assert_not_empty")
 def q_assert_not_empty(spark, sf):
-    return Q.assert_not_empty(reviews(spark, sf), "reviews").select("product", "rating")
+    df = reviews(spark, sf)
+    none = df.where("rating > 5")
+    return _check_rows(spark, "not_empty", [
+        (label, x, *_outcome(Q.assert_not_empty, x, "reviews")) for label, x in (("all", df), ("none", none))])
+
+
+@register("schema_report")
+def q_schema_report(spark, sf):
+    return Q.schema_report(raw(spark, sf))
+
+
+@register("fill_report")
+def q_fill_report(spark, sf):
+    return Q.fill_report(raw_numeric(spark, sf))
+
+
+@register("preprocess_report")
+def q_preprocess_report(spark, sf):
+    return Q.preprocess_report(raw(spark, sf))
 
 
 @register("robustness_report")
@@ -427,7 +465,7 @@ def q_robustness_report(spark, sf):
 
 @register("validate_output")
 def q_validate_output(spark, sf):
-    return Q.validate_output(scored(spark, sf))
+    return Q.validate_output(Q.robust_pipeline(raw(spark, sf)))
 
 
 # ---- §2.4 filters ---------------------------------------------------------------------
@@ -870,7 +908,7 @@ def q_portfolio_summary(spark, sf):
 
 @register("portfolio_prompt")
 def q_portfolio_prompt(spark, sf):
-    return I.portfolio_prompt(records(spark, sf), 50)
+    return I.portfolio_prompt(records(spark, sf))
 
 
 # ---- §2.12 pipelines -------------------------------------------------------------------------
@@ -953,6 +991,31 @@ def q_page_gap_report(spark, sf):
     return SF.page_gap_report(spark, SF.page_envelopes(spark, path))
 
 
+@register("read_review_pages_limited")
+def q_read_review_pages_limited(spark, sf):
+    path = _landed_pages(spark, sf)
+    df = R.fetch_column_repair(SF.read_review_pages(spark, path, max_pages=100))
+    return round6(df.select("page", "product", "rating", "customer_ltv"))
+
+
+@register("read_reviews_json_mixed")
+def q_read_reviews_json_mixed(spark, sf):
+    """Documents of every shape in one folder: by order number data, records, flat rows, both."""
+    from revlens.sources.tables import _base, _review_columns
+
+    cols = _review_columns()
+    rows = _base(spark, sf).select("ok", *[c.cast("string").alias(n) for n, c in cols.items()])
+    shaped = rows.groupBy("ok").agg(F.collect_list(F.struct(*cols)).alias("d"))
+    path = scratch_path(spark, "json-mixed")
+    kind = F.col("ok") % 3
+    lines = shaped.where(kind < 2).select(F.when(kind == 0, F.to_json(F.struct(F.col("d").alias("data"))))
+                                          .otherwise(F.to_json(F.struct(F.col("d").alias("records"))))
+                                          .alias("value"))
+    flat = rows.where(kind == 2).select(F.to_json(F.struct(*cols)).alias("value"))
+    lines.union(flat).write.text(path)
+    return round6(R.normalize_reviews(SF.read_reviews_json(spark, path)).select(*NORM_STABLE))
+
+
 @register("load_reviews")
 def q_load_reviews(spark, sf):
     path = _landed_pages(spark, sf)
@@ -964,7 +1027,7 @@ def q_write_dashboard_json(spark, sf):
     recs = records(spark, sf)
     path = scratch_path(spark, "dashboard")
     SF.write_dashboard_json(recs, path)
-    return spark.read.json(path).select("name", "revenueAtRisk", "severity")
+    return round6(flat_records(spark.read.schema(recs.schema).json(path)))
 
 
 # ---- streaming: incremental page ingestion ------------------------------------------------

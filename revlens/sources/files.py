@@ -16,6 +16,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from revlens.functions import constants as K
 
 # ---- fixed values: pandas' default missing-value tokens (read_csv) --------
+GAP_BLOCK = 4096  # page numbers unfolded at a time
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -36,10 +40,11 @@ def _na_to_null(df: DataFrame) -> DataFrame:
                        .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
-                     ) -> DataFrame:
-    """CSV with a header row -> reviews (text columns unless a schema is given)."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                     multi_line: bool = False) -> DataFrame:
+    """CSV with a header row -> reviews (text columns unless a schema is given). Files are
+    split; set ``multi_line`` only where quoted fields hold line breaks (then a file is one task)."""
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return r.schema(schema).csv(path)
     return _na_to_null(r.option("inferSchema", False).csv(path))
@@ -68,18 +73,42 @@ def _is_row_array(df: DataFrame, name: str) -> bool:
     return isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType)
 
 
-def read_reviews_json(spark: SparkSession, path: str, schema=None, multi_line: bool = True
+def read_reviews_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False
                       ) -> DataFrame:
-    """JSON document(s) in any of the four shapes -> reviews. ``multi_line=False``
-    reads one document per line (splittable), each in any of the shapes."""
+    """JSON documents in any of the four shapes -> reviews, each row by its own shape.
+
+    One document per line (splittable); ``multi_line`` reads a file as one document.
+    A document with ``data`` gives that array's rows, else one with ``records`` that
+    array's, else itself, flattened. Pass a schema of the documents to spare the
+    inference pass. Lines that are no JSON are counted by ``malformed_documents``.
+    """
     r = spark.read.option("multiLine", multi_line)
     df = (r.schema(schema) if schema is not None else r).json(path)
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
-        raise SourceError(f"Invalid JSON file: {path}")
-    for key in ("data", "records"):
-        if _is_row_array(df, key):
-            return df.select(F.inline(F.col(key)))
-    return flatten(df)
+    bad = "_corrupt_record"
+    if bad in df.columns:
+        if len(df.columns) == 1:
+            raise SourceError(f"Invalid JSON file: {path}")
+        df = df.drop(bad)
+    keys = [k for k in ("data", "records") if _is_row_array(df, k)]
+    parts, left = [], F.lit(True)
+    for k in keys:
+        parts.append(df.where(left & F.col(k).isNotNull()).select(F.inline(F.col(k))))
+        left = left & F.col(k).isNull()
+    rest = [c for c in df.columns if c not in (*keys, "metadata")]
+    if rest or not keys:
+        some = reduce(or_, [F.col(f"`{c}`").isNotNull() for c in rest], F.lit(False))
+        parts.append(flatten(df.where(left & some).select(*[f"`{c}`" for c in rest])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def malformed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row: lines, and lines that are no JSON document."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.agg(F.count(F.lit(1)).alias("documents"),
+                     F.count_if(F.try_parse_json("value").isNull()).alias("malformed"))
 
 
 def read_reviews_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -88,19 +117,18 @@ def read_reviews_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
-def read_review_pages(spark: SparkSession, path: str, max_pages: int | None = K.MAX_PAGES,
+def read_review_pages(spark: SparkSession, path: str, max_pages: int | None = None,
                       multi_line: bool = False, schema=None) -> DataFrame:
     """Paged envelopes -> reviews with ``page`` and ``page_pos`` columns.
 
-    Pages above ``max_pages`` are ignored (the reference caps at 50; pass
-    ``None`` to read every landed page). Empty or missing pages are tolerated;
-    no rows at all is an error, raised by ``load_reviews`` / ``assert_pages``.
+    ``max_pages`` leaves out pages with a larger number; pages without a number stay.
+    Empty or missing pages are tolerated; no rows at all is an error of ``load_reviews``.
     """
     r = spark.read.option("multiLine", multi_line)
     env = (r.schema(schema) if schema is not None else r).json(path)
     env = env.select("*", _page_number(env).alias("page"))
     if max_pages is not None:
-        env = env.filter(F.col("page") <= min(int(max_pages), K.MAX_PAGES))
+        env = env.filter(F.col("page").isNull() | (F.col("page") <= int(max_pages)))
     if not _is_row_array(env, "data"):
         # no page carries a row (inference could not find a row schema)
         return env.select("page", F.lit(0).alias("page_pos")).limit(0)
@@ -118,39 +146,48 @@ def _page_number(env: DataFrame) -> F.Column:
     return from_file
 
 
-def page_envelopes(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def page_envelopes(spark: SparkSession, path: str, multi_line: bool = False, schema=None) -> DataFrame:
     """Page number and row count of every landed page (empty pages included)."""
-    env = spark.read.option("multiLine", multi_line).json(path)
+    r = spark.read.option("multiLine", multi_line)
+    env = (r.schema(schema) if schema is not None else r).json(path)
     n = F.coalesce(F.size(F.col("data")), F.lit(0)) if "data" in env.columns else F.lit(0)
     return env.select(_page_number(env).alias("page"), F.greatest(n, F.lit(0)).alias("rows"))
 
 
 def page_gap_report(spark: SparkSession, pages: DataFrame, requested: int | None = None
                     ) -> DataFrame:
-    """Requested pages 1..N without data: ``range`` LEFT ANTI JOIN non-empty pages.
-    ``requested`` defaults to the largest landed page number (one scalar)."""
+    """Requested pages 1..N without data: pages 1..N LEFT ANTI JOIN non-empty pages.
+    ``requested`` defaults to the largest landed page number; pass it to see gaps after
+    the last landed page. Lazy: the largest number is a one-row frame, unfolded."""
     have = pages.filter(F.col("rows") > 0).select("page").distinct()
-    if requested is None:
-        requested = pages.agg(F.max("page")).first()[0] or 0
-    want = spark.range(1, int(requested) + 1).select(F.col("id").cast("int").alias("page"))
+    if requested is not None:
+        want = spark.range(1, int(requested) + 1).select(F.col("id").cast("int").alias("page"))
+    else:
+        last = pages.agg(F.max("page").alias("top"))
+        blocks = last.select(F.explode(F.sequence(F.lit(0), F.coalesce(
+            F.floor(F.col("top") / F.lit(GAP_BLOCK)), F.lit(0)))).alias("b"), "top")
+        want = blocks.select("top", F.explode(F.sequence(
+            F.col("b") * GAP_BLOCK, (F.col("b") + 1) * GAP_BLOCK - 1)).alias("p")).where(
+            "p between 1 and top").select(F.col("p").cast("int").alias("page"))
     return want.join(have, "page", "left_anti")
 
 
-def load_reviews(spark: SparkSession, mode: str, path: str, max_pages: int | None = K.MAX_PAGES,
+def load_reviews(spark: SparkSession, mode: str, path: str, max_pages: int | None = None,
                  **opts) -> DataFrame:
     """One entry for every source kind ('csv', 'json', 'jsonl', 'pages'): read,
     reject empty input, normalise with the dashboard profile."""
     from revlens.operators.reviews import fetch_column_repair, normalize_reviews
 
     if mode == "csv":
-        df = read_reviews_csv(spark, path, opts.get("schema"))
+        df = read_reviews_csv(spark, path, opts.get("schema"), opts.get("multi_line", False))
     elif mode == "json":
-        df = read_reviews_json(spark, path, opts.get("schema"), opts.get("multi_line", True))
+        df = read_reviews_json(spark, path, opts.get("schema"), opts.get("multi_line", False))
     elif mode == "jsonl":
         df = read_reviews_jsonl(spark, path, opts.get("schema"))
     elif mode == "pages":
         df = fetch_column_repair(read_review_pages(spark, path, max_pages,
-                                                   opts.get("multi_line", False)))
+                                                   opts.get("multi_line", False),
+                                                   opts.get("schema")))
     else:
         raise ValueError(f"Invalid input mode: {mode}")
     if df.isEmpty():
@@ -158,12 +195,6 @@ def load_reviews(spark: SparkSession, mode: str, path: str, max_pages: int | Non
     return normalize_reviews(df)
 
 
-def assert_pages(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
-        raise SourceError("No reviews fetched from pages")
-    return df
-
-
 # ---- sinks ------------------------------------------------------------------------------
 
 
@@ -171,11 +202,6 @@ def write_reviews_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_reviews_json_array(df: DataFrame, path: str) -> None:
-    """JSON Lines (one object per line) — Spark's splittable JSON layout."""
-    df.write.mode("overwrite").json(path)
-
-
 def write_review_pages(df: DataFrame, path: str, page_col: str = "page") -> None:
     """One envelope per page, one envelope per line. ``df`` must carry a page
     number; each envelope holds only that page's rows (bounded by page size)."""
@@ -188,8 +214,3 @@ def write_review_pages(df: DataFrame, path: str, page_col: str = "page") -> None
 def write_dashboard_json(records: DataFrame, path: str) -> None:
     """Product records as JSON Lines (one product record per line)."""
     records.write.mode("overwrite").json(path)
-
-
-def dashboard_json(records: DataFrame) -> DataFrame:
-    """Each product record serialised to a JSON string column."""
-    return records.select(F.to_json(F.struct(*records.columns)).alias("json"))
