@@ -140,14 +140,11 @@ def mix(docs: DataFrame) -> DataFrame:
                                                   asc=False).alias("d"))
 
     def step(acc: Column, x: Column) -> Column:
-        ideal, size = x["rate"] * x["size"], x["size"]
-        low, high = F.floor(x["rate"]), F.ceil(x["rate"])
-        err_low = acc["err"] + low * size - ideal
-        err_high = acc["err"] + high * size - ideal
-        take_low = F.abs(err_low) <= F.abs(err_high)
-        return F.struct(F.when(take_low, err_low).otherwise(err_high).alias("err"),
-                        F.concat(acc["out"], F.array(F.when(take_low, low).otherwise(high).cast("long")))
-                        .alias("out"))
+        size = F.greatest(x["size"], F.lit(1))
+        off = acc["err"] - x["rate"] * x["size"]  # without this document
+        k = F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.round(-off / size)))
+        k = F.when(x["size"] > 0, k).otherwise(F.round(x["rate"])).cast("long")
+        return F.struct((off + k * x["size"]).alias("err"), F.concat(acc["out"], F.array(k)).alias("out"))
 
     rounded = listed.withColumn("k", F.aggregate(
         "d", F.struct(F.lit(0.0).alias("err"), F.array().cast("array<bigint>").alias("out")),
@@ -165,6 +162,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     copies = mix(docs).groupBy("doc_id").agg(F.min("copies").alias("k")).where("k > 0")
-    copies = copies.select(F.col("doc_id").alias("i__"), F.expr("sequence(1, k)").alias("k__"))
-    return (docs.join(copies, docs["doc_id"].eqNullSafe(copies["i__"]))
-            .select(*[docs[n] for n in names], F.explode("k__").alias("n__")).drop("n__"))
+    copies = copies.select(F.col("doc_id").alias("i"), F.expr("sequence(1, k)").alias("k"))
+    one = "copy"
+    while one in names:
+        one += "_"
+    return (docs.join(copies, docs["doc_id"].eqNullSafe(copies["i"]))
+            .select(*[docs[n] for n in names], F.explode(copies["k"]).alias(one)).drop(one))

@@ -64,6 +64,8 @@ def packed(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def matrix(blobs, dim: int) -> np.ndarray:
+    if not dim:
+        return np.zeros((sum(1 for _ in blobs), 0), np.int64)
     return np.frombuffer(b"".join(blobs), "<i8").reshape(-1, dim)
 
 
@@ -190,7 +192,7 @@ def _search(spark, vectors: DataFrame, asked: DataFrame, dim: int, k: int) -> Da
             for batch in batches:
                 for at in range(0, len(batch), QUERY_BLOCK):
                     b = batch.iloc[at:at + QUERY_BLOCK]
-                    q = np.array(b["v"].tolist(), np.int64).reshape(-1, dim)
+                    q = np.array(b["v"].tolist(), np.int64).reshape(len(b), dim)
                     bound = bounds(q.astype(float))
                     nearest = bound.argmax(1)
                     if own:
@@ -214,7 +216,7 @@ def _search(spark, vectors: DataFrame, asked: DataFrame, dim: int, k: int) -> Da
                 ids = [r["ids"] for r in found]
                 first = np.array([x[0] for x in ids])
                 names = np.frombuffer(who, "<i8")
-                s = products(matrix([q], dim), v)
+                s = products(matrix([q], dim) if dim else np.zeros((len(names), 0), np.int64), v)
                 out = []
                 for r, at in best(s, first, k + 1):
                     hits = sorted((-int(s[r, j]), int(i)) for j in at for i in ids[j] if i != names[r])
