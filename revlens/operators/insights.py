@@ -165,9 +165,10 @@ def portfolio_summary(records: DataFrame) -> DataFrame:
     impact, and the two largest issue totals, as the summary sentence."""
     from revlens.operators.dashboard import issue_totals
 
+    score = [(-F.col("score")).alias("s")] if "score" in records.columns else []
+
     def by_max(v, k):  # ties as in ``dashboard.tie_break``
-        return F.min_by(F.col(v), F.struct((-F.col(k)).alias("k"), (-F.col("score")).alias("s"),
-                                           F.col("name").alias("n")))
+        return F.min_by(F.col(v), F.struct((-F.col(k)).alias("k"), *score, F.col("name").alias("n")))
 
     tops = records.agg(by_max("name", "revenueAtRisk").alias("top_revenue_product"),
                        F.max("revenueAtRisk").alias("top_revenue"),

@@ -848,6 +848,37 @@ register("portfolio_prompt", ["records", "its"], """select 'product' kind, name,
  union all select 'issueTotals', null, concat('{', (select string_agg(concat('"', issue, '":', cast(total as bigint)), ','
   order by case issue when 'delivery' then 1 when 'quality' then 2 when 'packaging' then 3 else 4 end) from its), '}')""")
 
+# ---- consumers of predictions, over probabilities derived from the tables (PPS) ---------------
+_cat = """case when "PPS" >= 0 and "PPS" <= 0.3 then 'Low' when "PPS" > 0.3 and "PPS" <= 0.7 then 'Medium'
+ when "PPS" > 0.7 and "PPS" <= 1 then 'High' else 'Low' end"""
+cte("pred", ["products_quad"], f"""select *, "PPS" risk_probability, {_cat} risk_category,
+ cast("PPS" > 0.5 as integer) high_risk_predicted from products_quad""")
+register("join_predictions_given", ["pred"], select_round(
+    "pred", QUAD_COLS + ["risk_probability", "risk_category", "high_risk_predicted"],
+    PRODUCT_DOUBLES | {"risk_probability"}))
+register("risk_summary_given", ["pred"], f"""select {cnt_if("risk_category = 'High'")} high_risk_count,
+ {cnt_if("risk_category = 'Medium'")} medium_risk_count, {cnt_if("risk_category = 'Low'")} low_risk_count,
+ round(avg(risk_probability), 6) avg_risk_probability,
+ (select product from pred order by risk_probability desc, product limit 1) max_risk_product,
+ round(max(risk_probability), 6) max_risk_probability from pred""")
+register("ml_insight_kpis_given", ["pred"], f"""select {cnt_if("risk_probability > 0.7 and quadrant <> 'The Fire-Fight'")} hidden_risks,
+ round(avg(risk_probability), 6) portfolio_risk,
+ round(coalesce(sum(case when risk_probability > 0.7 then total_revenue_at_risk end), 0.0), 6) high_risk_revenue from pred""")
+register("hidden_risks_given", ["pred"], """select product, quadrant, round(risk_probability, 6) risk_probability
+ from pred where risk_probability > 0.5 and quadrant <> 'The Fire-Fight'""")
+register("filter_risk_given", ["pred"], """select product, round(risk_probability, 6) risk_probability
+ from pred where risk_probability >= 0.5""")
+register("rating_vs_risk_data_given", ["pred"], f"""select product, round(avg_rating, 6) avg_rating,
+ round(risk_probability, 6) risk_probability, {band_sql('risk_probability', 0.4, 0.7)} band,
+ round_even(risk_probability * 100.0, 1) risk_pct from pred""")
+register("kpis_enhanced_given", ["scored", "pred"], f"""select
+ round((select coalesce(sum(total_revenue_at_risk), 0.0) from pred), 6) total_revenue_at_risk, count(*) total_reviews,
+ round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
+ coalesce((select product from pred order by final_score desc, product limit 1), 'N/A') top_product,
+ (select {cnt_if("risk_category = 'High'")} from pred) high_risk_count,
+ (select {cnt_if("risk_category = 'Medium'")} from pred) medium_risk_count,
+ (select round(avg(risk_probability), 6) from pred) avg_risk_probability from scored""")
+
 # ---- §2.12 pipelines -------------------------------------------------------------------------
 cte("svc", ["raw"], f"""select coalesce(cast(product_name as varchar), 'Unknown Product') product,
  {_dbl('rating', 3.0)} rating, coalesce(cast(review_text as varchar), '') review_text, sentiment, ltv,
@@ -900,5 +931,15 @@ register("write_dashboard_json", ["records"], select_round("records", REC_COLS,
 register("read_reviews_json_mixed", ["norm"], f"select {_norm_stable} from norm")
 register("read_review_pages_limited", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
  round({RATING_SQL}, 6) rating, round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv from base where ok + 1 <= 100""")
+register("schema_report", ["raw"], """select 'filled_column' "check", c "column", 'info' severity, cast(0 as bigint) n,
+  'Created missing column: ' || c message from (values ('customer_ltv'), ('repeat'), ('verified'), ('detected_issues'),
+  ('sentiment_score')) t(c)
+ union all select 'type_conversion', 'rating', 'info', n, concat('rating: filled ', n, ' values with default')
+ from (select count(*) n from raw where try_cast(rating as double) is null) where n > 0""")
+register("fill_report", ["raw"], """select c "column", case c when 'rating' then r when '__before' then r + o
+  when '__after' then o else 0 end n from (select cast(count_if(try_cast(rating as double) is null) as bigint) r,
+  cast(count_if(product_name is null) + count_if(review_text is null) + count_if(sentiment is null) + count_if(ltv is null)
+   + count_if(review_date is null) as bigint) o from raw)
+ cross join (values ('rating'), ('order_value'), ('helpful_votes'), ('days_since_purchase'), ('__before'), ('__after')) t(c)""")
 register("validate_output", ["raw"], """select 'non_empty' "check", count(*) > 0 ok, concat(count(*), ' rows') message from raw
  union all select c, true, '' from (values ('required_columns_present'), ('no_critical_nan'), ('correct_dtypes'), ('valid')) t(c)""")

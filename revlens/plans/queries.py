@@ -847,6 +847,51 @@ def q_rating_vs_risk_data(spark, sf):
     return round6(D.rating_vs_risk_data(ml_products(spark, sf)))
 
 
+# The consumers again over given probabilities (the products' PPS), which SQL can check.
+def given_products(spark, sf):
+    q = quad(spark, sf)
+    pred = q.select("product", F.col("PPS").alias("risk_probability"),
+                    C.risk_category("PPS").alias("risk_category"),
+                    (F.col("PPS") > 0.5).cast("int").alias("high_risk_predicted"))
+    return D.join_predictions(q, pred)
+
+
+@register("join_predictions_given")
+def q_join_predictions_given(spark, sf):
+    return round6(given_products(spark, sf))
+
+
+@register("risk_summary_given")
+def q_risk_summary_given(spark, sf):
+    return round6(D.risk_summary(given_products(spark, sf)))
+
+
+@register("kpis_enhanced_given")
+def q_kpis_enhanced_given(spark, sf):
+    return round6(D.kpis_enhanced(scored(spark, sf), given_products(spark, sf)))
+
+
+@register("ml_insight_kpis_given")
+def q_ml_insight_kpis_given(spark, sf):
+    return round6(D.ml_insight_kpis(given_products(spark, sf)))
+
+
+@register("hidden_risks_given")
+def q_hidden_risks_given(spark, sf):
+    return round6(D.hidden_risks(given_products(spark, sf), 0.5).select(
+        "product", "quadrant", "risk_probability"))
+
+
+@register("filter_risk_given")
+def q_filter_risk_given(spark, sf):
+    return round6(D.filter_risk(given_products(spark, sf), 0.5).select("product", "risk_probability"))
+
+
+@register("rating_vs_risk_data_given")
+def q_rating_vs_risk_data_given(spark, sf):
+    return round6(D.rating_vs_risk_data(given_products(spark, sf)))
+
+
 # ---- §2.11 insight columns -----------------------------------------------------------------
 def replies(df: DataFrame) -> DataFrame:
     """Model replies derived from the products (stand-in for the remote reply

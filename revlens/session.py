@@ -44,10 +44,14 @@ _CONFIGURED: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder. Where none is set a temporary one is made in local
+    mode only; on a cluster that is an error, as other machines could not read it."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master is {master})")
         path = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     app = spark.sparkContext.applicationId

@@ -65,8 +65,18 @@ def test_portfolio_summary_and_prompt(recs):
     assert s.summary.startswith("Atlas Desk carries the largest revenue exposure at $920,000, "
                                 "driven by elevated quality complaints and a risk probability of 0.92.")
     assert "Quality and delivery account for most issue volume" in s.summary
-    prompt = I.portfolio_prompt(recs, 3).first().prompt
-    assert prompt.startswith('{"products":[{"name":"Atlas Desk"') and '"issueTotals"' in prompt
+    prompt = I.portfolio_prompt(recs).collect()
+    assert len(prompt) == recs.count() + 1  # one row per record and the totals
+    assert any(r.prompt.startswith('{"name":"Atlas Desk"') for r in prompt)
+    assert [r.prompt for r in prompt if r.kind == "issueTotals"] == [
+        '{"delivery":476,"quality":662,"packaging":338,"support":291}']
+
+
+def test_ties_go_by_score_then_name(spark):
+    df = spark.createDataFrame([("b", 0.5, 1.25), ("a", 0.5, 1.0), ("c", 0.5, 1.25)],
+                               "name string, riskProbability double, score double")
+    assert [r.name for r in D.top_n(df, "riskProbability", 3, "name").collect()] == ["b", "c", "a"]
+    assert [r.name for r in D.sort_records(df, "probability", "asc").collect()] == ["b", "c", "a"]
 
 
 def test_severity_distribution(recs):
