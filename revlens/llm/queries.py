@@ -95,4 +95,54 @@ r AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op8_pivot_index": OP8_SQL}
+
+
+def op5_sql() -> str:
+    """The path-template tree level by level, as common table expressions."""
+    u = url_templates
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
+            for h, p, v in sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))]
+    rule = " ".join(f"WHEN {c} THEN '{name}'" for c, name, _ in fits)
+    listed = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)
+    segments = ", ".join(
+        f"CASE WHEN regexp_full_match(coalesce(string_split(path, '/')[{k + 1}], ''), "
+        f"'[0-9]+(\\.[A-Za-z0-9]+)?') THEN '{{n}}' ELSE coalesce(string_split(path, '/')[{k + 1}], '') END AS s{k}"
+        for k in range(1, u.DEPTH + 1))
+    s = ", ".join(u.SEGMENTS)
+    out = [f"""u0 AS (SELECT page_id,
+  coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+           f"u AS (SELECT *, CASE {rule} END AS rule, CASE {listed} END AS listed, {segments} FROM u0)",
+           f"""r0 AS (SELECT host, {s}, count(*) AS n, count(listed) AS m, count(*) FILTER (listed = 'block') AS b,
+  '' AS node FROM u GROUP BY ALL)"""]
+    for k in range(1, u.DEPTH + 1):
+        out += [f"""b{k} AS (SELECT host, node, s{k}, sum(n) AS n, sum(m)::DOUBLE AS m, sum(b)::DOUBLE AS b
+  FROM r{k - 1} GROUP BY ALL)""",
+                f"""z{k} AS (SELECT *, n < {u.MIN_SHARE}::DOUBLE * sum(n) OVER (PARTITION BY host, node) AS rare FROM b{k})""",
+                f"""w{k} AS (SELECT *, bool_or(rare) OVER p AS any_rare,
+  sum(CASE WHEN rare THEN m ELSE 0 END) OVER p AS wm, sum(CASE WHEN rare THEN b ELSE 0 END) OVER p AS wb
+  FROM z{k} WINDOW p AS (PARTITION BY host, node))""",
+                f"""t{k} AS (SELECT host, node, s{k}, CASE WHEN rare OR (any_rare AND m > 0 AND wm > 0
+  AND (b / m - wb / wm) * (b / m - wb / wm) <= {u.MERGE_Z * u.MERGE_Z}::DOUBLE *
+   (((b + wb) / (m + wm)) * (1 - (b + wb) / (m + wm)) * (1 / m + 1 / wm))) THEN '*' ELSE s{k} END AS t FROM w{k})""",
+                f"""r{k} AS (SELECT r.* EXCLUDE (node), r.node || '/' || t.t AS node FROM r{k - 1} r
+  JOIN t{k} t ON r.host = t.host AND r.node = t.node AND r.s{k} = t.s{k})"""]
+    w = f"{u.WEIGHT}::DOUBLE"
+    out += [f"tp AS (SELECT host, node, sum(b)::DOUBLE AS b, sum(m)::DOUBLE AS m FROM r{u.DEPTH} GROUP BY ALL)",
+            """h AS (SELECT host, sum(b)::DOUBLE AS hb, sum(n)::DOUBLE AS hn,
+  array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM r0 GROUP BY ALL)""",
+            "d AS (SELECT domain, sum(hb) AS db, sum(hn) AS dn FROM h GROUP BY ALL)",
+            "p0 AS (SELECT coalesce(sum(hb) / sum(hn), 0) AS p FROM h)",
+            f"""hp AS (SELECT host, (hb + {w} * ((db + {w} * p) / (dn + {w}))) / (hn + {w}) AS p
+  FROM h JOIN d USING (domain) CROSS JOIN p0)""",
+            f"tq AS (SELECT tp.host, tp.node, (b + {w} * p) / (m + {w}) AS purity FROM tp JOIN hp USING (host))"]
+    return "WITH " + ",\n".join(out) + f"""
+SELECT u.page_id, u.host, u.path, u.rule,
+ coalesce(u.listed, CASE WHEN q.purity >= {u.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+ r.node AS template
+FROM u JOIN r{u.DEPTH} r ON u.host = r.host AND {' AND '.join(f'u.{x} = r.{x}' for x in u.SEGMENTS)}
+JOIN tq q ON q.host = r.host AND q.node = r.node"""
+
+
+ORACLE: dict[str, str] = {"op5_url_templates": op5_sql(), "op8_pivot_index": OP8_SQL}

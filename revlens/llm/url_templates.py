@@ -67,7 +67,7 @@ def fitting_rule(host: Column, path: Column, rules=None) -> tuple[Column, Column
 def segment(path: Column, k: int) -> Column:
     """Segment k (from 1) of a path, generalised; empty beyond the path's end."""
     s = F.coalesce(F.get(F.split(path, "/"), F.lit(k)), F.lit(""))
-    return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.lit("{n}")).otherwise(s)
+    return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?\z"), F.lit("{n}")).otherwise(s)
 
 
 def domain(host: Column) -> Column:
