@@ -45,7 +45,6 @@ SPIKE_THRESHOLD = 2.0
 SPIKE_MULTIPLIER = 1.5
 IMPACT_PCT_REVENUE_SCALE = 100000.0
 ISSUE_SPLIT = [("delivery", 0.25), ("quality", 0.35), ("packaging", 0.20), ("support", 0.20)]
-MAX_PAGES = 50
 INSIGHT_TOP_N = 5
 
 # ---- fixed values: sentiment maps ------------------------------------------
@@ -163,3 +162,7 @@ ML_FEATURES = [
     "severity_impact", "review_velocity",
 ]
 ML_CRITICAL = ["total_impact", "negative_ratio", "total_reviews", "avg_order_value"]
+
+# ---- fixed values: notes and cuts of the client's KPI row ----
+NEGATIVE_BASELINE = 0.22
+HIDDEN_RISK_MIN = 0.7

@@ -78,7 +78,7 @@ def complaint_reviews(df: DataFrame) -> DataFrame:
     return df.filter(F.col("rating") <= K.COMPLAINT_MAX_RATING)
 
 
-def hidden_risks(products: DataFrame, threshold: float = 0.7) -> DataFrame:
+def hidden_risks(products: DataFrame, threshold: float = K.HIDDEN_RISK_MIN) -> DataFrame:
     return products.filter((F.col("risk_probability") > threshold)
                            & (F.col("quadrant") != K.FIRE_FIGHT))
 
@@ -102,7 +102,7 @@ def product_lookup(products: DataFrame, name: str) -> DataFrame:
 
 def filter_records(records: DataFrame, products=None, start: str | None = None,
                    end: str | None = None, severity: str = "All",
-                   threshold: float = 0.7) -> DataFrame:
+                   threshold: float = K.HIDDEN_RISK_MIN) -> DataFrame:
     """Client filter on product records: name IN list, ISO date between (text
     compare), severity equal unless 'All', probability >= threshold."""
     cond = F.lit(True)
@@ -229,11 +229,11 @@ def kpis_weighted(records: DataFrame) -> DataFrame:
     wneg = F.when(F.col("total_reviews") > 0, F.col("__wneg") / F.col("total_reviews")).otherwise(0.0)
     return one.select("total_revenue", "total_reviews", (wneg * 100.0).alias("negative_pct"),
                       "avg_probability", "high_risk_count", "products_in_view",
-                      F.when(wneg > 0.22, "Above baseline").otherwise("Within baseline")
+                      F.when(wneg > K.NEGATIVE_BASELINE, "Above baseline").otherwise("Within baseline")
                       .alias("negative_note"))
 
 
-def ml_insight_kpis(products: DataFrame, threshold: float = 0.7) -> DataFrame:
+def ml_insight_kpis(products: DataFrame, threshold: float = K.HIDDEN_RISK_MIN) -> DataFrame:
     high = F.col("risk_probability") > threshold
     return products.agg(
         F.count_if(high & (F.col("quadrant") != K.FIRE_FIGHT)).alias("hidden_risks"),

@@ -161,6 +161,16 @@ def training_stats(model: RiskModel, df: DataFrame) -> DataFrame:
                        F.lit(s["samples_trained"]).cast("long").alias("samples_trained"))
 
 
+def model_table(model: RiskModel, spark) -> DataFrame:
+    """A row for each feature (mean, scale, coefficient) and one for the intercept."""
+    fitted = model.model is not None
+    coefs = list(model.model.coefficients.toArray()) if fitted else [0.0] * len(model.features)
+    rows = [(f, float(m), float(s), float(c)) for f, m, s, c in
+            zip(model.features, model.means, model.scales, coefs, strict=True)]
+    rows.append(("(intercept)", 0.0, 1.0, float(model.model.intercept) if fitted else 0.0))
+    return spark.createDataFrame(rows, "feature string, mean double, scale double, coefficient double")
+
+
 def feature_importance(model: RiskModel, spark) -> DataFrame:
     """Coefficient per feature and its absolute value, largest first."""
     coefs = (list(model.model.coefficients.toArray()) if model.model is not None

@@ -1,6 +1,8 @@
 """End-to-end compositions of the operators.
 
-Materialisation policy: nothing here calls an action. A caller that reuses a
+Materialisation policy: the product table, which several statistics read, is written once to
+the shared checkpoint folder (``product_metrics``, ``classic_product_metrics``; pass
+``materialize_as="none"`` there to stay lazy); nothing else here calls an action. A caller that reuses a
 result many times (dashboards, the bench) may pass ``persist=True`` to keep
 the scored reviews and the product table (``MEMORY_AND_DISK``; lost blocks
 are recomputed from lineage, so an executor loss is survivable), or

@@ -764,8 +764,9 @@ def _fitted(spark, sf):
 
 @register("train_risk_model")
 def q_train_risk_model(spark, sf):
+    """The fitted model itself: scaling and coefficient of every feature, and the intercept."""
     _, model = _fitted(spark, sf)
-    return RK.feature_importance(model, spark)
+    return RK.model_table(model, spark)
 
 
 @register("feature_importance")
