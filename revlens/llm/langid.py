@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import checkpointed, held_out
+from revlens.llm.common import checkpointed, held_out, sliced
 
 SAMPLE_DOCUMENTS = 3_000   # of each language, about
 TABLE_WORDS = 10_000       # words, and n-grams of each size, kept per language
@@ -38,7 +38,7 @@ EVIDENCE_WORDS = 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
 MIN_SCORE = 0.5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 STEP_CHARS = 1_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -221,7 +221,7 @@ def identified_documents(docs: DataFrame, model: Model, min_score: float = MIN_S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = predictor.predict(
                 batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score

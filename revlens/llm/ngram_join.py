@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import checkpointed
+from revlens.llm.common import checkpointed, give_back_memory
 from revlens.llm.digest import powers
 
 SHINGLE = 5
@@ -156,6 +156,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             part = batch.slice(lo, hi - lo)
             yield part, Piece([t or b"" for t in part.column("t").to_pylist()])
+    give_back_memory()
 
 
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +260,12 @@ def postings(buckets: int):
 
 
 def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    out = _counted(rows)
+    give_back_memory()
+    return out
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     """The bucket's hashes that two classes or more have, back to each run, with their number."""
     own = rows[rows["kind"] == 0]
     told = [rows[rows["kind"] == 1][["run", "kind", "body"]]]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import held_out
+from revlens.llm.common import held_out, sliced
 
 TABLE_BITS = 19            # hashed terms
 SAMPLE_DOCUMENTS = 20_000  # bound of the labelled sample
@@ -40,7 +40,7 @@ CHOSEN_TERMS = 512         # terms the model keeps, by their G statistic
 MIN_DOCUMENTS = 4          # of a term in the sample
 FACTORS = 4
 THRESHOLD = 0.3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 SAMPLE_PARTS = 8
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -250,7 +250,7 @@ def clean_documents(docs: DataFrame, model: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(scorer.scores(texts) < THRESHOLD))
 
