@@ -110,8 +110,9 @@ def url_templates(shapes: DataFrame) -> DataFrame:
     """shapes with ``template`` and its smoothed ``purity``."""
     rows = shapes.withColumn("node", F.lit(""))
     for k in range(1, DEPTH + 1):
-        rows = (rows.join(_branches(rows, k), ["host", "node", f"s{k}"])
-                .withColumn("node", F.concat("node", F.lit("/"), "t")).drop("t"))
+        # each level reads the one above several times: without a cut the plan grows as a power
+        rows = checkpointed(rows.join(_branches(rows, k), ["host", "node", f"s{k}"])
+                            .withColumn("node", F.concat("node", F.lit("/"), "t")).drop("t"))
     template = rows.groupBy("host", "node").agg(F.sum("b").alias("b"), F.sum("m").alias("m"))
     host = shapes.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn"))
     host = host.withColumn("domain", domain(F.col("host")))
