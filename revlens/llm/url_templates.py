@@ -6,9 +6,12 @@ segments, and per host a tree of segments is built whose variable branches becom
 
 * a segment of digits (with or without an extension) is generalised at once;
 * of the branches under one node, those with less than ``MIN_SHARE`` of its urls are not told
-  apart (one wildcard branch);
+  apart (one wildcard branch), but one with labels stays by itself when its share of blocked
+  urls is statistically another than that of the others' labels together;
 * a branch joins the node's wildcard when its share of blocked urls is statistically the same
-  (two-proportion z of ``MERGE_Z`` at most).
+  (two-proportion z of ``MERGE_Z`` at most);
+* a branch without labels can't be tested. In a wildcard it shares the name only: its urls have
+  the purity of a template without labels, whatever the labels of the other branches.
 
 A template's purity is the share of blocked ones among its labelled urls, smoothed towards the
 share of all urls of its host that are known to be blocked, that towards its domain's, and
@@ -85,34 +88,46 @@ def url_shapes(urls: DataFrame) -> DataFrame:
         F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
 
 
+def _alike(b: Column, m: Column, wb: Column, wm: Column) -> Column:
+    """Whether b blocked of m labelled and wb of wm are statistically one share; null without labels."""
+    b, m, wb, wm = (c.cast("double") for c in (b, m, wb, wm))
+    pooled = (b + wb) / (m + wm)
+    spread = pooled * (1 - pooled) * (1 / m + 1 / wm)
+    away = b / m - wb / wm
+    return F.when((m > 0) & (wm > 0), away * away <= MERGE_Z * MERGE_Z * spread)
+
+
 def _branches(shapes: DataFrame, k: int) -> DataFrame:
-    """(host, node, segment k, t): the template segment that each branch at level k becomes."""
+    """(host, node, segment k, t, bare): the template segment that each branch at level k becomes,
+    and whether the branch is in a wildcard without labels of its own."""
     branch = shapes.groupBy("host", "node", f"s{k}").agg(
         F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"))
     all_of = branch.groupBy("host", "node").agg(F.sum("n").alias("all"))
     sized = branch.join(all_of, ["host", "node"]).withColumn("rare", F.col("n") < MIN_SHARE * F.col("all"))
-    wild = sized.groupBy("host", "node").agg(  # the wildcard begins with the rare branches
-        F.sum(F.when(F.col("rare"), F.col("m")).otherwise(0)).alias("wm"),
-        F.sum(F.when(F.col("rare"), F.col("b")).otherwise(0)).alias("wb"),
-        F.max("rare").alias("some"))
-    b, m, wb, wm = (F.col(c).cast("double") for c in ("b", "m", "wb", "wm"))
-    pooled = (b + wb) / (m + wm)
-    spread = pooled * (1 - pooled) * (1 / m + 1 / wm)
-    away = b / m - wb / wm
-    alike = F.when((F.col("m") > 0) & (F.col("wm") > 0),
-                   away * away <= MERGE_Z * MERGE_Z * spread).otherwise(F.lit(False))
-    return sized.join(wild, ["host", "node"]).select(
-        "host", "node", f"s{k}",
-        F.when(F.col("rare") | (F.col("some") & alike), "*").otherwise(F.col(f"s{k}")).alias("t"))
+    rares = sized.groupBy("host", "node").agg(
+        F.sum(F.when(F.col("rare"), F.col("m")).otherwise(0)).alias("rm"),
+        F.sum(F.when(F.col("rare"), F.col("b")).otherwise(0)).alias("rb"))
+    tested = sized.join(rares, ["host", "node"]).withColumn("joins", F.col("rare") & F.coalesce(
+        _alike(F.col("b"), F.col("m"), F.col("rb") - F.col("b"), F.col("rm") - F.col("m")), F.lit(True)))
+    wild = tested.groupBy("host", "node").agg(  # the wildcard begins with the rare branches
+        F.sum(F.when(F.col("joins"), F.col("m")).otherwise(0)).alias("wm"),
+        F.sum(F.when(F.col("joins"), F.col("b")).otherwise(0)).alias("wb"),
+        F.max("joins").alias("some"))
+    alike = F.coalesce(_alike(F.col("b"), F.col("m"), F.col("wb"), F.col("wm")), F.lit(False))
+    starred = F.col("joins") | (F.col("some") & ~F.col("rare") & alike)
+    return tested.join(wild, ["host", "node"]).select(
+        "host", "node", f"s{k}", F.when(starred, "*").otherwise(F.col(f"s{k}")).alias("t"),
+        (starred & (F.col("m") == 0)).alias("bare"))
 
 
 def url_templates(shapes: DataFrame) -> DataFrame:
     """shapes with ``template`` and its smoothed ``purity``."""
-    rows = shapes.withColumn("node", F.lit(""))
+    rows = shapes.withColumn("node", F.lit("")).withColumn("apart", F.lit(False))
     for k in range(1, DEPTH + 1):
         # each level reads the one above several times: without a cut the plan grows as a power
         rows = checkpointed(rows.join(_branches(rows, k), ["host", "node", f"s{k}"])
-                            .withColumn("node", F.concat("node", F.lit("/"), "t")).drop("t"))
+                            .withColumn("node", F.concat("node", F.lit("/"), "t"))
+                            .withColumn("apart", F.col("apart") | F.col("bare")).drop("t", "bare"))
     template = rows.groupBy("host", "node").agg(F.sum("b").alias("b"), F.sum("m").alias("m"))
     host = shapes.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn"))
     host = host.withColumn("domain", domain(F.col("host")))
@@ -123,9 +138,10 @@ def url_templates(shapes: DataFrame) -> DataFrame:
             .withColumn("p", smoothed(F.col("db"), F.col("dn"), F.col("p")))
             .withColumn("p", smoothed(F.col("hb"), F.col("hn"), F.col("p"))).select("host", "p"))
     template = template.join(host, "host").select(
-        "host", "node", smoothed(F.col("b"), F.col("m"), F.col("p")).alias("purity"))
+        "host", "node", "p", smoothed(F.col("b"), F.col("m"), F.col("p")).alias("purity"))
     return rows.join(template, ["host", "node"]).select(
-        "host", *SEGMENTS, F.col("node").alias("template"), "purity")
+        "host", *SEGMENTS, F.col("node").alias("template"),
+        F.when(F.col("apart"), F.col("p")).otherwise(F.col("purity")).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules=None) -> DataFrame:

@@ -138,3 +138,24 @@ def test_templates_generalise_and_reject(spark):
     assert got[0]["verdict"] == "block" and got[0]["rule"] is None
     assert {got[k]["template"] for k in range(200, 300)} == {"/*/post/"}
     assert got[200]["verdict"] == "allow" and got[300]["verdict"] == "allow"
+
+
+def test_sections_without_labels_keep_out_of_others_labels(spark):
+    """30 sections of a host, two of them listed: the clean ones stay allowed at any size."""
+    for urls in (3, 40):
+        rows = [f"http://h.net/{s}/{k}" for s in ["es", "fr", *(f"part{j}" for j in range(28))] for k in range(urls)]
+        df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")
+        got = U.judge_urls(df).collect()
+        assert len(got) == len(rows)
+        assert all(r["verdict"] == ("block" if r["page_id"] < 2 * urls else "allow") for r in got)
+
+
+def test_rare_sections_of_another_share_stay_apart(spark):
+    """Of 30 rare sections with labels, the blocked one is no wildcard with the allowed ones."""
+    rows = [f"http://h.net/part{j}/{k}" for j in range(30) for k in range(40)]
+    rules = [("net", "/part0/", "block"), *(("net", f"/part{j}/", "allow") for j in range(1, 20))]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in U.judge_urls(df, rules).collect()}
+    assert {got[k]["template"] for k in range(40)} == {"/part0/{n}/"}
+    assert {got[k]["template"] for k in range(40, 1200)} == {"/*/{n}/"}
+    assert {got[k]["verdict"] for k in range(40, 1200)} == {"allow"}
