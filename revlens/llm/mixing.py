@@ -18,7 +18,9 @@ A bisection bracket keeps each step inside the interval where the root is known
 Rates are rounded to whole copies within groups of about ``GROUP`` documents of one source
 (a hash of the id deals them, so a source of any size is many groups): from the largest
 document to the smallest, each takes the whole number of copies next to its rate that keeps
-the group's sum of words closest to the rates'. So the error of a source is a few words of its
+the group's sum of words closest to the rates'. Rows equal in id and size are counted first
+and dealt as entries of up to ``GROUP`` rows, one after the other to the following groups; an
+entry's rows share its copies evenly. Documents without words are rounded each by itself. So the error of a source is a few words of its
 shortest documents, no document exceeds ``MOST`` copies, and reruns agree.
 
 Cases: null text has size 0; sources without words have target 0; null ids and repeated rows
@@ -82,9 +84,9 @@ def tilted(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """
     about = counts.where("size > 0").groupBy("s").agg(
         F.sum("c").alias("docs"), (F.sum(F.col("size") * F.col("c")) / F.sum("c")).alias("mean"))
-    ratio = F.col("target") / (F.col("source_size") * F.lit(MOST))
+    ratio = F.try_divide(F.col("target"), F.col("source_size") * F.lit(MOST))  # null without words
     state = checkpointed(
-        targets.join(about, targets["s"].eqNullSafe(about["s"]), "left").drop(about["s"])
+        _with(targets, about, "left")
         .withColumn("lam", F.when((ratio > 0) & (ratio < 1 - 1e-9), F.ln(ratio / (1 - ratio))))
         .withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)))
     work = counts.where("size > 0")
@@ -96,7 +98,7 @@ def tilted(counts: DataFrame, targets: DataFrame) -> DataFrame:
         sums = at.groupBy("s").agg(
             F.sum(F.col("c") * F.col("size") * rate).alias("words"),
             F.sum(F.col("c") * F.col("size") * x * rate * (1 - rate / MOST)).alias("slope"))
-        now = state.join(sums, state["s"].eqNullSafe(sums["s"]), "left").drop(sums["s"])
+        now = _with(state, sums, "left")
         off = F.col("words") - F.col("target")
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
@@ -117,9 +119,12 @@ SENT_SOURCES = 20_000  # one small row each; more are joined by a shuffle
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
-    if few:
-        sources = F.broadcast(sources)
-    return rows.join(sources, rows["s"].eqNullSafe(sources["s"])).drop(sources["s"])
+    return _with(rows, F.broadcast(sources) if few else sources, "inner")
+
+
+def _with(rows: DataFrame, sources: DataFrame, how: str) -> DataFrame:
+    """Joined by s; the key of the right side is renamed, as both may stem from one frame."""
+    return rows.join(sources.withColumnRenamed("s", "s__"), F.col("s").eqNullSafe(F.col("s__")), how).drop("s__")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -132,27 +137,36 @@ def mix(docs: DataFrame) -> DataFrame:
     rate = (F.when(F.col("target") <= 0, F.lit(0.0))
             .when(F.col("lam").isNull(), F.lit(MOST))
             .otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"))))
-    groups = F.greatest(F.lit(1), F.ceil(F.coalesce("docs", F.lit(0)) / F.lit(GROUP)))
-    dealt = (_with_source(sized, sources, sources.count() <= SENT_SOURCES).withColumn("rate", rate)
-             .withColumn("g", F.pmod(F.xxhash64("doc_id", "size"), groups)))
+    few = sources.count() <= SENT_SOURCES
+    wordless = (_with_source(sized.where("size = 0"), sources, few).withColumn("rate", rate)
+                .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
+                        F.round("rate").cast("long").alias("copies"), "rate"))
+    equal = sized.where("size > 0").groupBy("s", "doc_id", "size").agg(F.count(F.lit(1)).alias("c"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / GROUP)))
+    groups = F.ceil(F.col("docs") / F.lit(GROUP))
+    dealt = (_with_source(equal, sources, few).withColumn("rate", rate).withColumn("part", part)
+             .withColumn("c", F.least(F.lit(GROUP).cast("long"), F.col("c") - F.col("part") * GROUP))
+             .withColumn("g", F.pmod(F.pmod(F.xxhash64("doc_id", "size"), groups) + F.col("part"), groups)))
     key = ["s", "g", "source_size", "target"]
-    listed = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate")),
+    listed = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate", "c")),
                                                   asc=False).alias("d"))
 
     def step(acc: Column, x: Column) -> Column:
-        size = F.greatest(x["size"], F.lit(1))
-        off = acc["err"] - x["rate"] * x["size"]  # without this document
-        k = F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.round(-off / size)))
-        k = F.when(x["size"] > 0, k).otherwise(F.round(x["rate"])).cast("long")
+        off = acc["err"] - x["rate"] * x["size"] * x["c"]  # without these documents
+        k = F.greatest(F.lit(0.0), F.least(F.lit(MOST) * x["c"], F.round(-off / x["size"]))).cast("long")
         return F.struct((off + k * x["size"]).alias("err"), F.concat(acc["out"], F.array(k)).alias("out"))
 
     rounded = listed.withColumn("k", F.aggregate(
         "d", F.struct(F.lit(0.0).alias("err"), F.array().cast("array<bigint>").alias("out")),
         step, lambda acc: acc["out"]))
     each = rounded.select("source_size", "target", F.explode(F.arrays_zip("d", "k")).alias("x"))
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.d.c")))  # the first rows take what is over
+    each = each.select("source_size", "target", "x", row.alias("row")).withColumn(
+        "k", F.floor(F.col("x.k") / F.col("x.d.c"))
+        + F.when(F.col("row") <= F.pmod("x.k", "x.d.c"), 1).otherwise(0))
     return each.select(F.col("x.d.doc_id").alias("doc_id"), F.col("x.d.size").alias("size"),
-                       "source_size", "target", (F.col("x.k") * F.col("x.d.size")).alias("taken"),
-                       F.col("x.k").alias("copies"), F.col("x.d.rate").alias("rate"))
+                       "source_size", "target", (F.col("k") * F.col("x.d.size")).alias("taken"),
+                       F.col("k").alias("copies"), F.col("x.d.rate").alias("rate")).unionByName(wordless)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

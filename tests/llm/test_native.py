@@ -61,6 +61,35 @@ def test_mixing_edges(edge_docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_repeated_ids_and_wordless_documents_are_no_hot_group(spark, monkeypatch):
+    """Rows without words, of one id or without any are dealt to many groups, or to none."""
+    rows = [(None, "a b c", "s")] * 6000 + [(1, "a b", "s")] * 3000 + [(k, "", "s") for k in range(10, 6010)]
+    rows += [(k, "x " * (k % 9 + 1), "s") for k in range(7000, 9000)] + [(k, None, "t") for k in range(9000, 13000)]
+    rows += [(k, "y", "u") for k in range(20000, 20300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt, group_by = [], type(df).groupBy
+
+    def watched(frame, *cols):
+        if "g" in cols:
+            dealt.append(group_by(frame, *cols).count().agg({"count": "max"}).first()[0])
+        return group_by(frame, *cols)
+
+    monkeypatch.setattr(type(df), "groupBy", watched)
+    got = mixing.mix(df).collect()
+    assert len(dealt) == 1 and dealt[0] <= 2 * mixing.GROUP
+    assert len(got) == len(rows)
+    size = {}
+    for i, text, source in rows:
+        size[source] = size.get(source, 0) + len(WORD.findall(text or ""))
+    want, taken = targets(size), dict.fromkeys(size, 0)
+    name = {n: s for s, n in size.items()}
+    for r in got:
+        taken[name[r["source_size"]]] += r["taken"]
+        assert 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 60 for s in size), (taken, want)
+    assert sum(r["doc_id"] is None for r in got) == 6000
+
+
 def test_rates_solve_the_dual(spark):
     """The tilted rates meet every constraint, and rise with size above 1, fall below it."""
     counts = spark.createDataFrame([("a", k, 3) for k in range(1, 60)] + [("b", 7, 10), ("b", 90, 2), ("b", 0, 4)],
