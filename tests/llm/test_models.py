@@ -124,6 +124,22 @@ def test_licences(licence_docs):
     assert all(r["probability"] >= licenses.LEAST and r["likeness"] >= licenses.CONFIRM for r in got)
 
 
+def test_wrapped_licences(spark):
+    gpl = ("This program is free software: you can redistribute it and/or modify\n"
+           "it under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n"
+           "(at your option) any later version.")
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n"
+           "# modification, are permitted provided that the following conditions are met:")
+    apart = bsd.replace("\n", "\n#\n")  # two paragraphs, neither a notice
+    rows = [doc(k, words(k % 5, 30) + "\n" + words(k % 3, 12)) for k in range(40)]
+    rows += [doc(100, gpl), doc(101, "intro\n\n" + bsd + "\nmore"), doc(102, apart), doc(103, bsd + "\n\n" + gpl)]
+    got = licenses.license_paragraphs(spark.createDataFrame(rows, DOC_SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == [
+        (100, "gpl"), (101, "bsd"), (103, "bsd"), (103, "gpl")]
+    assert {r["paragraph"] for r in got if r["doc_id"] == 101} == {2}
+
+
 def test_licences_of_nothing(no_docs):
     assert licenses.license_paragraphs(no_docs).count() == 0
 
