@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from revlens.llm import (
     bpe,
     digest,
+    importance,
     langid,
+    lexical,
     licenses,
     mixing,
     ngram_join,
     pivot_index,
+    token_counts,
     token_files,
     toxicity,
     url_templates,
@@ -66,6 +69,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
@@ -77,6 +92,9 @@ QUERIES = {
     "op8_pivot_index": op8_pivot_index,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical": op11_lexical,
+    "op12_token_counts": op12_token_counts,
+    "op13_importance": op13_importance,
 }
 OP8_SQL = """
 WITH v AS (
@@ -96,6 +114,50 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT k, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM d GROUP BY k),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n),
+tf AS (SELECT k, term, count(*)::BIGINT AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, c GROUP BY term),
+i AS (SELECT tf.k, n.doc_id, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * n.n * big_n) // big_l))) AS x
+  FROM tf JOIN w USING (term) JOIN n ON n.k = tf.k CROSS JOIN c),
+s AS (SELECT item_id, k, any_value(doc_id) AS doc_id, sum(x)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+OP13_SQL = r"""
+WITH words AS (SELECT 'd' AS part, row_number() OVER () AS k, doc_id, regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+ UNION ALL SELECT 'b', NULL, NULL, regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (SELECT part, k, unnest(list_concat(w, list_concat(
+  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM words),
+f AS (SELECT part, k, f, count(*)::BIGINT AS n FROM runs GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, len(h), 2),
+   lambda i: list_transform(range(8), lambda j: ((('0x' || substr(h, i + 1, 2))::BIGINT >> j) & 1))))),
+   lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 10000 AS b FROM h),
+c AS (SELECT b, sum(n) FILTER (part = 'd') AS s, sum(n) FILTER (part = 'b') AS t FROM f JOIN b USING (f) GROUP BY b),
+tot AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM c),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS g FROM c, tot),
+x AS (SELECT k, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE part = 'd' GROUP BY k),
+d AS (SELECT doc_id, coalesce(len(w), 0) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash
+ FROM words LEFT JOIN x USING (k) WHERE part = 'd'),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((hash + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place,
+  count(*) FILTER (words >= 20) OVER () AS eligible FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * eligible // 100 THEN place END AS rank FROM r
+"""
+
 
 def op5_sql() -> str:
     """The path-template tree level by level, as common table expressions."""
@@ -145,4 +207,5 @@ FROM u JOIN r{u.DEPTH} r ON u.host = r.host AND {' AND '.join(f'u.{x} = r.{x}' f
 JOIN tq q ON q.host = r.host AND q.node = r.node"""
 
 
-ORACLE: dict[str, str] = {"op5_url_templates": op5_sql(), "op8_pivot_index": OP8_SQL}
+ORACLE: dict[str, str] = {"op5_url_templates": op5_sql(), "op8_pivot_index": OP8_SQL,
+                          "op11_lexical": OP11_SQL, "op13_importance": OP13_SQL}
