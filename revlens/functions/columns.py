@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.functions import constants as K
 
@@ -124,12 +125,17 @@ def issue_severity(rating, sentiment=None, literal: str = "neutral") -> Column:
                   + K.SEVERITY_SENTIMENT_WEIGHT * s)
 
 
-def flag_to_int(c) -> Column:
+def flag_to_int(c, dtype: T.DataType | None = None) -> Column:
     """Booleans (also as text) -> 0/1 int, numbers (also as text) -> their integer part;
-    null and anything else -> 0 (a dirty value must not end the job; ``bad_flag`` marks them)."""
-    text = col_(c).cast("string")
-    return F.coalesce(text.try_cast("double").try_cast("int"),
-                      text.try_cast("boolean").cast("int"), F.lit(0))
+    null and anything else -> 0 (a dirty value must not end the job; ``bad_flag`` marks them).
+    ``dtype``, where known, picks the one conversion that applies."""
+    c = col_(c)
+    if isinstance(dtype, T.BooleanType):
+        return F.coalesce(c.cast("int"), F.lit(0))
+    if isinstance(dtype, T.NumericType):
+        return F.coalesce(c.try_cast("int"), F.lit(0))
+    text = c.cast("string")  # 1 and 0 are booleans too, so most numbers need no second try
+    return F.coalesce(text.try_cast("boolean").cast("int"), text.try_cast("double").try_cast("int"), F.lit(0))
 
 
 def bad_flag(c) -> Column:

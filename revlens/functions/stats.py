@@ -1,7 +1,8 @@
-"""Global statistics as one-row DataFrames, attached by broadcast cross join.
+"""Global statistics: observed while a table is written, or as one-row DataFrames.
 
-A one-row frame has a proven size bound, so broadcasting it is always safe:
-the plan is partial aggregate -> single-row exchange -> BroadcastNestedLoopJoin.
+Statistics that the rows of a large input are scaled by are observed in the same pass that
+writes this input (``observed``). Others are one-row frames attached by a broadcast cross join;
+one row has a proven size bound.
 
 Exact quantiles (pandas ``quantile``, linear interpolation; equal to SQL
 ``quantile_cont``) take the same path at every size, without an array of values:
@@ -21,6 +22,8 @@ Everything stays lazy; the result is a one-row frame.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +37,25 @@ def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
-def scalar(stats: DataFrame, name: str) -> Column:
-    """One value of a one-row statistics frame as a scalar subquery: Spark computes the frame
-    once for all its values, and not at all where no value is used."""
-    return stats.select(name).scalar()
+def observed(df: DataFrame, aggs: dict[str, Column], name: str = "observed") -> tuple[DataFrame, dict]:
+    """``df`` written once to the shared folder, and aggregates of it that were observed while
+    it was written: one pass over the input gives both. The values are plain numbers, so what
+    uses them needs neither a join nor a subquery."""
+    from pyspark.sql import Observation
+
+    from revlens.session import written
+
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    table = written(df.observe(seen, *[c.alias(n) for n, c in aggs.items()]), name)
+    return table, dict(seen.get)
+
+
+def observed_minmax(df: DataFrame, cols: dict[str, Column | str]
+                    ) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """``df`` written once, and (minimum, maximum) of each column as literals."""
+    aggs = {f"{fn}_{n}": f(col_(c)) for n, c in cols.items() for fn, f in (("min", F.min), ("max", F.max))}
+    table, got = observed(df, aggs)
+    return table, {n: tuple(F.lit(got.get(f"{fn}_{n}")).cast("double") for fn in ("min", "max")) for n in cols}
 
 
 def minmax_stats(df: DataFrame, cols: dict[str, Column | str], prefix: str = "__") -> DataFrame:

@@ -1,6 +1,6 @@
 """The older ("classic") scoring path: preprocessing, features, scores and the
-score validation check. Same shape as the live path: one global-stats
-aggregate broadcast back, everything else row-local expressions."""
+score validation check. Same shape as the live path: statistics observed
+while the input is written once, everything else row-local expressions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as C
 from revlens.functions import constants as K
-from revlens.functions.stats import minmax_stats, with_stats
+from revlens.functions.stats import observed_minmax, with_stats
 from revlens.operators.reviews import numeric_columns
 
 
@@ -24,16 +24,13 @@ def classic_preprocess(df: DataFrame) -> DataFrame:
         "days_since_purchase": F.coalesce(C.to_double("days_since_purchase"), F.lit(30.0)),
     }).withColumns({"ltv_log": C.log_scale("customer_ltv"),
                     "order_value_log": C.log_scale("order_value")})
-    stats = minmax_stats(df, {"ltv": "ltv_log", "order": "order_value_log",
-                              "helpful": "helpful_votes"})
-    j = with_stats(df, stats)
-    out = j.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        C.minmax_eps("ltv_log", "__min_ltv", "__max_ltv").alias("ltv_norm"),
-        C.minmax_eps("order_value_log", "__min_order", "__max_order").alias("order_norm"),
-        C.minmax_eps("helpful_votes", "__min_helpful", "__max_helpful").alias("helpful_norm"),
-        C.flag_to_int("is_repeat_customer").alias("repeat"),
-        C.flag_to_int("verified_purchase").alias("verified"))
+    df, bounds = observed_minmax(df, {"ltv": "ltv_log", "order": "order_value_log", "helpful": "helpful_votes"})
+    out = df.select(
+        "*", C.minmax_eps("ltv_log", *bounds["ltv"]).alias("ltv_norm"),
+        C.minmax_eps("order_value_log", *bounds["order"]).alias("order_norm"),
+        C.minmax_eps("helpful_votes", *bounds["helpful"]).alias("helpful_norm"),
+        C.flag_to_int("is_repeat_customer", df.schema["is_repeat_customer"].dataType).alias("repeat"),
+        C.flag_to_int("verified_purchase", df.schema["verified_purchase"].dataType).alias("verified"))
     out = out.na.fill(0, subset=numeric_columns(out))
     strs = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)]
     return out.na.fill("0", subset=strs) if strs else out

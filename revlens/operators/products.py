@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from revlens.functions import columns as C
 from revlens.functions import constants as K
 from revlens.functions.stats import minmax_stats, quantiles, with_stats
+from revlens.session import written
 
 
 def clean_products(df: DataFrame, missing: str = "General") -> DataFrame:
@@ -34,31 +35,16 @@ def clean_products(df: DataFrame, missing: str = "General") -> DataFrame:
     return df.filter(F.col("product") != "")
 
 
-def materialize(df: DataFrame, how: str) -> DataFrame:
-    """Level boundary: ``checkpoint`` writes to the shared checkpoint folder
-    (lineage cut; survives executor loss), ``persist`` keeps blocks on the
-    executors (MEMORY_AND_DISK; lost blocks are recomputed), ``none`` stays lazy."""
-    if how == "checkpoint":
-        from revlens.session import checkpoint
-
-        return checkpoint(df)
-    if how == "persist":
-        from pyspark import StorageLevel
-
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
 def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING,
-                    materialize_as: str = "checkpoint") -> DataFrame:
+                    materialize: bool = True) -> DataFrame:
     """Per product: total impact, mean rating, repeat rate, mean and total LTV,
     mean order value, review count, negative count/ratio and revenue at risk
     (rating <= 2.5), all in one aggregate.
 
-    The product table is read several times downstream (priority min/max, two
-    quantile passes, the final projection), each of which would otherwise re-run
-    the whole review pipeline; by default it is checkpointed once (it is about
-    reviews / products times smaller than the review data)."""
+    The product table is read several times downstream (priority min/max, quantile
+    passes, the final projection), each of which would otherwise re-run the whole
+    review pipeline; by default it is written once to the shared folder (it is
+    about reviews / products times smaller than the review data)."""
     df = clean_products(scored)
     risky = F.col("rating") <= risky_max
     agg = df.groupBy("product").agg(
@@ -77,7 +63,7 @@ def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING,
         "negative_ratio": F.col("negative_count") / F.col("total_reviews"),
         "revenue_at_risk": F.col("total_revenue_at_risk"),
     })
-    return materialize(out, materialize_as)
+    return written(out, "products") if materialize else out
 
 
 def _clip01_sql(x: str) -> str:
@@ -215,7 +201,7 @@ def spike_stats(reviews: DataFrame) -> DataFrame:
                           / (n / K.SPIKE_SPREAD_DIVISOR + 1e-9))
 
 
-def classic_product_metrics(reviews: DataFrame, materialize_as: str = "checkpoint") -> DataFrame:
+def classic_product_metrics(reviews: DataFrame, materialize: bool = True) -> DataFrame:
     """Classic aggregation: severity mean, negative ratio = mean(is_negative),
     revenue at risk = sum(LTV * is_negative), PPS with clipped epsilon min-max,
     zero-impact gate, spike boost; ten output columns, nulls -> 0."""
@@ -264,4 +250,5 @@ def classic_product_metrics(reviews: DataFrame, materialize_as: str = "checkpoin
     p = p.withColumn("final_score", score)
     out = ["product", "total_reviews", "avg_order_value", "avg_rating", "negative_ratio",
            "repeat_rate", "total_impact", "PPS", "total_revenue_at_risk", "final_score"]
-    return materialize(p.select(*out).na.fill(0), materialize_as)
+    p = p.select(*out).na.fill(0)
+    return written(p, "products") if materialize else p

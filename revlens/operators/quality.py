@@ -14,16 +14,13 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as C
 from revlens.functions import constants as K
-from revlens.functions.stats import minmax_stats, with_stats
+from revlens.functions.stats import observed_minmax
+from revlens.operators.gate import Checked, DataError, check_rows, output_constraints, types_match
 from revlens.operators.reviews import NUMERIC_TYPES, numeric_columns
 
 REPORT_SCHEMA = "check string, column string, severity string, n bigint, message string"
 
 
-class DataError(ValueError):
-    """Raised when input data cannot be used at all (empty, columns missing)."""
-
-
 def assert_columns(df: DataFrame, required: list[str], context: str = "") -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -150,19 +147,27 @@ def clip_ranges(df: DataFrame) -> DataFrame:
     return df.withColumns(ex) if ex else df
 
 
+TOTAL = "(total)"
+
+
 def null_profile(df: DataFrame, critical: list[str] | None = None) -> DataFrame:
-    """Per column with missing values: count, percentage of rows, critical flag."""
+    """Per column with missing values: count, percentage of rows, critical flag; and a row
+    ``(total)`` with the missing values of all columns, their share of all values, and whether
+    a critical column has any."""
     critical = list(K.ROBUST_SCHEMA) if critical is None else critical
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__rows")] + [
         F.count_if(_null_or_nan(c, types[c])).alias(f"n_{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
-    args = ", ".join(f"'{c}', `n_{i}`" for i, c in enumerate(df.columns))
-    long = one.selectExpr("__rows", f"stack({len(df.columns)}, {args}) as (column, null_count)")
-    return long.filter(F.col("null_count") > 0).select(
+    n = [f"`n_{i}`" for i in range(len(df.columns))]
+    flags = [str(c in critical).lower() for c in df.columns]
+    args = ", ".join(f"'{c}', {x}, __rows, {flag}" for c, x, flag in zip(df.columns, n, flags, strict=True))
+    any_critical = " OR ".join(f"{x} > 0" for x, flag in zip(n, flags, strict=True) if flag == "true") or "false"
+    args += f", '{TOTAL}', {' + '.join(n) or '0L'}, __rows * {len(n)}, ({any_critical})"
+    long = one.selectExpr(f"stack({len(df.columns) + 1}, {args}) as (column, null_count, of, critical)")
+    return long.filter((F.col("null_count") > 0) | (F.col("column") == TOTAL)).select(
         "column", "null_count",
-        (F.col("null_count") / F.col("__rows") * 100.0).alias("null_pct"),
-        F.col("column").isin(critical).alias("critical"))
+        F.coalesce(F.try_divide(F.col("null_count") * 100.0, F.col("of")), F.lit(0.0)).alias("null_pct"), "critical")
 
 
 def sanity_checks(df: DataFrame) -> DataFrame:
@@ -233,22 +238,16 @@ def robust_preprocess(df: DataFrame) -> DataFrame:
                          "order_value": F.col("order_value").cast("double")})
     df = df.withColumns({"ltv_log": C.log_scale("customer_ltv"),
                          "order_value_log": C.log_scale("order_value")})
-    stats = minmax_stats(df, {"ltv": "ltv_log", "order": "order_value_log",
-                              "helpful": F.col("helpful_votes").cast("double")})
-    j = with_stats(df, stats)
-    flags = {
-        "repeat": (C.flag_to_int("is_repeat_customer") if "is_repeat_customer" in df.columns
-                   else F.col("repeat")),
-        "verified": (C.flag_to_int("verified_purchase") if "verified_purchase" in df.columns
-                     else F.col("verified")),
-    }
+    df, bounds = observed_minmax(df, {"ltv": "ltv_log", "order": "order_value_log",
+                                      "helpful": F.col("helpful_votes").cast("double")})
+    flags = {name: (C.flag_to_int(c, df.schema[c].dataType) if c in df.columns else F.col(name))
+             for name, c in (("repeat", "is_repeat_customer"), ("verified", "verified_purchase"))}
     keep = [F.col(f"`{c}`") for c in df.columns if c not in flags]
-    out = j.select(
+    out = df.select(
         *keep,
-        C.minmax_safe("ltv_log", "__min_ltv", "__max_ltv").alias("ltv_norm"),
-        C.minmax_safe("order_value_log", "__min_order", "__max_order").alias("order_norm"),
-        C.minmax_safe(F.col("helpful_votes").cast("double"), "__min_helpful", "__max_helpful")
-        .alias("helpful_norm"),
+        C.minmax_safe("ltv_log", *bounds["ltv"]).alias("ltv_norm"),
+        C.minmax_safe("order_value_log", *bounds["order"]).alias("order_norm"),
+        C.minmax_safe(F.col("helpful_votes").cast("double"), *bounds["helpful"]).alias("helpful_norm"),
         *[e.alias(n) for n, e in flags.items()])
     return final_null_sweep(clip_ranges(out))
 
@@ -264,9 +263,7 @@ def validate_output(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     missing = [c for c in K.ROBUST_SCHEMA if c not in types]
     present = [c for c in K.ROBUST_SCHEMA if c in types]
-    kinds = {"float": NUMERIC_TYPES, "str": T.StringType,
-             "int": (T.ByteType, T.ShortType, T.IntegerType, T.LongType)}
-    wrong = [c for c in present if not isinstance(types[c], kinds[K.ROBUST_SCHEMA[c]])]
+    wrong = types_match(df)
     holes = F.array_compact(F.array(F.lit(None).cast("string"), *[
         F.when(F.count_if(_null_or_nan(c, types[c])) > 0, F.concat(
             F.lit(f"{c}: "), F.count_if(_null_or_nan(c, types[c])).cast("string"))) for c in present]))
@@ -303,13 +300,11 @@ def preprocess_report(df: DataFrame) -> DataFrame:
             .union(step("sanity", sanity_checks(out))).union(step("validation", gate)))
 
 
-def robust_pipeline_checked(df: DataFrame) -> DataFrame:
-    """``robust_pipeline`` behind its final validation: raises ``DataError`` on a critical finding."""
+def robust_pipeline_checked(df: DataFrame) -> Checked:
+    """``robust_pipeline`` behind its final validation: written once and checked on the way;
+    raises ``DataError`` on a critical finding (no rows, a column missing, a hole)."""
     out = robust_pipeline(df)
-    critical = [r["message"] for r in sanity_checks(out).where("severity = 'critical'").limit(20).collect()]
-    if critical:
-        raise DataError("Critical validation failed: " + "; ".join(critical))
-    return out
+    return check_rows(out, output_constraints(out)).raise_if_unusable(list(K.ROBUST_SCHEMA))
 
 
 def robustness_report(df: DataFrame) -> DataFrame:
@@ -327,16 +322,19 @@ def robustness_report(df: DataFrame) -> DataFrame:
     return shape.unionByName(schema_report(df)).unionByName(sanity_checks(df)).unionByName(nulls)
 
 
-def ingest_summary(df: DataFrame, failed_pages: int = 0) -> DataFrame:
-    """Rows, distinct products, LTV min/max/sum, failed pages. (The product name
-    list of the reference is left out: it grows with the catalogue; use
-    ``distinct_products`` for a distributed, sorted list.)"""
-    return df.agg(
+def ingest_summary(df: DataFrame, failed_pages: DataFrame | None = None) -> DataFrame:
+    """Rows, distinct products, LTV min/max/sum, and the number of failed pages (a row each in
+    ``failed_pages``, as ``PageLanding.failed`` gives them; 0 for sources without pages). The
+    product name list of the reference is left out: it grows with the catalogue; use
+    ``distinct_products`` for a distributed, sorted list."""
+    one = df.agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.count_distinct("product").alias("unique_products"),
         F.min("customer_ltv").alias("ltv_min"), F.max("customer_ltv").alias("ltv_max"),
-        F.sum("customer_ltv").alias("ltv_sum"),
-    ).withColumn("failed_pages", F.lit(failed_pages).cast("int"))
+        F.sum("customer_ltv").alias("ltv_sum"))
+    if failed_pages is None:
+        return one.withColumn("failed_pages", F.lit(0))
+    return one.crossJoin(F.broadcast(failed_pages.agg(F.count(F.lit(1)).cast("int").alias("failed_pages"))))
 
 
 def quality_overview(df: DataFrame) -> DataFrame:

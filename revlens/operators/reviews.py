@@ -2,7 +2,7 @@
 
 Column-name resolution happens on the driver over ``df.columns`` (schema only,
 no data); every data change is a single ``select`` of JVM expressions.
-Global min/max statistics are one aggregate, broadcast back as one row.
+Global min/max statistics are observed while the scorer's input is written once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as C
 from revlens.functions import constants as K
-from revlens.functions.stats import minmax_stats, scalar, with_stats
+from revlens.functions.stats import minmax_stats, observed_minmax, with_stats
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -61,7 +61,8 @@ def normalize_reviews(df: DataFrame) -> DataFrame:
               "days_since_purchase", "helpful_votes"]:
         fixed[c] = F.coalesce(C.to_double(cur[c]), F.lit(0.0))
     for c in ["is_repeat_customer", "verified_purchase"]:
-        fixed[c] = C.flag_to_int(cur[c])
+        src = c if _has(df, c) else next((a for a in K.DASHBOARD_ALIASES[c] if _has(df, a)), None)
+        fixed[c] = C.flag_to_int(cur[c], df.schema[src].dataType if src else T.IntegerType())
     if "review_text" not in exprs:
         fixed["review_text"] = cur["review_text"].cast("string")
     return _replace(df, fixed).filter(F.col("product") != "")
@@ -142,8 +143,8 @@ def fetch_column_repair(df: DataFrame) -> DataFrame:
 
 
 # ---- scorer -------------------------------------------------------------------
-def prepare_reviews(df: DataFrame) -> DataFrame:
-    """Scorer defaults, log scaling, min-max (constant -> 0), flags, rating clip."""
+def _scorer_input(df: DataFrame) -> DataFrame:
+    """Scorer defaults: numbers coerced and filled, columns that are missing created."""
     fixed = {}
     for c, dflt in (("customer_ltv", 0.0), ("order_value", 0.0), ("helpful_votes", 0.0),
                     ("days_since_purchase", 30.0)):
@@ -153,21 +154,65 @@ def prepare_reviews(df: DataFrame) -> DataFrame:
     for c in ["is_repeat_customer", "verified_purchase"]:
         if not _has(df, c):
             fixed[c] = F.lit(False)
-    df = _replace(df, fixed)
-    df = df.select("*", C.log_scale("customer_ltv").alias("ltv_log"),
-                   C.log_scale("order_value").alias("order_value_log"))
-    stats = minmax_stats(df, {"ltv": "ltv_log", "order": "order_value_log", "helpful": "helpful_votes"})
+    return _replace(df, fixed)
+
 
-    def norm(x: str, name: str) -> Column:
-        # scalar subqueries: a query that uses no normalised column doesn't compute them
-        return C.minmax_eps_const0(x, scalar(stats, f"__min_{name}"), scalar(stats, f"__max_{name}"))
+def _flags(df: DataFrame) -> list[Column]:
+    return [C.flag_to_int(c, df.schema[c].dataType).alias(name)
+            for c, name in (("is_repeat_customer", "repeat"), ("verified_purchase", "verified"))]
 
+
+def prepare_reviews(df: DataFrame) -> DataFrame:
+    """Scorer defaults, log scaling, min-max (constant -> 0), flags, rating clip.
+
+    The input (joins and all) is read once: it is written to the shared folder while the three
+    minima and maxima are observed, and scaled from there."""
+    df = _scorer_input(df)
+    logs = {"ltv_log": C.log_scale("customer_ltv"), "order_value_log": C.log_scale("order_value")}
+    df, bounds = observed_minmax(df, {"ltv": logs["ltv_log"], "order": logs["order_value_log"],
+                                      "helpful": "helpful_votes"})
+    own = df.columns
+    df = df.select("*", *[e.alias(n) for n, e in logs.items()])
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c != "rating"],
-        norm("ltv_log", "ltv").alias("ltv_norm"), norm("order_value_log", "order").alias("order_norm"),
-        norm("helpful_votes", "helpful").alias("helpful_norm"),
-        C.flag_to_int("is_repeat_customer").alias("repeat"), C.flag_to_int("verified_purchase").alias("verified"),
-        C.clip("rating", 1.0, 5.0).alias("rating"))
+        *[F.col(f"`{c}`") for c in [*own, *logs] if c != "rating"],
+        C.minmax_eps_const0("ltv_log", *bounds["ltv"]).alias("ltv_norm"),
+        C.minmax_eps_const0("order_value_log", *bounds["order"]).alias("order_norm"),
+        C.minmax_eps_const0("helpful_votes", *bounds["helpful"]).alias("helpful_norm"),
+        *_flags(df), C.clip("rating", 1.0, 5.0).alias("rating"))
+
+
+def rate_reviews(df: DataFrame, use_sentiment: bool = False) -> DataFrame:
+    """What the scorer says of a review by itself: flags, recency, severity and category. Lazy
+    and without statistics of the whole set, for consumers that need no importance."""
+    df = _scorer_input(df)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "rating"], *_flags(df),
+                   C.clip("rating", 1.0, 5.0).alias("rating"))
+    return _zero_nulls(_rated(df, use_sentiment)).select("*", _category(df))
+
+
+def _rated(df: DataFrame, use_sentiment: bool) -> DataFrame:
+    sentiment = "sentiment" if use_sentiment and _has(df, "sentiment") else None
+    return df.select("*", C.is_negative("rating").alias("is_negative"),
+                     C.recency_plateau("days_since_purchase").alias("recency_score"),
+                     C.issue_severity("rating", sentiment).alias("issue_severity"))
+
+
+def _category(df: DataFrame) -> Column:
+    cat = C.issue_category("review_text") if _has(df, "review_text") else F.lit(K.ISSUE_OTHER)
+    return cat.alias("issue_category")
+
+
+def _zero_nulls(df: DataFrame) -> DataFrame:
+    """Numeric columns: null and NaN -> 0."""
+    out = []
+    for f in df.schema.fields:
+        x = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, NUMERIC_TYPES):
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                x = C.nan_to_null(x)
+            x = F.coalesce(x, F.lit(0)).cast(f.dataType).alias(f.name)
+        out.append(x)
+    return df.select(*out)
 
 
 def numeric_null_to_zero(df: DataFrame) -> DataFrame:
@@ -179,25 +224,9 @@ def numeric_null_to_zero(df: DataFrame) -> DataFrame:
 def score_reviews(df: DataFrame, use_sentiment: bool = False) -> DataFrame:
     """prepare -> is_negative -> recency -> severity -> CIS -> impact -> category
     -> numeric null sweep. Severity uses a neutral sentiment unless asked."""
-    df = prepare_reviews(df)
-    sentiment = "sentiment" if use_sentiment and _has(df, "sentiment") else None
-    df = df.select("*", C.is_negative("rating").alias("is_negative"),
-                   C.recency_plateau("days_since_purchase").alias("recency_score"),
-                   C.issue_severity("rating", sentiment).alias("issue_severity"))
-    df = df.select("*", C.customer_importance().alias("CIS"))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    nums = set(numeric_columns(df))
-    out = []
-    for c in df.columns:
-        x = F.col(f"`{c}`")
-        if c in nums:
-            if isinstance(types[c], (T.DoubleType, T.FloatType)):
-                x = C.nan_to_null(x)
-            x = F.coalesce(x, F.lit(0)).cast(types[c]).alias(c)
-        out.append(x)
-    cat = C.issue_category("review_text") if _has(df, "review_text") else F.lit(K.ISSUE_OTHER)
-    return df.select(*out, F.coalesce(C.impact_score(), F.lit(0.0)).alias("impact_score"),
-                     cat.alias("issue_category"))
+    df = _rated(prepare_reviews(df), use_sentiment)
+    df = _zero_nulls(df.select("*", C.customer_importance().alias("CIS")))
+    return df.select("*", F.coalesce(C.impact_score(), F.lit(0.0)).alias("impact_score"), _category(df))
 
 
 def minmax_column(df: DataFrame, col: str, out: str, variant: str = "const0",

@@ -9,6 +9,7 @@ the last digit).
 from __future__ import annotations
 
 from revlens.functions import constants as K
+from revlens.operators import risk as RK
 from revlens.sources.tables import BASE_SQL, RAW_REVIEWS_SQL, REVIEWS_SQL
 
 _CTES: dict[str, tuple[list[str], str]] = {}
@@ -558,7 +559,10 @@ _np_aggs = ", ".join(
                                                          "helpful_votes") else "")) + f" n_{i}"
     for i, c in enumerate(RAW_COLS))
 cte("np_c", ["raw"], f"select count(*) r, {_np_aggs} from raw")
-register("null_profile", ["np_c"], f"select * from ({_np_parts}) t where null_count > 0")
+_np_n = " + ".join(f"n_{i}" for i in range(len(RAW_COLS)))
+_np_bad = " or ".join(f"n_{i} > 0" for i, c in enumerate(RAW_COLS) if c in K.ROBUST_SCHEMA)
+register("null_profile", ["np_c"], f"""select * from ({_np_parts}) t where null_count > 0
+ union all select '(total)', {_np_n}, ({_np_n}) * 100.0 / (r * {len(RAW_COLS)}), {_np_bad} from np_c""")
 
 _sc_static = [("missing_column", c, "critical", f"Missing column: {c}")
               for c in ["sentiment_score", "customer_ltv", "repeat", "verified", "detected_issues"]]
@@ -610,9 +614,31 @@ CLP_COLS = ["rating", "customer_ltv", "order_value", "helpful_votes", "days_sinc
             "order_value_log", "ltv_norm", "order_norm", "helpful_norm", "repeat", "verified", "product",
             "review_text", "sentiment", "is_repeat_customer", "verified_purchase", "review_date"]
 register("classic_preprocess", ["cl_prep"], select_round("cl_prep", CLP_COLS, set(CLP_COLS[:10])))
-register("ingest_summary", ["norm"], """select count(*) total_reviews, count(distinct product) unique_products,
+register("ingest_summary", ["norm", "base"], """select count(*) total_reviews, count(distinct product) unique_products,
  round(min(customer_ltv), 6) ltv_min, round(max(customer_ltv), 6) ltv_max, round(sum(customer_ltv), 6) ltv_sum,
- 0 failed_pages from norm""")
+ (select cast(max(ok) + 1 - count(distinct ok) as integer) from base) failed_pages from norm""")
+
+# ---- the gate: constraints on raw reviews -----------------------------------------------------
+_gate = [("product_not_blank", "product", "critical", f"{strip('product_name')} <> ''")]
+for _c, _x, _lo, _hi in (("rating", "rating", 1.0, 5.0), ("customer_ltv", "ltv", 0.0, None),
+                         ("order_value", "order_value", 0.0, None),
+                         ("days_since_purchase", "days_since_purchase", 0.0, None),
+                         ("helpful_votes", "helpful_votes", 0.0, None)):
+    _v = to_double(_x)
+    _in = " and ".join([f"{_v} >= {_lo}"] + ([f"{_v} <= {_hi}"] if _hi else []))
+    _gate += [(f"{_c}_numeric", _c, "critical", f"{_v} is not null and not isnan({_v})"),
+              (f"{_c}_range", _c, "critical", f"{_v} is null or isnan({_v}) or ({_in})")]
+_gate.append(("review_text_present", "review_text", "warning", "review_text is not null"))
+_names = ", ".join(f"case when not coalesce({h}, false) then '{n}' end" for n, _, s, h in _gate if s == "critical")
+cte("gated", ["raw"], f"""select product_name product, rating, review_text, ltv customer_ltv, order_value,
+ days_since_purchase, helpful_votes, concat_ws(',', {_names}) violated from raw""")
+_gated_cols = """product, rating, review_text, round(customer_ltv, 6) customer_ltv, round(order_value, 6) order_value,
+ round(days_since_purchase, 6) days_since_purchase, round(helpful_votes, 6) helpful_votes"""
+register("accepted_reviews", ["gated"], f"select {_gated_cols} from gated where violated = ''")
+register("quarantined_reviews", ["gated"], f"select {_gated_cols}, violated from gated where violated <> ''")
+register("gate_report", ["raw"], " union all ".join(
+    f"""select '{n}' "constraint", '{c}' "column", '{s}' severity,
+ cast(count_if(not coalesce({h}, false)) as bigint) violations, count(*) "rows" from raw""" for n, c, s, h in _gate))
 register("quality_overview", ["scored"], """select count(*) total_reviews, count(distinct product) unique_products,
  round(coalesce(sum(customer_ltv), 0.0), 6) total_ltv from scored""")
 
@@ -790,6 +816,74 @@ register("risk_labels", ["mlf2"], """select product, round(final_score, 6) final
  round(quantile_cont(final_score, 0.75) over (), 6) risk_threshold,
  cast(final_score > quantile_cont(final_score, 0.75) over () as integer) high_risk from mlf2""")
 
+# The fitted model: the same Newton steps, a row of a recursive table each.
+def newton_cte(name: str, src: str, features: list[str], steps: int, cap: float, tolerance: float) -> None:
+    """``name``_w: the weights (intercept last) of the logistic regression over CTE ``src``;
+    ``name``_z: its rows with standardised features x and label y."""
+    k = len(features)
+    cte(f"{name}_s", [src], "select quantile_cont(final_score, 0.75) thr, " + ", ".join(
+        f"avg({f}) m{i}, case when stddev_pop({f}) = 0 then 1.0::double else stddev_pop({f}) end s{i}"
+        for i, f in enumerate(features)) + f" from {src}")
+    z = ", ".join([*(f"(p.{f} - m{i}) / s{i}" for i, f in enumerate(features)), "1.0::double"])
+    cte(f"{name}_z", [src, f"{name}_s"], f"""select p.*, [{z}] x, cast(p.final_score > thr as integer) y
+ from {src} p cross join {name}_s""")
+    sums = ", ".join([*(f"sum((p - y) * x[{i + 1}]) g{i}" for i in range(k + 1)),
+                      *(f"sum(p * (1 - p) * x[{i + 1}] * x[{j + 1}]) h{i}_{j}"
+                        for i in range(k + 1) for j in range(i, k + 1))])
+    # the system to be solved: Hessian and penalty, then the gradient
+    rows = ", ".join("[" + ", ".join(
+        [f"h{min(i, j)}_{max(i, j)}" + (" + 1" if i == j < k else "") for j in range(k + 1)]
+        + [f"g{i}" + (f" + w[{i + 1}]" if i < k else "")]) + "]" for i in range(k + 1))
+    cte(f"{name}_it", [f"{name}_z"], f"""with recursive it as (
+ select 0 step, list_transform(range({k + 1}), lambda i: 0.0::double) w, 1e9::double moved
+ union all
+ select step + 1, list_transform(w, lambda v, i: v - f * d[i]), f * top from (
+  select *, least(1.0, {cap} / greatest(top, 1e-300)) f from (
+   select *, list_max(list_transform(d, lambda v: abs(v))) top from (
+    select step, w, list_transform(list_reduce(
+      list_prepend([{rows}], list_transform(range({k + 1}), lambda c: [[c::double]])),
+      lambda m, c: list_transform(m, lambda r, i: case when i = c[1][1] + 1
+        then list_transform(r, lambda v: v / r[cast(c[1][1] as integer) + 1])
+        else list_transform(r, lambda v, j: v - r[cast(c[1][1] as integer) + 1]
+          * m[cast(c[1][1] as integer) + 1][j]
+          / m[cast(c[1][1] as integer) + 1][cast(c[1][1] as integer) + 1]) end)), lambda r: r[{k + 2}]) d
+    from (select any_value(step) step, any_value(w) w, {sums} from (
+      select step, w, x, y, 1 / (1 + exp(-list_dot_product(w, x))) p from it cross join {name}_z
+      where step < {steps} and moved > {tolerance!r}) having count(*) > 0)))))
+select * from it""")
+    cte(f"{name}_w", [f"{name}_it"], f"select w, step from {name}_it order by step desc limit 1")
+
+
+newton_cte("ml", "mlf2", list(K.ML_FEATURES), RK.MAX_STEPS, RK.STEP_CAP, RK.TOLERANCE)
+_category = ("case when risk_probability >= 0 and risk_probability <= 0.3 then 'Low' "
+             "when risk_probability > 0.3 and risk_probability <= 0.7 then 'Medium' "
+             "when risk_probability > 0.7 and risk_probability <= 1 then 'High' else 'Low' end")
+cte("ml_p", ["ml_z", "ml_w"], f"""select *, cast(risk_probability > 0.5 as integer) high_risk_predicted,
+ {_category} risk_category from (select z.*, 1 / (1 + exp(-list_dot_product(w, x))) risk_probability
+ from ml_z z cross join ml_w)""")
+cte("ml_products", ["products_quad", "ml_p"], """select q.*, risk_probability, risk_category, high_risk_predicted
+ from products_quad q join ml_p p on p.product = q.product""")
+_model = " union all ".join(
+    [f"select '{f}' feature, m{i} mean, s{i} scale, w[{i + 1}] coefficient from ml_s cross join ml_w"
+     for i, f in enumerate(K.ML_FEATURES)]
+    + [f"select '(intercept)', 0.0, 1.0, w[{len(K.ML_FEATURES) + 1}] from ml_w"])
+cte("ml_model", ["ml_s", "ml_w"], _model)
+register("train_risk_model", ["ml_model"], """select feature, round(mean, 6) mean, round(scale, 6) scale,
+ round(coefficient, 6) coefficient from ml_model""")
+register("feature_importance", ["ml_model"], """select feature, round(coefficient, 6) coefficient,
+ round(abs(coefficient), 6) abs_coefficient from ml_model where feature <> '(intercept)'""")
+register("training_stats", ["ml_p", "ml_s"], f"""select
+ round(avg(cast(high_risk_predicted = y as double)), 6) training_accuracy, cast(sum(y) as bigint) high_risk_count,
+ cast(count(*) - sum(y) as bigint) low_risk_count, round(any_value(thr), 6) model_threshold,
+ 0.75::double quantile_used, {len(K.ML_FEATURES)}::integer num_features, count(*) samples_trained
+ from ml_p cross join ml_s""")
+register("predict_risk", ["ml_p"], """select product, round(risk_probability, 6) risk_probability,
+ high_risk_predicted, risk_category from ml_p""")
+ML_PRODUCT_COLS = QUAD_COLS + ["risk_probability", "risk_category", "high_risk_predicted"]
+for _name in ("apply_ml_predictions", "join_predictions"):
+    register(_name, ["ml_products"], select_round(
+        "ml_products", ML_PRODUCT_COLS, PRODUCT_DOUBLES | {"risk_probability"}))
+
 # ---- §2.11 insights ----------------------------------------------------------------------------
 _summary = ("product || ' is in ' || quadrant || ' with priority ' || priority || ' and final score ' || "
             "format('{:.3f}', round_even(final_score, 4)) || '.'")
@@ -809,11 +903,11 @@ register("parse_insight_reply", ["products_quad"], """select product,
  case when total_reviews % 2 = 0 then 'Watch ' || product else '' end llm_summary,
  case when total_reviews % 2 = 0 then quadrant else '' end llm_driver,
  case when total_reviews % 2 = 0 then action else '' end llm_recommendation from products_quad""")
-register("merge_insights", ["top5"], """select product,
+register("merge_insights", ["rule"], """select product,
  case when total_reviews % 2 = 0 then 'Watch ' || product else llm_summary end llm_summary,
  case when total_reviews % 2 = 0 then quadrant else llm_driver end llm_driver,
  case when total_reviews % 2 = 0 then action else llm_recommendation end llm_recommendation,
- case when total_reviews % 2 = 0 then 'model' else llm_source end llm_source from top5""")
+ case when total_reviews % 2 = 0 then 'model' else llm_source end llm_source from rule""")
 register("insight_view", ["enrich"], """select product, llm_source, llm_summary, llm_driver, llm_recommendation
  from enrich where llm_summary <> '' order by final_score desc, product limit 5""")
 cte("cards", ["records"], """select name, severity, frequency, case greatest(issue_delivery, issue_quality, issue_packaging, issue_support)
@@ -856,28 +950,60 @@ cte("pred", ["products_quad"], f"""select *, "PPS" risk_probability, {_cat} risk
 register("join_predictions_given", ["pred"], select_round(
     "pred", QUAD_COLS + ["risk_probability", "risk_category", "high_risk_predicted"],
     PRODUCT_DOUBLES | {"risk_probability"}))
-register("risk_summary_given", ["pred"], f"""select {cnt_if("risk_category = 'High'")} high_risk_count,
+
+
+def kpis_enhanced_sql(reviews: str, products: str) -> str:
+    return f"""select
+ round((select coalesce(sum(total_revenue_at_risk), 0.0) from {products}), 6) total_revenue_at_risk, count(*) total_reviews,
+ round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
+ coalesce((select product from {products} order by final_score desc, product limit 1), 'N/A') top_product,
+ (select {cnt_if("risk_category = 'High'")} from {products}) high_risk_count,
+ (select {cnt_if("risk_category = 'Medium'")} from {products}) medium_risk_count,
+ (select round(coalesce(avg(risk_probability), 0.0), 6) from {products}) avg_risk_probability from {reviews}"""
+
+
+def prediction_consumers(src: str, suffix: str, hidden: float) -> None:
+    """What reads predictions, over the products of CTE ``src``."""
+    register(f"risk_summary{suffix}", [src], f"""select {cnt_if("risk_category = 'High'")} high_risk_count,
  {cnt_if("risk_category = 'Medium'")} medium_risk_count, {cnt_if("risk_category = 'Low'")} low_risk_count,
  round(avg(risk_probability), 6) avg_risk_probability,
- (select product from pred order by risk_probability desc, product limit 1) max_risk_product,
- round(max(risk_probability), 6) max_risk_probability from pred""")
-register("ml_insight_kpis_given", ["pred"], f"""select {cnt_if("risk_probability > 0.7 and quadrant <> 'The Fire-Fight'")} hidden_risks,
+ (select product from {src} order by risk_probability desc, product limit 1) max_risk_product,
+ round(max(risk_probability), 6) max_risk_probability from {src}""")
+    register(f"ml_insight_kpis{suffix}", [src], f"""select
+ {cnt_if("risk_probability > 0.7 and quadrant <> 'The Fire-Fight'")} hidden_risks,
  round(avg(risk_probability), 6) portfolio_risk,
- round(coalesce(sum(case when risk_probability > 0.7 then total_revenue_at_risk end), 0.0), 6) high_risk_revenue from pred""")
-register("hidden_risks_given", ["pred"], """select product, quadrant, round(risk_probability, 6) risk_probability
- from pred where risk_probability > 0.5 and quadrant <> 'The Fire-Fight'""")
-register("filter_risk_given", ["pred"], """select product, round(risk_probability, 6) risk_probability
- from pred where risk_probability >= 0.5""")
-register("rating_vs_risk_data_given", ["pred"], f"""select product, round(avg_rating, 6) avg_rating,
+ round(coalesce(sum(case when risk_probability > 0.7 then total_revenue_at_risk end), 0.0), 6) high_risk_revenue from {src}""")
+    register(f"hidden_risks{suffix}", [src], f"""select product, quadrant, round(risk_probability, 6) risk_probability
+ from {src} where risk_probability > {hidden} and quadrant <> 'The Fire-Fight'""")
+    register(f"filter_risk{suffix}", [src], f"""select product, round(risk_probability, 6) risk_probability
+ from {src} where risk_probability >= 0.5""")
+    register(f"rating_vs_risk_data{suffix}", [src], f"""select product, round(avg_rating, 6) avg_rating,
  round(risk_probability, 6) risk_probability, {band_sql('risk_probability', 0.4, 0.7)} band,
- round_even(risk_probability * 100.0, 1) risk_pct from pred""")
-register("kpis_enhanced_given", ["scored", "pred"], f"""select
- round((select coalesce(sum(total_revenue_at_risk), 0.0) from pred), 6) total_revenue_at_risk, count(*) total_reviews,
- round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
- coalesce((select product from pred order by final_score desc, product limit 1), 'N/A') top_product,
- (select {cnt_if("risk_category = 'High'")} from pred) high_risk_count,
- (select {cnt_if("risk_category = 'Medium'")} from pred) medium_risk_count,
- (select round(avg(risk_probability), 6) from pred) avg_risk_probability from scored""")
+ round_even(risk_probability * 100.0, 1) risk_pct from {src}""")
+    register(f"kpis_enhanced{suffix}", ["scored", src], kpis_enhanced_sql("scored", src))
+
+
+prediction_consumers("pred", "_given", 0.5)
+prediction_consumers("ml_products", "", 0.7)
+
+
+def again(name: str, where: str) -> None:
+    """Products of the reviews that a filter leaves, with the predictions made on all reviews."""
+    cte(f"{name}_r", ["scored"], f"select * from scored where {where}")
+    product_chain(f"{name}_p", f"{name}_r")
+    cte(name, [f"{name}_p_quad", "ml_p"], f"""select q.*, coalesce(p.risk_probability, 0.0) risk_probability,
+ coalesce(p.risk_category, 'Low') risk_category, coalesce(p.high_risk_predicted, 0) high_risk_predicted
+ from {name}_p_quad q left join ml_p p on p.product = q.product""")
+
+
+_days = "review_date >= timestamp '1995-06-01' and review_date < timestamp '1999-01-01'"
+again("later", _days)
+register("restore_predictions", ["later"], select_round(
+    "later", [c for c in ML_PRODUCT_COLS if c != "priority"], PRODUCT_DOUBLES | {"risk_probability"}))
+again("board", f"{_days} and issue_severity >= 0.4")
+cte("board_kept", ["board"], "select * from board where risk_probability >= 0.3")
+cte("board_reviews", ["board_r", "board_kept"], "select * from board_r where product in (select product from board_kept)")
+register("filtered_dashboard", ["board_reviews", "board_kept"], kpis_enhanced_sql("board_reviews", "board_kept"))
 
 # ---- §2.12 pipelines -------------------------------------------------------------------------
 cte("svc", ["raw"], f"""select coalesce(cast(product_name as varchar), 'Unknown Product') product,

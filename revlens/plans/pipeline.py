@@ -1,53 +1,42 @@
 """End-to-end compositions of the operators.
 
-Materialisation policy: the product table, which several statistics read, is written once to
-the shared checkpoint folder (``product_metrics``, ``classic_product_metrics``; pass
-``materialize_as="none"`` there to stay lazy); nothing else here calls an action. A caller that reuses a
-result many times (dashboards, the bench) may pass ``persist=True`` to keep
-the scored reviews and the product table (``MEMORY_AND_DISK``; lost blocks
-are recomputed from lineage, so an executor loss is survivable), or
-``checkpoint=True`` to cut lineage into the shared checkpoint folder.
+Materialisation policy: what statistics are taken of is written once to the shared folder while
+they are observed (the scorer's input), and so is the product table, which several passes read;
+the rest is lazy. A caller that reuses the scored reviews many times (dashboards) may pass
+``keep=True`` to write them and the product table with all columns, too.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from revlens.operators import products as P
 from revlens.operators import reviews as R
+from revlens.session import written
 
 
-def _keep(df: DataFrame, persist: bool, checkpoint: bool) -> DataFrame:
-    if checkpoint:
-        from revlens.session import checkpoint as _ckpt
+def _keep(df: DataFrame, keep: bool) -> DataFrame:
+    return written(df, "kept") if keep else df
 
-        return _ckpt(df)
-    if persist:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
 
-
-def run_pipeline(raw: DataFrame, persist: bool = False, checkpoint: bool = False,
-                 quantile_method: str = "bracket") -> tuple[DataFrame, DataFrame]:
+def run_pipeline(raw: DataFrame, keep: bool = False, quantile_method: str = "bracket") -> tuple[DataFrame, DataFrame]:
     """Dashboard path: normalise -> score -> product scores -> quadrants -> priority.
     Returns ``(scored_reviews, products)``."""
-    scored = _keep(R.score_reviews(R.normalize_reviews(raw)), persist, checkpoint)
+    scored = _keep(R.score_reviews(R.normalize_reviews(raw)), keep)
     products = P.quadrant_priority(P.classify_quadrants(P.product_scores(scored),
                                                         method=quantile_method))
-    return scored, _keep(products, persist, checkpoint)
+    return scored, _keep(products, keep)
 
 
-def run_service(raw: DataFrame, persist: bool = False, checkpoint: bool = False,
-                quantile_method: str = "bracket") -> tuple[DataFrame, DataFrame]:
+def run_service(raw: DataFrame, keep: bool = False, quantile_method: str = "bracket") -> tuple[DataFrame, DataFrame]:
     """Service path: required columns -> service profile -> score -> products ->
     quadrants. Raises ``ValueError`` when product or rating cannot be found."""
     ok, msg = R.check_required_columns(raw)
     if not ok:
         raise ValueError(f"Schema validation failed: {msg}")
-    scored = _keep(R.score_reviews(R.normalize_reviews_service(raw)), persist, checkpoint)
+    scored = _keep(R.score_reviews(R.normalize_reviews_service(raw)), keep)
     products = P.classify_quadrants(P.product_scores(scored), method=quantile_method)
-    return scored, _keep(products, persist, checkpoint)
+    return scored, _keep(products, keep)
 
 
 def flagship(raw: DataFrame) -> DataFrame:
@@ -66,7 +55,7 @@ def run_classic(raw: DataFrame, quantile_method: str = "bracket") -> DataFrame:
 
 def filtered_dashboard(raw: DataFrame, products=None, date_range=None,
                        severity_threshold: float = 0.0, risk_threshold: float = 0.0,
-                       persist: bool = False, insight_top_n: int = 5):
+                       keep: bool = False, insight_top_n: int = 5):
     """Dashboard steps after loading: score everything (the scorer's statistics
     come from the whole set), fit the risk model on all products, then filter
     reviews, re-aggregate and re-classify the survivors, restore the earlier
@@ -75,17 +64,17 @@ def filtered_dashboard(raw: DataFrame, products=None, date_range=None,
 
     Returns the KPI row; ``filtered_dashboard_frames`` returns every table."""
     return filtered_dashboard_frames(raw, products, date_range, severity_threshold,
-                                     risk_threshold, persist, insight_top_n)["kpis"]
+                                     risk_threshold, keep, insight_top_n)["kpis"]
 
 
 def filtered_dashboard_frames(raw: DataFrame, products=None, date_range=None,
                               severity_threshold: float = 0.0, risk_threshold: float = 0.0,
-                              persist: bool = False, insight_top_n: int = 5) -> dict:
+                              keep: bool = False, insight_top_n: int = 5) -> dict:
     from revlens.operators import dashboard as D
     from revlens.operators import insights as I
     from revlens.operators import risk as RK
 
-    scored, prods = run_pipeline(raw, persist=persist)
+    scored, prods = run_pipeline(raw, keep=keep)
     ml, _model = RK.apply_ml_predictions(prods)
     preds = ml.select("product", "risk_probability", "risk_category", "high_risk_predicted")
     reviews = D.apply_filters(scored, products, date_range, severity_threshold)

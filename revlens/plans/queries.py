@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from revlens.operators import products as P
 from revlens.operators import reviews as R
+from revlens.session import written
 from revlens.sources.tables import raw_review_view, review_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,15 +70,22 @@ def norm(spark, sf):
 
 
 def scored(spark, sf):
-    return _view("scored", lambda s, d: R.score_reviews(norm(s, d)), spark, sf)
+    """Scored reviews. Not shared: every query reads, joins and writes its own."""
+    return R.score_reviews(norm(spark, sf))
 
 
-def products(spark, sf):
-    return P.product_scores(scored(spark, sf))
+def rated(spark, sf):
+    """Reviews for queries that need no importance: lazy, without statistics of the whole set."""
+    return R.rate_reviews(norm(spark, sf))
 
 
-def quad(spark, sf):
-    return P.quadrant_priority(P.classify_quadrants(products(spark, sf)))
+def products(spark, sf, of: DataFrame | None = None):
+    """Product scores, of reviews that a query has scored already or of all."""
+    return P.product_scores(scored(spark, sf) if of is None else of)
+
+
+def quad(spark, sf, of: DataFrame | None = None):
+    return P.quadrant_priority(P.classify_quadrants(products(spark, sf, of)))
 
 
 # ---- pipelines -------------------------------------------------------------------------
@@ -125,8 +133,7 @@ def flat_records(df: DataFrame) -> DataFrame:
 
 
 def classic_reviews(spark, sf):
-    return _view("classic", lambda s, d: CL.classic_scores(CL.classic_features(
-        CL.classic_preprocess(reviews(s, d)))), spark, sf)
+    return CL.classic_scores(CL.classic_features(CL.classic_preprocess(reviews(spark, sf))))
 
 
 @register("log_scale")
@@ -215,7 +222,7 @@ def q_impact_score(spark, sf):
 
 @register("issue_category")
 def q_issue_category(spark, sf):
-    return scored(spark, sf).select("review_text", "issue_category")
+    return rated(spark, sf).select("review_text", "issue_category")
 
 
 @register("issue_category_documents")
@@ -301,6 +308,7 @@ def q_format_ranking(spark, sf):
 
 
 # ---- §2.2 schema normalisation, cleaning, data quality ------------------------------
+from revlens.operators import gate as G  # noqa: E402
 from revlens.operators import quality as Q  # noqa: E402
 from revlens.sources.tables import read_table, spike_review_view  # noqa: E402
 
@@ -377,7 +385,30 @@ def q_robust_preprocess(spark, sf):
 
 @register("robust_pipeline")
 def q_robust_pipeline(spark, sf):
-    return round6(Q.robust_pipeline(raw(spark, sf)))
+    """Through its gate, which raises on the way if anything critical is left."""
+    return round6(Q.robust_pipeline_checked(raw(spark, sf)).good)
+
+
+def _gated(spark, sf):
+    df = raw_named(spark, sf).select("product", "rating", "review_text", "customer_ltv", "order_value",
+                                     "days_since_purchase", "helpful_votes")
+    return G.check_rows(df, G.input_constraints(df))
+
+
+@register("accepted_reviews")
+def q_accepted_reviews(spark, sf):
+    return round6(_gated(spark, sf).good)
+
+
+@register("quarantined_reviews")
+def q_quarantined_reviews(spark, sf):
+    bad = _gated(spark, sf).quarantine
+    return round6(bad.withColumn("violated", F.array_join("violated", ",")))
+
+
+@register("gate_report")
+def q_gate_report(spark, sf):
+    return _gated(spark, sf).report()
 
 
 @register("prepare_reviews")
@@ -392,12 +423,13 @@ def q_classic_preprocess(spark, sf):
 
 @register("ingest_summary")
 def q_ingest_summary(spark, sf):
-    return round6(Q.ingest_summary(norm(spark, sf)))
+    landed = SF.land_pages(spark, _landed_pages(spark, sf))
+    return round6(Q.ingest_summary(R.fetch_column_repair(landed.reviews), landed.failed()))
 
 
 @register("quality_overview")
 def q_quality_overview(spark, sf):
-    return round6(Q.quality_overview(scored(spark, sf)))
+    return round6(Q.quality_overview(rated(spark, sf)))
 
 
 def _check_rows(spark, name, outcomes) -> DataFrame:
@@ -414,7 +446,7 @@ def _check_rows(spark, name, outcomes) -> DataFrame:
 def _outcome(check, *args):
     try:
         check(*args)
-    except Q.DataError as e:
+    except G.DataError as e:
         return False, str(e)
     return True, ""
 
@@ -480,13 +512,13 @@ def q_filter_products(spark, sf):
 
 @register("filter_dates")
 def q_filter_dates(spark, sf):
-    return round6(D.filter_dates(scored(spark, sf), "1996-01-01", "1996-12-31")
+    return round6(D.filter_dates(rated(spark, sf), "1996-01-01", "1996-12-31")
                   .select("product", "review_date", "rating"))
 
 
 @register("filter_severity")
 def q_filter_severity(spark, sf):
-    return round6(D.filter_severity(scored(spark, sf), 0.5).select("product", "issue_severity"))
+    return round6(D.filter_severity(rated(spark, sf), 0.5).select("product", "issue_severity"))
 
 
 @register("apply_filters")
@@ -513,12 +545,12 @@ def q_product_lookup(spark, sf):
 
 @register("risky_reviews")
 def q_risky_reviews(spark, sf):
-    return round6(D.risky_reviews(scored(spark, sf)).select("product", "rating", "customer_ltv"))
+    return round6(D.risky_reviews(rated(spark, sf)).select("product", "rating", "customer_ltv"))
 
 
 @register("complaint_reviews")
 def q_complaint_reviews(spark, sf):
-    return round6(D.complaint_reviews(scored(spark, sf))
+    return round6(D.complaint_reviews(rated(spark, sf))
                   .select("product", "rating", "issue_category"))
 
 
@@ -530,8 +562,9 @@ def q_drop_blank_products(spark, sf):
 # ---- §2.5 joins / §2.7 windows ------------------------------------------------------------
 @register("reviews_of_products")
 def q_reviews_of_products(spark, sf):
-    fire = quad(spark, sf).filter(F.col("quadrant") == "The Fire-Fight")
-    return round6(D.reviews_of_products(scored(spark, sf), fire)
+    s = scored(spark, sf)
+    fire = quad(spark, sf, s).filter(F.col("quadrant") == "The Fire-Fight")
+    return round6(D.reviews_of_products(s, fire)
                   .select("product", "rating", "impact_score"))
 
 
@@ -550,17 +583,19 @@ def q_top3_flag(spark, sf):
 # ---- §2.6 aggregations ------------------------------------------------------------------
 @register("revenue_at_risk")
 def q_revenue_at_risk(spark, sf):
-    return round6(D.revenue_at_risk(scored(spark, sf)))
+    return round6(D.revenue_at_risk(rated(spark, sf)))
 
 
 @register("summary_stats")
 def q_summary_stats(spark, sf):
-    return round6(D.summary_stats(scored(spark, sf), quad(spark, sf)))
+    s = scored(spark, sf)
+    return round6(D.summary_stats(s, quad(spark, sf, s)))
 
 
 @register("kpis")
 def q_kpis(spark, sf):
-    return round6(D.kpis(scored(spark, sf), quad(spark, sf)))
+    s = scored(spark, sf)
+    return round6(D.kpis(s, quad(spark, sf, s)))
 
 
 @register("kpis_weighted")
@@ -570,7 +605,7 @@ def q_kpis_weighted(spark, sf):
 
 @register("issue_breakdown")
 def q_issue_breakdown(spark, sf):
-    return D.issue_breakdown(scored(spark, sf))
+    return D.issue_breakdown(rated(spark, sf))
 
 
 @register("risk_distribution")
@@ -590,7 +625,7 @@ def q_distinct_products(spark, sf):
 
 @register("date_bounds")
 def q_date_bounds(spark, sf):
-    return D.date_bounds(scored(spark, sf))
+    return D.date_bounds(rated(spark, sf))
 
 
 @register("date_bounds_events")
@@ -759,6 +794,7 @@ def q_risk_labels(spark, sf):
 
 def _fitted(spark, sf):
     df, feats = RK.ml_features(quad(spark, sf))
+    df = written(df, "features")
     return df, RK.train_risk_model(df, feats)
 
 
@@ -766,19 +802,19 @@ def _fitted(spark, sf):
 def q_train_risk_model(spark, sf):
     """The fitted model itself: scaling and coefficient of every feature, and the intercept."""
     _, model = _fitted(spark, sf)
-    return RK.model_table(model, spark)
+    return round6(RK.model_table(model, spark))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     _, model = _fitted(spark, sf)
-    return RK.feature_importance(model, spark)
+    return round6(RK.feature_importance(model, spark))
 
 
 @register("training_stats")
 def q_training_stats(spark, sf):
     df, model = _fitted(spark, sf)
-    return RK.training_stats(model, df)
+    return round6(RK.training_stats(model, df))
 
 
 @register("predict_risk")
@@ -788,8 +824,8 @@ def q_predict_risk(spark, sf):
                                                      "high_risk_predicted", "risk_category"))
 
 
-def ml_products(spark, sf):
-    out, _ = RK.apply_ml_predictions(quad(spark, sf))
+def ml_products(spark, sf, of: DataFrame | None = None):
+    out, _ = RK.apply_ml_predictions(quad(spark, sf, of))
     return out
 
 
@@ -800,17 +836,20 @@ def q_apply_ml_predictions(spark, sf):
 
 @register("join_predictions")
 def q_join_predictions(spark, sf):
-    df, model = _fitted(spark, sf)
-    pred = RK.predict_risk(model, df).select("product", "risk_probability", "risk_category",
-                                             "high_risk_predicted")
-    return round6(D.join_predictions(quad(spark, sf), pred))
+    q = quad(spark, sf)
+    df, feats = RK.ml_features(q)
+    df = written(df, "features")
+    pred = RK.predict_risk(RK.train_risk_model(df, feats), df).select(
+        "product", "risk_probability", "risk_category", "high_risk_predicted")
+    return round6(D.join_predictions(q, pred))
 
 
 @register("restore_predictions")
 def q_restore_predictions(spark, sf):
     """Re-aggregated filtered products LEFT JOIN the earlier predictions."""
-    ml = ml_products(spark, sf)
-    filt = D.apply_filters(scored(spark, sf), None, ("1995-06-01", "1998-12-31"), 0.0)
+    s = scored(spark, sf)
+    ml = ml_products(spark, sf, s)
+    filt = D.apply_filters(s, None, ("1995-06-01", "1998-12-31"), 0.0)
     again = P.classify_quadrants(P.product_scores(filt))
     pred = ml.select("product", "risk_probability", "risk_category", "high_risk_predicted")
     return round6(D.join_predictions(again, pred))
@@ -823,7 +862,8 @@ def q_risk_summary(spark, sf):
 
 @register("kpis_enhanced")
 def q_kpis_enhanced(spark, sf):
-    return round6(D.kpis_enhanced(scored(spark, sf), ml_products(spark, sf)))
+    s = scored(spark, sf)
+    return round6(D.kpis_enhanced(s, ml_products(spark, sf, s)))
 
 
 @register("ml_insight_kpis")
@@ -849,8 +889,8 @@ def q_rating_vs_risk_data(spark, sf):
 
 
 # The consumers again over given probabilities (the products' PPS), which SQL can check.
-def given_products(spark, sf):
-    q = quad(spark, sf)
+def given_products(spark, sf, of: DataFrame | None = None):
+    q = quad(spark, sf, of)
     pred = q.select("product", F.col("PPS").alias("risk_probability"),
                     C.risk_category("PPS").alias("risk_category"),
                     (F.col("PPS") > 0.5).cast("int").alias("high_risk_predicted"))
@@ -869,7 +909,8 @@ def q_risk_summary_given(spark, sf):
 
 @register("kpis_enhanced_given")
 def q_kpis_enhanced_given(spark, sf):
-    return round6(D.kpis_enhanced(scored(spark, sf), given_products(spark, sf)))
+    s = scored(spark, sf)
+    return round6(D.kpis_enhanced(s, given_products(spark, sf, s)))
 
 
 @register("ml_insight_kpis_given")
@@ -933,8 +974,8 @@ def q_parse_insight_reply(spark, sf):
 
 @register("merge_insights")
 def q_merge_insights(spark, sf):
-    top = I.rule_insight(I.top_for_insight(quad(spark, sf), 5))
-    return I.merge_insights(top, replies(top)).select(*INSIGHT_OUT)
+    q = I.rule_insight(quad(spark, sf))
+    return I.merge_insights(q, replies(q)).select(*INSIGHT_OUT)
 
 
 @register("insight_view")

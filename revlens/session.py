@@ -7,10 +7,15 @@ folder, and only when the setting is absent.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -53,6 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not master.split("[")[0] == "local":
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master is {master})")
         path = tempfile.mkdtemp(prefix="revlens-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, path)
     app = spark.sparkContext.applicationId
     if _CONFIGURED.get(app) != path:
@@ -70,11 +76,24 @@ def checkpoint(df):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    import uuid
-
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder (Parquet) and read back: lineage is cut, a lost
+    executor costs no recomputation, and every later reader scans only the columns it needs.
+
+    Columns are stored by position, so names that differ in case only, or hold odd characters,
+    are kept; a column of nothing but untyped nulls is not stored."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    fields = [(f"c{i}", f) for i, f in enumerate(df.schema.fields)]
+    stored = [(c, f) for c, f in fields if not isinstance(f.dataType, T.NullType)]
+    (df.toDF(*[c for c, _ in fields]).select(*[c for c, _ in stored]).write.parquet(path))
+    back = spark.read.schema(T.StructType([T.StructField(c, f.dataType) for c, f in stored])).parquet(path)
+    return back.select(*[(F.lit(None) if isinstance(f.dataType, T.NullType) else F.col(c)).alias(f.name)
+                         for c, f in fields])
+
+
 def local_test_session(cores: int | None = None) -> SparkSession:
     """Session for tests / bench: local mode, few shuffle partitions."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))

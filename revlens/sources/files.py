@@ -5,25 +5,24 @@
   schema profiles coerce types with ``try_cast`` later.
 * JSON in four shapes: a top-level array, ``{"data": [...]}``,
   ``{"records": [...]}`` and a single (nested) object flattened with dotted
-  names. Whole-document JSON is one file per task (not splittable); at scale
-  land JSON Lines instead (``read_reviews_jsonl``).
+  names. Documents are read once, as VARIANT: no inference pass, values of mixed
+  types kept, broken documents counted on the way. A document per line is
+  splittable; whole-file documents are one task a file.
 * Paged envelopes ``{"data": [...], "metadata": {"page": n}}``: the
-  reference fetches them over HTTP; here they are landed as files (one
-  envelope per line, or one per file with ``multi_line=True``). The page number
-  comes from ``metadata.page`` or else from the file name. Pages stay bounded
-  (a page is one record), so no step holds more than one page per row.
+  reference fetches them over HTTP; here they are landed as files. One read gives
+  the reviews, the list of pages and the failed ones.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.functions import constants as K
+from revlens.functions.stats import observed
 
 # ---- fixed values: pandas' default missing-value tokens (read_csv) --------
 GAP_BLOCK = 4096  # page numbers unfolded at a time
@@ -50,27 +49,114 @@ def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | str
     return _na_to_null(r.option("inferSchema", False).csv(path))
 
 
-def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Nested structs -> top-level columns named ``a.b.c`` (``json_normalize``)."""
-    def walk(dt: T.DataType, prefix: list[str]):
-        if isinstance(dt, T.StructType):
-            for f in dt.fields:
-                yield from walk(f.dataType, prefix + [f.name])
-        else:
-            yield prefix
+# ---- JSON documents as VARIANT -------------------------------------------------------------
+@dataclass
+class Landing:
+    """Documents of one read: ``table`` holds a row for each review (``v``, VARIANT; ``flat``: the
+    document itself is the review) and what was asked to be kept of its line; ``counts`` what
+    was observed on the way."""
+
+    table: DataFrame
+    counts: dict[str, int]
+    shapes: dict[bool, str | None]  # merged types of the rows' objects, by ``flat``
+
+    def reviews(self, *keep: str) -> DataFrame:
+        return _columns(self.table.where("v IS NOT NULL"), self.shapes, keep)
+
+
+def _variant_rows(parsed: DataFrame, documents: bool) -> DataFrame:
+    """A row for each review of the parsed documents ``v``: the top-level array's elements (only
+    of ``documents``), else those of ``data``, else of ``records``, else the document itself.
+    Elements that are no objects are none. A document without any review keeps one row, of null."""
+    paths = (["$"] if documents else []) + ["$.data", *(["$.records"] if documents else [])]
+    arrays = ", ".join(f"try_variant_get(v, '{p}', 'array<variant>')" for p in paths)
+    whole = "CASE WHEN rows IS NULL AND is_object(v) THEN array(v) END" if documents else "NULL"
+    is_object = "(try_variant_get({0}, '$', 'map<string,variant>') IS NOT NULL)"
+    keep = [c for c in parsed.columns if c != "v"]
+    got = parsed.selectExpr(*keep, "v", f"coalesce({arrays}, NULL) AS rows")
+    got = got.selectExpr(*keep, "rows IS NULL AND v IS NOT NULL AS flat", "coalesce(rows, "
+                         + whole.replace("is_object(v)", is_object.format("v")) + ") AS rows")
+    return got.selectExpr(*keep, "flat", "posexplode_outer(rows) AS (pos, x)").selectExpr(
+        *keep, "flat", "pos", f"CASE WHEN {is_object.format('x')} THEN x END AS v")
+
+
+def land_documents(spark: SparkSession, path: str, multi_line: bool = False, pages: bool = False) -> Landing:
+    """Read JSON documents once, a line each (or a file each), whatever their fields and types.
+
+    Text is parsed to VARIANT, so nothing has to be known or inferred beforehand, and values of
+    different types under one name are kept. While the rows are written to the shared folder the
+    number of documents, of broken ones, of odd elements and the merged types are observed.
+    ``pages`` keeps file name and envelope of every document, and only ``data`` holds reviews.
+    """
+    lines = spark.read.option("wholetext", multi_line).text(path)
+    own = ["_metadata.file_name AS file"] if pages else []
+    parsed = lines.selectExpr("value", *own).where("trim(value) <> ''").selectExpr(
+        "try_parse_json(value) AS v", *(["file"] if pages else []))
+    whole = Observation(f"documents-{uuid.uuid4().hex[:8]}")
+    parsed = parsed.observe(whole, F.count(F.lit(1)).alias("documents"),
+                            F.count_if(F.col("v").isNull()).alias("malformed"))
+    if pages:
+        parsed = parsed.selectExpr("v", "file", "v IS NULL AS broken",
+                                   "try_variant_get(v, '$.metadata.page', 'int') AS number")
+    rows = _variant_rows(parsed, not pages)
+    shapes = {f"s{int(flat)}": F.expr(f"schema_of_variant_agg(CASE WHEN flat = {str(flat).lower()} THEN v END)")
+              for flat in (False, True)}
+    table, seen = observed(rows, {"rows": F.count("v"), **shapes}, "documents")
+    counts = dict(whole.get) | {"rows": seen["rows"]}
+    return Landing(table, counts, {flat: seen[f"s{int(flat)}"] for flat in (False, True)})
+
+
+def _typed(dt: T.DataType) -> T.DataType:
+    """Types as reviews use them: decimals are doubles; values of several types stay text."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _typed(f.dataType)) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_typed(dt.elementType))
+    if isinstance(dt, (T.DecimalType, T.FloatType)):
+        return T.DoubleType()
+    return T.StringType() if isinstance(dt, (T.VariantType, T.NullType)) else dt
+
+
+def _fields(shape: str | None, nested: bool) -> dict[str, tuple[str, T.DataType]]:
+    """Column name to (path in the object, type) of a merged object type ('OBJECT<...>');
+    ``nested``: objects inside are flattened to names a.b.c."""
+    if not shape or not shape.startswith("OBJECT<"):
+        return {}
+    struct = T.StructType.fromDDL(shape.replace("OBJECT<", "STRUCT<"))
+    struct = struct.fields[0].dataType if len(struct.fields) == 1 and isinstance(
+        struct.fields[0].dataType, T.StructType) and struct.fields[0].name == "value" else struct
+    out = {}
+
+    def walk(dt: T.StructType, names: list[str]) -> None:
+        for f in dt.fields:
+            if nested and isinstance(f.dataType, T.StructType):
+                walk(f.dataType, [*names, f.name])
+            else:
+                path = "$" + "".join("['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']"
+                                     for n in [*names, f.name])
+                out[".".join([*names, f.name])] = (path, _typed(f.dataType))
+
+    walk(struct, [])
+    return out
+
 
-    cols = []
-    for path in walk(df.schema, []):
-        ref = F.col(".".join(f"`{p}`" for p in path))
-        cols.append(ref.alias(sep.join(path)))
-    return df.select(*cols)
+def _columns(table: DataFrame, shapes: dict[bool, str | None], keep: tuple[str, ...]) -> DataFrame:
+    rows, flat = _fields(shapes[False], False), _fields(shapes[True], True)
+    out = [F.col(c) for c in keep]
+    for name in [*rows, *(n for n in flat if n not in rows)]:
+        if name in ("metadata",) and name not in rows:
+            continue
+        kinds = {d[name][1].simpleString(): d[name][1] for d in (rows, flat) if name in d}
+        kind = next(iter(kinds)) if len(kinds) == 1 else "string"
 
+        def got(d, name=name, kind=kind):
+            return F.try_variant_get("v", d[name][0], kind) if name in d else F.lit(None).cast(kind)
 
-def _is_row_array(df: DataFrame, name: str) -> bool:
-    if name not in df.columns:
-        return False
-    dt = df.schema[name].dataType
-    return isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType)
+        if name in rows and name in flat:
+            out.append(F.when(F.col("flat"), got(flat)).otherwise(got(rows)).alias(name))
+        else:  # a path of the one kind of row may exist in the other by chance
+            out.append(F.when(F.col("flat") == F.lit(name in flat), got(flat if name in flat else rows)).alias(name))
+    return table.select(*out)
 
 
 def read_reviews_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False
@@ -78,37 +164,28 @@ def read_reviews_json(spark: SparkSession, path: str, schema=None, multi_line: b
     """JSON documents in any of the four shapes -> reviews, each row by its own shape.
 
     One document per line (splittable); ``multi_line`` reads a file as one document.
-    A document with ``data`` gives that array's rows, else one with ``records`` that
-    array's, else itself, flattened. Pass a schema of the documents to spare the
-    inference pass. Lines that are no JSON are counted by ``malformed_documents``.
+    A top-level array or a document with ``data`` gives that array's rows, else one with
+    ``records`` that array's, else itself, flattened. There is no inference pass: the types are
+    merged while the documents are read (once). With a ``schema`` of the reviews' fields, fields
+    are read by it and nothing is merged. Lines that are no JSON are counted in the same read
+    (``land_documents``). A source without any document that can be read is a ``SourceError``.
     """
-    r = spark.read.option("multiLine", multi_line)
-    df = (r.schema(schema) if schema is not None else r).json(path)
-    bad = "_corrupt_record"
-    if bad in df.columns:
-        if len(df.columns) == 1:
-            raise SourceError(f"Invalid JSON file: {path}")
-        df = df.drop(bad)
-    keys = [k for k in ("data", "records") if _is_row_array(df, k)]
-    parts, left = [], F.lit(True)
-    for k in keys:
-        parts.append(df.where(left & F.col(k).isNotNull()).select(F.inline(F.col(k))))
-        left = left & F.col(k).isNull()
-    rest = [c for c in df.columns if c not in (*keys, "metadata")]
-    if rest or not keys:
-        some = reduce(or_, [F.col(f"`{c}`").isNotNull() for c in rest], F.lit(False))
-        parts.append(flatten(df.where(left & some).select(*[f"`{c}`" for c in rest])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    landing = land_documents(spark, path, multi_line)
+    if landing.counts["documents"] and landing.counts["malformed"] == landing.counts["documents"]:
+        raise SourceError(f"Invalid JSON file: {path}")
+    if schema is None:
+        return landing.reviews()
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return landing.table.where("v IS NOT NULL").select(*[
+        F.try_variant_get("v", "$['" + f.name.replace("'", "\\'") + "']", f.dataType.simpleString()).alias(f.name)
+        for f in struct.fields])
 
 
 def malformed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row: lines, and lines that are no JSON document."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.agg(F.count(F.lit(1)).alias("documents"),
-                     F.count_if(F.try_parse_json("value").isNull()).alias("malformed"))
+    """One row: documents, documents that are no JSON, and reviews, of one read."""
+    counts = land_documents(spark, path).counts
+    return spark.createDataFrame([(counts["documents"], counts["malformed"], counts["rows"])],
+                                 "documents long, malformed long, rows long")
 
 
 def read_reviews_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -117,41 +194,50 @@ def read_reviews_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
-def read_review_pages(spark: SparkSession, path: str, max_pages: int | None = None,
-                      multi_line: bool = False, schema=None) -> DataFrame:
-    """Paged envelopes -> reviews with ``page`` and ``page_pos`` columns.
+# ---- landed pages ----------------------------------------------------------------------------
+@dataclass
+class PageLanding:
+    """One read of landed pages: ``reviews``, ``pages`` (page, rows, broken: a row a page) and the
+    counts that were observed while reading."""
 
-    ``max_pages`` leaves out pages with a larger number; pages without a number stay.
-    Empty or missing pages are tolerated; no rows at all is an error of ``load_reviews``.
-    """
-    r = spark.read.option("multiLine", multi_line)
-    env = (r.schema(schema) if schema is not None else r).json(path)
-    env = env.select("*", _page_number(env).alias("page"))
+    reviews: DataFrame
+    pages: DataFrame
+    counts: dict[str, int]
+
+    def failed(self, requested: int | None = None) -> DataFrame:
+        """Requested pages 1..N that gave no review: missing, empty or broken ones."""
+        return page_gap_report(self.pages.sparkSession, self.pages, requested)
+
+
+def land_pages(spark: SparkSession, path: str, max_pages: int | None = None,
+               multi_line: bool = False) -> PageLanding:
+    """Paged envelopes (one a line, or one a file) -> reviews, page list and failed pages.
+
+    The page number is ``metadata.page``, else the number in the file name. ``max_pages`` leaves
+    out pages with a larger number; pages without a number stay. A broken envelope is a page
+    without reviews; its number is the file's."""
+    landing = land_documents(spark, path, multi_line, pages=True)
+    number = ("coalesce(number, try_cast(nullif(regexp_extract(file, "
+              "'page[=_-]?(\\\\d+)', 1), '') as int)) AS page")
+    table = landing.table.selectExpr(number, "pos AS page_pos", "flat", "broken", "v")
     if max_pages is not None:
-        env = env.filter(F.col("page").isNull() | (F.col("page") <= int(max_pages)))
-    if not _is_row_array(env, "data"):
-        # no page carries a row (inference could not find a row schema)
-        return env.select("page", F.lit(0).alias("page_pos")).limit(0)
-    rows = env.select("page", F.posexplode(F.col("data")).alias("page_pos", "__r"))
-    return rows.select("page", "page_pos", "__r.*")
+        table = table.where(F.col("page").isNull() | (F.col("page") <= int(max_pages)))
+    pages = table.groupBy("page").agg(F.count("v").cast("int").alias("rows"),
+                                      F.count_if("broken").alias("broken"))
+    reviews = _columns(table.where("v IS NOT NULL"), landing.shapes, ("page", "page_pos"))
+    return PageLanding(reviews, pages, landing.counts)
 
 
-def _page_number(env: DataFrame) -> F.Column:
-    """``metadata.page`` when present, else the number in the file name."""
-    from_file = F.expr("try_cast(nullif(regexp_extract(_metadata.file_name, "
-                       "'page[=_-]?(\\\\d+)', 1), '') as int)")
-    meta = env.schema["metadata"].dataType if "metadata" in env.columns else None
-    if isinstance(meta, T.StructType) and "page" in meta.fieldNames():
-        return F.coalesce(F.col("metadata.page").cast("int"), from_file)
-    return from_file
+def read_review_pages(spark: SparkSession, path: str, max_pages: int | None = None,
+                      multi_line: bool = False) -> DataFrame:
+    """Paged envelopes -> reviews with ``page`` and ``page_pos`` columns. Empty or missing pages
+    are tolerated; no rows at all is an error of ``load_reviews``."""
+    return land_pages(spark, path, max_pages, multi_line).reviews
 
 
-def page_envelopes(spark: SparkSession, path: str, multi_line: bool = False, schema=None) -> DataFrame:
-    """Page number and row count of every landed page (empty pages included)."""
-    r = spark.read.option("multiLine", multi_line)
-    env = (r.schema(schema) if schema is not None else r).json(path)
-    n = F.coalesce(F.size(F.col("data")), F.lit(0)) if "data" in env.columns else F.lit(0)
-    return env.select(_page_number(env).alias("page"), F.greatest(n, F.lit(0)).alias("rows"))
+def page_envelopes(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Page number and review count of every landed page (empty and broken ones included)."""
+    return land_pages(spark, path, multi_line=multi_line).pages
 
 
 def page_gap_report(spark: SparkSession, pages: DataFrame, requested: int | None = None
@@ -186,8 +272,7 @@ def load_reviews(spark: SparkSession, mode: str, path: str, max_pages: int | Non
         df = read_reviews_jsonl(spark, path, opts.get("schema"))
     elif mode == "pages":
         df = fetch_column_repair(read_review_pages(spark, path, max_pages,
-                                                   opts.get("multi_line", False),
-                                                   opts.get("schema")))
+                                                   opts.get("multi_line", False)))
     else:
         raise ValueError(f"Invalid input mode: {mode}")
     if df.isEmpty():
