@@ -44,6 +44,7 @@ from revlens.llm.words import ALNUM, Numbered, numbered, pieces
 BUCKETS = 10_000
 HEAD_WORDS = 1 << 16
 HEAD_PAIRS = 1 << 16
+CLASSES = 32              # classes of frequency for each doubling
 HELD = 4                  # a task counts up to so many times the head at a time
 SHORT = 32                # lengths whose shift tables are laid out; longer ones go by powers of two
 MIN_WORDS = 20
@@ -173,7 +174,9 @@ class _Counts:
 
 
 def frequent(docs: DataFrame) -> Head:
-    """The head, counted over all documents: HEAD_WORDS + HEAD_PAIRS rows at most reach the driver."""
+    """The head, counted over all documents. Words and pairs are taken from the most frequent down
+    by classes of about equal frequency, as long as all of a class fit; so HEAD_WORDS and
+    HEAD_PAIRS rows at most reach the driver, and no task or driver sorts the tasks' lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = _Counts(HEAD_WORDS), _Counts(HEAD_PAIRS)
@@ -200,10 +203,20 @@ def frequent(docs: DataFrame) -> Head:
 
     counted = (docs.select(F.col("text").cast("string").alias("t")).mapInArrow(run, "a string, b string, n long")
                .groupBy("a", "b").agg(F.sum("n").alias("n")))
-    counted = checkpointed(counted)
-    words = counted.where("b IS NULL").orderBy(F.desc("n"), "a").limit(HEAD_WORDS).collect()
-    pairs = counted.where("b IS NOT NULL").orderBy(F.desc("n"), "a", "b").limit(HEAD_PAIRS).collect()
-    return Head.of([r["a"] for r in words], [(r["a"], r["b"]) for r in pairs])
+    counted = checkpointed(counted.withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int")))
+    sizes = (counted.groupBy(F.col("b").isNull().alias("word"), "class").agg(F.count(F.lit(1)).alias("n"))
+             .collect())  # at most 64 * CLASSES rows of each kind
+    least = {}
+    for word, room in ((True, HEAD_WORDS), (False, HEAD_PAIRS)):
+        least[word] = 1 << 30
+        for r in sorted((r for r in sizes if r["word"] == word), key=lambda r: -r["class"]):
+            room -= r["n"]
+            if room < 0:
+                break
+            least[word] = r["class"]
+    words = counted.where(f"b IS NULL AND class >= {least[True]}").select("a").collect()
+    pairs = counted.where(f"b IS NOT NULL AND class >= {least[False]}").select("a", "b").collect()
+    return Head.of(sorted(r["a"] for r in words), sorted((r["a"], r["b"]) for r in pairs))
 
 
 # ---- features --------------------------------------------------------------------------
