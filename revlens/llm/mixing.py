@@ -10,22 +10,28 @@ multiplier for each source, and its solution tilts the rates exponentially:
 
     rate_d = MOST * e^z / (1 + e^z) with z = lambda_source * size_d / mean size of the source
 
-Newton's method runs on all sources at once; every iteration is one aggregation over the
-counts of (source, size), which is all that the dual needs of the corpus, and only ends when
-every source's constraint holds within ``TOLERANCE`` words in a million (or after ``STEPS``).
-A bisection bracket keeps each step inside the interval where the root is known to lie.
+Newton's method runs on all sources at once, over the counts of (source, size), which is all that
+the dual needs of the corpus. A pass is one aggregate that evaluates several trial multipliers of
+every source: the Newton point of the best trial so far and points between it and the ends of the
+interval in which the root is known to lie. So the interval shrinks by orders of magnitude a
+pass, and a few passes do. They end when every source's constraint holds within ``TOLERANCE``.
 
 Rates are rounded to whole copies within groups of about ``GROUP`` documents of one source
 (a hash of the id deals them, so a source of any size is many groups): from the largest
 document to the smallest, each takes the whole number of copies next to its rate that keeps
-the group's sum of words closest to the rates'. Rows equal in id and size are counted first
-and dealt as entries of up to ``GROUP`` rows, one after the other to the following groups; an
-entry's rows share its copies evenly. Documents without words are rounded each by itself. So the error of a source is a few words of its
-shortest documents, no document exceeds ``MOST`` copies, and reruns agree.
+the group's sum of words closest to the rates'. Rows equal in source, id and size are counted
+first and dealt as entries of up to ``GROUP`` rows, one after the other to the following groups;
+an entry's rows share its copies evenly. Documents without words are rounded each by itself. So
+the error of a source is a few words of its shortest documents, no document exceeds ``MOST``
+copies, and reruns agree.
+
+``mixed_documents`` gives every row its own copies, also rows whose id is null or repeats: rows of
+one (source, id, size) are numbered by their place in the written table, inside each of its
+partitions and by the partitions' prefix sums, and the number names the entry.
 
 Cases: null text has size 0; sources without words have target 0; null ids and repeated rows
-are dealt like any other row (equal rows round next to each other); without words all targets
-are 0; an empty table gives no rows; of the input only id, source and text are read.
+are rows like others; an empty table gives no rows; of the input only id, source and text are
+read (``mixed_documents`` returns all columns).
 """
 
 from __future__ import annotations
@@ -34,12 +40,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import WORD_PATTERN, checkpointed
+from revlens.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MOST = 2.0
-STEPS = 40
+PASSES = 12
 TOLERANCE = 1e-6
+FIRST = (0.0, -0.25, 0.25, -0.5, 0.5, -1.0, 1.0, -2.0, 2.0, -4.0, 4.0, -16.0, 16.0)  # trials about the start
+CLOSE = (1e-6, 1e-4, 1e-2, 0.1, 0.5)  # later ones, as shares of the way from Newton's point to each end
 GROUP = 400
 
 
@@ -82,37 +91,51 @@ def tilted(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
     counts: (s, size, c), c documents of this size; targets as from ``source_targets``.
     """
-    about = counts.where("size > 0").groupBy("s").agg(
+    work = counts.where("size > 0")
+    about = work.groupBy("s").agg(
         F.sum("c").alias("docs"), (F.sum(F.col("size") * F.col("c")) / F.sum("c")).alias("mean"))
     ratio = F.try_divide(F.col("target"), F.col("source_size") * F.lit(MOST))  # null without words
+    start = F.when((ratio > 0) & (ratio < 1 - 1e-9), F.ln(ratio / (1 - ratio)))
     state = checkpointed(
-        _with(targets, about, "left")
-        .withColumn("lam", F.when((ratio > 0) & (ratio < 1 - 1e-9), F.ln(ratio / (1 - ratio))))
-        .withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)))
-    work = counts.where("size > 0")
+        _with(targets, about, "left").withColumn("lam", start)
+        .withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6))
+        .withColumn("trials", F.array(*[F.col("lam") + t for t in FIRST])))
     few = state.count() <= SENT_SOURCES
-    for _ in range(STEPS):
-        x = F.col("size") / F.col("mean")
-        rate = _rate(F.col("lam"), x)
-        at = _with_source(work, state.where("lam IS NOT NULL").select("s", "mean", "lam"), few)
-        sums = at.groupBy("s").agg(
-            F.sum(F.col("c") * F.col("size") * rate).alias("words"),
-            F.sum(F.col("c") * F.col("size") * x * rate * (1 - rate / MOST)).alias("slope"))
-        now = _with(state, sums, "left")
-        off = F.col("words") - F.col("target")
-        lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - F.try_divide(off, F.col("slope"))
-        now = checkpointed(
-            now.withColumn("off", F.abs(off) / F.col("target")).withColumn("lo", lo).withColumn("hi", hi)
-            .withColumn("new", F.when(F.col("off") <= TOLERANCE, F.col("lam"))
-                        .when((newton > F.col("lo")) & (newton < F.col("hi")), newton)
-                        .otherwise((F.col("lo") + F.col("hi")) / 2))
-            .select("s", "source_size", "target", "docs", "mean", F.col("new").alias("lam"), "lo", "hi", "off"))
-        state = now.drop("off")
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+    for _ in range(PASSES):
+        state, off = _narrowed(work, state, few)
+        if off <= TOLERANCE:
             break
-    return state.drop("lo", "hi")
+    return state.select("s", "source_size", "target", "docs", "mean", "lam")
+
+
+def _narrowed(work: DataFrame, state: DataFrame, few: bool) -> tuple[DataFrame, float]:
+    """One pass: the state with the best multipliers, smaller intervals and new trials; and the
+    largest relative error of a source."""
+    n = len(FIRST)
+    x, words = F.col("size") / F.col("mean"), F.col("c") * F.col("size")
+    at = _with_source(work, state.where("lam IS NOT NULL").select("s", "mean", "trials"), few)
+    sums = []
+    for k in range(n):
+        rate = _rate(F.col("trials")[k], x)
+        sums += [F.sum(words * rate).alias(f"w{k}"), F.sum(words * x * rate * (1 - rate / MOST)).alias(f"d{k}")]
+    now = _with(state, at.groupBy("s").agg(*sums), "left")
+    tried = now.withColumn("t", F.array(*[F.struct(
+        F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), F.col("trials")[k].alias("lam"),
+        (F.col(f"w{k}") - F.col("target")).alias("off"), F.col(f"d{k}").alias("slope")) for k in range(n)]))
+    best = F.array_min("t")
+    below = F.array_max(F.transform(F.filter("t", lambda t: t["off"] <= 0), lambda t: t["lam"]))
+    above = F.array_min(F.transform(F.filter("t", lambda t: t["off"] >= 0), lambda t: t["lam"]))
+    tried = (tried.withColumn("best", best).withColumn("lo", F.greatest("lo", below))
+             .withColumn("hi", F.least("hi", above)))
+    newton = F.col("best.lam") - F.try_divide(F.col("best.off"), F.col("best.slope"))
+    inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+    tried = tried.withColumn("p", F.when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+    trials = [F.col("p")] + [F.col("p") + (F.col(end) - F.col("p")) * t for t in CLOSE for end in ("lo", "hi")]
+    trials += [F.col("best.lam")] * (n - len(trials))
+    after = checkpointed(tried.select(
+        "s", "source_size", "target", "docs", "mean", F.col("best.lam").alias("lam"), "lo", "hi",
+        F.array(*trials).alias("trials"), (F.col("best.miss") / F.col("target")).alias("miss")))
+    return after.drop("miss"), after.agg(F.max("miss")).first()[0] or 0.0
 
 
 SENT_SOURCES = 20_000  # one small row each; more are joined by a shuffle
@@ -127,29 +150,34 @@ def _with(rows: DataFrame, sources: DataFrame, how: str) -> DataFrame:
     return rows.join(sources.withColumnRenamed("s", "s__"), F.col("s").eqNullSafe(F.col("s__")), how).drop("s__")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, copies, rate."""
-    sized = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("s"),
-                                     word_count(F.col("text").cast("string")).alias("size")))
+def _sources(sized: DataFrame) -> DataFrame:
+    """(s, source_size, target, docs, mean, lam) of every source."""
     counts = checkpointed(sized.groupBy("s", "size").agg(F.count(F.lit(1)).alias("c")))
     sizes = counts.groupBy("s").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
-    sources = checkpointed(tilted(counts, source_targets(sizes)))
-    rate = (F.when(F.col("target") <= 0, F.lit(0.0))
-            .when(F.col("lam").isNull(), F.lit(MOST))
+    return tilted(counts, source_targets(sizes))
+
+
+def _rates() -> Column:
+    return (F.when(F.col("target") <= 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(MOST))
             .otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"))))
-    few = sources.count() <= SENT_SOURCES
-    wordless = (_with_source(sized.where("size = 0"), sources, few).withColumn("rate", rate)
-                .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
-                        F.round("rate").cast("long").alias("copies"), "rate"))
+
+
+def _wordless(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    return (_with_source(sized.where("size = 0"), sources, few).withColumn("rate", _rates())
+            .withColumn("copies", F.round("rate").cast("long")))
+
+
+def entries(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """(s, doc_id, size, part, c, k, rate, source_size, target): k copies for the c rows of an
+    entry, which is the ``part``-th run of ``GROUP`` rows of one (s, doc_id, size)."""
     equal = sized.where("size > 0").groupBy("s", "doc_id", "size").agg(F.count(F.lit(1)).alias("c"))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / GROUP)))
     groups = F.ceil(F.col("docs") / F.lit(GROUP))
-    dealt = (_with_source(equal, sources, few).withColumn("rate", rate).withColumn("part", part)
+    dealt = (_with_source(equal, sources, few).withColumn("rate", _rates()).withColumn("part", part)
              .withColumn("c", F.least(F.lit(GROUP).cast("long"), F.col("c") - F.col("part") * GROUP))
              .withColumn("g", F.pmod(F.pmod(F.xxhash64("doc_id", "size"), groups) + F.col("part"), groups)))
-    key = ["s", "g", "source_size", "target"]
-    listed = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate", "c")),
-                                                  asc=False).alias("d"))
+    listed = dealt.groupBy("s", "g", "source_size", "target").agg(
+        F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate", "c", "part")), asc=False).alias("d"))
 
     def step(acc: Column, x: Column) -> Column:
         off = acc["err"] - x["rate"] * x["size"] * x["c"]  # without these documents
@@ -159,26 +187,66 @@ def mix(docs: DataFrame) -> DataFrame:
     rounded = listed.withColumn("k", F.aggregate(
         "d", F.struct(F.lit(0.0).alias("err"), F.array().cast("array<bigint>").alias("out")),
         step, lambda acc: acc["out"]))
-    each = rounded.select("source_size", "target", F.explode(F.arrays_zip("d", "k")).alias("x"))
-    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.d.c")))  # the first rows take what is over
-    each = each.select("source_size", "target", "x", row.alias("row")).withColumn(
-        "k", F.floor(F.col("x.k") / F.col("x.d.c"))
-        + F.when(F.col("row") <= F.pmod("x.k", "x.d.c"), 1).otherwise(0))
-    return each.select(F.col("x.d.doc_id").alias("doc_id"), F.col("x.d.size").alias("size"),
-                       "source_size", "target", (F.col("k") * F.col("x.d.size")).alias("taken"),
-                       F.col("k").alias("copies"), F.col("x.d.rate").alias("rate")).unionByName(wordless)
+    return rounded.select("s", "source_size", "target", F.explode(F.arrays_zip("d", "k")).alias("x")).select(
+        "s", "x.d.doc_id", "x.d.size", "x.d.part", "x.d.c", "x.k", "x.d.rate", "source_size", "target")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it.
+def _share(row: Column) -> Column:
+    """Copies of the row of an entry with this number (from 0): the first take what is over."""
+    return F.floor(F.col("k") / F.col("c")) + F.when(row < F.pmod("k", "c"), 1).otherwise(0)
 
-    Rows that share an id are taken equally often (the least of what they got).
-    """
-    names = docs.columns
-    copies = mix(docs).groupBy("doc_id").agg(F.min("copies").alias("k")).where("k > 0")
-    copies = copies.select(F.col("doc_id").alias("i"), F.expr("sequence(1, k)").alias("k"))
-    one = "copy"
-    while one in names:
-        one += "_"
-    return (docs.join(copies, docs["doc_id"].eqNullSafe(copies["i"]))
-            .select(*[docs[n] for n in names], F.explode(copies["k"]).alias(one)).drop(one))
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken, copies, rate."""
+    sized = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("s"),
+                                     word_count(F.col("text").cast("string")).alias("size")))
+    sources = _sources(sized)
+    few = sources.count() <= SENT_SOURCES
+    wordless = _wordless(sized, sources, few).select(
+        "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "copies", "rate")
+    each = entries(sized, sources, few).withColumn(
+        "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumn("copies", _share(F.col("row")))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                       "copies", "rate").unionByName(wordless)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, s, doc_id, size) with ``n``, the number (from 0) of each among those equal
+    in s, doc_id and size. ``row`` holds the partition in its upper bits: numbers run inside a
+    partition's share of a group, and the shares before are added, one row a partition."""
+    key = ["s", "doc_id", "size"]
+    rows = rows.withColumn("p", F.shiftright("row", 33))
+    inside = Window.partitionBy(*key, "p").orderBy("row")
+    shares = rows.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = (shares.withColumn("base", F.sum("c").over(before)).where("base > 0")
+            .select(*[F.col(k).alias(f"{k}_b") for k in [*key, "p"]], "base"))
+    same = (F.col("s").eqNullSafe(F.col("s_b")) & F.col("doc_id").eqNullSafe(F.col("doc_id_b"))
+            & (F.col("size") == F.col("size_b")) & (F.col("p") == F.col("p_b")))
+    return (rows.withColumn("n", F.row_number().over(inside) - 1).join(base, same, "left")
+            .select("row", *key, (F.col("n") + F.coalesce("base", F.lit(0))).alias("n")))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    names, own = docs.columns, "row__"
+    while own in names or own + "size" in names:
+        own += "_"
+    # written with row numbers and sizes, so that only the join at the end reads texts again
+    stored = written(docs.withColumn(own, F.monotonically_increasing_id())
+                     .withColumn(own + "size", word_count(F.col("text").cast("string"))), "mixing")
+    sized = stored.select(F.col(own).alias("row"), "doc_id", F.col("source").cast("string").alias("s"),
+                          F.col(own + "size").alias("size"))
+    sources = _sources(sized)
+    few = sources.count() <= SENT_SOURCES
+    wordless = _wordless(sized, sources, few).select("row", "copies")
+    rows = _numbered(sized.where("size > 0")).withColumn("part", F.floor(F.col("n") / GROUP))
+    dealt = entries(sized, sources, few).select(
+        *[F.col(k).alias(f"{k}_e") for k in ("s", "doc_id", "size", "part")], "c", "k")
+    same = (F.col("s").eqNullSafe(F.col("s_e")) & F.col("doc_id").eqNullSafe(F.col("doc_id_e"))
+            & (F.col("size") == F.col("size_e")) & (F.col("part") == F.col("part_e")))
+    copies = (rows.join(dealt, same).withColumn("copies", _share(F.pmod("n", F.lit(GROUP)))).select("row", "copies")
+              .unionByName(wordless).where("copies > 0")
+              .select(F.col("row").alias("r__"), F.expr("sequence(1L, copies)").alias("k__")))
+    taken = stored.join(copies, stored[own] == copies["r__"])
+    return taken.select(*[stored[n] for n in names], F.explode(copies["k__"]).alias(own)).drop(own)

@@ -188,3 +188,53 @@ def test_rare_sections_of_another_share_stay_apart(spark):
     assert {got[k]["template"] for k in range(40)} == {"/part0/{n}/"}
     assert {got[k]["template"] for k in range(40, 1200)} == {"/*/{n}/"}
     assert {got[k]["verdict"] for k in range(40, 1200)} == {"allow"}
+
+
+def test_rows_without_id_get_their_own_copies(spark):
+    """Null and repeated ids keep every row's copies; copies add up to what the mix takes."""
+    rows = [(None, f"w{i} " * (i % 7 + 1), "a" if i % 3 else None) for i in range(900)]
+    rows += [(None, "same text here", "a")] * 700 + [(5, "same text here", "b")] * 900
+    rows += [(i, "x " * (i % 11 + 1), "b") for i in range(100, 400)] + [(5, None, "b"), (None, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    got, want = {}, {}
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    mixed_rows = mixing.mix(df.select("doc_id", "source", "text")).collect()
+    by_target = {}
+    for r in mixed_rows:
+        key = (r["doc_id"], r["target"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+        by_target.setdefault(r["target"], []).append(r)
+    sources = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(
+        [(s, sum(len((t or "").split()) for _, t, x in rows if x == s)) for s in ("a", "b", "c", None)],
+        "s string, source_size long")).withColumnRenamed("s", "source").collect()}
+    renamed = {}
+    for (i, s, size), n in got.items():
+        renamed[(i, sources[s], size)] = renamed.get((i, sources[s], size), 0) + n
+    assert renamed == {k: n for k, n in want.items() if n}
+    assert sum(1 for r in mixed.collect() if r["doc_id"] is None) == sum(
+        r["copies"] for r in mixed_rows if r["doc_id"] is None)
+
+
+def test_multipliers_in_few_passes(spark, monkeypatch):
+    """Skewed sizes, a target near its stop and one near zero: within tolerance in a few passes."""
+    import random
+
+    rng = random.Random(3)
+    counts = [(s, n, rng.randint(1, 50)) for s in ("a", "b", "c") for n in {int(2 ** rng.uniform(0, 17)) for _ in range(300)}]
+    total = {s: sum(n * c for x, n, c in counts if x == s) for s in "abc"}
+    goal = {"a": 1.999 * total["a"], "b": 0.003 * total["b"], "c": 1.3 * total["c"]}
+    passes = []
+    once = mixing._narrowed
+    monkeypatch.setattr(mixing, "_narrowed", lambda *a: passes.append(1) or once(*a))
+    state = mixing.tilted(
+        spark.createDataFrame(counts, "s string, size long, c long"),
+        spark.createDataFrame([(s, total[s], goal[s]) for s in "abc"], "s string, source_size long, target double"))
+    for r in state.collect():
+        got = sum(n * c * 2 / (1 + 2.718281828459045 ** min(700, -r["lam"] * n / r["mean"]))
+                  for s, n, c in counts if s == r["s"])
+        assert abs(got - goal[r["s"]]) <= 2e-6 * goal[r["s"]]
+    assert len(passes) <= 7
