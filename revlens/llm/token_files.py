@@ -12,150 +12,196 @@ tasks return go into the manifest. So a lost executor or a task that runs twice
 stray file at most. Reading memory-maps the segments (local file systems) or opens them
 through their file system (others).
 
-Cases: null text is empty and has the end id only; an empty table gives a manifest without
+Cases: null text is empty and has the end id only; a text above ``words.STEP`` bytes goes through in
+parts; an empty table gives a manifest without
 segments and no rows; a null id comes first and is given back as null; rows of equal ids are
 kept side by side; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import open_fs, shared_folder
+from revlens.llm.bpe import byte_symbols
+from revlens.llm.common import give_back_memory, open_fs, shared_folder
+from revlens.llm.words import pieces
 
-MEMO_RUNS = 300_000       # text runs, and words, asked for lately, remembered per Python worker
-STEP_CHARS = 1_000_000
+MEMO_RUNS = 400_000       # text runs asked for lately, remembered per Python worker
 NULL_ID = np.iinfo(np.int64).min
-LOOSE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-PLAIN = re.compile("[\n!-~\xa1-\xac\xae-\u024f]+")  # Latin, with no white space but line ends
-# fixed values: the byte-level pre-tokenizer's settings and its pattern
+LOOSE_ASCII = re.compile(b"(?<=[!-~]) (?=[!-~])")  # where a very long text is cut
+SPACE, LETTER, DIGIT, SIGN, OTHER, CONTROL = range(6)
+#: What a byte is; OTHER: beyond ASCII, or a part of contractions (') and special tokens (<).
+KIND = np.array([SPACE if b == 32 else CONTROL if b < 32 or b == 127 else OTHER if b > 127 or b in b"'<"
+                 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN
+                 for b in range(256)], np.uint8)
+#: A whole token of the pre-tokenizer.
+ONE_KIND = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-&(-/:;=-@\\[-`{-~]+)")
+LATIN_1 = 0xC3  # first byte of the letters from U+00C0 to U+00FF
+
+
+def parted(texts: pa.Array) -> pa.Array:
+    """The texts with a zero byte wherever a byte-level pre-tokenizer always cuts and the bytes
+    show it: before a single space between two characters that are no white space, and between
+    letters, digits and signs of an ASCII run without contractions and special tokens."""
+    offsets = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1)
+    text = np.frombuffer(texts.buffers()[2], np.uint8)
+    n = len(text)
+    if not n:
+        return texts
+    kind = KIND[text]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    space = kind == SPACE
+    run = np.cumsum(space | begins[:-1], dtype=np.int32)
+    plain = (np.bincount(run[kind == OTHER], minlength=int(run[-1]) + 1) == 0)[run]
+    ink = (kind >= LETTER) & (kind <= SIGN)
+    dark = ink | (text == ord("'")) | (text == ord("<"))
+    before, after = dark.copy(), dark | (text == LATIN_1)
+    before[1:] |= text[:-1] == LATIN_1
+    cut = np.zeros(n, bool)
+    cut[1:] = plain[1:] & ink[1:] & ink[:-1] & (kind[1:] != kind[:-1])
+    cut[1:-1] |= space[1:-1] & before[:-2] & after[2:] & ~begins[2:-1]
+    cut &= ~begins[:-1]
+    place = np.cumsum(cut, dtype=np.int64) + np.arange(n)
+    out = np.zeros(int(place[-1]) + 1, np.uint8)
+    out[place] = text
+    ends = np.append(place - cut, len(out))[offsets]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends.astype("<i8")), pa.py_buffer(out))
+
+
+# the pre-tokenizer that the cuts are right for
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-PRETOKEN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-class Memo:
-    """Text to ids as bytes; of entries that aren't asked for again the oldest go."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.old = size, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys not held; room is made first, so that held ones stay for now."""
-        if len(self.now) > self.size:
-            self.now, self.old = {}, self.now
-        new = keys.difference(self.now)
-        held = new.intersection(self.old)
-        self.now.update((k, self.old[k]) for k in held)
-        return list(new - held)
 
 
 class RunEncoder:
-    """The tokenizers library behind memos of text runs and of words.
+    """The tokenizers library behind a memo of runs of text.
 
-    A byte-level pre-tokenizer always cuts before a single space between two characters that
-    are no white space, so a text may be cut there, each run (with its leading space) encoded
-    once, and the ids put together. Runs of Latin text are cut further by the pre-tokenizer's
-    own pattern, and each word is given to the library's model once; other runs, and those
-    that may hold a special token, go through the library whole.
+    Texts are cut where the pre-tokenizer always cuts, a step of texts at a time (``parted``), and
+    the runs are numbered by Arrow. Distinct runs are encoded once while they stay in the memo,
+    and the ids of all texts are gathered from the runs' by array operations. When the memo is
+    full, the runs that were met in one step only go.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = self._plain(Tokenizer.from_file(path))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words = None
-        if spec["normalizer"] is None and spec["pre_tokenizer"] == BYTE_LEVEL:
-            self.words = self._plain(Tokenizer.from_file(path))
-            self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cuts = spec["normalizer"] is None and spec["pre_tokenizer"] == BYTE_LEVEL
+        self.model, self.symbols = self.tokenizer.model, dict(enumerate(byte_symbols()))
         wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
-        self.run_memo, self.word_memo = Memo(MEMO_RUNS), Memo(MEMO_RUNS)
-
-    @staticmethod
-    def _plain(tokenizer):
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return tokenizer
-
-    def _encode(self, tokenizer, texts: list[str]) -> list[bytes]:
-        code = self.code
-        ids = [array(code, e.ids) for e in
-               tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in ids:
-                a.byteswap()
-        return [a.tobytes() for a in ids]
-
-    def learn(self, runs: set[str]) -> None:
-        whole, cut, odd = [], [], []
-        plain, find = PLAIN.fullmatch, PRETOKEN.findall
-        for run in self.run_memo.missing(runs):
-            if self.words is not None and plain(run) and "<|" not in run:
-                cut.append((run, find(" " + run)))
-            elif not run or run[0].isspace() or run[-1].isspace():
-                odd.append(run)
-            else:
-                whole.append(run)
-        held = self.run_memo.now
-        held.update(dict.fromkeys(odd))  # not cut there: see `texts`
-        if whole:
-            held.update(zip(whole, self._encode(self.tokenizer, [" " + r for r in whole]), strict=True))
-        new = self.word_memo.missing({w for _, words in cut for w in words})
-        word = self.word_memo.now
-        if new:
-            word.update(zip(new, self._encode(self.words, new), strict=True))
-        for run, words in cut:
-            held[run] = b"".join([word[w] for w in words])
+        self.kind = np.dtype("<u4" if wide else "<u2")
+        self.place: dict[str, int] = {}
+        self.start = self.size = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and their numbers."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``; runs that are one token of the pre-tokenizer go to the model directly."""
+        whole = [ONE_KIND.fullmatch(r) is not None and self.cuts for r in runs]
+        tokenize, to_symbols = self.model.tokenize, self.symbols
+        ids, size = [], []
+        for run, x in zip(runs, whole, strict=True):
+            if x:
+                found = tokenize(run.encode().decode("latin-1").translate(to_symbols))
+                ids += [t.id for t in found]
+                size.append(len(found))
+        one = np.array(whole, bool)
+        other, other_size = self._encode([r for r, x in zip(runs, whole, strict=True) if not x])
+        sizes = np.zeros(len(runs), np.int64)
+        sizes[one], sizes[~one] = size, other_size
+        out = np.zeros(sizes.sum(), np.uint32)
+        of_one = np.repeat(one, sizes)
+        out[of_one], out[~of_one] = ids, other
+        return out, sizes
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Only the memo's entries ``kept`` stay."""
+        number = np.full(len(self.size), -1)
+        number[kept] = np.arange(len(kept))
+        self.place = {r: n for r, n in zip(self.place, number[list(self.place.values())].tolist(), strict=True)
+                      if n >= 0}
+        size = self.size[kept]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.start[kept] - (ends - size), size) + np.arange(size.sum())]
+        self.start, self.size, self.met = ends - size, size, self.met[kept] // 2
+
+    def _places(self, runs: list[str]) -> np.ndarray:
+        """Where the memo holds each run; those it doesn't hold are encoded first."""
+        new = [r for r in runs if r not in self.place]
+        if len(self.place) + len(new) > MEMO_RUNS:
+            self._keep(np.flatnonzero(self.met > 1))
+            if len(self.place) + len(new) > MEMO_RUNS:
+                self._keep(np.zeros(0, np.int64))
+            new = [r for r in runs if r not in self.place]
+        flat, size = self._encode_runs(new)
+        self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        at = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
+        self.met[at] += 1
+        return at
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text; ``end_id`` is put
+        after every text."""
+        n = len(texts)
+        zeros = pc.any(pc.match_substring(texts, "\0")).as_py()
+        if zeros or not self.cuts:
+            flat, sizes = self._encode(texts.to_pylist())
+            codes, offsets, start, size = np.arange(n), np.arange(n + 1), np.cumsum(sizes) - sizes, sizes
+        else:
+            lists = pc.split_pattern(parted(texts), "\0")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy()
+            at = self._places(coded.dictionary.to_pylist())
+            flat, start, size = self.ids, self.start[at], self.size[at]
+        start, size = start[codes], size[codes]
+        if end_id is not None:
+            size, start = np.insert(size, offsets[1:], 1), np.insert(start, offsets[1:], len(flat))
+            offsets, flat = offsets + np.arange(n + 1), np.append(flat, np.uint32(end_id))
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(start - total[:-1], size) + np.arange(total[-1])
+        return flat[at], np.diff(total[offsets])
+
+    def steps(self, column: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(ids, first row, ids of each row); a row above a step's bytes comes in several."""
+        for p in pieces(column, None, cut=LOOSE_ASCII):
+            ids, sizes = self.encode(p.texts, None if p.more else end_id)
+            yield ids.astype(self.kind), p.first, sizes
 
     def texts(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes."""
-        gc.disable()  # many small objects and no cycles
-        try:
-            return self._texts(texts, end_id)
-        finally:
-            gc.enable()
-
-    def _texts(self, texts: list[str], end_id: int) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self.learn(set().union(*(s[1:] for s in split)))
-        held = self.run_memo.now
-        heads = self._encode(self.tokenizer, [s[0] for s in split])
-        end = np.array([end_id], self.kind).tobytes()
-        get = held.__getitem__
-        out = []
-        for text, head, s in zip(texts, heads, split, strict=True):
-            try:
-                if s[0] != s[0].strip() or not s[0] and len(s) > 1:
-                    raise TypeError
-                out.append(b"".join([head, *map(get, s[1:]), end]))
-            except TypeError:  # a run that isn't cut there: space next to other white space
-                out.append(b"".join([*self._oddly(text), end]))
+        out = [b""] * len(texts)
+        for ids, first, sizes in self.steps(pa.array(texts, pa.large_string()), end_id):
+            for k, x in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+                out[first + k] += x.tobytes()
         return out
 
-    def _oddly(self, text: str) -> list[bytes]:
-        """Cut at single spaces between other characters only; no memo."""
-        first, *rest = LOOSE_SPACE.split(text)
-        return self._encode(self.tokenizer, [first, *(" " + r for r in rest)])
-
 
 _ENCODERS: dict[str, RunEncoder] = {}
 
@@ -170,44 +216,41 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
                       id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Encode every text with the vocabulary file ``path`` and write ``folder``; the manifest."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = run_encoder(path)
         fs, at = open_fs(folder)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        sizes: list[int] = []
-        ids: list[int] = []
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         out = None
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["t"]]
-            lo = 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and held < STEP_CHARS:
-                    held += len(texts[hi])
-                    hi += 1
-                if out is None:
-                    fs.create_dir(at, recursive=True)
-                    out = fs.open_output_stream(f"{at}/{name}.bin")
-                for blob in enc.texts(texts[lo:hi], end_id):
-                    out.write(blob)
-                    sizes.append(len(blob) // enc.kind.itemsize)
-                lo = hi
-            ids += [NULL_ID if pd.isna(x) else int(x) for x in batch["i"]]
+            if out is None:
+                fs.create_dir(at, recursive=True)
+                out = fs.open_output_stream(f"{at}/{name}.bin")
+            n = np.zeros(batch.num_rows, np.int64)
+            for tokens, first, found in enc.steps(batch.column(1), end_id):
+                out.write(tokens.tobytes())
+                n[first:first + len(found)] += found
+            sizes.append(n)
+            ids.append(batch.column(0).fill_null(NULL_ID).to_numpy())
+        give_back_memory()
         if out is None:
             return
         out.close()
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype="<i8")]).astype("<i8")
+        offsets = np.concatenate([[0], *sizes]).astype("<i8").cumsum(dtype="<i8")
         with fs.open_output_stream(f"{at}/{name}.idx") as f:
-            f.write(offsets.tobytes() + np.array(ids, "<i8").tobytes())
-        yield pd.DataFrame({"part": [task.partitionId()], "name": [name], "n_docs": [len(ids)],
-                            "n_tokens": [int(offsets[-1])], "width": [enc.kind.itemsize]})
+            f.write(offsets.tobytes() + np.concatenate(ids).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([task.partitionId()], pa.int32()), "name": [name], "n_docs": [len(offsets) - 1],
+            "n_tokens": [int(offsets[-1])], "width": pa.array([enc.kind.itemsize], pa.int32())})
 
     read = docs.select(F.col(id_col).cast("long").alias("i"),
                        F.col(text_col).cast("string").alias("t"))
-    ranged = read.repartitionByRange(F.col("i").asc_nulls_first()).sortWithinPartitions(
-        F.col("i").asc_nulls_first(), "t")
-    segments = ranged.mapInPandas(
+    # rows of one id are dealt over several ranges by their texts
+    order = [F.col("i").asc_nulls_first(), F.xxhash64("t")]
+    ranged = read.repartitionByRange(*order).sortWithinPartitions(*order, "t")
+    segments = ranged.mapInArrow(
         write, "part int, name string, n_docs long, n_tokens long, width int").collect()
     base, listed = 0, []
     for s in sorted(segments, key=lambda s: s["part"]):

@@ -8,6 +8,7 @@ texts; a text above that is cut at spaces and goes through in several pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,9 +49,10 @@ def _texts(raw: bytes, offsets: np.ndarray) -> pa.Array:
         len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, "<i8")), pa.py_buffer(raw))
 
 
-def pieces(column: pa.Array, table: bytes, step: int = STEP, carry: int = 0) -> Iterator[Piece]:
-    """The texts of ``column`` (null: empty), translated by ``table``, in steps. ``carry`` words
-    are repeated at the head of each further part of a long text."""
+def pieces(column: pa.Array, table: bytes | None, step: int = STEP, carry: int = 0,
+           cut: re.Pattern = re.compile(b" ")) -> Iterator[Piece]:
+    """The texts of ``column`` (null: empty), translated by ``table``, in steps. A long text is cut
+    where ``cut`` is found; ``carry`` words are repeated at the head of each further part."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
@@ -62,15 +64,17 @@ def pieces(column: pa.Array, table: bytes, step: int = STEP, carry: int = 0) ->
         start, hi = int(offsets[lo]), int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1
         if hi > lo:
             hi = min(hi, n)
-            raw = data[start:int(offsets[hi])].to_pybytes().translate(table) if data else b""
+            raw = data[start:int(offsets[hi])].to_pybytes() if data else b""
+            raw = raw.translate(table) if table else raw
             yield Piece(_texts(raw, offsets[lo:hi + 1] - start), lo)
             lo = hi
             continue
-        raw = data[start:int(offsets[lo + 1])].to_pybytes().translate(table)
+        raw = data[start:int(offsets[lo + 1])].to_pybytes()
+        raw = raw.translate(table) if table else raw
         at, held = 0, []
         while at < len(raw):
-            end = raw.find(b" ", at + step) if len(raw) - at > step else -1
-            end = len(raw) if end < 0 else end
+            found = cut.search(raw, at + step) if len(raw) - at > step else None
+            end = found.start() if found else len(raw)
             part = b" ".join([*held, raw[at:end]])
             yield Piece(_texts(part, np.array([0, len(part)])), lo, end < len(raw), len(held))
             if carry:

@@ -124,6 +124,18 @@ def test_files_and_manifest(spark, edge_docs):
 
 def test_wide_vocabularies_get_32_bits(tmp_path, monkeypatch):
     enc = token_files.RunEncoder(BYTE_BPE)
-    enc.kind, enc.code = np.dtype("<u4"), "I"
+    enc.kind = np.dtype("<u4")
     assert len(enc.texts(["a b"], 0)[0]) % 4 == 0
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
+
+
+def test_long_texts_in_parts_and_a_small_memo(byte_library, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["word", "é", "two  gaps", "a\n", "<|endoftext|>", "x" * 40]) for _ in range(400))
+             for _ in range(6)] + odd_texts(50, 9)
+    steps = token_files.pieces
+    monkeypatch.setattr(token_files, "pieces", lambda c, t, cut: steps(c, t, step=300, cut=cut))
+    monkeypatch.setattr(token_files, "MEMO_RUNS", 20)
+    enc = token_files.RunEncoder(BYTE_BPE)
+    for t, blob in zip(texts, enc.texts(texts, 0), strict=True):
+        assert np.frombuffer(blob, enc.kind).tolist() == byte_library.encode(t, add_special_tokens=False).ids + [0]
