@@ -8,9 +8,17 @@ hashed into a fixed table. The model is
 so that two terms may count more (or less) together than their weights add up to, such as an
 insult with the mention of a group.
 
+Every hashed term that ``MIN_DOCUMENTS`` documents of the sample hold has its weight and factors;
+what keeps chance ones small is the penalty, not a choice of terms: a weight's is the smaller the
+more the term's counts say about the label (its G statistic). Factors need no association of a
+single term and so have no such guide; with many terms they can fit chance. A fifth of the sample
+tells: they are learned from the rest, and stay zero if they don't lower the loss of that fifth.
+
 Learning reads at most ``bound`` labelled documents (lowest hash of the id first, rows kept out
-by ``held_out`` excluded); tasks count terms by label and only fixed-size count tables and the
-sample's chosen terms reach the driver. Scoring reads every whole text once, without a shuffle.
+by ``held_out`` excluded); one task fits the model on this bounded sample, and only the model
+(the terms kept, of a table of 2**19) reaches the driver. Scoring reads every whole text once,
+without a shuffle: words are numbered by Arrow a step of texts at a time, and a long text's terms
+are put together from its parts.
 
 Cases: null or empty texts have no terms and get the score of the bias; null labels are left
 out and repeated labels of one id count once (the highest); without any label, or with labels
@@ -32,16 +40,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import held_out, sliced
+from revlens.llm.common import checkpointed, give_back_memory, held_out
+from revlens.llm.token_counts import parted
+from revlens.llm.words import SPACES, numbered, pieces
 
 TABLE_BITS = 19            # hashed terms
 SAMPLE_DOCUMENTS = 20_000  # bound of the labelled sample
-CHOSEN_TERMS = 512         # terms the model keeps, by their G statistic
 MIN_DOCUMENTS = 4          # of a term in the sample
 FACTORS = 4
 THRESHOLD = 0.3
 MEMO_WORDS = 200_000
 SAMPLE_PARTS = 8
+STEPS, BATCH, RATE = 300, 512, 0.05  # of weights alone
+PAIR_STEPS, PAIR_BATCH = 240, 256    # of weights and factors, after that
+PRIOR = 3.0                          # of a weight whose evidence is what chance gives the best of all terms
+PAIR_PRIOR, PAIR_SHARE = 5.0, 0.05   # of a factor, and for each document of its term
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -55,11 +68,51 @@ def word_terms(chunk: str) -> list[int]:
     return out
 
 
-def text_terms(text: str | None) -> np.ndarray:
-    found: set[int] = set()
-    for chunk in set((text or "").lower().split()):
-        found.update(word_terms(chunk))
-    return np.array(sorted(found), np.int64)
+class Terms:
+    """Distinct terms of texts, with a memo of runs of text."""
+
+    def __init__(self, column: np.ndarray | None = None):
+        self.column = column  # of each hashed term, -1: not kept; None: terms as they are
+        self.memo: dict[str, np.ndarray] = {}
+
+    def _of_run(self, run: str) -> np.ndarray:
+        terms = np.array(word_terms(run.lower()), np.int64)
+        if self.column is not None:
+            terms = self.column[terms]
+            terms = terms[terms >= 0]
+        return terms.astype(np.int64)
+
+    def _of_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        w = numbered(parted(texts))
+        size = max(1, len(w.dictionary))
+        text, code = np.divmod(np.unique(w.text * np.int64(size) + w.codes), size)
+        if len(self.memo) + len(w.dictionary) > MEMO_WORDS:
+            self.memo = {}
+        found = []
+        for run in w.dictionary.to_pylist():
+            terms = self.memo.get(run)
+            if terms is None:
+                terms = self.memo[run] = self._of_run(run)
+            found.append(terms)
+        sizes = np.array([len(t) for t in found], np.int64)
+        flat = np.concatenate([*found, np.zeros(0, np.int64)])
+        start, n = (np.cumsum(sizes) - sizes)[code], sizes[code]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(text, n) << TABLE_BITS | flat[at])
+        return pairs >> TABLE_BITS, pairs & ((1 << TABLE_BITS) - 1)
+
+    def of(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, rows, row from the first on, term) of whole texts, distinct pairs by row."""
+        held: list[np.ndarray] = []
+        for p in pieces(column, SPACES):
+            text, term = self._of_piece(p.texts)
+            if p.more or held:  # a part of one long text
+                held.append(term)
+                if p.more:
+                    continue
+                term, held = np.unique(np.concatenate(held)), []
+                text = np.zeros(len(term), np.int64)
+            yield p.first, len(p.texts), text, term
 
 
 @dataclass
@@ -72,15 +125,11 @@ class Machine:
     v: np.ndarray
     constant: float | None = None
 
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-        return self.flat_logits(flat, np.repeat(np.arange(len(rows)), sizes), len(rows))
-
-    def flat_logits(self, cols: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    def logits(self, cols: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Of n rows; cols and row name the terms they hold."""
         out = self.bias + np.bincount(row, self.w[cols], n)
         for f in range(self.v.shape[1]):
-            vf = self.v[cols, f]
+            vf = self.v[cols, f].astype(float)
             out += 0.5 * (np.bincount(row, vf, n) ** 2 - np.bincount(row, vf * vf, n))
         return out
 
@@ -89,30 +138,73 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def fit_machine(cols: np.ndarray, row: np.ndarray, y: np.ndarray, k: int, factors: int = FACTORS,
-                steps: int = 300, rate: float = 0.05, l2: float = 1e-4, seed: int = 7
-                ) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the whole (bounded) sample; logistic loss. Same input, same result."""
-    n = len(y)
+def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The G statistic of each term against the label, from its documents of either label."""
+    a, b = toxic.astype(float), clean.astype(float)
+    c, d = n1 - a, n0 - b
+    n = float(n1 + n0)
+
+    def part(x, row, col):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x * n / (row * col)), 0.0)
+
+    return 2 * np.maximum(0.0, part(a, a + b, n1) + part(b, a + b, n0) + part(c, c + d, n1) + part(d, c + d, n0))
+
+
+@dataclass
+class Sample:
+    """Labelled documents: ``cols``, the terms of document after document, ``sizes`` of each."""
+
+    cols: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+    terms: int
+
+    def part(self, docs: np.ndarray) -> Sample:
+        size = self.sizes[docs]
+        starts = (np.cumsum(self.sizes) - self.sizes)[docs]
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return Sample(self.cols[at], size, self.y[docs], self.terms)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.y)), self.sizes)
+
+
+def fit_machine(sample: Sample, factors: int, start: tuple | None = None, steps: int = STEPS,
+                batch: int = BATCH, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the penalised logistic loss, in batches of documents dealt by a fixed seed; the rate
+    falls to zero. Same input, same result."""
+    n, k, y = len(sample.y), sample.terms, sample.y
+    of = np.repeat(y > 0, sample.sizes)
+    df = np.bincount(sample.cols, minlength=k)
+    g = evidence(np.bincount(sample.cols[of], minlength=k), np.bincount(sample.cols[~of], minlength=k),
+                 int(y.sum()), int(n - y.sum()))
+    prior = PRIOR * (2 * np.log(k + 1.0) / (g + 0.1)) ** 3 / n
+    pair_prior = ((PAIR_PRIOR + PAIR_SHARE * df) / n)[:, None]
     rng = np.random.default_rng(seed)
-    bias = float(np.log((y.sum() + 1.0) / (n - y.sum() + 1.0)))
-    p = [np.array([bias]), np.zeros(k), rng.normal(0, 0.01, (k, factors))]
-    m = [np.zeros_like(x) for x in p]
-    s = [np.zeros_like(x) for x in p]
+    b, w, _ = start or (float(np.log((y.sum() + 1.0) / (n - y.sum() + 1.0))), np.zeros(k), None)
+    p = [np.array([b]), w.copy(), rng.normal(0, 0.01, (k, factors))]
+    m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    order, at = rng.permutation(n), 0
     for t in range(1, steps + 1):
+        if at + min(batch, n) > n:
+            order, at = rng.permutation(n), 0
+        part = sample.part(order[at:at + batch])
+        at += len(part.y)
+        c, row, docs = part.cols, part.rows(), len(part.y)
         b, w, v = p
-        logit = b[0] + np.bincount(row, w[cols], n)
-        sums = []
-        for f in range(factors):
-            vf = v[cols, f]
-            sums.append(np.bincount(row, vf, n))
-            logit += 0.5 * (sums[-1] ** 2 - np.bincount(row, vf * vf, n))
-        err = (sigmoid(logit) - y) / n
-        each = err[row]
-        squares = np.bincount(cols, each, k)
-        gv = np.stack([np.bincount(cols, each * sums[f][row], k) - squares * v[:, f]
-                       for f in range(factors)], axis=1)
-        grads = [np.array([err.sum()]), squares + l2 * w, gv + l2 * v]
+        logit = b[0] + np.bincount(row, w[c], docs)
+        if factors:
+            vc = v[c]
+            sums = np.stack([np.bincount(row, vc[:, f], docs) for f in range(factors)], axis=1)
+            logit += 0.5 * ((sums ** 2).sum(1) - np.bincount(row, (vc * vc).sum(1), docs))
+        err = (sigmoid(logit) - part.y) / docs
+        each = np.bincount(c, err[row], k)
+        grads = [np.array([err.sum()]), each + prior * w]
+        if factors:
+            gv = np.stack([np.bincount(c, (err * sums[:, f])[row], k) for f in range(factors)], axis=1)
+            grads.append(gv - each[:, None] * v + pair_prior * v)
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * (t - 1) / steps))
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
@@ -120,112 +212,103 @@ def fit_machine(cols: np.ndarray, row: np.ndarray, y: np.ndarray, k: int, factor
     return float(p[0][0]), p[1], p[2]
 
 
-def chosen_terms(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Terms with the largest G statistic against the label, ties to the smaller hash."""
-    a, b = toxic.astype(float), clean.astype(float)
-    c, d = n1 - a, n0 - b
-    n = float(n1 + n0)
+def chosen_machine(sample: Sample) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights, and factors where a fifth of the sample shows that they help."""
+    def both(part: Sample):
+        return fit_machine(part, FACTORS, fit_machine(part, 0), PAIR_STEPS, PAIR_BATCH)
 
-    def part(x, row, col):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log(x * n / (row * col)), 0.0)
+    def loss(fitted, part: Sample) -> float:
+        b, w, v = fitted
+        z = Machine(np.zeros(0), b, w, v).logits(part.cols, part.rows(), len(part.y))
+        return float(np.logaddexp(0.0, np.where(part.y > 0, -z, z)).mean())
 
-    g = part(a, a + b, n1) + part(b, a + b, n0) + part(c, c + d, n1) + part(d, c + d, n0)
-    ok = np.flatnonzero((a + b >= MIN_DOCUMENTS) & (a + b < n))
-    order = ok[np.lexsort((ok, -g[ok]))]
-    return np.sort(order[:CHOSEN_TERMS])
+    docs = np.random.default_rng(11).permutation(len(sample.y))
+    kept, rest = docs[len(docs) // 5:], docs[:len(docs) // 5]
+    if len(rest) and 0 < sample.y[kept].sum() < len(kept):
+        learn, judge = sample.part(kept), sample.part(rest)
+        alone = fit_machine(learn, 0)
+        pairs = fit_machine(learn, FACTORS, alone, PAIR_STEPS, PAIR_BATCH)
+        if loss(pairs, judge) < 0.98 * loss(alone, judge):
+            return both(sample)
+    b, w, _ = fit_machine(sample, 0)
+    return b, w, np.zeros((sample.terms, FACTORS))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCUMENTS) -> Machine:
-    """Learn from at most ``bound`` labelled documents that are not held out."""
-    spark = docs.sparkSession
+    """Learn from at most ``bound`` labelled documents that are not held out. Of an id's several
+    texts the smallest counts."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    sample = (docs.select("doc_id", F.col("text").cast("string").alias("t"))
-              .join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # at most `bound` ids
+    sample = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+              .join(F.broadcast(known), "doc_id")  # at most `bound` ids
+              .groupBy("doc_id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
               .select("y", "t").repartition(SAMPLE_PARTS))
-    path_rows = _vectors(sample)
 
-    size = 1 << TABLE_BITS
-    toxic, clean, n1, n0 = np.zeros(size, np.int64), np.zeros(size, np.int64), 0, 0
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = np.zeros((2, size), np.int32)
-        n = [0, 0]
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for batch in batches:
-            for y, terms in zip(batch["y"], batch["terms"], strict=True):
-                n[int(y > 0)] += 1
-                c[int(y > 0), np.frombuffer(terms, "<i4")] += 1
-        yield pd.DataFrame({"n0": [n[0]], "n1": [n[1]], "c0": [c[0].tobytes()],
-                            "c1": [c[1].tobytes()]})
-
-    for part in path_rows.mapInPandas(count, "n0 long, n1 long, c0 binary, c1 binary").collect():
-        n0, n1 = n0 + part["n0"], n1 + part["n1"]
-        clean += np.frombuffer(part["c0"], "<i4")
-        toxic += np.frombuffer(part["c1"], "<i4")
-    column = np.full(size, -1, np.int32)
-    if not n0 or not n1:
-        share = 0.0 if not n0 + n1 else (n1 + 0.5) / (n0 + n1 + 1.0)
+            out: list[bytes] = []
+            for _, rows, row, term in terms.of(batch.column(1)):
+                ends = np.cumsum(np.bincount(row, minlength=rows))
+                out += [x.astype("<i4").tobytes() for x in np.split(term, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "terms"])
+        give_back_memory()
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(y > 0), bytes(t)) for b in batches for y, t in zip(b["y"], b["terms"], strict=True))
+        out = learned(rows)
+        yield pd.DataFrame({"bias": [out.bias], "constant": [out.constant], "kept": [
+            np.flatnonzero(out.column >= 0).astype("<i4").tobytes()],
+            "w": [out.w.astype("<f4").tobytes()], "v": [out.v.astype("<f4").tobytes()]})
+        give_back_memory()
+
+    vectored = checkpointed(sample.mapInArrow(vectors, "y int, terms binary"))  # `bound` rows at most
+    got = vectored.repartition(1).mapInPandas(
+        train, "bias double, constant double, kept binary, w binary, v binary").collect()
+    if not got:
+        return learned([])
+    r = got[0]
+    kept = np.frombuffer(r["kept"], "<i4")
+    column = np.full(1 << TABLE_BITS, -1, np.int32)
+    column[kept] = np.arange(len(kept))
+    return Machine(column, r["bias"], np.frombuffer(r["w"], "<f4"),
+                   np.frombuffer(r["v"], "<f4").reshape(len(kept), -1) if len(kept) else np.zeros((0, FACTORS)),
+                   r["constant"])
+
+
+def learned(rows: list[tuple[int, bytes]]) -> Machine:
+    """The model of labelled rows (label, terms as 32-bit integers), sorted."""
+    column = np.full(1 << TABLE_BITS, -1, np.int32)
+    y = np.array([label for label, _ in rows], float)
+    n, toxic = len(rows), int(y.sum())
+    if not toxic or toxic == n:
+        share = 0.0 if not n else (toxic + 0.5) / (n + 1.0)
         return Machine(column, 0.0, np.zeros(0), np.zeros((0, FACTORS)), share)
-    kept = chosen_terms(toxic, clean, n1, n0)
+    flat = np.frombuffer(b"".join(t for _, t in rows), "<i4")
+    sizes = np.array([len(t) // 4 for _, t in rows], np.int64)
+    kept = np.flatnonzero(np.bincount(flat, minlength=1 << TABLE_BITS) >= MIN_DOCUMENTS)
     column[kept] = np.arange(len(kept))
-    table = spark.sparkContext.broadcast(column)
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for terms in batch["terms"]:
-                c = table.value[np.frombuffer(terms, "<i4")]
-                out.append(c[c >= 0].astype("<i4").tobytes())
-            yield pd.DataFrame({"y": batch["y"], "cols": out})
-
-    rows = path_rows.mapInPandas(project, "y int, cols binary").collect()
-    rows.sort(key=lambda r: (r["y"], r["cols"]))  # the order of arrival doesn't matter
-    each = [np.frombuffer(r["cols"], "<i4") for r in rows]
-    y = np.array([float(r["y"] > 0) for r in rows])
-    row = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    bias, w, v = fit_machine(np.concatenate(each), row, y, len(kept))
+    cols = column[flat]
+    held = cols >= 0
+    sizes = np.bincount(np.repeat(np.arange(n), sizes)[held], minlength=n)
+    bias, w, v = chosen_machine(Sample(cols[held].astype(np.int64), sizes, y, len(kept)))
     return Machine(column, bias, w, v)
 
 
-def _vectors(sample: DataFrame) -> DataFrame:
-    """(y, terms) of the sample, in the shared folder as it is read twice."""
-    from revlens.llm.common import checkpointed
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "terms": [
-                text_terms(t if isinstance(t, str) else None).astype("<i4").tobytes()
-                for t in batch["t"]]})
-
-    return checkpointed(sample.mapInPandas(run, "y int, terms binary"))
-
-
 class Scorer:
-    """Scores of texts under one model, with a memo of word runs."""
+    """Scores of texts under one model."""
 
     def __init__(self, model: Machine):
-        self.model = model
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def cols(self, text: str) -> np.ndarray:
-        memo, out = self.memo, set()
-        for chunk in set(text.lower().split()):
-            c = memo.get(chunk)
-            if c is None:
-                terms = self.model.column[word_terms(chunk)] if LETTERS.search(chunk) else ()
-                c = memo[chunk] = tuple(int(x) for x in terms if x >= 0)
-            if c:
-                out.update(c)
-        if len(memo) > MEMO_WORDS:
-            self.memo = {}
-        return np.array(sorted(out), np.int64)
+        self.model, self.terms = model, Terms(model.column)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
-        return sigmoid(self.model.logits([self.cols(t or "") for t in texts]))
+        out = np.zeros(len(texts))
+        for first, rows, row, cols in self.terms.of(texts):
+            out[first:first + rows] = sigmoid(self.model.logits(cols, row, rows))
+        return out
 
 
 def score_documents(docs: DataFrame, model: Machine) -> DataFrame:
@@ -233,15 +316,17 @@ def score_documents(docs: DataFrame, model: Machine) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            s = scorer.scores([t if isinstance(t, str) else None for t in batch["t"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"],
-                                "score": s, "predicted": (s >= THRESHOLD).astype("int32")})
+            s = scorer.scores(batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"])
+        give_back_memory()
 
     read = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("t"))
-    return read.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def clean_documents(docs: DataFrame, model: Machine) -> DataFrame:
@@ -250,8 +335,9 @@ def clean_documents(docs: DataFrame, model: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in sliced(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(scorer.scores(texts) < THRESHOLD))
+        give_back_memory()
 
     return docs.mapInArrow(run, docs.schema)

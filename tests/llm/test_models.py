@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,54 @@ def test_pairwise_interactions_are_learned(spark):
     assert ((got.score >= 0.3) == (got.toxic == 1)).all()
 
 
+def test_many_toxic_words_and_a_pair_without_single_association(spark):
+    """300 toxic words, each in few documents; and two words that count only together."""
+    import random
+
+    rng = random.Random(5)
+    neutral = ["".join(rng.choice("bcdfghjklmnp") + rng.choice("aeiou") for _ in range(4)) for _ in range(2_000)]
+    toxic = ["zz" + "".join(rng.choice("qrstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(12_000):
+        text = rng.choices(neutral, k=25)
+        y = int(rng.random() < 0.25)
+        if y:
+            text.insert(rng.randrange(25), rng.choice(toxic))
+        rows.append(doc(i, " ".join(text)))
+        labels.append((i, 1, y))
+    docs, known = spark.createDataFrame(rows, DOC_SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = toxicity.score_documents(docs, toxicity.fit(docs, known)).join(known, "doc_id").where("held_out").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (got[got.toxic == 0].predicted == 0).mean() >= 0.95
+
+    rows, labels = [], []  # both words or none: toxic; one of them: clean
+    for i in range(2_400):
+        a, b = i % 2, (i // 2) % 2
+        rows.append(doc(i, words(i % 5, 15, i) + (" snark" if a else "") + (" gizmo" if b else "")))
+        labels.append((i, 1, int(a == b)))
+    docs, known = spark.createDataFrame(rows, DOC_SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = toxicity.score_documents(docs, toxicity.fit(docs, known)).join(known, "doc_id").where("held_out").toPandas()
+    assert (got[got.toxic == 1].score.mean() - got[got.toxic == 0].score.mean()) > 0.8
+
+
+def test_terms_of_long_texts_in_parts(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    texts = [None, "", "It's Über-BAD <|x|>"] + [
+        " ".join(rng.choice(["Idiot!", "nice", "été", "a1b2", "x-y", "Δοκιμή"]) for _ in range(rng.randint(1, 80)))
+        for _ in range(40)]
+    want = [sorted({x for run in (t or "").lower().split() for x in toxicity.word_terms(run)}) for t in texts]
+    steps = toxicity.pieces
+    for step in (4_000_000, 50):
+        monkeypatch.setattr(toxicity, "pieces", lambda c, t, step=step: steps(c, t, step=step))
+        got = [[] for _ in texts]
+        for first, _, row, term in toxicity.Terms().of(pa.array(texts)):
+            for r, x in zip(row.tolist(), term.tolist(), strict=True):
+                got[first + r].append(x)
+        assert got == want
+
+
 def test_toxicity_reruns_agree(spark):
     docs, labels = pairs(spark)
     a, b = (toxicity.score_documents(docs.repartition(k), toxicity.fit(docs.repartition(k), labels))
