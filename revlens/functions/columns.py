@@ -21,21 +21,20 @@ def col_(c) -> Column:
 
 
 def nan_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+    """NaN -> null. The argument is named once: a filter that is pushed below a projection puts
+    the whole expression in place of every mention, and chains of such functions would multiply."""
+    return F.nanvl(col_(c), F.lit(None).cast("double"))
 
 
 def clip(c, lo: float | None = None, hi: float | None = None) -> Column:
     """Null-preserving clip."""
     c = col_(c)
     out = c
-    if lo is not None and hi is not None:
-        return F.when(c < lo, F.lit(lo)).when(c > hi, F.lit(hi)).otherwise(c)
     if lo is not None:
-        out = F.when(c < lo, F.lit(lo)).otherwise(c)
+        out = F.greatest(out, F.lit(lo))
     if hi is not None:
-        out = F.when(c > hi, F.lit(hi)).otherwise(c)
-    return out
+        out = F.least(out, F.lit(hi))
+    return F.when(c.isNotNull(), out)
 
 
 def clip01(c) -> Column:
