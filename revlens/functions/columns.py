@@ -208,7 +208,7 @@ def severity_band(norm_score) -> Column:
 
 def impact_pct(revenue) -> Column:
     """``min(100, int(rar / 100000 * 100))`` (truncation toward zero)."""
-    v = (stable_round6(revenue) / K.IMPACT_PCT_REVENUE_SCALE * 100.0).cast("long")
+    v = (col_(revenue) / K.IMPACT_PCT_REVENUE_SCALE * 100.0).cast("long")
     return F.least(F.lit(100).cast("long"), v)
 
 
@@ -228,23 +228,27 @@ def round_even(c, d: int) -> Column:
     return F.bround(col_(c), d)
 
 
-def stable_round6(c) -> Column:
-    """Round identically across engines: 6 places below 1e5, then 4, 2 and 0
-    places for larger magnitudes (about 10-11 significant digits).
+MONEY = "decimal(38,6)"
 
-    Money averages often sit exactly on a decimal tie, and float summation order
-    can tip such a value either way. Step 1 snaps two places finer than the
-    output (absorbs summation noise; yields the same double in any engine), step
-    2 rounds half up with plain IEEE arithmetic.
-    """
-    c = col_(c)
-    a = F.abs(c)
-    return (F.when(a < 1e5, F.floor(F.round(c, 9) * 1e6 + 0.5) / 1e6)
-            .when(a < 1e7, F.floor(F.round(c, 5) * 1e4 + 0.5) / 1e4)
-            .when(a < 1e9, F.floor(F.round(c, 3) * 1e2 + 0.5) / 1e2)
-            .otherwise(F.floor(F.round(c, 1) + 0.5).cast("double")))
+
+def money_sum(c) -> Column:
+    """Exact sum of amounts (six decimals), as a double: no order of summation can change it, so
+    what is cut or rounded afterwards is the same on every run. Values that are no numbers
+    count as missing."""
+    return F.sum(col_(c).try_cast(MONEY)).cast("double")
+
+
+def money_avg(c) -> Column:
+    """Exact sum over the count of values."""
+    amount = col_(c).try_cast(MONEY)
+    return F.try_divide(F.sum(amount).cast("double"), F.count(amount).cast("double"))
+
+
+def round6(c) -> Column:
+    """Six places in two steps, half to even: the first drops what a sum's order leaves."""
+    return F.rint(F.rint(col_(c) * 1e9) / 1e3) / 1e6
 
 
 def trunc_money(c) -> Column:
-    """``int(x)`` of a float sum, after the 6-place stabilisation."""
-    return stable_round6(c).cast("long")
+    """``int(x)`` of an exact amount."""
+    return col_(c).cast("long")

@@ -148,9 +148,9 @@ def review_count_window(reviews: DataFrame, value: str = "impact_score") -> Data
 def revenue_at_risk(reviews: DataFrame) -> DataFrame:
     risky = F.col("rating") <= K.RISKY_MAX_RATING
     return reviews.agg(
-        F.coalesce(F.sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0)).alias("total_rev_risk"),
+        F.coalesce(C.money_sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0)).alias("total_rev_risk"),
         F.count_if(risky).alias("num_risky_reviews"),
-        F.coalesce(F.avg(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
+        F.coalesce(C.money_avg(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("avg_ltv_per_risk"))
 
 
@@ -159,10 +159,10 @@ def summary_stats(reviews: DataFrame, products: DataFrame | None = None) -> Data
     n = F.count(F.lit(1))
     r = reviews.agg(
         n.alias("total_reviews"),
-        F.coalesce(F.sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
+        F.coalesce(C.money_sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("total_revenue_at_risk"),
         F.count_if(risky).alias("risky_reviews"),
-        F.coalesce(F.avg(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
+        F.coalesce(C.money_avg(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("avg_ltv_per_risky_review"),
         F.avg("rating").alias("avg_rating"),
         (C.safe_ratio(F.sum("repeat"), n) * 100.0).alias("repeat_customer_pct"),
@@ -190,7 +190,7 @@ def kpis(reviews: DataFrame, products: DataFrame) -> DataFrame:
                     F.coalesce(F.sum("is_negative"), F.lit(0)).alias("__neg"))
     has_cat = "risk_category" in products.columns
     p = products.agg(
-        F.coalesce(F.sum("total_revenue_at_risk"), F.lit(0.0)).alias("total_revenue_at_risk"),
+        F.coalesce(C.money_sum("total_revenue_at_risk"), F.lit(0.0)).alias("total_revenue_at_risk"),
         (F.count_if(F.col("risk_category") == "High") if has_cat else F.lit(0).cast("bigint"))
         .alias("high_risk_count"),
         F.coalesce(_first_by_max("product", "final_score"), F.lit("N/A")).alias("top_product"))
@@ -238,7 +238,7 @@ def ml_insight_kpis(products: DataFrame, threshold: float = K.HIDDEN_RISK_MIN) -
     return products.agg(
         F.count_if(high & (F.col("quadrant") != K.FIRE_FIGHT)).alias("hidden_risks"),
         F.avg("risk_probability").alias("portfolio_risk"),
-        F.coalesce(F.sum(F.when(high, F.col("total_revenue_at_risk"))), F.lit(0.0))
+        F.coalesce(C.money_sum(F.when(high, F.col("total_revenue_at_risk"))), F.lit(0.0))
         .alias("high_risk_revenue"))
 
 
@@ -416,7 +416,7 @@ def format_ranking(products: DataFrame) -> DataFrame:
             cols.append(F.concat(C.round_even(F.col(c) * 100.0, 1).cast("string"), F.lit("%"))
                         .alias(c))
         elif c == "total_revenue_at_risk":
-            cols.append(F.concat(F.lit("₹"), F.bround(C.stable_round6(c), 0).cast("long").cast("string"))
+            cols.append(F.concat(F.lit("₹"), F.bround(F.col(c), 0).cast("long").cast("string"))
                         .alias(c))
         else:
             cols.append(F.col(c))

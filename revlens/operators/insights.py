@@ -102,7 +102,7 @@ def enrich_products(products: DataFrame, n: int = K.INSIGHT_TOP_N,
         top = merge_insights(top, replies)
     top = top.select("product", *INSIGHT_COLUMNS)
     base = products.drop(*[c for c in INSIGHT_COLUMNS if c in products.columns])
-    j = base.join(F.broadcast(top), "product", "left")
+    j = base.join(top, "product", "left")  # n is the caller's: Spark sends it only if it is small
     return j.na.fill({c: "" for c in INSIGHT_COLUMNS})
 
 

@@ -51,12 +51,12 @@ def product_metrics(scored: DataFrame, risky_max: float = K.RISKY_MAX_RATING,
         F.sum("impact_score").alias("total_impact"),
         F.avg("rating").alias("avg_rating"),
         F.avg("repeat").alias("repeat_rate"),
-        F.avg("customer_ltv").alias("avg_customer_ltv"),
-        F.sum("customer_ltv").alias("total_ltv"),
-        F.avg("order_value").alias("avg_order_value"),
+        C.money_avg("customer_ltv").alias("avg_customer_ltv"),
+        C.money_sum("customer_ltv").alias("total_ltv"),
+        C.money_avg("order_value").alias("avg_order_value"),
         F.count(F.lit(1)).alias("total_reviews"),
         F.count_if(risky).alias("negative_count"),
-        F.coalesce(F.sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
+        F.coalesce(C.money_sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("total_revenue_at_risk"),
     )
     out = agg.withColumns({
@@ -212,11 +212,11 @@ def classic_product_metrics(reviews: DataFrame, materialize: bool = True) -> Dat
         F.sum("impact_score").alias("total_impact"),
         F.avg("severity").alias("avg_severity"),
         F.avg("is_negative").alias("negative_ratio"),
-        F.avg("customer_ltv").alias("avg_customer_ltv"),
-        F.avg("order_value").alias("avg_order_value"),
+        C.money_avg("customer_ltv").alias("avg_customer_ltv"),
+        C.money_avg("order_value").alias("avg_order_value"),
         F.avg("repeat").alias("repeat_rate"),
         F.avg("rating").alias("avg_rating"),
-        F.sum(F.col("customer_ltv") * F.col("is_negative")).alias("total_revenue_at_risk"),
+        C.money_sum(F.col("customer_ltv") * F.col("is_negative")).alias("total_revenue_at_risk"),
     ]
     if has_date:
         df = df.withColumn("__d", _ts(df))

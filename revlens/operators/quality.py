@@ -331,7 +331,7 @@ def ingest_summary(df: DataFrame, failed_pages: DataFrame | None = None) -> Data
         F.count(F.lit(1)).alias("total_reviews"),
         F.count_distinct("product").alias("unique_products"),
         F.min("customer_ltv").alias("ltv_min"), F.max("customer_ltv").alias("ltv_max"),
-        F.sum("customer_ltv").alias("ltv_sum"))
+        C.money_sum("customer_ltv").alias("ltv_sum"))
     if failed_pages is None:
         return one.withColumn("failed_pages", F.lit(0))
     return one.crossJoin(F.broadcast(failed_pages.agg(F.count(F.lit(1)).cast("int").alias("failed_pages"))))
@@ -341,4 +341,4 @@ def quality_overview(df: DataFrame) -> DataFrame:
     """Review count, distinct products, total LTV."""
     return df.agg(F.count(F.lit(1)).alias("total_reviews"),
                   F.count_distinct("product").alias("unique_products"),
-                  F.coalesce(F.sum("customer_ltv"), F.lit(0.0)).alias("total_ltv"))
+                  F.coalesce(C.money_sum("customer_ltv"), F.lit(0.0)).alias("total_ltv"))

@@ -67,15 +67,21 @@ def flag(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    """Same two-step rounding as ``columns.stable_round6``."""
-    return (f"(case when abs({x}) < 1e5 then floor(round({x}, 9) * 1e6 + 0.5) / 1e6 "
-            f"when abs({x}) < 1e7 then floor(round({x}, 5) * 1e4 + 0.5) / 1e4 "
-            f"when abs({x}) < 1e9 then floor(round({x}, 3) * 1e2 + 0.5) / 1e2 "
-            f"else cast(floor(round({x}, 1) + 0.5) as double) end)")
+    """Same two-step rounding as ``columns.round6``."""
+    return f"(round_even(round_even(({x}) * 1e9::double, 0) / 1e3::double, 0) / 1e6::double)"
+
+
+def msum(x: str) -> str:
+    """Exact sum of amounts, as ``columns.money_sum``."""
+    return f"cast(sum(cast({x} as decimal(38, 6))) as double)"
+
+
+def mavg(x: str) -> str:
+    return f"({msum(x)} / nullif(cast(count({x}) as double), 0))"
 
 
 def trunc_money(x: str) -> str:
-    return f"cast(trunc({r6(x)}) as bigint)"
+    return f"cast(trunc({x}) as bigint)"
 
 
 def minmax0(x: str, mn: str, mx: str) -> str:
@@ -205,10 +211,10 @@ SCORED_DOUBLES = set(SCORED_NUM + ["sentiment_score"]) - {"repeat", "verified",
 def product_chain(name: str, scored: str) -> None:
     cte(f"{name}_m", [scored], f"""select product,
  sum(impact_score) as total_impact, avg(rating) as avg_rating, avg(repeat) as repeat_rate,
- avg(customer_ltv) as avg_customer_ltv, sum(customer_ltv) as total_ltv,
- avg(order_value) as avg_order_value, count(*) as total_reviews,
+ {mavg('customer_ltv')} as avg_customer_ltv, {msum('customer_ltv')} as total_ltv,
+ {mavg('order_value')} as avg_order_value, count(*) as total_reviews,
  cast(count_if(rating <= 2.5) as bigint) as negative_count,
- coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0) as total_revenue_at_risk
+ coalesce({msum('case when rating <= 2.5 then customer_ltv end')}, 0.0) as total_revenue_at_risk
 from (select * exclude (product, customer_ltv),
         {strip("coalesce(cast(product as varchar), 'Unknown')")} as product,
         coalesce({to_double('customer_ltv')}, 0.0) as customer_ltv from {scored})
@@ -399,9 +405,9 @@ from {p}_prep1 p cross join {p}_st""")
  coalesce({clip01(_sev)}, 0.0) severity, coalesce({clip01(_cis + ' * ' + _sev)}, 0.0) impact_score
  from {p}_feat""")
     cte(f"{p}_pm0", [f"{p}_scored"], f"""select product, count(*) total_reviews, sum(impact_score) total_impact,
- avg(severity) avg_severity, avg(is_negative) negative_ratio, avg(customer_ltv) avg_customer_ltv,
- avg(order_value) avg_order_value, avg(repeat) repeat_rate, avg(rating) avg_rating,
- sum(customer_ltv * is_negative) total_revenue_at_risk,
+ avg(severity) avg_severity, avg(is_negative) negative_ratio, {mavg('customer_ltv')} avg_customer_ltv,
+ {mavg('order_value')} avg_order_value, avg(repeat) repeat_rate, avg(rating) avg_rating,
+ {msum('customer_ltv * is_negative')} total_revenue_at_risk,
  count_if(review_date >= mx - interval 14 days) recent, max(mx) mx
 from {p}_scored cross join (select max(review_date) mx from {p}_scored where product is not null) m
 where product is not null group by product""")
@@ -451,7 +457,7 @@ def band_sql(x: str, lo: float, hi: float) -> str:
 register("risk_band", ["products"], f"""select product, round("PPS", 6) "PPS",
  {band_sql('"PPS"', 0.4, 0.7)} band_chart, {band_sql('"PPS"', 0.55, 0.75)} band_client from products""")
 register("impact_pct", ["products"], """select product, round(total_revenue_at_risk, 6) total_revenue_at_risk,
- least(100, cast(trunc(round(total_revenue_at_risk, 6) / 100000.0 * 100.0) as bigint)) impact from products""")
+ least(100, cast(trunc(total_revenue_at_risk / 100000.0::double * 100.0::double) as bigint)) impact from products""")
 _split = ", ".join(f"cast(trunc(cast(total_reviews as double) * {s}) as bigint) {k}" for k, s in K.ISSUE_SPLIT)
 register("issue_split", ["products"], f"select product, total_reviews, {_split} from products")
 
@@ -461,10 +467,10 @@ cte("rec0", ["products_quad", "rec_mm"], f"""select p.*,
  from products_quad p cross join rec_mm""")
 _rsplit = ", ".join(f"cast(trunc(cast(total_reviews as double) * {s}) as bigint) issue_{k}" for k, s in K.ISSUE_SPLIT)
 cte("records", ["rec0"], f"""select cast(product as varchar) as name, '2024-06-30' as date,
- round_even(nrm, 2) "finalScore", cast(trunc(round(total_revenue_at_risk, 6)) as bigint) "revenueAtRisk",
+ round_even(nrm, 2) "finalScore", cast(trunc(total_revenue_at_risk) as bigint) "revenueAtRisk",
  round_even(nrm, 2) "riskProbability", round_even(negative_ratio * 100.0, 1) "negativePct", quadrant,
  cast(total_reviews as bigint) frequency,
- least(100, cast(trunc(round(total_revenue_at_risk, 6) / 100000.0 * 100.0) as bigint)) impact,
+ least(100, cast(trunc(total_revenue_at_risk / 100000.0::double * 100.0::double) as bigint)) impact,
  round_even(avg_rating, 1) rating, 'Stable' trend, {band_sql('nrm', 0.4, 0.7)} severity,
  cast(total_reviews as bigint) "totalReviews", {_rsplit}, final_score score from rec0""")
 REC_COLS = ["name", "date", "finalScore", "revenueAtRisk", "riskProbability", "negativePct", "quadrant",
@@ -482,7 +488,7 @@ register("nested_get", [], """select event_id, coalesce(json_extract_string(prop
 register("format_ranking", ["products_quad"], """select product, total_reviews,
  round_even(avg_rating, 2) avg_rating, concat(cast(round_even(negative_ratio * 100.0, 1) as varchar), '%') negative_ratio,
  round_even(final_score, 3) final_score,
- concat('₹', cast(cast(round_even(round(total_revenue_at_risk, 6), 0) as bigint) as varchar)) total_revenue_at_risk,
+ concat('₹', cast(cast(round_even(total_revenue_at_risk, 0) as bigint) as varchar)) total_revenue_at_risk,
  quadrant from products_quad""")
 
 
@@ -614,8 +620,8 @@ CLP_COLS = ["rating", "customer_ltv", "order_value", "helpful_votes", "days_sinc
             "order_value_log", "ltv_norm", "order_norm", "helpful_norm", "repeat", "verified", "product",
             "review_text", "sentiment", "is_repeat_customer", "verified_purchase", "review_date"]
 register("classic_preprocess", ["cl_prep"], select_round("cl_prep", CLP_COLS, set(CLP_COLS[:10])))
-register("ingest_summary", ["norm", "base"], """select count(*) total_reviews, count(distinct product) unique_products,
- round(min(customer_ltv), 6) ltv_min, round(max(customer_ltv), 6) ltv_max, round(sum(customer_ltv), 6) ltv_sum,
+register("ingest_summary", ["norm", "base"], f"""select count(*) total_reviews, count(distinct product) unique_products,
+ round(min(customer_ltv), 6) ltv_min, round(max(customer_ltv), 6) ltv_max, round({msum('customer_ltv')}, 6) ltv_sum,
  (select cast(max(ok) + 1 - count(distinct ok) as integer) from base) failed_pages from norm""")
 
 # ---- the gate: constraints on raw reviews -----------------------------------------------------
@@ -639,8 +645,8 @@ register("quarantined_reviews", ["gated"], f"select {_gated_cols}, violated from
 register("gate_report", ["raw"], " union all ".join(
     f"""select '{n}' "constraint", '{c}' "column", '{s}' severity,
  cast(count_if(not coalesce({h}, false)) as bigint) violations, count(*) "rows" from raw""" for n, c, s, h in _gate))
-register("quality_overview", ["scored"], """select count(*) total_reviews, count(distinct product) unique_products,
- round(coalesce(sum(customer_ltv), 0.0), 6) total_ltv from scored""")
+register("quality_overview", ["scored"], f"""select count(*) total_reviews, count(distinct product) unique_products,
+ round(coalesce({msum('customer_ltv')}, 0.0), 6) total_ltv from scored""")
 
 # ---- §2.4 filters -----------------------------------------------------------------------
 _pick = "('red plate Brand#8', 'hot rod Brand#16', 'blue widget Brand#15')"
@@ -681,21 +687,21 @@ register("top3_flag", ["products_quad"], """select product, round(total_revenue_
 
 # ---- §2.6 aggregations ------------------------------------------------------------------
 register("revenue_at_risk", ["scored"], f"""select
- round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_rev_risk,
+ round(coalesce({msum('case when rating <= 2.5 then customer_ltv end')}, 0.0), 6) total_rev_risk,
  {cnt_if('rating <= 2.5')} num_risky_reviews,
- round(coalesce(avg(case when rating <= 2.5 then customer_ltv end), 0.0), 6) avg_ltv_per_risk from scored""")
+ round(coalesce({mavg('case when rating <= 2.5 then customer_ltv end')}, 0.0), 6) avg_ltv_per_risk from scored""")
 register("summary_stats", ["scored", "products_quad"], f"""select * from (select count(*) total_reviews,
- round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_revenue_at_risk,
+ round(coalesce({msum('case when rating <= 2.5 then customer_ltv end')}, 0.0), 6) total_revenue_at_risk,
  {cnt_if('rating <= 2.5')} risky_reviews,
- round(coalesce(avg(case when rating <= 2.5 then customer_ltv end), 0.0), 6) avg_ltv_per_risky_review,
+ round(coalesce({mavg('case when rating <= 2.5 then customer_ltv end')}, 0.0), 6) avg_ltv_per_risky_review,
  round(avg(rating), 6) avg_rating,
  round(coalesce(cast(sum("repeat") as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) repeat_customer_pct,
  round(coalesce(cast(sum(verified) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) verified_purchase_pct
  from scored) a cross join (select count(*) total_products, round(avg(final_score), 6) avg_final_score,
  round(max(final_score), 6) max_final_score, {cnt_if("quadrant = 'The Fire-Fight'")} critical_products,
  {cnt_if("quadrant = 'The VIP Nudge'")} vip_products from products_quad) b""")
-register("kpis", ["scored", "products_quad"], """select
- round((select coalesce(sum(total_revenue_at_risk), 0.0) from products_quad), 6) total_revenue_at_risk,
+register("kpis", ["scored", "products_quad"], f"""select
+ round((select coalesce({msum('total_revenue_at_risk')}, 0.0) from products_quad), 6) total_revenue_at_risk,
  count(*) total_reviews,
  round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
  coalesce((select product from products_quad order by final_score desc, product limit 1), 'N/A') top_product,
@@ -954,7 +960,7 @@ register("join_predictions_given", ["pred"], select_round(
 
 def kpis_enhanced_sql(reviews: str, products: str) -> str:
     return f"""select
- round((select coalesce(sum(total_revenue_at_risk), 0.0) from {products}), 6) total_revenue_at_risk, count(*) total_reviews,
+ round((select coalesce({msum('total_revenue_at_risk')}, 0.0) from {products}), 6) total_revenue_at_risk, count(*) total_reviews,
  round(coalesce(cast(sum(is_negative) as double) / nullif(cast(count(*) as double), 0), 0.0) * 100.0, 6) negative_pct,
  coalesce((select product from {products} order by final_score desc, product limit 1), 'N/A') top_product,
  (select {cnt_if("risk_category = 'High'")} from {products}) high_risk_count,
@@ -972,7 +978,7 @@ def prediction_consumers(src: str, suffix: str, hidden: float) -> None:
     register(f"ml_insight_kpis{suffix}", [src], f"""select
  {cnt_if("risk_probability > 0.7 and quadrant <> 'The Fire-Fight'")} hidden_risks,
  round(avg(risk_probability), 6) portfolio_risk,
- round(coalesce(sum(case when risk_probability > 0.7 then total_revenue_at_risk end), 0.0), 6) high_risk_revenue from {src}""")
+ round(coalesce({msum('case when risk_probability > 0.7 then total_revenue_at_risk end')}, 0.0), 6) high_risk_revenue from {src}""")
     register(f"hidden_risks{suffix}", [src], f"""select product, quadrant, round(risk_probability, 6) risk_probability
  from {src} where risk_probability > {hidden} and quadrant <> 'The Fire-Fight'""")
     register(f"filter_risk{suffix}", [src], f"""select product, round(risk_probability, 6) risk_probability
@@ -1025,9 +1031,9 @@ register("page_gap_report", ["base"], """select cast(range as integer) page
 
 
 # ---- streaming ---------------------------------------------------------------------------------
-register("stream_revenue_at_risk", ["reviews"], """select product, count(*) total_reviews,
+register("stream_revenue_at_risk", ["reviews"], f"""select product, count(*) total_reviews,
  cast(count_if(rating <= 2.5) as bigint) negative_count,
- round(coalesce(sum(case when rating <= 2.5 then customer_ltv end), 0.0), 6) total_revenue_at_risk
+ round(coalesce({msum('case when rating <= 2.5 then customer_ltv end')}, 0.0), 6) total_revenue_at_risk
  from reviews group by product""")
 from revlens.sources.tables import PRODUCT_SQL, RATING_SQL  # noqa: E402
 

@@ -94,6 +94,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
                          for c, f in fields])
 
 
+def drop_other_folders(spark: SparkSession, path: str, keep: str) -> None:
+    """Delete the folders below ``path`` but one, through the path's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.listStatus(at):
+        if found.isDirectory() and found.getPath().getName() != keep:
+            fs.delete(found.getPath(), True)
+
+
 def local_test_session(cores: int | None = None) -> SparkSession:
     """Session for tests / bench: local mode, few shuffle partitions."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))

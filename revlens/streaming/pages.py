@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as C
 from revlens.functions import constants as K
+from revlens.session import drop_other_folders
 
 REVIEW_FIELDS = T.StructType([
     T.StructField("product", T.StringType()),
@@ -63,22 +64,39 @@ def running_revenue_at_risk(reviews: DataFrame, risky_max: float = K.RISKY_MAX_R
     return reviews.groupBy("product").agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.count_if(risky).alias("negative_count"),
-        F.coalesce(F.sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
+        F.coalesce(C.money_sum(F.when(risky, F.col("customer_ltv"))), F.lit(0.0))
         .alias("total_revenue_at_risk"))
 
 
+EPOCH = "epoch"
+
+
 def run_available(query_df: DataFrame, sink_path: str, checkpoint: str,
                   output_mode: str = "complete") -> None:
-    """Process everything landed so far (``availableNow``) into a parquet table.
-    Complete-mode aggregates are rewritten per micro-batch via ``foreachBatch``."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(sink_path)
+    """Process everything landed so far (``availableNow``) into a parquet table with a folder for
+    each micro-batch. A batch that is run again after a failure writes its own folder again, so
+    it is there once. In complete mode the folders of earlier batches go after the new one is
+    written, so a reader never finds the table empty; ``read_sink`` reads the table."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_path}/{EPOCH}={epoch}")
+        if output_mode == "complete":
+            drop_other_folders(batch.sparkSession, sink_path, f"{EPOCH}={epoch}")
 
     q = (query_df.writeStream.outputMode(output_mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_sink(spark: SparkSession, sink_path: str, output_mode: str = "complete") -> DataFrame:
+    """The table that ``run_available`` keeps: the last finished batch's rows in complete mode,
+    the rows of all batches in append mode."""
+    table = spark.read.parquet(sink_path)
+    if output_mode == "complete":
+        last = table.agg(F.max(EPOCH)).first()[0]
+        table = table.where(F.col(EPOCH) == last)
+    return table.drop(EPOCH)
+
+
 def land_pages(spark: SparkSession, pages_path: str, table_path: str, checkpoint: str) -> None:
     """Append every newly landed page's reviews to ``table_path`` (exactly once)."""
     q = (page_stream(spark, pages_path).writeStream.format("parquet")
