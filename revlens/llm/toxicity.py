@@ -51,6 +51,7 @@ FACTORS = 4
 THRESHOLD = 0.3
 MEMO_WORDS = 200_000
 SAMPLE_PARTS = 8
+STEP = 1_500_000           # bytes of text at a time
 STEPS, BATCH, RATE = 300, 512, 0.05  # of weights alone
 PAIR_STEPS, PAIR_BATCH = 240, 256    # of weights and factors, after that
 PRIOR = 3.0                          # of a weight whose evidence is what chance gives the best of all terms
@@ -104,7 +105,7 @@ class Terms:
     def of(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, row from the first on, term) of whole texts, distinct pairs by row."""
         held: list[np.ndarray] = []
-        for p in pieces(column, SPACES):
+        for p in pieces(column, SPACES, step=STEP):
             text, term = self._of_piece(p.texts)
             if p.more or held:  # a part of one long text
                 held.append(term)
@@ -128,7 +129,7 @@ class Machine:
     def logits(self, cols: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Of n rows; cols and row name the terms they hold."""
         out = self.bias + np.bincount(row, self.w[cols], n)
-        for f in range(self.v.shape[1]):
+        for f in range(self.v.shape[1] if self.v.any() else 0):
             vf = self.v[cols, f].astype(float)
             out += 0.5 * (np.bincount(row, vf, n) ** 2 - np.bincount(row, vf * vf, n))
         return out
@@ -169,16 +170,22 @@ class Sample:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.y)), self.sizes)
 
-
-def fit_machine(sample: Sample, factors: int, start: tuple | None = None, steps: int = STEPS,
-                batch: int = BATCH, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the penalised logistic loss, in batches of documents dealt by a fixed seed; the rate
-    falls to zero. Same input, same result."""
-    n, k, y = len(sample.y), sample.terms, sample.y
-    of = np.repeat(y > 0, sample.sizes)
-    df = np.bincount(sample.cols, minlength=k)
-    g = evidence(np.bincount(sample.cols[of], minlength=k), np.bincount(sample.cols[~of], minlength=k),
-                 int(y.sum()), int(n - y.sum()))
+    def parts(self, docs: np.ndarray) -> Iterator[Sample]:
+        """Some documents, a batch at a time: the sample isn't copied."""
+        for at in range(0, len(docs), BATCH):
+            yield self.part(docs[at:at + BATCH])
+
+
+def fit_machine(sample: Sample, docs: np.ndarray, factors: int, start: tuple | None = None,
+                steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the penalised logistic loss of some documents, in batches dealt by a fixed seed; the
+    rate falls to zero. Same input, same result."""
+    n, k, y = len(docs), sample.terms, sample.y[docs]
+    toxic, df = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    for part in sample.parts(docs):
+        df += np.bincount(part.cols, minlength=k)
+        toxic += np.bincount(part.cols[np.repeat(part.y > 0, part.sizes)], minlength=k)
+    g = evidence(toxic, df - toxic, int(y.sum()), int(n - y.sum()))
     prior = PRIOR * (2 * np.log(k + 1.0) / (g + 0.1)) ** 3 / n
     pair_prior = ((PAIR_PRIOR + PAIR_SHARE * df) / n)[:, None]
     rng = np.random.default_rng(seed)
@@ -189,16 +196,17 @@ def fit_machine(sample: Sample, factors: int, start: tuple | None = None, steps:
     for t in range(1, steps + 1):
         if at + min(batch, n) > n:
             order, at = rng.permutation(n), 0
-        part = sample.part(order[at:at + batch])
-        at += len(part.y)
-        c, row, docs = part.cols, part.rows(), len(part.y)
+        part = sample.part(docs[order[at:at + batch]])
+        m_docs = len(part.y)
+        at += m_docs
+        c, row = part.cols, part.rows()
         b, w, v = p
-        logit = b[0] + np.bincount(row, w[c], docs)
+        logit = b[0] + np.bincount(row, w[c], m_docs)
         if factors:
             vc = v[c]
-            sums = np.stack([np.bincount(row, vc[:, f], docs) for f in range(factors)], axis=1)
-            logit += 0.5 * ((sums ** 2).sum(1) - np.bincount(row, (vc * vc).sum(1), docs))
-        err = (sigmoid(logit) - part.y) / docs
+            sums = np.stack([np.bincount(row, vc[:, f], m_docs) for f in range(factors)], axis=1)
+            logit += 0.5 * ((sums ** 2).sum(1) - np.bincount(row, (vc * vc).sum(1), m_docs))
+        err = (sigmoid(logit) - part.y) / m_docs
         each = np.bincount(c, err[row], k)
         grads = [np.array([err.sum()]), each + prior * w]
         if factors:
@@ -214,24 +222,25 @@ def fit_machine(sample: Sample, factors: int, start: tuple | None = None, steps:
 
 def chosen_machine(sample: Sample) -> tuple[float, np.ndarray, np.ndarray]:
     """Weights, and factors where a fifth of the sample shows that they help."""
-    def both(part: Sample):
-        return fit_machine(part, FACTORS, fit_machine(part, 0), PAIR_STEPS, PAIR_BATCH)
-
-    def loss(fitted, part: Sample) -> float:
-        b, w, v = fitted
-        z = Machine(np.zeros(0), b, w, v).logits(part.cols, part.rows(), len(part.y))
-        return float(np.logaddexp(0.0, np.where(part.y > 0, -z, z)).mean())
-
-    docs = np.random.default_rng(11).permutation(len(sample.y))
+    def pairs(docs: np.ndarray, alone: tuple):
+        return fit_machine(sample, docs, FACTORS, alone, PAIR_STEPS, PAIR_BATCH)
+
+    def loss(fitted: tuple, docs: np.ndarray) -> float:
+        machine, total = Machine(np.zeros(0), *fitted), 0.0
+        for part in sample.parts(docs):
+            z = machine.logits(part.cols, part.rows(), len(part.y))
+            total += float(np.logaddexp(0.0, np.where(part.y > 0, -z, z)).sum())
+        return total
+
+    every = np.arange(len(sample.y))
+    docs = np.random.default_rng(11).permutation(len(every))
     kept, rest = docs[len(docs) // 5:], docs[:len(docs) // 5]
+    help_ = False
     if len(rest) and 0 < sample.y[kept].sum() < len(kept):
-        learn, judge = sample.part(kept), sample.part(rest)
-        alone = fit_machine(learn, 0)
-        pairs = fit_machine(learn, FACTORS, alone, PAIR_STEPS, PAIR_BATCH)
-        if loss(pairs, judge) < 0.98 * loss(alone, judge):
-            return both(sample)
-    b, w, _ = fit_machine(sample, 0)
-    return b, w, np.zeros((sample.terms, FACTORS))
+        alone = fit_machine(sample, kept, 0)
+        help_ = loss(pairs(kept, alone), rest) < 0.98 * loss(alone, rest)
+    alone = fit_machine(sample, every, 0)
+    return pairs(every, alone) if help_ else (*alone[:2], np.zeros((sample.terms, FACTORS)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCUMENTS) -> Machine:
@@ -285,14 +294,16 @@ def learned(rows: list[tuple[int, bytes]]) -> Machine:
     if not toxic or toxic == n:
         share = 0.0 if not n else (toxic + 0.5) / (n + 1.0)
         return Machine(column, 0.0, np.zeros(0), np.zeros((0, FACTORS)), share)
-    flat = np.frombuffer(b"".join(t for _, t in rows), "<i4")
     sizes = np.array([len(t) // 4 for _, t in rows], np.int64)
+    flat = np.frombuffer(b"".join(t for _, t in rows), "<i4")
+    rows.clear()
     kept = np.flatnonzero(np.bincount(flat, minlength=1 << TABLE_BITS) >= MIN_DOCUMENTS)
     column[kept] = np.arange(len(kept))
     cols = column[flat]
     held = cols >= 0
     sizes = np.bincount(np.repeat(np.arange(n), sizes)[held], minlength=n)
-    bias, w, v = chosen_machine(Sample(cols[held].astype(np.int64), sizes, y, len(kept)))
+    del flat
+    bias, w, v = chosen_machine(Sample(cols[held], sizes, y, len(kept)))
     return Machine(column, bias, w, v)
 
 

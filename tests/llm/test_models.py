@@ -90,8 +90,8 @@ def test_terms_of_long_texts_in_parts(monkeypatch):
         for _ in range(40)]
     want = [sorted({x for run in (t or "").lower().split() for x in toxicity.word_terms(run)}) for t in texts]
     steps = toxicity.pieces
-    for step in (4_000_000, 50):
-        monkeypatch.setattr(toxicity, "pieces", lambda c, t, step=step: steps(c, t, step=step))
+    for size in (4_000_000, 50):
+        monkeypatch.setattr(toxicity, "pieces", lambda c, t, step, size=size: steps(c, t, step=size))
         got = [[] for _ in texts]
         for first, _, row, term in toxicity.Terms().of(pa.array(texts)):
             for r, x in zip(row.tolist(), term.tolist(), strict=True):
