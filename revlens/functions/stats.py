@@ -7,16 +7,16 @@ one row has a proven size bound.
 Exact quantiles (pandas ``quantile``, linear interpolation; equal to SQL
 ``quantile_cont``) take the same path at every size, without an array of values:
 
-1. one aggregate gives the count and, from ``percentile_approx`` (relative rank
-   error ``1/accuracy``), two values ``3/accuracy`` below and above ``q``;
-2. a second one steps to the next smaller and the next larger value, so that the
-   bracket holds the two target ranks also where ranks are few;
-3. the values inside the bracket are counted by ``groupBy`` (ties are one row, and
+1. one aggregate gives the count, the least and largest value and, from ``percentile_approx`` (a
+   mergeable sketch; relative rank error ``1/accuracy``), values below and above ``q``; the
+   bracket is the closest pair that holds the two target ranks whatever the error: ``3/accuracy``
+   on either side of ``q`` from ``accuracy`` values on, ``2/FEW`` from ``FEW`` on, else all values;
+2. the values inside the bracket are counted by ``groupBy`` (ties are one row, and
    partial sums absorb them), and the values below it by the same pass;
-4. running counts give the values at ranks ``floor(r)`` and ``ceil(r)``,
+3. running counts give the values at ranks ``floor(r)`` and ``ceil(r)``,
    ``r = q (n - 1)``, and the interpolation.
 
-Step 4 orders the distinct values of one bracket: a share of about ``8/accuracy``.
+Step 3 orders the distinct values of one bracket: a share of about ``8/accuracy`` of many values.
 Everything stays lazy; the result is a one-row frame.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import col_
 
 DEFAULT_ACCURACY = 100_000
+FEW = 1_000
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -87,15 +88,14 @@ def quantiles(df: DataFrame, specs: list[tuple[str, Column | str, float]],
     if method != "bracket":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    margin = 3.0 / accuracy
+    tight, wide = 3.0 / accuracy, 2.0 / FEW
     probes = base.agg(*[F.expr(e) for i, (_n, _c, q) in enumerate(specs) for e in (
-        f"count(__q{i}) as n{i}",
-        f"percentile_approx(__q{i}, array({max(0.0, q - margin)!r}, {min(1.0, q + margin)!r}), "
+        f"count(__q{i}) as n{i}", f"min(__q{i}) as min{i}", f"max(__q{i}) as max{i}",
+        f"percentile_approx(__q{i}, array({', '.join(repr(min(1.0, max(0.0, q + m))) for m in (-tight, tight, -wide, wide))}), "
         f"{accuracy}) as p{i}")])
-    bracket = with_stats(base, probes).agg(*[F.expr(e) for i in range(k) for e in (
-        f"max(n{i}) as n{i}",
-        f"coalesce(max(case when __q{i} < p{i}[0] then __q{i} end), min(__q{i})) as a{i}",
-        f"coalesce(min(case when __q{i} > p{i}[1] then __q{i} end), max(__q{i})) as b{i}")])
+    bracket = probes.select(*[F.expr(e) for i in range(k) for e in (
+        f"n{i}", f"case when n{i} >= {accuracy} then p{i}[0] when n{i} >= {FEW} then p{i}[2] else min{i} end as a{i}",
+        f"case when n{i} >= {accuracy} then p{i}[1] when n{i} >= {FEW} then p{i}[3] else max{i} end as b{i}")])
     # a row for each spec whose bracket (or what lies below it: x is null) holds the value
     marked = with_stats(base, bracket).selectExpr("inline(filter(array(" + ", ".join(
         f"struct({i} as i, case when __q{i} >= a{i} then __q{i} end as x, "
