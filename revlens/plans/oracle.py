@@ -567,8 +567,9 @@ _np_aggs = ", ".join(
 cte("np_c", ["raw"], f"select count(*) r, {_np_aggs} from raw")
 _np_n = " + ".join(f"n_{i}" for i in range(len(RAW_COLS)))
 _np_bad = " or ".join(f"n_{i} > 0" for i, c in enumerate(RAW_COLS) if c in K.ROBUST_SCHEMA)
-register("null_profile", ["np_c"], f"""select * from ({_np_parts}) t where null_count > 0
+cte("null_rows", ["np_c"], f"""select * from ({_np_parts}) t where null_count > 0
  union all select '(total)', {_np_n}, ({_np_n}) * 100.0 / (r * {len(RAW_COLS)}), {_np_bad} from np_c""")
+register("null_profile", ["null_rows"], "select * from null_rows")
 
 _sc_static = [("missing_column", c, "critical", f"Missing column: {c}")
               for c in ["sentiment_score", "customer_ltv", "repeat", "verified", "detected_issues"]]
@@ -583,8 +584,9 @@ _sc_nan = " union all ".join(
  || ' NaN values (' || format('{{:.1f}}', n / r * 100.0) || '%)' from
  (select {cnt_if(f'{c} is null' + ('' if c == 'rating' else f' or isnan({c})'))} n, count(*) r from raw) where n > 0"""
     for c in ["rating", "order_value", "helpful_votes", "days_since_purchase"])
-register("sanity_checks", ["raw"], f"""select * from (values {_sc_vals}) t("check", "column", severity, n, message)
+cte("sanity_rows", ["raw"], f"""select * from (values {_sc_vals}) t("check", "column", severity, n, message)
  union all {_sc_nan}""")
+register("sanity_checks", ["sanity_rows"], "select * from sanity_rows")
 
 
 def safe_mm(x: str, a: str, b: str) -> str:
@@ -1063,15 +1065,31 @@ register("write_dashboard_json", ["records"], select_round("records", REC_COLS,
 register("read_reviews_json_mixed", ["norm"], f"select {_norm_stable} from norm")
 register("read_review_pages_limited", ["base"], f"""select cast(ok + 1 as integer) page, {PRODUCT_SQL} product,
  round({RATING_SQL}, 6) rating, round(case when ab > 0 then ab else 0.0 end, 6) customer_ltv from base where ok + 1 <= 100""")
-register("schema_report", ["raw"], """select 'filled_column' "check", c "column", 'info' severity, cast(0 as bigint) n,
+cte("schema_rows", ["raw"], """select 'filled_column' "check", c "column", 'info' severity, cast(0 as bigint) n,
   'Created missing column: ' || c message from (values ('customer_ltv'), ('repeat'), ('verified'), ('detected_issues'),
   ('sentiment_score')) t(c)
  union all select 'type_conversion', 'rating', 'info', n, concat('rating: filled ', n, ' values with default')
  from (select count(*) n from raw where try_cast(rating as double) is null) where n > 0""")
+register("schema_report", ["schema_rows"], "select * from schema_rows")
 register("fill_report", ["raw"], """select c "column", case c when 'rating' then r when '__before' then r + o
   when '__after' then o else 0 end n from (select cast(count_if(try_cast(rating as double) is null) as bigint) r,
   cast(count_if(product_name is null) + count_if(review_text is null) + count_if(sentiment is null) + count_if(ltv is null)
    + count_if(review_date is null) as bigint) o from raw)
  cross join (values ('rating'), ('order_value'), ('helpful_votes'), ('days_since_purchase'), ('__before'), ('__after')) t(c)""")
-register("validate_output", ["raw"], """select 'non_empty' "check", count(*) > 0 ok, concat(count(*), ' rows') message from raw
+cte("gate_rows", ["raw"], """select 'non_empty' "check", count(*) > 0 ok, concat(count(*), ' rows') message from raw
  union all select c, true, '' from (values ('required_columns_present'), ('no_critical_nan'), ('correct_dtypes'), ('valid')) t(c)""")
+register("validate_output", ["gate_rows"], "select * from gate_rows")
+register("robustness_report", ["raw", "schema_rows", "sanity_rows", "null_rows"], f"""
+ select 'shape' "check", '__rows' "column", 'info' severity, count(*) n,
+  concat(count(*), ' rows x {len(RAW_COLS)} columns') message from raw
+ union all select "check", "column", severity, n, message from schema_rows
+ union all select "check", "column", severity, n, message from sanity_rows
+ union all select 'null_profile', "column", case when critical then 'critical' else 'info' end, null_count,
+  format('{{:.1f}}', null_pct) || '% missing' from null_rows""")
+_other = " + ".join(cnt_if(f"{c} is null") for c in RAW_COLS if c not in K.ROBUST_DEFAULTS)
+register("preprocess_report", ["raw", "schema_rows", "gate_rows"], f"""
+ select 'schema' step, "check", "column", severity, n, message from schema_rows
+ union all select 'fill', 'filled', c, 'info', n, concat('Missing values: ', n)
+  from (select {_other} n from raw) cross join (values ('__before'), ('__after')) t(c) where n > 0
+ union all select 'validation', "check", null, case when ok then 'info' else 'critical' end, 0, message
+  from gate_rows""")
