@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import give_back_memory
+
 LONG_WORD = 200          # bytes; longer words use the heap
 MEMO_WORDS = 400_000     # words remembered per Python worker
 STEP_CHARS = 1_000_000   # texts are handled in runs of about this many characters
@@ -211,6 +213,9 @@ class RankArrayBPE:
             self._ids.append(" ".join(map(str, ids)))
             self._text.append(self.decode(ids))
 
+    def forget(self) -> None:
+        self._memo, self._ids, self._text, self._n = {}, [], [], []
+
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens' strings, joined by spaces."""
         token = self.token
@@ -279,6 +284,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id",
             out = pd.DataFrame(list(bpe.digests(texts)), columns=names)
             out.insert(0, "doc_id", batch["i"].to_numpy())
             yield out
+        bpe.forget()  # the worker goes on to other stages
+        give_back_memory()
 
     read = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     return read.mapInPandas(
