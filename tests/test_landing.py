@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from revlens.operators import quality as Q
+from revlens.operators import reviews as R
 from revlens.sources import files as SF
 
 
@@ -22,3 +24,11 @@ def test_gap_report_keeps_pages_out_of_the_driver(spark, tmpdir_path):
     gaps = SF.page_gap_report(spark, SF.page_envelopes(spark, _pages(spark, tmpdir_path + "/p", 10_000, missing)))
     assert "Broadcast" not in _plan(gaps)
     assert sorted(r.page for r in gaps.collect()) == missing
+
+
+def test_ingest_summary_broadcasts_one_row_only(spark, tmpdir_path):
+    landed = SF.land_pages(spark, _pages(spark, tmpdir_path + "/p", 500, [7, 8]))
+    one = Q.ingest_summary(R.fetch_column_repair(landed.reviews), landed.failed())
+    assert "BroadcastHashJoin" not in _plan(one)
+    row = one.first()
+    assert (row.total_reviews, row.unique_products, row.failed_pages) == (498, 7, 2)
