@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from revlens.operators import quality as Q
 from revlens.operators import reviews as R
+from revlens.plans import queries as Qs
 from revlens.sources import files as SF
+from tests.conftest import SF0001
 
 
 def _plan(df):
@@ -32,3 +34,22 @@ def test_ingest_summary_broadcasts_one_row_only(spark, tmpdir_path):
     assert "BroadcastHashJoin" not in _plan(one)
     row = one.first()
     assert (row.total_reviews, row.unique_products, row.failed_pages) == (498, 7, 2)
+
+
+# ---- scaling -----------------------------------------------------------------------------------------
+def test_minmax_reads_and_joins_once(spark):
+    for name in ("minmax", "minmax_safe", "minmax_eps"):
+        plan = _plan(Qs.QUERIES[name](spark, SF0001))
+        assert plan.count("FileScan") == 1 and "Join" not in plan, name
+
+
+def test_minmax_column_with_and_without_bounds(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, 5.0), (None, float("nan")), (2.0, 7.0)], "x double, y double")
+    whole, bounds = R.column_bounds(df)
+    for variant in ("const0", "safe", "eps"):
+        for c in ("x", "y"):
+            own = R.minmax_column(df, c, "n", variant)
+            assert own.columns == ["x", "y", "n"]
+            with_bounds = R.minmax_column(whole, c, "n", variant, bounds=bounds[c])
+            assert (sorted(map(str, own.collect())) == sorted(map(str, with_bounds.collect())))
+    assert [r.n for r in R.minmax_column(df, "x", "n", "safe").orderBy("x").collect()] == [None, 0.0, 0.5, 1.0]
