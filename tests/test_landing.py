@@ -1,5 +1,8 @@
 """Work and memory of landing and of scaling grow with the input, not faster."""
 
+import glob
+import os
+
 from pyspark.sql import functions as F
 
 from revlens.operators import quality as Q
@@ -53,3 +56,24 @@ def test_minmax_column_with_and_without_bounds(spark):
             with_bounds = R.minmax_column(whole, c, "n", variant, bounds=bounds[c])
             assert (sorted(map(str, own.collect())) == sorted(map(str, with_bounds.collect())))
     assert [r.n for r in R.minmax_column(df, "x", "n", "safe").orderBy("x").collect()] == [None, 0.0, 0.5, 1.0]
+
+
+# ---- landed documents --------------------------------------------------------------------------------
+def _files(path):
+    return glob.glob(f"{path}/part-*")
+
+
+def test_pages_are_landed_compressed_in_small_files(spark, tmpdir_path):
+    from revlens.streaming import pages as ST
+
+    path = _pages(spark, tmpdir_path + "/p", 30_000)
+    files = _files(path)
+    assert files and all(f.endswith(".json.snappy") for f in files)
+    assert sum(map(os.path.getsize, files)) < spark.read.text(path).agg(F.sum(F.length("value"))).first()[0] / 2
+    small = spark.range(2 * SF.LANDED["maxRecordsPerFile"] + 1).selectExpr("cast(id as int) as page", "'a' as product")
+    SF.write_review_pages(small.coalesce(1), tmpdir_path + "/q")
+    assert all(spark.read.text(f).count() <= SF.LANDED["maxRecordsPerFile"] for f in _files(tmpdir_path + "/q"))
+    back = SF.read_review_pages(spark, path)
+    assert back.count() == 30_000 and back.select("page").distinct().count() == 30_000
+    ST.land_pages(spark, path, tmpdir_path + "/t", tmpdir_path + "/c")
+    assert spark.read.parquet(tmpdir_path + "/t").select("page").distinct().count() == 30_000
