@@ -1,6 +1,7 @@
 """Work and memory of landing and of scaling grow with the input, not faster."""
 
 import glob
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -77,3 +78,18 @@ def test_pages_are_landed_compressed_in_small_files(spark, tmpdir_path):
     assert back.count() == 30_000 and back.select("page").distinct().count() == 30_000
     ST.land_pages(spark, path, tmpdir_path + "/t", tmpdir_path + "/c")
     assert spark.read.parquet(tmpdir_path + "/t").select("page").distinct().count() == 30_000
+
+
+def test_mixed_documents_are_made_in_one_pass_and_compressed(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(Qs, "scratch_path", lambda spark, name: f"{tmpdir_path}/{name}")
+    got = Qs.QUERIES["read_reviews_json_mixed"](spark, SF0001)
+    assert got.count() == Qs.reviews(spark, SF0001).count()
+    files = _files(f"{tmpdir_path}/json-mixed")
+    assert files and all(f.endswith(".txt.snappy") for f in files)
+    docs = [json.loads(r.value) for r in spark.read.text(f"{tmpdir_path}/json-mixed").collect()]
+    shapes = [next((k for k in ("data", "records") if k in d), "flat") for d in docs]
+    lines = spark.read.parquet(f"{SF0001}/lineitem.parquet").selectExpr("l_orderkey % 3 as k", "l_orderkey as o")
+    want = {r.k: (r.docs, r.rows) for r in lines.groupBy("k").agg(
+        F.count_distinct("o").alias("docs"), F.count("o").alias("rows")).collect()}
+    assert {s: shapes.count(s) for s in set(shapes)} == {
+        "data": want[0][0], "records": want[1][0], "flat": want[2][1]}
