@@ -93,3 +93,11 @@ def test_mixed_documents_are_made_in_one_pass_and_compressed(spark, tmpdir_path,
         F.count_distinct("o").alias("docs"), F.count("o").alias("rows")).collect()}
     assert {s: shapes.count(s) for s in set(shapes)} == {
         "data": want[0][0], "records": want[1][0], "flat": want[2][1]}
+
+
+def test_json_documents_are_landed_compressed(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(Qs, "scratch_path", lambda spark, name: f"{tmpdir_path}/{name}")
+    got = Qs.QUERIES["read_reviews_json"](spark, SF0001)
+    assert got.count() == Qs.reviews(spark, SF0001).count()
+    files = _files(f"{tmpdir_path}/json")
+    assert files and all(f.endswith(".json.snappy") for f in files)
