@@ -98,6 +98,10 @@ class Checked:
     violations: dict[str, int]
     constraints: list[Constraint]
 
+    @property
+    def columns(self) -> list[str]:
+        return self.good.columns
+
     def report(self) -> DataFrame:
         """A row for every constraint: its violations, of how many rows."""
         rows = [(c.name, c.column, c.severity, self.violations[c.name], self.rows) for c in self.constraints]
