@@ -10,6 +10,7 @@ from revlens.operators import quality as Q
 from revlens.operators import reviews as R
 from revlens.plans import queries as Qs
 from revlens.sources import files as SF
+from revlens.sources import tables as TB
 from tests.conftest import SF0001
 
 
@@ -40,6 +41,42 @@ def test_ingest_summary_broadcasts_one_row_only(spark, tmpdir_path):
     assert (row.total_reviews, row.unique_products, row.failed_pages) == (498, 7, 2)
 
 
+def _tables(spark, path):
+    """Three orders, one without lines and one without a customer; keys repeat and are null."""
+    for name, rows, schema in (
+            ("customer", [(1, 10.0), (1, -5.0), (None, 7.0)], "c_custkey long, c_acctbal double"),
+            ("part", [(1, "a", "x"), (2, "b", "y"), (None, "c", "z")], "p_partkey long, p_name string, p_brand string"),
+            ("orders", [(1, 1, 100.0), (2, 9, 200.0), (4, 1, 300.0), (6, 1, 400.0), (None, 1, 500.0)],
+             "o_orderkey long, o_custkey long, o_totalprice double"),
+            ("lineitem", [(1, 1, 1), (1, 2, 2), (2, 1, 1), (4, 1, 2), (4, 2, 3), (4, 3, None), (None, 1, 1)],
+             "l_orderkey long, l_linenumber int, l_partkey long")):
+        df = spark.createDataFrame(rows, schema)
+        if name == "lineitem":
+            df = df.selectExpr("*", "1D as l_quantity", "'N' as l_returnflag", "timestamp_ntz '2024-01-01' as l_shipdate")
+        df.write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_reviews_are_joined_without_tables_in_the_driver(spark, tmpdir_path):
+    path = _tables(spark, tmpdir_path)
+    base = TB._base(spark, path)
+    assert "Broadcast" not in _plan(base) and _plan(base).count("SortMergeJoin") == 3
+    assert sorted((r.ok, r.ln, r.pk, r.ck, r.tp, r.ab, r.pn, r.br) for r in base.collect()) == [
+        (ok, ln, pk, 1, tp, ab, *{1: ("a", "x"), 2: ("b", "y")}[pk])
+        for ok, ln, pk, tp in ((1, 1, 1, 100.0), (1, 2, 2, 100.0), (4, 1, 2, 300.0)) for ab in (-5.0, 10.0)]
+    assert "Broadcast" not in _plan(base)  # nor as run
+
+
+def test_ingest_summary_sends_no_table_through_the_driver(spark, tmpdir_path, monkeypatch):
+    landed = []
+    write = SF.write_review_pages
+    monkeypatch.setattr(SF, "write_review_pages", lambda df, path: (landed.append(_plan(df)), write(df, path)))
+    row = Qs.QUERIES["ingest_summary"](spark, _tables(spark, tmpdir_path)).first()
+    assert len(landed) == 1 and "Broadcast" not in landed[0]
+    assert (row.total_reviews, row.unique_products, row.ltv_min, row.ltv_max, row.ltv_sum, row.failed_pages) == (
+        6, 2, 0.0, 10.0, 30.0, 3)
+
+
 # ---- scaling -----------------------------------------------------------------------------------------
 def test_minmax_reads_and_joins_once(spark):
     for name in ("minmax", "minmax_safe", "minmax_eps"):
